@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from riskweave.llm.common import table
+from riskweave.llm.packing import pack
+from riskweave.llm.repeats import repeat_digest
 from riskweave.llm.simhash import near_duplicates
 
 
@@ -10,8 +12,18 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark, sf_dir):
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
