@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskweave.llm.common import table
+from riskweave.llm.editwalk import edited_fingerprints
 from riskweave.llm.packing import pack
 from riskweave.llm.repeats import repeat_digest
 from riskweave.llm.simhash import near_duplicates
@@ -12,6 +13,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
