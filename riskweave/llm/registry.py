@@ -7,6 +7,7 @@ from riskweave.llm.editwalk import edited_fingerprints
 from riskweave.llm.packing import pack
 from riskweave.llm.repeats import repeat_digest
 from riskweave.llm.simhash import near_duplicates
+from riskweave.llm.vectors import near_vectors
 
 
 def op5_simhash_near_dedup(spark, sf_dir):
@@ -21,6 +22,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -29,7 +34,43 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM v
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN link l ON r.other = l.a
+), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.other) AS component_id, v.vec_id = min(r.other) AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id JOIN reach r ON r.node = v.vec_id GROUP BY v.vec_id
+""",
+    "op10_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, words, unnest(range(len(words) - 19)) AS k FROM w WHERE len(words) >= 20
+), h AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY md5(array_to_string(words[k + 1:k + 20], ' ')) ORDER BY doc_id, k) AS nth FROM s
+), gone AS (
+  SELECT DISTINCT doc_id, k + j AS p FROM h, (SELECT unnest(range(20)) AS j) WHERE nth > 1
+), kept AS (
+  SELECT w.doc_id, u.p, u.x FROM w, LATERAL (SELECT unnest(range(len(words))) AS p, unnest(words) AS x) u
+  ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.p = u.p
+), t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(t.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t.text, '')) AS kept_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id
+""",
+}
