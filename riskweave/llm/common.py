@@ -47,6 +47,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Stands for a missing id inside tasks, where a null would turn a batch's ids into floats.
+NO_ID = -(2**63)
+
+
+def filled(column):
+    return F.coalesce(column.cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def emptied(column):
+    return F.nullif(column, F.lit(NO_ID).cast("long"))
+
+
 def id_bounds(ids: DataFrame, column: str, buckets: int) -> list[int]:
     """Inner bounds that cut the ids into about equal runs: at most `buckets` numbers.
 

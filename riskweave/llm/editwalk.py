@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import bucket_of, id_bounds, materialise, shuffle_partitions
+from riskweave.llm.common import bucket_of, emptied, filled, id_bounds, materialise, shuffle_partitions
 
 #: Steps of the embedding that a fingerprint keeps, at most; at least half as many, for texts that have them.
 SAMPLES = 256
@@ -128,8 +128,8 @@ def with_next(docs: DataFrame, run, schema: str, id_col: str, text_col: str) ->
     is_top = F.col("top").eqNullSafe(F.col("id"))
     places = F.when(is_top, F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("guest")), F.struct(F.col("above").alias("run"), F.lit(1).alias("guest"))))
     places = places.otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("guest"))))
-    dealt = keyed.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.run", "p.guest")
-    dealt = dealt.repartition(parts, "run").sortWithinPartitions(F.col("run"), F.col("guest"), F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    dealt = keyed.select(filled(F.col("id")).alias("id"), "text", F.explode(places).alias("p")).select("id", "text", "p.run", "p.guest")
+    dealt = dealt.repartition(parts, "run").sortWithinPartitions(F.col("run"), F.col("guest"), F.col("id").desc(), F.col("text").asc_nulls_first())
     return dealt.mapInPandas(run, schema)
 
 
@@ -167,10 +167,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     out.append(made(here, new))
                 here = None if guest else new
             cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            yield pd.DataFrame(out, columns=cols).astype({"doc_id": "Int64", "n_chars": "int64"})
+            yield pd.DataFrame(out, columns=cols)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, run, schema, id_col, text_col)
+    return with_next(docs, run, schema, id_col, text_col).withColumn("doc_id", emptied(F.col("doc_id")))
 
 
 #: Sampled steps in a band, and bands per level.
@@ -194,10 +194,10 @@ def edit_links(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
 
     def mark(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": [fingerprint_of(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "mark": [fingerprint_of(t) for t in pdf["text"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = rows.mapInPandas(mark, "id long, mark string").where("id is not null").groupBy("mark").agg(F.min("id").alias("id"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = rows.mapInPandas(mark, "id long, mark string").groupBy("mark").agg(F.min("id").alias("id"))
 
     def bands(batches):
         for pdf in batches:

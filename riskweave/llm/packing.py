@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskweave.llm.common import materialise
+from riskweave.llm.common import emptied, filled, materialise
 
 CAPACITY = 2048
 #: Words that a task keeps encoded, at each of two levels.
@@ -86,10 +86,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
                     size = min(capacity, n - start)
                     rows.append((doc, piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), task, int(seen[size])))
                     seen[size] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(filled(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
@@ -204,7 +203,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             step = rank - first[k]
             pdf["sequence_id"] = base[k] + step // times[k]
             pdf["offset"] = offset[k] + step % times[k] * length
-            yield pdf.drop(columns="rank").astype({"doc_id": "Int64"})
+            yield pdf.drop(columns="rank")
 
     kept = placed.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return kept.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = kept.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.withColumn("doc_id", emptied(F.col("doc_id")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskweave.llm.common import table
 from riskweave.llm.editwalk import edited_fingerprints
 from riskweave.llm.packing import pack
+from riskweave.llm.pages import main_text
 from riskweave.llm.repeats import repeat_digest
 from riskweave.llm.simhash import near_duplicates
 from riskweave.llm.vectors import near_vectors
@@ -26,6 +27,10 @@ def op8_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ QUERIES = {
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

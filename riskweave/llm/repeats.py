@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import bucket_of, id_bounds, materialise, shuffle_partitions
+from riskweave.llm.common import bucket_of, emptied, filled, id_bounds, materialise, shuffle_partitions
 
 WINDOW = 20
 #: Any WINDOW words hold a whole block that starts at a multiple of BLOCK words.
@@ -147,7 +147,7 @@ class _Run:
     """The documents of one run in order, with the exact windows that hold an anchor hit."""
 
     def __init__(self, pdf: pd.DataFrame, side: pd.DataFrame, ranges: int):
-        self.rows = pdf.sort_values(["id", "text"], na_position="last", kind="stable").reset_index(drop=True)
+        self.rows = pdf.sort_values(["id", "text"], kind="stable").reset_index(drop=True)
         hashes, sizes = [np.zeros((0, 2), np.uint64)], []
         for text in self.rows["text"]:
             words = _words(text)
@@ -236,7 +236,7 @@ def _removed(docs: DataFrame, side: DataFrame, ranges: int) -> DataFrame:
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if removed else b" ".join(words)
             out.append((doc, n, removed, kept.decode()))
             at += n
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
 
     return docs.groupBy("run").cogroup(side.groupBy("run")).applyInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
 
@@ -261,10 +261,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partitions = shuffle_partitions(spark)
     bounds = id_bounds(rows.select("id"), "id", max(2 * partitions, -(-chars // PER_RUN)))
     ranges = min(max(partitions, chars // 6 // PER_RANGE), 1 << 23)
-    rows = rows.withColumn("run", F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(bucket_of(F.col("id"), bounds)))
+    rows = rows.select(filled(F.col("id")).alias("id"), "text", F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(bucket_of(F.col("id"), bounds)).alias("run"))
     hits = materialise(_hits(_anchors(rows, ranges)).withColumn("kind", F.lit(0)))
     earlier = _earlier(_windows(rows, hits, ranges)).withColumn("kind", F.lit(1))
-    return _removed(rows, hits.unionByName(earlier), ranges)
+    return _removed(rows, hits.unionByName(earlier), ranges).withColumn("doc_id", emptied(F.col("doc_id")))
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import materialise
+from riskweave.llm.common import emptied, filled, materialise
 from riskweave.llm.components import connected_components
 
 RADIUS = 2
@@ -52,9 +52,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for pdf in batches:
             fp = [struct.unpack(">q", fingerprint_of(t).to_bytes(8, "big"))[0] for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "fp": np.array(fp, np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "fp": np.array(fp, np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    rows = docs.select(filled(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "id long, fp long").withColumn("id", emptied(F.col("id")))
 
 
 def _signed(x: int) -> int:
