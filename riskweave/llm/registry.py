@@ -6,11 +6,16 @@ from riskweave.llm.common import table
 from riskweave.llm.editwalk import edited_fingerprints
 from riskweave.llm.packing import pack
 from riskweave.llm.pages import main_text
+from riskweave.llm.pii import pseudonym_texts
 from riskweave.llm.repeats import repeat_digest
 from riskweave.llm.simhash import near_duplicates
 from riskweave.llm.vectors import near_vectors
 
 
+def op1_feistel_pseudonyms(spark, sf_dir):
+    return pseudonym_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
