@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from riskweave.llm.common import table
 from riskweave.llm.editwalk import edited_fingerprints
+from riskweave.llm.langid import identify
 from riskweave.llm.packing import pack
 from riskweave.llm.pages import main_text
 from riskweave.llm.pii import pseudonym_texts
 from riskweave.llm.repeats import repeat_digest
 from riskweave.llm.simhash import near_duplicates
 from riskweave.llm.vectors import near_vectors
+from riskweave.llm.viterbi import encoding_digest
 
 
 def op1_feistel_pseudonyms(spark, sf_dir):
     return pseudonym_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece_scan(spark, sf_dir):
+    return encoding_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +52,8 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
+    "op2_language_id": op2_language_id,
+    "op3_sentencepiece_scan": op3_sentencepiece_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
