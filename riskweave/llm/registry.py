@@ -5,6 +5,8 @@ from __future__ import annotations
 from riskweave.llm.common import table
 from riskweave.llm.editwalk import edited_fingerprints
 from riskweave.llm.langid import identify
+from riskweave.llm.licences import oracle_sql as licence_sql
+from riskweave.llm.licences import scan
 from riskweave.llm.packing import pack
 from riskweave.llm.pages import main_text
 from riskweave.llm.pii import pseudonym_texts
@@ -26,6 +28,10 @@ def op3_sentencepiece_scan(spark, sf_dir):
     return encoding_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_language_id": op2_language_id,
     "op3_sentencepiece_scan": op3_sentencepiece_scan,
+    "op4_license_scan": op4_license_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -63,6 +70,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licence_sql(),
     "op8_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
