@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,8 +18,8 @@ from tokenizers import Tokenizer
 from riskweave.llm.common import emptied, filled, materialise
 
 CAPACITY = 2048
-#: Words that a task keeps encoded, at each of two levels.
-CACHE = 250_000
+#: Words that a worker keeps encoded, at each of two levels.
+CACHE = 400_000
 #: Steps that one search for a filling may take before its best filling so far stands.
 SEARCH = 20_000
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,8 +39,6 @@ class WordEncoder:
         self.cut = regex.compile(_PIECES)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        import json
-
         spec = json.load(open(path))  # noqa: SIM115
         lean = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.lean = Tokenizer.from_str(json.dumps(spec | lean))
@@ -68,6 +68,12 @@ class WordEncoder:
         return b"".join(found)
 
 
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One per worker, so that its words outlive a task."""
+    return WordEncoder(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, rank) of every document's ids followed by id 0.
 
@@ -76,7 +82,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     """
 
     def run(batches):
-        encoder, seen, task = WordEncoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, task = _encoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["id"].array, pdf["text"].array, strict=True):
