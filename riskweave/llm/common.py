@@ -59,6 +59,13 @@ def emptied(column):
     return F.nullif(column, F.lit(NO_ID).cast("long"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def id_bounds(ids: DataFrame, column: str, buckets: int) -> list[int]:
     """Inner bounds that cut the ids into about equal runs: at most `buckets` numbers.
 

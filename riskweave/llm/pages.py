@@ -25,6 +25,8 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>",
     re.S,
 )
+#: A tag that the page breaks off in.
+_UNENDED = re.compile(r"<[a-zA-Z!?/][^>]*\Z")
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript template svg".split())
@@ -104,7 +106,7 @@ class Page:
         while at < size:
             m = _TOKEN.search(source, at)
             if m is None:
-                add(source[at:])
+                add(_UNENDED.sub("", source[at:]))
                 break
             add(source[at : m.start()])
             at = m.end()

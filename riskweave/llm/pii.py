@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.common import unused
+
 #: Rounds of the keyed permutation.
 ROUNDS = 10
 KEY = "riskweave-demonstration-key"
@@ -143,12 +145,6 @@ def _email(h: str, key: str) -> str:
     return f"concat('user-', left(sha2(concat({_text(key + '|email|')}, lower({h})), 256), 12), '@example.invalid')"
 
 
-def _replaced(text: Column, pattern: str, pseudonym) -> tuple[Column, Column]:
-    """Matches' pseudonyms, and the text that has them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return found, F.transform(found, lambda h: pseudonym(h))
-
-
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
     """docs with pseudonyms for personal data in text_col, and how many in count_col.
 
@@ -161,20 +157,18 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_
     """
     text = F.col(f"`{text_col}`")
     step = docs
-    counts = []
-    rules = (("__mail", EMAIL, lambda h: _email(h, key), F.contains(text, F.lit("@"))), ("__number", NUMBER, lambda h: _pseudonym(h, key), text.rlike(r"\d\d|\d\.\d")))
+    mail, number = unused(docs, "__mail"), unused(docs, "__number")
+    rules = ((mail, EMAIL, lambda h: _email(h, key), F.contains(text, F.lit("@"))), (number, NUMBER, lambda h: _pseudonym(h, key), text.rlike(r"\d\d|\d\.\d")))
     for name, pattern, rule, there in rules:
-        quoted = _text(pattern)
+        quoted, new, changes = _text(pattern), f"{name}_new", f"{name}_n"
         found = F.when(there, F.expr(f"regexp_extract_all(`{text_col}`, {quoted}, 0)"))
         step = step.withColumn(name, F.when(F.size(found) > 0, found))
-        step = step.withColumn(f"{name}_new", F.expr(f"transform({name}, h -> {rule('h')})"))
-        joined = F.expr(f"array_join(zip_with(split(`{text_col}`, {quoted}, -1), {name}_new, (p, h) -> concat(p, coalesce(h, ''))), '')")
+        step = step.withColumn(new, F.expr(f"transform({name}, h -> {rule('h')})"))
+        joined = F.expr(f"array_join(zip_with(split(`{text_col}`, {quoted}, -1), {new}, (p, h) -> concat(p, coalesce(h, ''))), '')")
         step = step.withColumn(text_col, F.when(F.col(name).isNotNull(), joined).otherwise(text))
-        changed = F.expr(f"coalesce(size(filter(zip_with({name}, {name}_new, (a, b) -> a <> b), x -> x)), 0)")
-        counts.append((f"{name}_n", changed))
-        step = step.withColumn(f"{name}_n", changed).drop(name, f"{name}_new")
-    total = F.col("__mail_n") + F.col("__number_n")
-    return step.withColumn(count_col, total.cast("int")).drop("__mail_n", "__number_n")
+        changed = F.expr(f"coalesce(size(filter(zip_with({name}, {new}, (a, b) -> a <> b), x -> x)), 0)")
+        step = step.withColumn(changes, changed).drop(name, new)
+    return step.withColumn(count_col, (F.col(f"{mail}_n") + F.col(f"{number}_n")).cast("int")).drop(f"{mail}_n", f"{number}_n")
 
 
 def pseudonym_texts(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -184,7 +178,8 @@ def pseudonym_texts(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def without_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in their texts; n_chars, where there is one, follows a changed text."""
-    out = pseudonymise(docs, key, count_col="__pseudonyms")
+    count = unused(docs, "__pseudonyms")
+    out = pseudonymise(docs, key, count_col=count)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__pseudonyms") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

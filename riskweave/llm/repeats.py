@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import bucket_of, emptied, filled, id_bounds, materialise, shuffle_partitions
+from riskweave.llm.common import bucket_of, emptied, filled, id_bounds, materialise, shuffle_partitions, unused
 
 WINDOW = 20
 #: Any WINDOW words hold a whole block that starts at a multiple of BLOCK words.
@@ -278,10 +278,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Needs one row per id; rows without an id pass unchanged. n_chars, where docs has it, follows the new text.
     """
     cut = remove_repeats(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    out = docs.join(cut, F.col(id_col) == F.col("__id"), "left").withColumn(text_col, F.coalesce("__kept", text_col))
+    key, kept = unused(docs, "__id"), unused(docs, "__kept")
+    cut = cut.select(F.col("doc_id").alias(key), F.col("kept").alias(kept))
+    out = docs.join(cut, F.col(id_col) == F.col(key), "left").withColumn(text_col, F.coalesce(kept, text_col))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("__kept").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

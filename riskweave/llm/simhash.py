@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import emptied, filled, materialise
+from riskweave.llm.common import emptied, filled, materialise, unused
 from riskweave.llm.components import connected_components
 
 RADIUS = 2
@@ -133,6 +133,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id cannot be ranked and all stay. Columns and their order are those of docs.
     """
     classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    key = unused(docs, "__kept")
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    stay = docs.join(kept, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
