@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from riskweave.functions.scalars import uuid5
 from riskweave.operators.decisions import Policy
@@ -18,33 +17,40 @@ TOPICS = {
 }
 PAYLOAD_LIMIT, ERROR_LIMIT = 1_000_000, 2_000
 
-EVENT = StructType.fromDDL(
-    "transaction_id string, event_id string, customer_id string, account_id string, card_id string, merchant_id string, merchant_category string, transaction_amount double, currency string,"
-    " transaction_type string, channel string, timestamp string, ingestion_timestamp string, country string, city string, latitude double, longitude double, device_id string, ip_address string,"
-    " card_present boolean, authentication_method string, transaction_status string, event_version bigint"
-)
-ENVELOPE = StructType.fromDDL(f"message_id string, schema_version string, produced_at string, correlation_id string, validation_version string, event {EVENT.simpleString()}")
-_BASE = "message_id string, schema_version string, produced_at string, correlation_id string"
+#: Fields of the transaction contract and their types.
+EVENT = {
+    **dict.fromkeys(("transaction_id", "event_id", "customer_id", "account_id", "card_id", "merchant_id", "merchant_category"), "string"), "transaction_amount": "double",
+    **dict.fromkeys(("currency", "transaction_type", "channel", "timestamp", "ingestion_timestamp", "country", "city"), "string"), "latitude": "double", "longitude": "double",
+    **dict.fromkeys(("device_id", "ip_address"), "string"), "card_present": "boolean", **dict.fromkeys(("authentication_method", "transaction_status"), "string"), "event_version": "bigint",
+}
+_EVENT = "struct<" + ",".join(f"{n}:{t}" for n, t in EVENT.items()) + ">"
+_BASE = dict.fromkeys(("message_id", "schema_version", "produced_at", "correlation_id"), "string")
+_IDS = dict.fromkeys(("event_id", "transaction_id"), "string")
 _DECISION = "struct<calibrated_probability:double,confidence:double,abstained:boolean,risk_tier:string,action:string,review_threshold:double,block_threshold:double,policy_version:string,model_version:string,calibration_version:string,reason_codes:array<string>>"
-#: Per topic, the schema of its messages.
+#: Per topic, the fields of its messages and their types.
 CONTRACTS = {
-    "transactions": StructType.fromDDL(f"{_BASE}, event {EVENT.simpleString()}"),
-    "validated_transactions": ENVELOPE,
-    "predictions": StructType.fromDDL(
-        f"{_BASE}, event_id string, transaction_id string, customer_id string, features map<string,double>, model_probability double, calibrated_probability double, anomaly_score double, rule_score double,"
-        " confidence double, model_version string, calibration_version string, feature_version string, explanation map<string,string>"
-    ),
-    "alerts": StructType.fromDDL(f"{_BASE}, event_id string, transaction_id string, customer_id string, decision {_DECISION}, prediction_message_id string, reason_codes array<string>, explanation map<string,string>"),
-    "feedback": StructType.fromDDL(f"{_BASE}, event_id string, transaction_id string, analyst_id string, outcome string, note string"),
-    "audit": StructType.fromDDL(f"{_BASE}, event_type string, status string, source_topic string, event_id string, transaction_id string, details map<string,string>"),
-    "dead_letter": StructType.fromDDL(
-        f"{_BASE}, original_topic string, original_partition int, original_offset bigint, original_key string, raw_payload string, error_type string, error_message string, attempts int, failed_at string"
-    ),
-}
+    "transactions": {**_BASE, "event": _EVENT},
+    "validated_transactions": {**_BASE, "validation_version": "string", "event": _EVENT},
+    "predictions": {
+        **_BASE, **_IDS, "customer_id": "string", "features": "map<string,double>", **dict.fromkeys(("model_probability", "calibrated_probability", "anomaly_score", "rule_score", "confidence"), "double"),
+        **dict.fromkeys(("model_version", "calibration_version", "feature_version"), "string"), "explanation": "map<string,string>",
+    },
+    "alerts": {**_BASE, **_IDS, "customer_id": "string", "decision": _DECISION, "prediction_message_id": "string", "reason_codes": "array<string>", "explanation": "map<string,string>"},
+    "feedback": {**_BASE, **_IDS, **dict.fromkeys(("analyst_id", "outcome", "note"), "string")},
+    "audit": {**_BASE, **dict.fromkeys(("event_type", "status", "source_topic"), "string"), **_IDS, "details": "map<string,string>"},
+    "dead_letter": {
+        **_BASE, "original_topic": "string", "original_partition": "int", "original_offset": "bigint", **dict.fromkeys(("original_key", "raw_payload", "error_type", "error_message"), "string"), "attempts": "int", "failed_at": "string",
+    },
+}
 OUTCOMES = ("confirmed_fraud", "not_fraud", "escalated", "no_action")
 _JSON = {"ignoreNullFields": "false"}
 
 
+def schema_of(topic: str) -> str:
+    """The schema of a topic's messages, as DDL."""
+    return ", ".join(f"{n} {t}" for n, t in CONTRACTS[check_topic(topic)].items())
+
+
 def check_topic(topic: str) -> str:
     if topic not in TOPICS:
         raise ValueError(f"unknown topic: {topic}")
@@ -74,13 +80,13 @@ def partition_for(key: Column, partitions: int) -> Column:
 
 def encode_message(struct: Column, topic: str) -> Column:
     """A message as JSON with its fields by name and nulls kept."""
-    names = sorted(CONTRACTS[check_topic(topic)].names)
+    names = sorted(CONTRACTS[check_topic(topic)])
     return F.to_json(F.struct(*[struct[n].alias(n) for n in names]), _JSON)
 
 
 def decode_message(value: Column, topic: str) -> Column:
     """A message of a topic from JSON; null if it isn't an object, or its version is another."""
-    read = F.from_json(value, CONTRACTS[check_topic(topic)])
+    read = F.from_json(value, schema_of(topic))
     return F.when(value.rlike(r"^\s*\{") & (read["schema_version"] == SCHEMA_VERSION), read)
 
 
@@ -90,7 +96,7 @@ def sink_frame(df: DataFrame, topic: str) -> DataFrame:
 
 def envelope(df: DataFrame, message_id: Column, produced_at: Column, correlation_id: Column | None = None, version: str | None = None) -> DataFrame:
     """(key, value) of transactions wrapped for the log; with a version, as validated ones."""
-    event = F.struct(*[F.col(n).cast(EVENT[n].dataType).alias(n) for n in EVENT.names])
+    event = F.struct(*[F.col(n).cast(t).alias(n) for n, t in EVENT.items()])
     fields = [message_id.alias("message_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), produced_at.alias("produced_at"), (correlation_id if correlation_id is not None else F.lit(None).cast("string")).alias("correlation_id")]
     if version:
         fields.append(F.lit(version).alias("validation_version"))
@@ -106,11 +112,11 @@ def parsed(log: DataFrame) -> DataFrame:
 
     text = F.col("value").cast("string")
     rows = log.select(F.col("key").cast("string").alias("source_key"), text.alias("raw"), F.col("topic").alias("source_topic"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"))
-    rows = rows.withColumn("m", F.from_json("raw", ENVELOPE)).withColumn("event_json", F.get_json_object("raw", "$.event"))
+    rows = rows.withColumn("m", F.from_json("raw", schema_of("validated_transactions"))).withColumn("event_json", F.get_json_object("raw", "$.event"))
     flat = rows.select("*", "m.message_id", "m.schema_version", "m.produced_at", "m.correlation_id", "m.event.*").drop("m")
     flat = flat.withColumn("event_time", F.try_to_timestamp("timestamp")).withColumn("ingestion_time", F.try_to_timestamp("ingestion_timestamp"))
     zoned = r"(Z|[+-]\d{2}:?\d{2})$"
-    flat = flat.withColumn("violations", contract_violations([*EVENT.names, "event_time", "ingestion_time"])).withColumn("unknown", unknown_fields(F.col("event_json"), EVENT.names))
+    flat = flat.withColumn("violations", contract_violations([*EVENT, "event_time", "ingestion_time"])).withColumn("unknown", unknown_fields(F.col("event_json"), list(EVENT)))
     error = F.coalesce(
         F.when(F.col("raw").isNull() | (F.trim("raw") == ""), "empty payload"),
         F.when(F.col("event_json").isNull(), "malformed envelope"),

@@ -34,9 +34,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum doesn't show; negative zero is zero."""
-    return df.withColumns({c: F.round(F.col(c), places) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
+def rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show; negative zero is zero. A nudge, here and in the SQL, takes
+    exact halves off the edge where two engines round either way."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(nudge), places) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
 
 
 # --- features ------------------------------------------------------------------------------------------------------
@@ -107,9 +108,9 @@ def with_scores(body: str, *more: str) -> str:
     return with_txn(body, *FEATS, *more)
 
 
-@query("e01_e20_behavioural_features", with_scores(" SELECT event_id, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in B.FEATURES) + " FROM feats"))
+@query("e01_e20_behavioural_features", with_scores(" SELECT event_id, " + ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 6) + 0.0 AS {c}" for c in B.FEATURES) + " FROM feats"))
 def behavioural(spark, sf_dir):
-    return rounded(B.behavioural_features(txn(spark, sf_dir)).select("event_id", *B.FEATURES))
+    return rounded(B.behavioural_features(txn(spark, sf_dir)).select("event_id", *B.FEATURES), nudge=1e-9)
 
 
 @query("e04_t03_features_24h_history", with_txn(f" SELECT event_id, round(coalesce(sum(transaction_amount) OVER {_last(B.SPANS['24h'])}, 0), 6) AS customer_prior_amount_sum, CAST(count(*) OVER {_last(B.SPANS['24h'])} AS DOUBLE) AS customer_prior_transaction_count FROM txn"))
@@ -226,10 +227,10 @@ def enrichment(spark, sf_dir):
     return rounded(evidence(spark, sf_dir).select("event_id", "customer_profile", "merchant_profile", "device_profile"))
 
 
-@query("i07_i08_hybrid_fusion", with_scores(" SELECT event_id, round(f, 4) AS final_score, round(conf, 4) AS confidence, CAST(n AS INT) AS sources, action FROM ha", *_HYBRID))
+@query("i07_i08_hybrid_fusion", with_scores(" SELECT event_id, round(f + 1e-9, 6) AS final_score, round(conf + 1e-9, 6) AS confidence, CAST(n AS INT) AS sources, action FROM ha", *_HYBRID))
 def hybrid(spark, sf_dir):
     df = D.fuse(evidence(spark, sf_dir))
-    return rounded(df.select("event_id", "final_score", "confidence", F.size("active_sources").alias("sources"), "action"), 4)
+    return rounded(df.select("event_id", "final_score", "confidence", F.size("active_sources").alias("sources"), "action"), nudge=1e-9)
 
 
 @query("i09_f04_alert_priorities", with_scores(" SELECT event_id, action, CAST(round_even(CASE action WHEN 'block' THEN 100.0 ELSE 60.0 END + round(f, 9) * 20 + round(conf, 9) * 10, 0) AS INT) AS alert_priority FROM ha WHERE action <> 'allow'", *_HYBRID))
@@ -822,7 +823,7 @@ def audits(spark, sf_dir):
 def feedback(spark, sf_dir):
     m = F.col("k") % 5
     df = txn(spark, sf_dir).withColumns({"message_id": F.col("event_id"), "analyst_id": F.lit("a1"), "outcome": F.when(m == 0, "confirmed_fraud").when(m == 1, "not_fraud").when(m == 2, "escalated").when(m == 3, "no_action").otherwise("odd")})
-    read = M.feedback_audits(df).select(F.from_json("value", M.CONTRACTS["audit"]).alias("m"))
+    read = M.feedback_audits(df).select(F.from_json("value", M.schema_of("audit")).alias("m"))
     return read.select("m.event_id", "m.event_type", "m.status")
 
 
