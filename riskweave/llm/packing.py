@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import cache
 
@@ -19,11 +20,14 @@ from riskweave.llm.common import emptied, filled, materialise
 
 CAPACITY = 2048
 #: Words that a worker keeps encoded, at each of two levels.
-CACHE = 400_000
+CACHE = 600_000
 #: Steps that one search for a filling may take before its best filling so far stands.
 SEARCH = 20_000
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ODD = regex.compile(r"[\x1c-\x1f]|<\|(?:startoftext|endoftext)\|>")
+#: The same for lower-case Latin-1 texts, whose six other numbers Python counts as letters.
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
+#: Python splits at these, the vocabulary does not; and its special tokens start with the last.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
 class WordEncoder:
@@ -43,29 +47,45 @@ class WordEncoder:
         lean = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.lean = Tokenizer.from_str(json.dumps(spec | lean))
 
-    def _word(self, word: str) -> bytes:
-        out = []
-        for part in self.cut.findall(self.whole.normalizer.normalize_str(word)):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = np.array(self.lean.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-                if len(self.parts) < CACHE:
-                    self.parts[part] = ids
-            out.append(ids)
-        ids = b"".join(out)
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = np.array(self.lean.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.parts) < CACHE:
+                self.parts[part] = ids
+        return ids
+
+    def _word(self, word: str, latin: bool) -> bytes:
+        ids = self.words.get(word)  # it may stand earlier in the same text
+        if ids is not None:
+            return ids
+        if latin and word.isalpha():
+            ids = self._part(word)
+        elif latin:
+            ids = b"".join(map(self._part, _LATIN.findall(word)))
+        else:
+            ids = b"".join(map(self._part, self.cut.findall(self.whole.normalizer.normalize_str(word))))
         if len(self.words) < CACHE:
             self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if any(c in text for c in _ODD):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        try:  # in Latin-1 the vocabulary's normal form is lower case
+            text.encode("latin-1")
+            text, latin = text.lower(), True
+        except UnicodeEncodeError:
+            latin = False
         words = text.split()
         found = list(map(self.words.get, words))
-        if None in found:
-            word = self._word
-            found = [x if x is not None else self.words.get(w) or word(w) for x, w in zip(found, words, strict=True)]
-        return b"".join(found)
+        try:
+            at = found.index(None)
+            while True:
+                found[at] = self._word(words[at], latin)
+                at = found.index(None, at + 1)
+        except ValueError:
+            return b"".join(found)
 
 
 @cache
@@ -98,20 +118,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def _best_filling(room: int, lengths: list[int], counts: list[int]) -> list[tuple[int, int]]:
+def _best_filling(room: int, lengths: list[int], counts: list[int], enough: int = 0) -> list[tuple[int, int]]:
     """The filling of `room` that wastes least: [(length, times)], from lengths in falling order.
 
     Branch and bound. The best-fit filling, taking the largest that fits at each step, is the first branch and so the
     incumbent. A filling that wastes least is undominated: swapping an item for a larger unused one that fits would waste
-    less. A branch ends when all that is left could not bring its waste below the incumbent's, and the search when nothing
-    is wasted or SEARCH steps are used; the best filling so far then stands.
+    less. A branch ends when all that is left could not bring its waste below the incumbent's, and the search when no more
+    than `enough` is wasted or SEARCH steps are used; the best filling so far then stands.
     """
     left = [0] * (len(lengths) + 1)
     for k in range(len(lengths) - 1, -1, -1):
         left[k] = left[k + 1] + lengths[k] * counts[k]
     best, waste, steps = [], room, 0
     stack: list[tuple[int, int, tuple]] = [(0, room, ())]
-    while stack and waste and steps < SEARCH:
+    while stack and waste > enough and steps < SEARCH:
         k, space, taken = stack.pop()
         steps += 1
         if space < waste:
@@ -126,7 +146,7 @@ def _best_filling(room: int, lengths: list[int], counts: list[int]) -> list[tupl
     return best
 
 
-def _complete(counts: np.ndarray, capacity: int, search: bool) -> list[tuple[int, list[tuple[int, int]]]]:
+def _complete(counts: np.ndarray, capacity: int, search: bool, enough: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(bins, [(length, times), ...])]: bins filled alike, around the largest length left each time."""
     counts, out = counts.copy(), []
     while (there := np.flatnonzero(counts)).size:
@@ -136,7 +156,7 @@ def _complete(counts: np.ndarray, capacity: int, search: bool) -> list[tuple[int
         fits = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
         filling: list[tuple[int, int]] = []
         if search:
-            filling = _best_filling(room, fits, [int(counts[x]) for x in fits])
+            filling = _best_filling(room, fits, [int(counts[x]) for x in fits], enough)
         else:
             for x in fits:
                 if x <= room and (times := min(int(counts[x]), room // x)):
@@ -156,17 +176,20 @@ def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, l
     """Fillings [(bins, [(length, times), ...])] for counts[length] pieces; the fewest bins found.
 
     Best fit in falling order gives the incumbent; it stands if it meets the bound of total length over capacity or of
-    pieces over half the capacity. Else bin completion searches a filling around each largest piece, and the better of
-    the two is kept. Equal fillings are repeated in one step, so the work depends on the number of lengths, at most the
+    pieces over half the capacity. Else bin completion searches a filling around each largest piece, first without waste,
+    then with bounds on it that double: a filling with a little waste leaves more small pieces for later. The first plan
+    that meets the bound, or else the best of all, is kept. Equal fillings are repeated in one step, so the work depends on the number of lengths, at most the
     capacity, and not on the number of pieces.
     """
     total = int((counts * np.arange(len(counts))).sum())
     bound = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
     incumbent = _complete(counts, capacity, search=False)
-    if sum(n for n, _ in incumbent) == bound:
-        return incumbent
-    searched = _complete(counts, capacity, search=True)
-    return min(searched, incumbent, key=lambda plan: sum(n for n, _ in plan))
+    enough = 0
+    while sum(n for n, _ in incumbent) > bound and enough <= capacity // 16:
+        searched = _complete(counts, capacity, search=True, enough=enough)
+        incumbent = min(incumbent, searched, key=lambda plan: sum(n for n, _ in plan))
+        enough = max(1, 2 * enough)
+    return incumbent
 
 
 def _slots(plan: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
