@@ -107,7 +107,7 @@ DASH = "—"
 
 
 def format_probability(c: Column | str) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", col(c) * 100), F.lit(DASH))
+    return F.when(col(c).isNotNull(), F.format_string("%.1f%%", col(c) * 100)).otherwise(DASH)
 
 
 def format_amount(c: Column | str, currency: str = "") -> Column:

@@ -269,7 +269,7 @@ def latency_summary(samples: DataFrame, value: str, wall_seconds: float | None =
 
 
 def chronological_split(df: DataFrame, time: str, tie: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """df with `split`, by rank in time: train, then validation, then test, each with a row at least.
+    """df with `split`, by rank in time: train, then validation, then test; train and test have a row at least.
 
     Ranks are global but no task sees all rows: they are counted within ranges of time and shifted. Fewer than three rows
     and null times are errors.

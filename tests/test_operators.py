@@ -82,8 +82,8 @@ def test_latency_summary(spark):
 
 
 def test_split_needs_rows_and_times(spark):
-    df = spark.range(3).select(F.col("id").alias("us"), "id")
-    assert sorted(r["split"] for r in E.chronological_split(df, "us", "id").collect()) == ["test", "train", "validation"]
+    df = spark.range(4).select(F.col("id").alias("us"), "id")
+    assert sorted(r["split"] for r in E.chronological_split(df, "us", "id").collect()) == ["test", "train", "train", "validation"]
     with pytest.raises(ValueError):
         E.chronological_split(df.limit(2), "us", "id")
 
