@@ -52,7 +52,7 @@ def duration_seconds_column(c: Column | str) -> Column:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a1, a2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((a2 - a1) / 2), F.lit(2)) + F.cos(a1) * F.cos(a2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # least() would pass over a null
 
 
 def ewm(values: Column, alpha: float = 0.2) -> Column:
@@ -62,7 +62,7 @@ def ewm(values: Column, alpha: float = 0.2) -> Column:
 
 
 def unit_clip(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def logistic(c: Column) -> Column:

@@ -90,7 +90,7 @@ _F1 = f"""f1 AS (SELECT *,
   ln(1 + transaction_amount) AS amount_log1p, CASE WHEN transaction_type = 'refund' THEN 1.0 ELSE 0.0 END AS is_refund,
   CASE WHEN transaction_type = 'cash_withdrawal' THEN 1.0 ELSE 0.0 END AS is_cash_withdrawal, CASE WHEN card_present THEN 1.0 ELSE 0.0 END AS is_card_present,
   CASE WHEN customer_prior_amount_std > 1e-9 THEN (transaction_amount - customer_prior_amount_mean) / customer_prior_amount_std ELSE 0.0 END AS amount_z_score,
-  coalesce((us - prev.us) / 1000000.0, -1.0) AS customer_seconds_since_previous, coalesce({_GEO}, 0.0) AS geographic_distance_km,
+  coalesce((us - prev.us) / 1000000.0, -1.0) AS customer_seconds_since_previous, CASE WHEN prev.us IS NULL THEN 0.0 ELSE {_GEO} END AS geographic_distance_km,
   recent_transaction_count_10m * 6 AS customer_transaction_velocity_10m, recent_transaction_count_1h AS customer_transaction_velocity_1h,
   CASE WHEN hits > 0 THEN hits / greatest((us - last_hit) / 1000000.0 / 3600, 1.0 / 60) ELSE 0.0 END AS merchant_transaction_velocity_1h,
   recent_transaction_count_1h AS rolling_transaction_count_1h, recent_amount_sum_1h AS rolling_transaction_amount_1h, recent_amount_mean_1h AS rolling_transaction_mean_1h,

@@ -78,7 +78,7 @@ def validated_rows(valid: DataFrame) -> DataFrame:
 def start_all(log: DataFrame, out: str, interval: str | None = "5 seconds", watermark: str = "15 minutes", lateness_seconds: float = 900, policy: Policy = Policy()) -> dict[str, StreamingQuery]:
     """Four queries over a log: dead_letter, validated, windows, predictions, with independent checkpoints under out."""
     valid, bad = M.split_valid(M.parsed(log))
-    rows = scored(stateful_features(state_input(valid), lateness_seconds), policy)
+    rows = scored(stateful_features(state_input(valid), lateness_seconds, expire_idle=interval is not None), policy)
     place = f"{out}/checkpoints"
     return {
         "dead_letter": _started(bad, f"{place}/dead_letter", write_branch(f"{out}/dead_letter", "dead_letter", dead_letter_rows), interval=interval),

@@ -110,15 +110,16 @@ def _columns() -> list[str]:
 
 
 class FeatureProcessor(StatefulProcessor):
-    """Customer over Spark's state: a list of held events and the latest time, dropped after `retention` without an event."""
+    """Customer over Spark's state: a list of held events and the latest time; if `expire`, dropped after the retention
+    without an event."""
 
-    def __init__(self, lateness_us: int, retention_us: int):
-        self.lateness, self.retention = lateness_us, retention_us
+    def __init__(self, lateness_us: int, retention_us: int, expire: bool):
+        self.lateness, self.retention, self.expire = lateness_us, retention_us, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = max(1, self.retention // 1000)
-        self.held = handle.getListState("held", _HELD, ttlDurationMs=ttl)
-        self.latest = handle.getValueState("latest", "us bigint", ttlDurationMs=ttl)
+        ttl = {"ttlDurationMs": max(1, self.retention // 1000)} if self.expire else {}
+        self.held = handle.getListState("held", _HELD, **ttl)
+        self.latest = handle.getValueState("latest", "us bigint", **ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [dict(zip(_NAMES, r, strict=True)) for r in self.held.get()]
@@ -134,13 +135,15 @@ class FeatureProcessor(StatefulProcessor):
         pass
 
 
-def stateful_features(events: DataFrame, lateness_seconds: float = 900, retention_seconds: float = 86_400) -> DataFrame:
+def stateful_features(events: DataFrame, lateness_seconds: float = 900, retention_seconds: float = 86_400, expire_idle: bool = False) -> DataFrame:
     """A stream of events with features, accepted flags and reasons. Each micro-batch goes by time, then id.
 
-    No watermark is declared: Spark would drop late rows before they could be told apart.
+    No watermark is declared: Spark would drop late rows before they could be told apart. expire_idle drops customers
+    without events for the retention by processing time; a query that stops when all is read must leave it off, as Spark
+    then never finds it done.
     """
-    processor = FeatureProcessor(int(lateness_seconds * SECOND), int(retention_seconds * SECOND))
-    return events.groupBy("customer_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    processor = FeatureProcessor(int(lateness_seconds * SECOND), int(retention_seconds * SECOND), expire_idle)
+    return events.groupBy("customer_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if expire_idle else "None")
 
 
 def replayed(events: DataFrame, arrival: str, lateness_seconds: float = 900, retention_seconds: float = 86_400) -> DataFrame:

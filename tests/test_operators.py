@@ -81,6 +81,13 @@ def test_latency_summary(spark):
         E.latency_summary(df.where("v > 1"), "v")
 
 
+def test_constant_reference_gives_a_half(spark):
+    df = spark.createDataFrame([(5.0,), (None,)], "v double")
+    assert [r["s"] for r in E.min_max(df, df.where("v = 5"), "v", "s").collect()] == [0.5, 0.5]
+    lonely = spark.createDataFrame([event(1, 0)]).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    assert B.behavioural_features(lonely).first()["geographic_distance_km"] == 0.0
+
+
 def test_split_needs_rows_and_times(spark):
     df = spark.range(4).select(F.col("id").alias("us"), "id")
     assert sorted(r["split"] for r in E.chronological_split(df, "us", "id").collect()) == ["test", "train", "train", "validation"]
