@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import defaultdict
 from functools import cache
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.common import unused
+
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents per language that models are fitted on, about; those of the smallest hashes.
 FIT_DOCS = 2000
@@ -23,7 +26,7 @@ LONGEST = 10
 STRETCH = 28
 UNKNOWN = 1e-8
 #: Words whose likelihoods a worker keeps.
-CACHE = 400_000
+CACHE = 600_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -55,37 +58,56 @@ def spans(run: str, known) -> list[tuple[int, int, str]]:
     return out
 
 
-def log_likelihoods(run: str, table: dict[str, tuple], languages: int) -> list[float]:
-    """Log of the sum, over all segmentations of a stretch, of the product of piece probabilities, for each language."""
-    unknown = (UNKNOWN,) * languages
+def with_suffixes(table: dict[str, tuple]) -> dict[str, tuple | None]:
+    """table with None for what only ends a piece, so that a search backwards knows when to stop."""
+    out: dict[str, tuple | None] = dict(table)
+    for piece in table:
+        for k in range(1, len(piece)):
+            out.setdefault(piece[k:], None)
+    return out
+
+
+def log_likelihoods(run: str, table: dict[str, tuple | None], languages: int) -> list[float]:
+    """Log of the sum, over all segmentations of a stretch, of the product of piece probabilities, for each language.
+
+    table comes from with_suffixes.
+    """
+    unknown, get, n = (UNKNOWN,) * languages, table.get, len(run)
     if languages == 4:  # the loop over languages, written out
         forward = [(1.0, 1.0, 1.0, 1.0)]
-        for j in range(1, len(run) + 1):
-            a = b = c = d = 0.0
-            for i in range(j - LONGEST if j > LONGEST else 0, j):
-                p = table.get(run[i:j])
-                if p is None:
-                    if i < j - 1:
-                        continue
-                    p = unknown
-                f = forward[i]
-                a += f[0] * p[0]
-                b += f[1] * p[1]
-                c += f[2] * p[2]
-                d += f[3] * p[3]
+        for j in range(1, n + 1):
+            i = j - 1
+            p = get(run[i:j], False)
+            more = p is not False
+            f, p = forward[i], p or unknown
+            a, b, c, d = f[0] * p[0], f[1] * p[1], f[2] * p[2], f[3] * p[3]
+            while more and i:
+                i -= 1
+                p = get(run[i:j], False)
+                if p:
+                    f = forward[i]
+                    a += f[0] * p[0]
+                    b += f[1] * p[1]
+                    c += f[2] * p[2]
+                    d += f[3] * p[3]
+                elif p is False:
+                    break
             forward.append((a, b, c, d))
     else:
         forward = [(1.0,) * languages]
-        for j in range(1, len(run) + 1):
+        for j in range(1, n + 1):
             total = [0.0] * languages
-            for i in range(max(0, j - LONGEST), j):
-                p = table.get(run[i:j])
-                if p is None and i == j - 1:
-                    p = unknown
-                if p is not None:
+            for i in range(j - 1, -1, -1):
+                p = get(run[i:j], False)
+                more = p is not False
+                if i == j - 1:
+                    p = p or unknown
+                if p:
                     total = [t + f * q for t, f, q in zip(total, forward[i], p, strict=True)]
+                if not more:
+                    break
             forward.append(tuple(total))
-    return [float(x) for x in np.log(np.maximum(forward[-1], 1e-300))]
+    return [log(x) if x > 1e-300 else -690.0 for x in forward[-1]]
 
 
 def expected_counts(run: str, weight: float, table: dict[str, float], into: dict[str, float]) -> None:
@@ -176,37 +198,62 @@ class _Scorer:
         self.languages = sorted(models)
         self.n = len(self.languages)
         own = [models[lang] for lang in self.languages]
-        self.table = {p: tuple(m[p] for m in own) for p in own[0]} if own else {}
+        self.table = with_suffixes({p: tuple(m[p] for m in own) for p in own[0]}) if own else {}
         self.rows = np.zeros((1 << 12, self.n + 1))
-        self.at: dict[str, int] = {}
-
-    def _word(self, word: str) -> np.ndarray:
-        out = np.zeros(self.n + 1)
-        for run in stretches(word):
-            out[:-1] += log_likelihoods(run, self.table, self.n)
-            out[-1] += 1
-        return out
+        self.used = 0
+        self.words: dict[str, int] = {}  # row of a word as it stands
+        self.runs: dict[str, int] = {}  # row of a run of letters, which words with other punctuation share
+
+    def _kept(self, values: list[float]) -> int:
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.used] = values
+        self.used += 1
+        return self.used - 1
+
+    def _word(self, word: str) -> int | list[float]:
+        """The row of a word, or its values if there is no more room."""
+        row = self.words.get(word)  # it may stand earlier in the same text
+        if row is not None:
+            return row
+        letters = [word] if word.isalpha() else _LETTERS.findall(word)
+        if len(letters) == 1 and (row := self.runs.get(letters[0])) is not None:
+            if len(self.words) < CACHE:
+                self.words[word] = row
+            return row
+        values = [0.0] * (self.n + 1)
+        for run in letters:
+            for part in stretches(run):
+                for k, x in enumerate(log_likelihoods(part, self.table, self.n)):
+                    values[k] += x
+                values[-1] += 1
+        if len(self.words) >= CACHE:
+            return values
+        row = self.words[word] = self._kept(values)
+        if len(letters) == 1:
+            self.runs[letters[0]] = row
+        return row
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = (text or "").split()
-        found = list(map(self.at.get, words))
-        total = np.zeros(self.n + 1)
-        if None in found:
-            for k, row in enumerate(found):
-                if row is None:
-                    row = self.at.get(words[k])
-                    if row is None:
-                        values = self._word(words[k])
-                        if len(self.at) >= CACHE:
-                            total += values
-                            continue
-                        row = self.at[words[k]] = len(self.at)
-                        if row == len(self.rows):
-                            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                        self.rows[row] = values
-                    found[k] = row
+        words = (text or "").lower().split()
+        found = list(map(self.words.get, words))
+        rest = []
+        try:
+            at = found.index(None)
+            while True:
+                row = self._word(words[at])
+                if isinstance(row, int):
+                    found[at] = row
+                else:
+                    rest.append(row)
+                at = found.index(None, at + 1)
+        except ValueError:
+            pass
+        if rest:
             found = [r for r in found if r is not None]
-        total += self.rows[found].sum(0)
+        total = self.rows[found].sum(0) if found else np.zeros(self.n + 1)
+        if rest:
+            total += np.array(rest).sum(0)
         if not total[-1] or not self.n:
             return "und", 0.0
         shares = np.exp(total[:-1] - total[:-1].max())
@@ -258,4 +305,5 @@ def with_language(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     Every text with a letter has a language, so no readable document is lost, unless no language was learned. Columns stay.
     """
     models = learned(docs, vocabulary)
-    return docs.withColumn("__found", language(docs, models)).where("__found.lang_pred <> 'und'").drop("__found")
+    found = unused(docs, "__found")
+    return docs.withColumn(found, language(docs, models)).where(F.col(found)["lang_pred"] != "und").drop(found)
