@@ -26,7 +26,7 @@ LONGEST = 10
 STRETCH = 28
 UNKNOWN = 1e-8
 #: Words whose likelihoods a worker keeps.
-CACHE = 600_000
+CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 

@@ -20,7 +20,7 @@ from riskweave.llm.common import emptied, filled, materialise
 
 CAPACITY = 2048
 #: Words that a worker keeps encoded, at each of two levels.
-CACHE = 600_000
+CACHE = 400_000
 #: Steps that one search for a filling may take before its best filling so far stands.
 SEARCH = 20_000
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
