@@ -59,23 +59,32 @@ def _positions(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, np.repeat(sizes, sizes) - place
 
 
-def _zip(rem: np.ndarray, *flags: np.ndarray) -> bytes:
-    """Sorted 24-bit numbers and a bit per number and flag, as one compressed value."""
-    gaps = np.diff(rem, prepend=rem.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    return zlib.compress(len(rem).to_bytes(8, "little") + gaps.T.tobytes() + b"".join(np.packbits(f).tobytes() for f in flags), 1)
+def _planes(x: np.ndarray) -> bytes:
+    """The three low bytes of numbers, all first ones before all second ones."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
 
 
-def _unzip(blob: bytes, flags: int) -> tuple[np.ndarray, ...]:
+def _zip(rem: np.ndarray, *flags: np.ndarray, runs: np.ndarray | None = None) -> bytes:
+    """Rising 24-bit numbers, a bit per number and flag, and a run per number, as one compressed value."""
+    parts = [len(rem).to_bytes(8, "little"), _planes(np.diff(rem, prepend=rem.dtype.type(0))), *(np.packbits(f).tobytes() for f in flags)]
+    return zlib.compress(b"".join([*parts, _planes(runs)] if runs is not None else parts), 1)
+
+
+def _unzip(blob: bytes, flags: int, runs: bool = False) -> tuple[np.ndarray, ...]:
     raw = zlib.decompress(blob)
     n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(raw, np.uint8, 3 * n, 8).reshape(3, n).astype(np.uint32)
-    rem = np.cumsum(planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16), dtype=np.uint32)
+
+    def numbers(at: int) -> np.ndarray:
+        planes = np.frombuffer(raw, np.uint8, 3 * n, at).reshape(3, n).astype(np.uint32)
+        return planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16)
+
     width, at = -(-n // 8), 8 + 3 * n
     bits = [np.unpackbits(np.frombuffer(raw, np.uint8, width, at + k * width), count=n).astype(bool) for k in range(flags)]
-    return rem, *bits
+    more = [numbers(at + flags * width)] if runs else []
+    return np.cumsum(numbers(8), dtype=np.uint32), *bits, *more
 
 
-def _by_range(keys_range: np.ndarray, ranges: int):
+def _by_range(keys_range: np.ndarray):
     """(range, slice) of each range present in a sorted column."""
     cuts = np.flatnonzero(np.diff(keys_range, prepend=np.int64(-1)))
     for k, at in enumerate(cuts):
@@ -83,61 +92,66 @@ def _by_range(keys_range: np.ndarray, ranges: int):
 
 
 def _anchors(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, run, blob): the rolling blocks of each run of documents, marked if one starts at a multiple of BLOCK and if
-    there are several. Only 24 bits besides the range stand for a block: a false hit costs time, not correctness."""
-
-    def flush(run: int, parts: list[np.ndarray]):
-        keys = np.sort(np.concatenate(parts))
-        key = keys >> np.uint64(1)
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    """(range, blob): each task's rolling blocks with the run they are in, marked if one starts at a multiple of BLOCK and if
+    the run has several. Only 24 bits besides the range stand for a block: a false hit costs time, not correctness. A task
+    sends a row per range, however its documents' runs are mixed."""
+
+    def flush(keys: list[np.ndarray], runs: list[np.ndarray]) -> pd.DataFrame:
+        key, run = np.concatenate(keys), np.concatenate(runs)
+        order = np.lexsort((run, key))
+        key, run = key[order], run[order]
+        aligned, at = (run & np.uint32(1)).astype(bool), run >> np.uint32(1)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+        first = np.flatnonzero(new)
         last = np.append(first[1:], len(key)) - 1
-        aligned, many, key = (keys[last] & np.uint64(1)).astype(bool), last > first, key[first]
-        for r, at in _by_range((key >> np.uint64(24)).astype(np.int64), ranges):
-            rem = (key[at] & np.uint64(0xFFFFFF)).astype(np.uint32)
-            yield r, run, _zip(rem, aligned[at], many[at])
+        aligned, many, key, at = aligned[last], last > first, key[first], at[first]
+        rem, of = (key & np.uint64(0xFFFFFF)).astype(np.uint32), (key >> np.uint64(24)).astype(np.int64)
+        rows = [(r, _zip(rem[k], aligned[k], many[k], runs=at[k])) for r, k in _by_range(of)]
+        return pd.DataFrame(rows, columns=["range", "blob"])
 
     def run(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
+        keys, runs, size = [], [], 0
         for pdf in batches:
-            for k, part in pdf.groupby("run", sort=False):
-                hashes, sizes = [], []
-                for text in part["text"]:
-                    words = _words(text)
-                    sizes.append(len(words))
-                    hashes.append(_word_hashes(words)[:, 0])
-                place, left = _positions(np.array(sizes, np.int64))
-                x = _mix(_blocks(np.concatenate(hashes)))
-                if not len(x):
-                    continue
-                whole = left[: len(x)] >= BLOCK
-                key = (_range_of(x, ranges) << np.uint64(24) | x & np.uint64(0xFFFFFF)) << np.uint64(1)
-                held.setdefault(k, []).append((key | (place[: len(x)] % BLOCK == 0).astype(np.uint64))[whole])
-                size += len(x)
+            hashes, sizes = [np.zeros(0, np.uint64)], []
+            for text in pdf["text"]:
+                words = _words(text)
+                sizes.append(len(words))
+                hashes.append(_word_hashes(words)[:, 0])
+            sizes = np.array(sizes, np.int64)
+            place, left = _positions(sizes)
+            x = _mix(_blocks(np.concatenate(hashes)))
+            whole = np.flatnonzero(left[: len(x)] >= BLOCK)
+            if not len(whole):
+                continue
+            x = x[whole]
+            keys.append(_range_of(x, ranges) << np.uint64(24) | x & np.uint64(0xFFFFFF))
+            own = np.repeat(pdf["run"].to_numpy(np.uint32), sizes)[whole]
+            runs.append(own << np.uint32(1) | (place[whole] % BLOCK == 0).astype(np.uint32))
+            size += len(whole)
             if size > 6_000_000:
-                yield pd.DataFrame([row for k, parts in held.items() for row in flush(k, parts)], columns=["range", "run", "blob"])
-                held, size = {}, 0
-        yield pd.DataFrame([row for k, parts in held.items() for row in flush(k, parts)], columns=["range", "run", "blob"])
+                yield flush(keys, runs)
+                keys, runs, size = [], [], 0
+        if keys:
+            yield flush(keys, runs)
 
-    return docs.select("run", "text").mapInPandas(run, "range int, run int, blob binary")
+    return docs.select("run", "text").mapInPandas(run, "range int, blob binary")
 
 
 def _hits(anchors: DataFrame) -> DataFrame:
     """(run, range, blob): the blocks that occur more than once and somewhere at a multiple of BLOCK, for each run that has them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unzip(b, 2) for b in pdf["blob"]]
-        rem = np.concatenate([p[0] for p in parts])
+        parts = [_unzip(b, 2, runs=True) for b in pdf["blob"]]
+        rem, aligned, many, runs = (np.concatenate([p[k] for p in parts]) for k in range(4))
         order = np.argsort(rem, kind="stable")
         first = np.flatnonzero(np.diff(rem[order].astype(np.int64), prepend=-1))
-        times = np.add.reduceat(1 + np.concatenate([p[2] for p in parts])[order].astype(np.int64), first)
-        indexed = np.maximum.reduceat(np.concatenate([p[1] for p in parts])[order], first)
-        found = rem[order][first][indexed & (times > 1)]
-        out = []
-        for k, (own, _, _) in zip(pdf["run"], parts, strict=True):
-            own = own[np.isin(own, found, assume_unique=True)]
-            if len(own):
-                out.append((k, pdf["range"].iloc[0], _zip(own)))
+        times = np.add.reduceat(1 + many[order].astype(np.int64), first)
+        indexed = np.maximum.reduceat(aligned[order], first)
+        hit = np.isin(rem, rem[order][first][indexed & (times > 1)])
+        own = np.unique(runs[hit].astype(np.uint64) << np.uint64(24) | rem[hit])
+        of = (own >> np.uint64(24)).astype(np.int64)
+        out = [(k, pdf["range"].iloc[0], _zip((own[at] & np.uint64(0xFFFFFF)).astype(np.uint32))) for k, at in _by_range(of)]
         return pd.DataFrame(out, columns=["run", "range", "blob"])
 
     return anchors.groupBy("range").applyInPandas(run, "run int, range int, blob binary")
@@ -196,7 +210,7 @@ def _windows(docs: DataFrame, side: DataFrame, ranges: int) -> DataFrame:
 
     def run(key, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         own = _Run(pdf, found, ranges)
-        rows = [(r, key[0], own.ka[at].astype("<u8").tobytes() + own.kb[at].astype("<u4").tobytes()) for r, at in _by_range(own.kr, ranges)]
+        rows = [(r, key[0], own.ka[at].astype("<u8").tobytes() + own.kb[at].astype("<u4").tobytes()) for r, at in _by_range(own.kr)]
         return pd.DataFrame(rows, columns=["range", "run", "blob"])
 
     return docs.groupBy("run").cogroup(side.groupBy("run")).applyInPandas(run, "range int, run int, blob binary")
@@ -225,7 +239,7 @@ def _removed(docs: DataFrame, side: DataFrame, ranges: int) -> DataFrame:
         bits = found[found["kind"] == 1]
         bits = dict(zip(bits["range"], bits["blob"], strict=True))
         earlier = np.zeros(len(own.ka), bool)
-        for r, at in _by_range(own.kr, ranges):
+        for r, at in _by_range(own.kr):
             earlier[at] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=at.stop - at.start).astype(bool)
         cover = own.repeated(earlier)
         out, at = [], 0
