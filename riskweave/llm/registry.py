@@ -92,17 +92,19 @@ FROM v LEFT JOIN n ON n.a = v.vec_id JOIN reach r ON r.node = v.vec_id GROUP BY
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
-  SELECT doc_id, words, unnest(range(len(words) - 19)) AS k FROM w WHERE len(words) >= 20
+  SELECT doc_id, unnest(range(len(words) - 19)) AS k,
+    unnest(list_transform(range(len(words) - 19), lambda k: md5(array_to_string(words[k + 1:k + 20], ' ')))) AS key FROM w WHERE len(words) >= 20
 ), h AS (
-  SELECT doc_id, k, row_number() OVER (PARTITION BY md5(array_to_string(words[k + 1:k + 20], ' ')) ORDER BY doc_id, k) AS nth FROM s
+  SELECT doc_id, k, row_number() OVER (PARTITION BY key ORDER BY doc_id, k) AS nth FROM s
 ), gone AS (
   SELECT DISTINCT doc_id, k + j AS p FROM h, (SELECT unnest(range(20)) AS j) WHERE nth > 1
 ), kept AS (
-  SELECT w.doc_id, u.p, u.x FROM w, LATERAL (SELECT unnest(range(len(words))) AS p, unnest(words) AS x) u
-  ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.p = u.p
-), t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM kept GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(t.n, 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(t.text, '')) AS kept_sha256
-FROM w LEFT JOIN t ON t.doc_id = w.doc_id
+  SELECT u.doc_id, u.p, u.x FROM (SELECT doc_id, unnest(range(len(words))) AS p, unnest(words) AS x FROM w WHERE doc_id IN (SELECT doc_id FROM gone)) u
+  ANTI JOIN gone g ON g.doc_id = u.doc_id AND g.p = u.p
+), t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM kept GROUP BY doc_id),
+d AS (SELECT DISTINCT doc_id FROM gone)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(CASE WHEN d.doc_id IS NULL THEN 0 ELSE len(words) - coalesce(t.n, 0) END AS BIGINT) AS n_removed,
+  sha256(CASE WHEN d.doc_id IS NULL THEN array_to_string(words, ' ') ELSE coalesce(t.text, '') END) AS kept_sha256
+FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
 """,
 }
