@@ -18,8 +18,9 @@ from riskweave.llm.common import emptied, filled, materialise
 VOCABULARY = "piece_bpe_32k.model"
 #: Characters per chunk; longer documents are split.
 CHUNK = 32_768
-#: Segments whose ids a worker keeps.
-CACHE = 400_000
+#: Segments whose ids a worker keeps, and documents that it returns at once.
+CACHE = 300_000
+BATCH = 500
 _SPACE = "▁"
 _FAR = -(2**61)
 
@@ -212,13 +213,16 @@ def loaded(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", cache_giants: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", shape=None) -> DataFrame:
     """(doc_id, ids, text), one row per input row; ids are little-endian unsigned 32-bit words.
 
     Documents up to `chunk` characters are encoded at once. Longer ones are split: each chunk gives a transfer matrix over
     the characters that a piece can reach across its end, the matrices of a document are combined, and every chunk is then
     backtraced by itself between its two boundary states. Null and empty texts have no ids. Repeated ids are told apart.
+    shape: (function, schema) of what to return instead of ids and text, as row(pieces, ids, text), made where the ids are.
     """
+    make, schema = shape or (lambda pieces, ids, text: (ids, text), "ids binary, text string")
+    names = [x.split()[0] for x in schema.split(", ")]
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     longest = loaded(path).longest
     if chunk < longest:
@@ -229,13 +233,23 @@ def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, i
     def short(batches):
         pieces = loaded(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["id"], "ids": [pieces.encode(t or "") for t in pdf["text"]], "text": pdf["text"]})
+            for at in range(0, len(pdf), BATCH):
+                part = pdf.iloc[at : at + BATCH]
+                made = [make(pieces, pieces.encode(t or ""), t) for t in part["text"]]
+                yield pd.DataFrame(made, columns=names).assign(doc_id=part["id"].to_numpy())
 
-    small = rows.where(whole).mapInPandas(short, "doc_id long, ids binary, text string")
+    def long(batches):
+        pieces = loaded(path)
+        for pdf in batches:
+            made = [make(pieces, ids, t) for ids, t in zip(pdf["ids"], pdf["text"], strict=True)]
+            yield pd.DataFrame(made, columns=names).assign(doc_id=pdf["doc_id"])
+
+    out = f"{schema}, doc_id long"
+    small = rows.where(whole).mapInPandas(short, out)
 
     marked = F.concat(F.lit(_SPACE), F.translate("text", " ", _SPACE))
     giants = rows.where(~whole).select("id", F.expr("uuid()").alias("row"), marked.alias("t"), "text")
-    giants = materialise(giants) if cache_giants else giants  # uuid() names a row once
+    giants = materialise(giants)  # uuid() names a row once
     starts = F.explode(F.sequence(F.lit(0), ((F.length("t") - 1) / chunk).cast("int"))).alias("k")
     cut = giants.select("row", "t", starts).select(
         "row", "k", F.expr(f"substring(t, k * {chunk} + 1, {chunk + longest - 1})").alias("part"), F.expr(f"least({chunk}, length(t) - k * {chunk})").alias("size")
@@ -269,7 +283,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, i
     joined = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
     joined = joined.select("row", F.expr("aggregate(all, cast('' as binary), (s, x) -> concat(s, x.ids))").alias("ids"))
     large = giants.select("row", F.col("id").alias("doc_id"), "text").join(joined, "row").select("doc_id", "ids", "text")
-    return small.unionByName(large).withColumn("doc_id", emptied(F.col("doc_id")))
+    return small.unionByName(large.mapInPandas(long, out)).select(emptied(F.col("doc_id")).alias("doc_id"), *names)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -286,11 +300,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "id
 
 def encoding_digest(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip): digests of encode, and whether decode gives the text back."""
-    out = decode(encode(docs, vocabulary, chunk), vocabulary)
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(x))
+    def digest(pieces: Pieces, ids: bytes, text: str | None):
+        return len(ids) // 4, zlib.crc32(ids), pieces.decode(ids) == (text or "")
 
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"), same.alias("round_trip"))
+    return encode(docs, vocabulary, chunk, shape=(digest, "n_tokens long, ids_crc32 long, round_trip boolean"))
