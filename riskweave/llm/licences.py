@@ -7,11 +7,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A text without any of these has no licence sentence.
+#: The SQL looks only at texts and sentences with one of these, and so misses some of SENTENCES.
 KEYWORDS = "licen[cs]e|copyright|permission|warrant|redistribut|as.is|public.domain|liable|contributor"
 
 #: Licence sentences as (identifier, pattern), the pattern over lower-case words of letters, digits and .+-
-#: The first pattern found in a sentence names it.
+#: A sentence has every identifier whose pattern it holds, in the order of the text; the SQL names it by the first alone.
 SENTENCES = [
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit-notice", "the above copyright notice and this permission notice .*shall be included in all copies"),
@@ -113,27 +113,55 @@ def _rule(pattern: str) -> str:
     return _escaped(re.sub(r"[a-z0-9][a-z0-9.-]*", r"<\g<0>>", pattern).replace(" ", ""))
 
 
+#: An identifier whose words are part of another's; others are hidden by the same version with "or later".
+_HIDDEN_BY = {"public-domain": "unlicense-free"}
+#: What stands between a GNU licence's name and its version: no other licence's name.
+_GAP = "(?:(?!gnu |apache |mozilla |eclipse |boost |creative |mit |bsd ).)*"
+
+
+def _sentence(name: str, pattern: str) -> str:
+    """A pattern of SENTENCES as it is searched where a sentence may have several identifiers."""
+    return _escaped(pattern).replace(".*", _GAP) if re.match("[al]?gpl-[0-9]", name) else _escaped(pattern)
+
+
+def _ways(pattern: str) -> list[str]:
+    """The pattern without choices: a text for each, with a tab for what may be missing or vary."""
+    plain = re.sub(r"\([^()]*\)\?|\[[^]]*\][*?]?|\.[*?]|[^()\]]\?", "\t", pattern)
+    group = re.search(r"\(([^()]*)\)", plain)
+    if group is None:
+        return plain.split("|")
+    return [way for choice in group[1].split("|") for way in _ways(plain[: group.start()] + choice + plain[group.end() :])]
+
+
+def gate() -> str:
+    """A pattern that every text and sentence with one of SENTENCES matches: the longest word of each way to fulfil one."""
+    words = {max(re.split(r"[ \t]", way), key=len) for _, pattern in SENTENCES for way in _ways(pattern)}
+    return "|".join(re.escape(w) for w in sorted(words) if not any(o != w and o in w for o in words))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licences, sentence_ids, n_sentences, n_unmatched), one row per input row.
 
     licences: those recognised, in the rules' order, each once, joined by commas. sentence_ids: the identifiers of licence
-    sentences in the order of the text, joined by spaces. n_unmatched: identifiers that no rule used. Sentences end at
+    sentences in the order of the text, joined by spaces; a sentence has all that it holds, but for those whose words are
+    part of another's, as a version's are of the same version "or later". n_sentences: how many identifiers. n_unmatched: identifiers that no rule used. Sentences end at
     . ! or ? before white space; line breaks within one are spaces. Null, empty and other texts without licence sentences
     give empty strings and zeros. There is no shuffle.
     """
     text = F.col(text_col)
     words = F.regexp_replace(F.lower(text), r"[^a-z0-9.!?+-]+", " ")
     sentences = F.split(F.regexp_replace(words, r"[.!?]+( |$)", "\n"), "\n")
-    likely = F.filter(sentences, lambda s: s.rlike(KEYWORDS) | s.rlike("cc(0| by)|boost"))
+    likely = F.filter(sentences, lambda s: s.rlike(gate()))
+
+    def identifiers(s):
+        places = [F.struct(F.regexp_instr(s, F.lit(_sentence(name, p))).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(_HIDDEN_BY.get(name, f"{name}-later")).alias("by")) for k, (name, p) in enumerate(SENTENCES)]
+        return F.array_sort(F.filter(F.array(*places), lambda x: x["at"] > 0))
 
-    def identifier(s):
-        out = F.lit(None).cast("string")
-        for name, pattern in reversed(SENTENCES):
-            out = F.when(s.rlike(_escaped(pattern)), F.lit(name)).otherwise(out)
-        return out
+    def without_hidden(found):
+        return F.transform(F.filter(found, lambda x: ~F.array_contains(F.transform(found, lambda y: y["name"]), x["by"])), lambda x: x["name"])
 
-    ids = F.filter(F.transform(likely, identifier), lambda x: x.isNotNull())
-    there = F.coalesce(F.lower(text).rlike(KEYWORDS), F.lit(False))
+    ids = F.flatten(F.transform(F.transform(likely, identifiers), without_hidden))
+    there = F.coalesce(F.lower(text).rlike(gate()), F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(there, ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     rows = rows.select("doc_id", "ids", F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">")).alias("left"))
     found = F.array().cast("array<string>")

@@ -240,6 +240,36 @@ def test_licence_rules(spark, odd, empty):
     assert licences.scan(odd).count() == odd.count() and licences.scan(empty).count() == 0
 
 
+#: A text for each licence sentence that is more than its pattern's own words.
+HELD = {
+    "mit-notice": "The above copyright notice and this permission notice (with the next paragraph) shall be included in all copies",
+    "mit-0": "Available under MIT-0", "mit-ref": "Published under the MIT Licence", "apache-2-ref": "under the Apache License, Version 2.0",
+    "agpl-3-later": "GNU Affero General Public License, either version 3 of the License, or any later version", "agpl-3": "GNU Affero General Public License v3",
+    "lgpl-3-later": "GNU Lesser General Public License, either version 3 of the License, or any later version", "lgpl-3": "GNU Lesser General Public License v3",
+    "lgpl-2.1-later": "GNU Lesser General Public License, either version 2.1 of the License, or any later version", "lgpl-2.1": "GNU Lesser General Public License v2.1",
+    "gpl-3-later": "GNU General Public License, either version 3 of the License, or any later version", "gpl-3": "GNU General Public License v3",
+    "gpl-2-later": "GNU General Public License, either version 2 of the License, or any later version", "gpl-2": "GNU General Public License v2",
+    "mpl-2": "the Mozilla Public License, version 2", "bsd-endorse": "Neither the name of X nor of Y may be used to endorse or promote products",
+    "bsd-3-ref": "under the BSD 3-Clause", "bsd-2-ref": "under the 2-clause BSD", "cc-by-nc-sa-4": "under CC BY-NC-SA 4.0", "cc-by-nc-nd-4": "Creative Commons Attribution-NonCommercial-NoDerivs 4.0",
+    "cc-by-nc-4": "CC BY-NC 4.0", "cc-by-sa-4": "CC BY-SA 4.0", "cc-by-nd-4": "CC BY-ND 4.0", "cc-by-4": "Creative Commons Attribution 4.0", "cc0": "CC0 1.0", "epl-2": "Eclipse Public License v2",
+    "boost-1": "Boost Software License 1.0", "public-domain": "released into the public domain",
+}
+
+
+def test_every_licence_sentence_is_found(spark):
+    cases = [(name, HELD.get(name, pattern)) for name, pattern in licences.SENTENCES]
+    cases += [
+        ("cc-by-4", "Available under CC BY 4.0"), ("cc0", "Creative Commons Zero"), ("bsd-3-ref", "under BSD-3-Clause"), ("mit-0", "MIT No Attribution"),
+        ("mit-ref apache-2-ref", "Under the MIT License or under the Apache License, Version 2.0"),
+        ("apache-2-ref mit-ref all-rights", "Under the Apache License 2.0 or under the MIT license, all rights reserved"),
+        ("gpl-2 lgpl-3", "the GNU General Public License version 2 and the GNU Lesser General Public License version 3"),
+        ("gpl-3 apache-2-ref", "GNU General Public License version 3 or under the Apache License, version 2.0"),
+    ]
+    df = spark.createDataFrame([(i, f"Some prose. {t}. More.") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    out = {r["doc_id"]: r["sentence_ids"] for r in licences.scan(df).collect()}
+    assert [out[i] for i in range(len(cases))] == [ids for ids, _ in cases]
+
+
 # --- 5: SimHash ------------------------------------------------------------------------------------------------------
 
 
