@@ -216,3 +216,12 @@ def test_sinks(spark, tmp_path):
     files.write_report(df, f"{tmp_path}/one")
     nested = files.nested(spark.createDataFrame([("e", True, "t")], "event_id string, fraud_label boolean, fraud_type string"), ["event_id"])
     assert nested.first()["event"]["event_id"] == "e"
+
+
+def test_quality_profile_compares_whole_documents(spark, tmp_path):
+    from riskweave.plans import queries
+
+    long = "the same start " * 200
+    rows = [(1, long + "a", "en", "x", 3001), (1, long + "a", "en", "x", 3001), (2, long + "b", "en", "x", 3001), (3, "the end", "en", "x", 7), (4, "the ear", "en", "x", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(queries.QUERIES["d28_g05_quality_profile"](spark, str(tmp_path)).first()) == (5, 5, 1)
