@@ -15,8 +15,6 @@ from riskweave.llm.common import emptied, filled, materialise
 
 #: Hosts whose paths are sent to every executor, at most; beyond it pages and paths meet by host in a shuffle.
 BROADCAST_HOSTS = 100_000
-#: Share of its score that a container must leave to one child for the child to be taken instead.
-DESCEND = 0.8
 _LONGEST_PATH = 400
 
 _TOKEN = re.compile(
@@ -35,13 +33,16 @@ _BLOCKS = _CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption hr address details summary header footer nav aside form fieldset th thead tfoot caption hgroup".split()
 )
 _CELLS = frozenset(("td", "th"))
-_SKIPPED = frozenset("nav header footer aside form button select option datalist dialog menu head object canvas audio video map".split())
+_SKIPPED = frozenset("nav header footer aside button select option datalist dialog menu head object canvas audio video map".split())
 #: Words in a class, id or role that mark menus, headers, footers, sidebars, notices, adverts and reader comments.
 _BOILERPLATE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer contentinfo sidebar aside complementary notice notices cookie cookies consent gdpr alert"
     " ad ads advert adverts advertisement advertising sponsor sponsored promo promotion popup modal newsletter subscribe signup login share sharing social related recommended"
     " comment comments respond disqus pagination pager toolbar search skip widget".split()
 )
+#: Of these, words for what follows an article and may hold articles of its own.
+_AFTER = frozenset("comment comments respond disqus related recommended".split())
+_ANCHORS = frozenset(("main", "article"))
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {
@@ -59,22 +60,40 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.I):
         return True
+    return False
+
+
+def _marks(tag: str, attributes: dict[str, str]) -> set[str]:
+    """Why an element is boilerplate unless it holds the article: words of its class, id and role, or form."""
     if tag in ("html", "body", "main", "article"):
-        return False
+        return set()
+    if tag == "form":
+        return {"form"}
     named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    return not named.isspace() and not _BOILERPLATE.isdisjoint(_WORD.findall(_CAMEL.sub(" ", named).lower()))
+    return set() if named.isspace() else _BOILERPLATE.intersection(_WORD.findall(_CAMEL.sub(" ", named).lower()))
 
 
 class Page:
-    """One parse: containers as (parent, path) and text blocks as (container, text, characters in links)."""
+    """Containers as (parent, path) and text blocks as (container, text, characters in links).
 
-    def __init__(self, source: str):
-        self.parents, self.paths, self.blocks = [-1], [""], []
-        self._read(source)
+    A second parse reads the marked elements that hold the article, if there are any.
+    """
 
-    def _read(self, source: str) -> None:
-        # open elements: (tag, container, unwanted, in a link)
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    def __init__(self, source: str):
+        held = self._read(source, frozenset())
+        if held:
+            self._read(source, held)
+
+    def _read(self, source: str, wanted: frozenset[int]) -> frozenset[int]:
+        """Marked elements count as wanted if their number, in the order of the page, is in `wanted`. Those that should be."""
+        self.parents, self.paths, self.blocks, self.anchored = [-1], [""], [], [False]
+        # marked elements: parent, characters outside links, holds main or article, follows an article, anchors around it
+        marked: list[list] = []
+        # main and article elements outside marked ones: characters outside links
+        anchors: list[int] = []
+        total = 0
+        # open elements: (tag, container, unwanted, in a link, never wanted, innermost marked element, anchors)
+        stack: list[tuple[str, int, bool, bool, bool, int, tuple[int, ...]]] = [("", 0, False, False, False, -1, ())]
         open_tags: Counter[str] = Counter()
         held: list[str] = []
         at, links, size = 0, 0, len(source)
@@ -89,8 +108,15 @@ class Page:
             links = 0
 
         def add(text: str) -> None:
-            nonlocal links
+            nonlocal links, total
             top = stack[-1]
+            if text and not top[3] and not top[4]:
+                n = len(text.strip())
+                total += n
+                if top[5] >= 0:
+                    marked[top[5]][1] += n
+                elif top[6]:
+                    anchors[top[6][-1]] += n
             if text and not top[2]:
                 text = entities.unescape(text) if "&" in text else text
                 held.append(text)
@@ -144,15 +170,36 @@ class Page:
             if m["rest"].endswith("/") and tag not in _BLOCKS:
                 continue
             top = stack[-1]
-            node, unwanted = top[1], top[2]
-            if not unwanted:
+            _, node, unwanted, _, never, mark, around = top
+            if not never:
                 attributes = _attributes(m["rest"]) if m["rest"] else {}
-                unwanted = _unwanted(tag, attributes)
+                never = _unwanted(tag, attributes)
+                if not never and (marks := _marks(tag, attributes)):
+                    marked.append([mark, 0, False, not marks.isdisjoint(_AFTER), around])
+                    mark = len(marked) - 1
+                    unwanted = unwanted or mark not in wanted
+                unwanted = unwanted or never
+                if tag in _ANCHORS and not never:
+                    if mark >= 0:
+                        marked[mark][2] = True
+                    else:
+                        anchors.append(0)
+                        around = (*around, len(anchors) - 1)
                 if tag in _CONTAINERS and not unwanted:
                     node = self._container(node, tag, attributes)
-            stack.append((tag, node, unwanted, top[3] or tag == "a"))
+            stack.append((tag, node, unwanted, top[3] or tag == "a", never, mark, around))
             open_tags[tag] += 1
         flush()
+        for parent, n, holds, _, _ in reversed(marked):
+            if parent >= 0:
+                marked[parent][1] += n
+                marked[parent][2] |= holds
+        out = set()
+        for k, (parent, n, holds, after, around) in enumerate(marked):
+            apart = any(x and a not in around for a, x in enumerate(anchors))
+            if (holds and not (after and apart) or 2 * n > total and not apart) and (parent < 0 or parent in out):
+                out.add(k)
+        return frozenset(out)
 
     @staticmethod
     def _imply(stack, open_tags, closed, walls, close) -> None:
@@ -172,6 +219,7 @@ class Page:
         if len(path) > _LONGEST_PATH:
             path = hashlib.md5(path.encode("utf-8", "replace")).hexdigest()
         self.parents.append(parent)
+        self.anchored.append(tag in _ANCHORS or self.anchored[parent])
         self.paths.append(path)
         return len(self.paths) - 1
 
@@ -184,23 +232,34 @@ class Page:
             out[self.parents[k]] += max(0, out[k])
         return out
 
+    def _held(self) -> list[int]:
+        """Per container, how many blocks of more text than links it holds, with all below it."""
+        out = [0] * len(self.paths)
+        for node, text, links in self.blocks:
+            out[node] += len(text) > 2 * links
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parents[k]] += out[k]
+        return out
+
     def best(self) -> tuple[str, int]:
-        """Path and score of the page's container: from the top, down while one child keeps DESCEND of the score."""
-        scores, children = self.scores(), {}
-        for k in range(1, len(scores)):
-            children.setdefault(self.parents[k], []).append(k)
-        at = 0
-        while at in children:
-            top = max(children[at], key=lambda k: (scores[k], -k))
-            if scores[top] <= 0 or scores[top] < DESCEND * scores[at]:
-                break
-            at = top
-        return self.paths[at], max(0, scores[at])
+        """Path and score of the page's container: the innermost that holds every block of more text than links."""
+        held = self._held()
+        at = max((k for k, n in enumerate(held) if n == held[0]), default=0) if held[0] else 0
+        return self.paths[at], max(0, self.scores()[at])
 
-    def text(self, path: str) -> str:
+    def fits(self, path: str) -> bool:
+        """There are containers of this path, and no text of main or article is outside them."""
+        inside = self._inside(path)
+        return any(inside) and all(inside[node] for node, text, links in self.blocks if self.anchored[node] and len(text) > 2 * links)
+
+    def _inside(self, path: str) -> list[bool]:
         inside = [False] * len(self.paths)
         for k, p in enumerate(self.paths):
             inside[k] = p == path or k > 0 and inside[self.parents[k]]
+        return inside
+
+    def text(self, path: str) -> str:
+        inside = self._inside(path)
         return "\n\n".join(text for node, text, _ in self.blocks if inside[node])
 
 
@@ -228,8 +287,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars), one row per input row.
 
     text holds the blocks of the host's winning container without menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts, styles and comments, joined by a blank line. A page that lacks the path, or has no host, uses its own
-    best container. Null and empty pages give empty text; malformed markup is read as far as it goes.
+    forms, scripts, styles and comments, joined by a blank line. A page that lacks the path, has text of main or article
+    outside it, or has no host, uses its own best container. Class words and forms do not make boilerplate of what holds
+    main, article or most of the page's text outside links; beside an article with text of its own, they do so of comments,
+    related matter, and elements with most of the text. Null and empty pages give empty text; malformed markup is read as far as it goes.
     """
     paths = materialise(host_paths(pages, url_col, html_col))
     rows = pages.select(filled(F.col(id_col)).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
@@ -241,7 +302,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = []
             for source, path in zip(pdf["html"], pdf["path"], strict=True):
                 page = Page(source or "")
-                texts.append(page.text(path if path in page.paths else page.best()[0]))
+                texts.append(page.text(path if path is not None and page.fits(path) else page.best()[0]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long").withColumn("page_id", emptied(F.col("page_id")))

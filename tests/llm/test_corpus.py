@@ -523,6 +523,26 @@ def test_main_text(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_loses_no_article():
+    story = "<p>A long paragraph of the story, with words enough to count.</p>" * 6
+    story_text = "\n\n".join(["A long paragraph of the story, with words enough to count."] * 6)
+
+    def text(body):
+        p = pages.Page(page(body))
+        return p.text(p.best()[0])
+
+    whole = f"Title\n\nlead\n\n{story_text}"
+    for body in (
+        f"<article><h1>Title</h1><p>lead</p><div class=story>{story}</div></article>",
+        f"<div class='header-layout'><article><h1>Title</h1><p>lead</p>{story}</article></div>",
+        f"<form id=aspnetForm><div class='share'>Share it</div><div><h1>Title</h1><p>lead</p>{story}</div></form>",
+        f"<article><h1>Title</h1><p>lead</p>{story}</article><div class=comments><article>{story}{story}</article></div><div class=ad>{story}{story}</div><form>{story}</form>",
+        f"<article><h1>Title</h1><p>lead</p><div class='social-story'>{story}</div></article>",
+    ):
+        assert text(body) == whole
+    assert not pages.Page(page(f"<div class=entry><p>teaser</p></div><article>{story}</article>")).fits(">html>body>div.entry")
+
+
 def test_main_text_of_given_pages(spark, sf):
     import html
     import re
