@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -23,6 +25,8 @@ CAPACITY = 2048
 CACHE = 400_000
 #: Steps that one search for a filling may take before its best filling so far stands.
 SEARCH = 20_000
+#: Steps that the search over bins may take in all before the best plan so far stands.
+BRANCHES = 200_000
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for lower-case Latin-1 texts, whose six other numbers Python counts as letters.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
@@ -172,13 +176,91 @@ def _complete(counts: np.ndarray, capacity: int, search: bool, enough: int = 0)
     return out
 
 
+def _fillings(room: int, lengths: list[int], counts: list[int], allowed: Callable[[], int], steps: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(waste, [(length, times), ...]): every undominated filling of `room` that wastes no more than is allowed by then.
+
+    A filling is dominated if a piece left over fits as well, or fits in place of a smaller one. Larger pieces come first.
+    """
+    left = [0] * (len(lengths) + 1)
+    for k in range(len(lengths) - 1, -1, -1):
+        left[k] = left[k + 1] + lengths[k] * counts[k]
+    falling = [-x for x in lengths]
+    stack: list[tuple[int, int, tuple]] = [(0, room, ())]
+    while stack and steps[0] > 0:
+        k, space, taken = stack.pop()
+        steps[0] -= 1
+        k = max(k, bisect_left(falling, -space))
+        if space - left[k] > allowed():
+            continue
+        if k < len(lengths):
+            for times in range(min(counts[k], space // lengths[k]) + 1):
+                stack.append((k + 1, space - times * lengths[k], (*taken, (lengths[k], times)) if times else taken))
+            continue
+        uses = dict(taken)
+
+        def spare(low: int, high: int) -> bool:
+            return any(counts[j] > uses.get(lengths[j], 0) for j in range(bisect_left(falling, -high), bisect_right(falling, -low - 1)))  # noqa: B023
+
+        if not spare(0, space) and not any(spare(x, x + space) for x in uses):
+            yield space, list(taken)
+
+
+def _branch(counts: np.ndarray, capacity: int, incumbent: list, bound: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The incumbent, or a plan with fewer bins: branch and bound over bins.
+
+    Each branch fills the bin of the largest length left in one of its undominated ways, as often as the counts allow or,
+    after all of those, once. It ends when its waste, or its bins and the pieces over half the capacity, leave no plan below
+    the incumbent; the search ends at the bound or after BRANCHES steps.
+    """
+    total = int((counts * np.arange(len(counts))).sum())
+    best, fewest, steps = incumbent, sum(n for n, _ in incumbent), [BRANCHES]
+
+    def ways(counts: np.ndarray, wasted: int, used: int, plan: tuple) -> Iterator[tuple]:
+        big = int(np.flatnonzero(counts)[-1])
+        rest = counts.copy()
+        rest[big] -= 1
+        fits = [int(x) for x in np.flatnonzero(rest[: capacity - big + 1])[::-1]]
+        numbers = [int(rest[x]) for x in fits]
+        for once in (False, True):
+            for waste, filling in _fillings(capacity - big, fits, numbers, lambda: (fewest - 1) * capacity - total - wasted, steps):
+                uses = dict(filling)
+                uses[big] = uses.get(big, 0) + 1
+                most = min(int(counts[x]) // n for x, n in uses.items())
+                if once and most == 1:
+                    continue
+                bins, after = 1 if once else most, counts.copy()
+                for x, n in uses.items():
+                    after[x] -= bins * n
+                yield after, wasted + bins * waste, used + bins, (plan, (bins, sorted(uses.items(), reverse=True)))
+
+    stack = [ways(counts, 0, 0, ())]
+    while stack and fewest > bound and steps[0] > 0:
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
+            continue
+        after, wasted, used, plan = node
+        steps[0] -= 1
+        if wasted > (fewest - 1) * capacity - total or used + int(after[capacity // 2 + 1 :].sum()) >= fewest:
+            continue
+        if after.any():
+            stack.append(ways(*node))
+            continue
+        best, fewest = [], used
+        while plan:
+            plan, filling = plan
+            best.append(filling)
+        best.reverse()
+    return best
+
+
 def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Fillings [(bins, [(length, times), ...])] for counts[length] pieces; the fewest bins found.
 
     Best fit in falling order gives the incumbent; it stands if it meets the bound of total length over capacity or of
     pieces over half the capacity. Else bin completion searches a filling around each largest piece, first without waste,
     then with bounds on it that double: a filling with a little waste leaves more small pieces for later. The first plan
-    that meets the bound, or else the best of all, is kept. Equal fillings are repeated in one step, so the work depends on the number of lengths, at most the
+    that meets the bound is kept; if none does, the best of all is the incumbent of a branch and bound over bins. Equal fillings are repeated in one step, so the work depends on the number of lengths, at most the
     capacity, and not on the number of pieces.
     """
     total = int((counts * np.arange(len(counts))).sum())
@@ -189,6 +271,8 @@ def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, l
         searched = _complete(counts, capacity, search=True, enough=enough)
         incumbent = min(incumbent, searched, key=lambda plan: sum(n for n, _ in plan))
         enough = max(1, 2 * enough)
+    if sum(n for n, _ in incumbent) > bound:
+        incumbent = _branch(counts, capacity, incumbent, bound)
     return incumbent
 
 

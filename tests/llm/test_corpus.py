@@ -457,6 +457,34 @@ def test_bin_completion_finds_an_optimum_that_best_fit_misses():
     assert sum(b for b, _ in plan) == -(-int((counts * np.arange(101)).sum()) // 101)
 
 
+def test_bins_are_branched_over():
+    def fewest(lengths, capacity):
+        """By dynamic programming over sets: (bins, filled of the last)."""
+        best = {0: (1, 0)}
+        for mask in range(1, 1 << len(lengths)):
+            found = []
+            for k, x in enumerate(lengths):
+                if mask >> k & 1:
+                    bins, filled = best[mask ^ (1 << k)]
+                    found.append((bins, filled + x) if filled + x <= capacity else (bins + 1, x))
+            best[mask] = min(found)
+        return best[(1 << len(lengths)) - 1][0]
+
+    rng = random.Random(5)
+    cases = [(2048, [1024, 840, 799, 758, 675, 615, 512, 512, 409]), (2048, [1024, 840, 799, 758, 675, 615, 512, 512, 409] * 3)]
+    cases += [(100, [rng.randint(20, 60) for _ in range(9)]) for _ in range(60)]
+    for capacity, lengths in cases:
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        plan = packing.plan_bins(counts, capacity)
+        used = np.zeros_like(counts)
+        for bins, filling in plan:
+            assert sum(x * n for x, n in filling) <= capacity
+            for x, n in filling:
+                used[x] += bins * n
+        assert (used == counts).all()
+        assert sum(n for n, _ in plan) == (9 if len(lengths) == 27 else fewest(lengths, capacity))
+
+
 def test_packing_on_awkward_tables(spark, odd, empty):
     out = packing.pack(odd, capacity=16).toPandas()
     check_packing(out, 16)
