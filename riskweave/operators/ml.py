@@ -218,21 +218,24 @@ def counterfactuals(contributions: DataFrame, threshold: float = 0.5) -> DataFra
     return contributions.where((F.col("score") >= threshold) & (F.col("resulting_score") < threshold))
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, inputs: list[str], repeats: int = 5, sample: int = 500, seed: int = 42, label: str = "label") -> DataFrame:
+def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, inputs: list[str], repeats: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
     """(feature, importance, deviation): how much average precision falls when a feature is shuffled, over repeats.
 
-    On a fixed head of rows, as a documented sample; the shuffle is a seeded order by hash.
+    Over all rows. Each feature and repeat has as many rows, so two global orders by feature, repeat and a seeded hash of
+    the key give it the same places; a row gets the value that has its place in the other order.
     """
-    head = rows.orderBy(F.xxhash64(key, F.lit(seed))).limit(sample).select(key, label, *inputs).toPandas()
-    spark = rows.sparkSession
-    parts = []
-    for feature in inputs:
-        for r in range(repeats):
-            moved = head.copy()
-            moved[feature] = np.random.default_rng([seed, r, inputs.index(feature)]).permutation(moved[feature].to_numpy())
-            parts.append(moved.assign(feature=feature, repeat=r))
-    parts.append(head.assign(feature="", repeat=0))
-    everything = spark.createDataFrame(pd.concat(parts, ignore_index=True))
+    tries = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in inputs for r in range(repeats)]))
+    whole = rows.select(F.col(key).alias("__key"), label, *inputs)
+    spread = whole.withColumn("__try", tries).select("*", "__try.feature", "__try.repeat").drop("__try")
+    value: Column = F.coalesce(*[F.when(F.col("feature") == c, F.col(c).cast("double")) for c in inputs])
+
+    def order(side: str) -> list[Column]:
+        return [F.col("feature"), F.col("repeat"), F.xxhash64("__key", "feature", "repeat", F.lit(side), F.lit(seed)), F.col("__key")]
+
+    there = E.ranked_by(spread, order("to"), "__place")
+    other = E.ranked_by(spread.select("__key", "feature", "repeat", value.alias("__moved")), order("from"), "__place").select("__place", "__moved")
+    moved = there.join(other, "__place").withColumns({c: F.when(F.col("feature") == c, F.col("__moved")).otherwise(F.col(c)) for c in inputs})
+    everything = moved.drop("__place", "__moved", "__key").unionByName(whole.drop("__key").withColumns({"feature": F.lit(""), "repeat": F.lit(0)}))
     area = E.average_precision(scored_by(model, everything), ["feature", "repeat"], label=label)
     base = area.where("feature = ''").select(F.col("average_precision").alias("base"))
     drop = area.where("feature <> ''").crossJoin(base).withColumn("drop", F.col("base") - F.col("average_precision"))

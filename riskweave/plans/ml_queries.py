@@ -48,7 +48,7 @@ def k08_distributed_scores(spark, sf_dir):
 @query
 def k05_isolation_scores(spark, sf_dir):
     df = rows(spark, sf_dir)
-    trees = ml.isolation_trees(df.where(F.col("event_time") < F.lit("2024-01-16").cast("timestamp_ntz")), INPUTS, "event_id", trees=50)
+    trees = ml.isolation_trees(df.where(F.col("event_time") < F.lit("2024-01-16").cast("timestamp_ntz")), INPUTS, "event_id")
     out = ml.isolation_scores(df, trees, INPUTS)
     return E.min_max(out, out, "anomaly", "scaled").select("event_id", "anomaly", "scaled")
 
@@ -81,7 +81,7 @@ def k14_counterfactuals(spark, sf_dir):
 @query
 def k13_permutation_importance(spark, sf_dir):
     model, parts = _fitted(spark, sf_dir)
-    return ml.permutation_importance(model, parts.where("split = 'validation'"), "event_id", INPUTS, repeats=2)
+    return ml.permutation_importance(model, parts.where("split = 'validation'"), "event_id", INPUTS)
 
 
 @query

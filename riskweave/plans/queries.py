@@ -401,12 +401,12 @@ def best_capped(spark, sf_dir):
 
 @query("d21_bootstrap_mean")
 def boot_mean(spark, sf_dir):
-    return E.bootstrap_mean(txn(spark, sf_dir), "event_id", "transaction_amount", resamples=100)
+    return E.bootstrap_mean(txn(spark, sf_dir), "event_id", "transaction_amount")
 
 
 @query("d22_bootstrap_metric")
 def boot_metric(spark, sf_dir):
-    return E.bootstrap_metric(scored(spark, sf_dir), "event_id", threshold=0.3, resamples=100)
+    return E.bootstrap_metric(scored(spark, sf_dir), "event_id", threshold=0.3)
 
 
 @query("f09_error_analysis", with_scores(" SELECT CASE WHEN score >= 0.5 THEN 'false_positive' ELSE 'false_negative' END AS error_type, score AS probability, label AS fraud_label, transaction_amount, 'id_' || left(sha256('riskweave:' || transaction_id), 12) AS transaction_id, 'id_' || left(sha256('riskweave:' || customer_id), 12) AS customer_id FROM scores WHERE (score >= 0.5) <> (label = 1) ORDER BY abs(score - 0.5) DESC, event_id LIMIT 25"))

@@ -225,3 +225,21 @@ def test_quality_profile_compares_whole_documents(spark, tmp_path):
     rows = [(1, long + "a", "en", "x", 3001), (1, long + "a", "en", "x", 3001), (2, long + "b", "en", "x", 3001), (3, "the end", "en", "x", 7), (4, "the ear", "en", "x", 7)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert tuple(queries.QUERIES["d28_g05_quality_profile"](spark, str(tmp_path)).first()) == (5, 5, 1)
+
+
+def test_permutation_importance_moves_all_rows(spark, monkeypatch):
+    from riskweave.operators import ml
+
+    seen = []
+
+    def scored(model, rows, out="score"):
+        seen.append(rows.toPandas())
+        return rows.withColumn("score", F.col("a").cast("double"))
+
+    monkeypatch.setattr(ml, "scored_by", scored)
+    df = spark.range(1300).select(F.col("id").alias("k"), (F.col("id") >= 900).cast("int").alias("label"), F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"))
+    out = {r["feature"]: r for r in ml.permutation_importance(None, df, "k", ["a", "b"], repeats=3).collect()}
+    assert out["a"]["importance"] > 0.5 and abs(out["b"]["importance"]) < 1e-9
+    one = seen[0].groupby(["feature", "repeat"])
+    assert set(one.size()) == {1300} and len(one) == 7 and (one["a"].sum() == 1299 * 650).all() and (one["b"].sum() == 1299 * 1300).all()
+    assert all((g["b"] == 2 * g["a"]).mean() < 0.05 for k, g in one if k[0])
