@@ -91,6 +91,7 @@ def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "
 
     Greedy in `order` (unique): a rejected row blocks nobody. Each round accepts the rows that come first on both keys among
     the undecided, then rejects those that share a key with an accepted one, until none is left; chains set how many rounds.
+    An error is raised if max_rounds leave rows undecided.
     Null keys match nothing. Lineage is cut by a reliable checkpoint each round.
     """
     from riskweave.sources.files import checkpointed
@@ -114,6 +115,8 @@ def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "
         left = rest.where("not gone").select("o", "a", "b")
         if left.isEmpty():
             break
+    else:
+        raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
     return df.join(verdicts.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o")).drop("__o")
 
 

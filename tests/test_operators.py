@@ -243,3 +243,10 @@ def test_permutation_importance_moves_all_rows(spark, monkeypatch):
     one = seen[0].groupby(["feature", "repeat"])
     assert set(one.size()) == {1300} and len(one) == 7 and (one["a"].sum() == 1299 * 650).all() and (one["b"].sum() == 1299 * 1300).all()
     assert all((g["b"] == 2 * g["a"]).mean() < 0.05 for k, g in one if k[0])
+
+
+def test_first_wins_loses_no_rows_at_its_limit(spark):
+    chain = spark.createDataFrame([(i, f"e{i // 2}", f"t{(i + 1) // 2}") for i in range(8)], "o int, event_id string, transaction_id string")
+    with pytest.raises(RuntimeError):
+        C.first_wins(chain, "o", max_rounds=1)
+    assert C.first_wins(chain, "o", max_rounds=8).count() == 8
