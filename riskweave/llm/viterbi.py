@@ -18,8 +18,8 @@ from riskweave.llm.common import emptied, filled, materialise
 VOCABULARY = "piece_bpe_32k.model"
 #: Characters per chunk; longer documents are split.
 CHUNK = 32_768
-#: Segments whose ids a worker keeps, and documents that it returns at once.
-CACHE = 300_000
+#: Words and segments whose ids a worker keeps, and documents that it returns at once.
+CACHE = 250_000
 BATCH = 500
 _SPACE = "▁"
 _FAR = -(2**61)
@@ -53,7 +53,15 @@ class Pieces:
         if any(re.search(rf"[^{_SPACE}]{_SPACE}|\n", p) for p in self.table):
             raise ValueError("the vocabulary has pieces across words")
         self.cut = re.compile(rf"{_SPACE}*[^{_SPACE}\n]+|\n|{_SPACE}+")
+        #: {first character: (score of it as a piece or None, {second character: ...})}
+        self.tree: dict[str, tuple] = {}
+        for name, (score, _) in self.table.items():
+            node = self.tree
+            for c in name[:-1]:
+                node = node.setdefault(c, (None, {}))[1]
+            node[name[-1]] = (score, node[name[-1]][1] if name[-1] in node else {})
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def spelt(self, char: str) -> bytes:
         return np.array([self.bytes[b] for b in char.encode()], "<u4").tobytes()
@@ -62,44 +70,54 @@ class Pieces:
         found = self.table.get(piece)
         return found[0] if found else (self.unknown if len(piece) == 1 else None)
 
+    def paths(self, text: str, sums: list[int], starts: int) -> list[int]:
+        """Best sums of the places of a text, in sums, where those before the pieces stand (_FAR: none); for each place, where
+        its best path's last piece starts, or -1. Pieces start before `starts`; of equal sums the longest last piece wins."""
+        tree, end, back = self.tree, len(sums) - 1, [-1] * len(sums)
+        for i in range(min(end, starts)):
+            base = sums[i]
+            if base == _FAR:
+                continue
+            node, j = tree, i
+            found = node.get(text[i])
+            if found is None or found[0] is None:
+                if base + self.unknown > sums[i + 1]:
+                    sums[i + 1], back[i + 1] = base + self.unknown, i
+            while found is not None:
+                j += 1
+                score, node = found
+                if score is not None and base + score > sums[j]:
+                    sums[j], back[j] = base + score, i
+                if j == end:
+                    break
+                found = node.get(text[j])
+        return back
+
     def best(self, text: str, begin: int, end: int, starts: int) -> bytes:
         """Ids of the best path from begin to end whose pieces all start before `starts`."""
-        get, longest = self.table.get, self.longest
-        sums, back = [None] * (end + 1), [0] * (end + 1)
-        sums[begin] = 0
-        for j in range(begin + 1, end + 1):
-            top, source = None, 0
-            for i in range(max(begin, j - longest), min(j, starts)):
-                if sums[i] is not None:
-                    found = get(text[i:j])
-                    if found is not None:
-                        s = sums[i] + found[0]
-                    elif i == j - 1:
-                        s = sums[i] + self.unknown
-                    else:
-                        continue
-                    if top is None or s > top:
-                        top, source = s, i
-            sums[j], back[j] = top, source
-        out, j = [], end
-        while j > begin:
+        text = text[begin:end]
+        back = self.paths(text, [0, *[_FAR] * (end - begin)], starts - begin)
+        out, j = [], end - begin
+        while j > 0:
             piece = text[back[j] : j]
             out.append(self.table[piece][1] if piece in self.table else self.spelt(piece))
             j = back[j]
         return b"".join(reversed(out))
 
-    def entry(self, text: str, vector: np.ndarray, target: int, starts: int) -> int:
-        """Where the best path to target leaves what came before; vector: sums of the places that pieces from before end at."""
-        sums, back = [None] * (target + 1), [-1] * (target + 1)
-        for j in range(target + 1):
-            top = int(vector[j]) if j < len(vector) and vector[j] > _FAR // 2 else None
-            for i in range(max(0, j - self.longest), min(j, starts)):
-                if sums[i] is not None and (s := self.score(text[i:j])) is not None and (top is None or sums[i] + s > top):
-                    top, back[j] = sums[i] + s, i
-            sums[j] = top
-        while back[target] >= 0:
-            target = back[target]
-        return target
+    def entries(self, text: str, vector: np.ndarray, first: int, size: int) -> list[int]:
+        """For each overhang of a chunk, where the best path to it leaves what came before. vector: sums of the places that
+        pieces from before end at. Where all paths pass a place `first`, text need not go beyond it; else first is -1."""
+        n = self.longest
+        last = first if first >= 0 else min(len(text), size + n - 1)
+        sums = [int(v) if v > _FAR // 2 else _FAR for v in vector[: last + 1].tolist()]
+        back = self.paths(text, sums + [_FAR] * (last + 1 - len(sums)), first if first >= 0 else size)
+
+        def start(j: int) -> int:
+            while back[j] >= 0:
+                j = back[j]
+            return j
+
+        return [start(first)] * n if first >= 0 else [start(min(size + o, last)) for o in range(n)]
 
     def segment(self, text: str) -> bytes:
         found = self.kept.get(text)
@@ -111,7 +129,28 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text without chunks, as little-endian unsigned 32-bit words."""
-        return self.middle(_SPACE + text.replace(" ", _SPACE)) if text else b""
+        if not text:
+            return b""
+        words = text.split(" ")
+        if "" in words or _SPACE in text:  # a segment may begin with several marks
+            return self.middle(_SPACE + text.replace(" ", _SPACE))
+        found = list(map(self.words.get, words))
+        try:
+            at = found.index(None)
+            while True:
+                found[at] = self.word(words[at])
+                at = found.index(None, at + 1)
+        except ValueError:
+            return b"".join(found)
+
+    def word(self, word: str) -> bytes:
+        """Ids of what stands between two spaces, with the mark before it."""
+        found = self.words.get(word)  # it may stand earlier in the same text
+        if found is None:
+            found = self.middle(_SPACE + word)
+            if len(self.words) < CACHE and len(word) <= 64:
+                self.words[word] = found
+        return found
 
     def middle(self, text: str) -> bytes:
         parts = self.cut.findall(text)
@@ -183,20 +222,27 @@ def chunk_ids(pieces: Pieces, text: str, size: int, entry: int, leave: int) -> b
     return pieces.best(text, entry, first, first) + pieces.middle(text[first:last]) + pieces.best(text, last, size + leave, size)
 
 
-def boundary_states(pieces: Pieces, chunks: list[tuple[np.ndarray, str, int, int]]) -> list[int]:
-    """The overhang before each chunk and after the last on the best path of a document, from its (matrix, head, first, size).
+def incoming(pieces: Pieces, matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """For each chunk of a document, the best sums of the places that pieces from before it end at: prefix products of the
+    transfer matrices, taken pairwise, level by level."""
+    start = np.where(np.arange(pieces.longest) == 0, 0, _FAR)
+    return [start, *(m[0] for m in _prefixes(matrices)[:-1])]
 
-    Prefix products of the matrices are taken pairwise, level by level. With the sums before a chunk, the state it is
-    entered in follows from its head, up to the first place that all paths pass, or from all of it where there is none.
-    """
-    vectors = [np.where(np.arange(pieces.longest) == 0, 0, _FAR), *(m[0] for m in _prefixes([c[0] for c in chunks]))]
+
+def composed(maps: list[list[int]]) -> list[int]:
+    """The overhang before each chunk and after the last, from each chunk's map of its overhang after to the one before."""
     states = [0]
-    for (_, head, first, size), vector in zip(reversed(chunks), vectors[-2::-1], strict=True):
-        target, starts = (first, first) if first >= 0 else (size + states[-1], size)
-        states.append(pieces.entry(head, vector, target, starts))
+    for own in reversed(maps):
+        states.append(own[states[-1]])
     return states[::-1]
 
 
+def boundary_states(pieces: Pieces, chunks: list[tuple[np.ndarray, str, int, int]]) -> list[int]:
+    """composed() of a document's chunks, given as (matrix, head, first, size)."""
+    vectors = incoming(pieces, [c[0] for c in chunks])
+    return composed([pieces.entries(head, v, first, size) for (_, head, first, size), v in zip(chunks, vectors, strict=True)])
+
+
 def _prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
     if len(matrices) <= 1:
         return list(matrices)
@@ -217,8 +263,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, i
     """(doc_id, ids, text), one row per input row; ids are little-endian unsigned 32-bit words.
 
     Documents up to `chunk` characters are encoded at once. Longer ones are split: each chunk gives a transfer matrix over
-    the characters that a piece can reach across its end, the matrices of a document are combined, and every chunk is then
-    backtraced by itself between its two boundary states. Null and empty texts have no ids. Repeated ids are told apart.
+    the characters that a piece can reach across its end, the matrices of a document are combined into the sums that each chunk starts
+    from, each chunk maps the states after it to those before, and is then backtraced by itself between its two. Null and empty texts have no ids. Repeated ids are told apart.
     shape: (function, schema) of what to return instead of ids and text, as row(pieces, ids, text), made where the ids are.
     """
     make, schema = shape or (lambda pieces, ids, text: (ids, text), "ids binary, text string")
@@ -238,12 +284,6 @@ def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, i
                 made = [make(pieces, pieces.encode(t or ""), t) for t in part["text"]]
                 yield pd.DataFrame(made, columns=names).assign(doc_id=part["id"].to_numpy())
 
-    def long(batches):
-        pieces = loaded(path)
-        for pdf in batches:
-            made = [make(pieces, ids, t) for ids, t in zip(pdf["ids"], pdf["text"], strict=True)]
-            yield pd.DataFrame(made, columns=names).assign(doc_id=pdf["doc_id"])
-
     out = f"{schema}, doc_id long"
     small = rows.where(whole).mapInPandas(short, out)
 
@@ -259,16 +299,26 @@ def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, i
     def matrices(batches):
         pieces = loaded(path)
         for pdf in batches:
-            sizes = pdf["size"].tolist()
-            out = [chunk_matrix(pieces, t, n).astype("<i8").tobytes() for t, n in zip(pdf["part"], sizes, strict=True)]
-            first = [(pieces.bounds(t, n) or (-1, -1))[0] for t, n in zip(pdf["part"], sizes, strict=True)]
-            head = [t if f < 0 else t[:f] for t, f in zip(pdf["part"], first, strict=True)]
-            yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "matrix": out, "head": head, "first": first, "size": sizes})
+            out = [chunk_matrix(pieces, t, n).astype("<i8").tobytes() for t, n in zip(pdf["part"], pdf["size"].tolist(), strict=True)]
+            yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "matrix": out})
+
+    def vectors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        found = incoming(loaded(path), [np.frombuffer(m, "<i8").reshape(longest, longest) for m in pdf["matrix"]])
+        return pd.DataFrame({"row": pdf["row"].to_numpy(), "k": pdf["k"].to_numpy(), "vector": [v.astype("<i8").tobytes() for v in found]})
+
+    def maps(batches):
+        pieces = loaded(path)
+        for pdf in batches:
+            out = []
+            for text, size, vector in zip(pdf["part"], pdf["size"].tolist(), pdf["vector"], strict=True):
+                first = (pieces.bounds(text, size) or (-1, -1))[0]
+                out.append(pieces.entries(text, np.frombuffer(vector, "<i8"), first, size))
+            yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "before": out})
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        read = [np.frombuffer(m, "<i8").reshape(longest, longest) for m in pdf["matrix"]]
-        found = boundary_states(loaded(path), list(zip(read, pdf["head"], pdf["first"].tolist(), pdf["size"].tolist(), strict=True)))
+        found = composed(pdf["before"].tolist())
         return pd.DataFrame({"row": pdf["row"].to_numpy(), "k": pdf["k"].to_numpy(), "entry": found[:-1], "leave": found[1:]})
 
     def backtrace(batches):
@@ -277,13 +327,18 @@ def encode(docs: DataFrame, vocabulary: str | None = None, chunk: int = CHUNK, i
             out = [chunk_ids(pieces, t, n, a, b) for t, n, a, b in zip(pdf["part"], pdf["size"].tolist(), pdf["entry"].tolist(), pdf["leave"].tolist(), strict=True)]
             yield pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "ids": out})
 
-    ends = cut.mapInPandas(matrices, "row string, k int, matrix binary, head string, first int, size int").groupBy("row").applyInPandas(states, "row string, k int, entry int, leave int")
+    def joined(parts: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        ids, row = b"".join(parts.sort_values("k")["ids"]), whole.iloc[0]
+        return pd.DataFrame([make(loaded(path), ids, row["text"])], columns=names).assign(doc_id=row["id"])
+
+    # only matrices, vectors and states of a document meet in one task; what walks over characters is a task per chunk
+    ways = cut.mapInPandas(matrices, "row string, k int, matrix binary").groupBy("row").applyInPandas(vectors, "row string, k int, vector binary")
+    ways = cut.join(ways, ["row", "k"]).mapInPandas(maps, "row string, k int, before array<int>")
+    ends = ways.groupBy("row").applyInPandas(states, "row string, k int, entry int, leave int")
     traced = cut.join(ends, ["row", "k"]).select("row", "k", "part", "size", "entry", "leave").mapInPandas(backtrace, "row string, k int, ids binary")
     # a document's own ids, in order: no more than its row held before
-    joined = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
-    joined = joined.select("row", F.expr("aggregate(all, cast('' as binary), (s, x) -> concat(s, x.ids))").alias("ids"))
-    large = giants.select("row", F.col("id").alias("doc_id"), "text").join(joined, "row").select("doc_id", "ids", "text")
-    return small.unionByName(large.mapInPandas(long, out)).select(emptied(F.col("doc_id")).alias("doc_id"), *names)
+    large = traced.groupBy("row").cogroup(giants.select("row", "id", "text").groupBy("row")).applyInPandas(joined, out)
+    return small.unionByName(large).select(emptied(F.col("doc_id")).alias("doc_id"), *names)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "ids") -> DataFrame:
