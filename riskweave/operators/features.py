@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.scalars import calendar, ewm, haversine_km, micros, ratio, unit_clip
+from riskweave.functions.scalars import calendar, haversine_km, micros, ratio, unit_clip
 
 SECOND = 1_000_000
 SPANS = {"10m": 600 * SECOND, "1h": 3600 * SECOND, "24h": 86_400 * SECOND}
-#: Rows that the moving average looks back on; older ones weigh less than 0.8 to this power.
-EWM_ROWS = 256
+#: Weight of an event in the moving average, and events per block of its running sums: powers stay within doubles, and an
+#: event two blocks back weighs less than a double's last bit.
+EWM_ALPHA = 0.2
+EWM_BLOCK = 512
 #: Deviations below this are rounding, not spread.
 FLAT = 1e-9
 REQUIRED = (
@@ -37,6 +39,26 @@ def require_columns(df: DataFrame, names) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def _with_moving_average(events: DataFrame) -> DataFrame:
+    """events with `ewm`, the exponential moving average of the customer's amounts up to and with the event, seeded with the
+    first, and `over_average`, how far the event lies over the average before it (0 for the first).
+
+    The average after n events is a sum of amounts by falling powers of 1 - EWM_ALPHA. It is kept as running sums within
+    blocks of events, scaled to the block's start, plus the sum of the block before: no event carries an array of others.
+    """
+    x, keep = F.col("transaction_amount").cast("double"), F.lit(1 - EWM_ALPHA)
+    customer, block = Window.partitionBy("customer_id"), (F.floor(F.col("nth") / EWM_BLOCK)).alias("block")
+    rows = events.withColumn("nth", F.row_number().over(customer.orderBy("us", "event_id")) - 1)
+    rows = rows.select("*", block, (F.col("nth") % EWM_BLOCK).alias("at"))
+    part = F.when(F.col("nth") == 0, x).otherwise(EWM_ALPHA * x) / F.pow(keep, F.col("at"))
+    rows = rows.withColumn("part", part)
+    here = F.sum("part").over(Window.partitionBy("customer_id", "block").orderBy("nth"))
+    last = F.coalesce(F.sum("part").over(customer.orderBy("block").rangeBetween(-1, -1)), F.lit(0.0))
+    rows = rows.withColumn("ewm", F.pow(keep, F.col("at")) * (here + last * F.pow(keep, F.lit(EWM_BLOCK))))
+    over = F.when(F.col("nth") == 0, 0.0).otherwise((x - F.col("ewm")) / keep)
+    return rows.withColumn("over_average", over).drop("nth", "block", "at", "part")
+
+
 def behavioural_features(events: DataFrame, history_seconds: int | None = None) -> DataFrame:
     """events with the 56 features; each looks only at strictly earlier events of the customer.
 
@@ -47,11 +69,10 @@ def behavioural_features(events: DataFrame, history_seconds: int | None = None)
     require_columns(events, REQUIRED)
     amount = F.col("transaction_amount")
     far = Window.unboundedPreceding if history_seconds is None else -history_seconds * SECOND
-    base = events.withColumn("us", micros("event_time")).repartition("customer_id")
+    base = _with_moving_average(events.withColumn("us", micros("event_time")).repartition("customer_id"))
     by_customer = Window.partitionBy("customer_id").orderBy("us")
     prior = by_customer.rangeBetween(far, -1)
     last = {s: by_customer.rangeBetween(-us, -1) for s, us in SPANS.items()}
-    by_row = Window.partitionBy("customer_id").orderBy("us", "event_id").rowsBetween(-EWM_ROWS, -1)
 
     def zero(c: Column) -> Column:
         return F.coalesce(c.cast("double"), F.lit(0.0))
@@ -71,8 +92,8 @@ def behavioural_features(events: DataFrame, history_seconds: int | None = None)
         "failed_transaction_rate_prior": share(F.col("transaction_status") != "approved"),
         "decline_rate_prior": share(F.col("transaction_status") == "declined"),
         "card_present_ratio_prior": share(F.col("card_present")),
-        "previous": F.max(F.struct("us", "event_id", "latitude", "longitude")).over(prior),
-        "window_rows": F.collect_list(F.struct("us", amount.alias("amount"))).over(by_row),
+        "previous": F.max(F.struct("us", "event_id", "latitude", "longitude", "ewm")).over(prior),
+        "first": F.min(F.struct("us", "event_id", "over_average")).over(prior),
         "rolling_transaction_min_1h": zero(F.min(amount).over(last["1h"])),
     }
     for s, w in last.items():
@@ -93,7 +114,8 @@ def behavioural_features(events: DataFrame, history_seconds: int | None = None)
 
     gap = (F.col("us") - F.col("previous.us")) / SECOND
     mean, std = F.col("customer_prior_amount_mean"), F.col("customer_prior_amount_std")
-    back = F.filter("window_rows", lambda x: (x["us"] < F.col("us")) & ((x["us"] >= F.col("us") + F.lit(far)) if history_seconds else F.lit(True)))
+    # the average starts at the first event in sight: what came before it is taken off
+    before = F.pow(F.lit(1 - EWM_ALPHA), F.col("customer_prior_transaction_count")) * F.col("first.over_average")
     df = df.withColumns(
         {
             **calendar("event_time"),
@@ -103,7 +125,7 @@ def behavioural_features(events: DataFrame, history_seconds: int | None = None)
             "is_card_present": F.col("card_present").cast("double"),
             "amount_z_score": F.when(std > FLAT, (amount - mean) / std).otherwise(0.0),
             "customer_seconds_since_previous": F.coalesce(gap, F.lit(-1.0)),
-            "customer_ewm_amount": ewm(F.transform(back, lambda x: x["amount"])),
+            "customer_ewm_amount": zero(F.col("previous.ewm") + before),
             "geographic_distance_km": zero(haversine_km(F.col("previous.latitude"), F.col("previous.longitude"), F.col("latitude"), F.col("longitude"))),
             "customer_transaction_velocity_10m": F.col("recent_transaction_count_10m") * 6,
             "customer_transaction_velocity_1h": F.col("recent_transaction_count_1h"),
