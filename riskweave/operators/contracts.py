@@ -89,17 +89,23 @@ def without_simulation(df: DataFrame) -> DataFrame:
 def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "transaction_id"), max_rounds: int = 1000) -> DataFrame:
     """df with `duplicate`: an earlier accepted row has one of the two keys.
 
-    Greedy in `order` (unique): a rejected row blocks nobody. Each round accepts the rows that come first on both keys among
-    the undecided, then rejects those that share a key with an accepted one, until none is left; chains set how many rounds.
-    An error is raised if max_rounds leave rows undecided.
-    Null keys match nothing. Lineage is cut by a reliable checkpoint each round.
+    Greedy in `order` (unique): a rejected row blocks nobody. Rows whose keys occur once are accepted at sight; only the
+    others enter the rounds. Each round accepts the rows that come first on both keys among the undecided, then rejects
+    those that share a key with an accepted one, until none is left; chains set how many rounds. An error is raised if
+    max_rounds leave rows undecided. Null keys match nothing. Lineage is cut by a reliable checkpoint each round.
     """
     from riskweave.sources.files import checkpointed
 
     a, b = keys
     left = df.select(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b"))
-    verdicts = None
+    for k in ("a", "b"):
+        shared = left.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+        left = left.join(shared.select("key", F.lit(True).alias(f"shares_{k}")), F.col(k) == F.col("key"), "left").drop("key")
+    left = checkpointed(left.where("shares_a or shares_b").select("o", "a", "b"))
+    verdicts = left.select("o", F.lit(False).alias("duplicate")).limit(0)
     for _ in range(max_rounds):
+        if left.isEmpty():
+            break
         firsts = [left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias(f"first_{k}")) for k in ("a", "b")]
         seen = left.join(firsts[0], "a", "left").join(firsts[1], "b", "left")
         fits = [F.coalesce(F.col(f"first_{k}") == F.col("o"), F.lit(True)) for k in ("a", "b")]
@@ -110,14 +116,13 @@ def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "
             held = taken.where(F.col(k).isNotNull()).select(F.col(k).alias("key")).distinct().withColumn(f"hit_{k}", F.lit(True))
             rest = rest.join(held, F.col(k) == F.col("key"), "left").drop("key")
         rest = checkpointed(rest.select("o", "a", "b", (F.coalesce("hit_a", F.lit(False)) | F.coalesce("hit_b", F.lit(False))).alias("gone")))
-        step = taken.select("o", F.lit(False).alias("duplicate")).unionByName(rest.where("gone").select("o", F.lit(True).alias("duplicate")))
-        verdicts = step if verdicts is None else verdicts.unionByName(step)
+        verdicts = verdicts.unionByName(rest.where("gone").select("o", F.lit(True).alias("duplicate")))
         left = rest.where("not gone").select("o", "a", "b")
-        if left.isEmpty():
-            break
     else:
-        raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
-    return df.join(verdicts.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o")).drop("__o")
+        if not left.isEmpty():
+            raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
+    out = df.join(verdicts.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o"), "left")
+    return out.withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("__o")
 
 
 def classified(df: DataFrame, order: str = "record_index", require_labels: bool = False, allowed_categories: tuple[str, ...] = (), parsed: Column | None = None) -> DataFrame:
