@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from riskweave.operators.evaluation import with_running_totals
+
 EDGES = 11
 
 
@@ -54,10 +56,27 @@ def _long(df: DataFrame, names: list[str], kind: str) -> DataFrame:
     return df.select(*[F.col(c).cast(kind).alias(c) for c in names]).unpivot([], names, "column", "value")
 
 
+def _deciles(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, edges, mean, n): the unique deciles of each numeric column, interpolated between ranks. Values are counted per
+    column and ranked by running counts over ranges, so no task holds a column's distinct values."""
+    points = _long(df, names, "double").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("times"))
+    run = with_running_totals(points, F.struct("column", "value"), {"upto": "times"})
+    sizes = run.groupBy("column").agg(F.sum("times").alias("n"), F.max("upto").alias("end"), (F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean"))
+    ranked = run.join(F.broadcast(sizes), "column")  # a row per column
+    rank = F.col("upto") - (F.col("end") - F.col("n"))  # values up to here in the column
+    cuts = []
+    for i in range(EDGES):
+        place = (F.col("n") - 1) * (i / (EDGES - 1))
+        low, high = (F.min(F.when(rank > at, F.col("value"))) for at in (F.floor(place), F.ceil(place)))
+        cuts.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"q{i}"))
+    edges = F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(EDGES)]))
+    return ranked.groupBy("column").agg(*cuts, F.first("mean").alias("mean"), F.first("n").alias("n")).select("column", edges.alias("edges"), "mean", "n")
+
+
 def _numeric_drift(reference: DataFrame, current: DataFrame, names: list[str]) -> DataFrame:
-    grid = [i / (EDGES - 1) for i in range(EDGES)]
-    aggs = [F.struct(F.percentile(F.col(c).cast("double"), grid).alias("q"), F.avg(c).alias("mean"), F.count(c).alias("n")).alias(c) for c in names]
-    stats = reference.agg(*aggs).unpivot([], names, "column", "s").select("column", F.array_distinct("s.q").alias("edges"), F.col("s.mean").alias("mean_r"), F.col("s.n").alias("n_r"))
+    found = _deciles(reference, names).select("column", "edges", F.col("mean").alias("mean_r"), F.col("n").alias("n_r"))
+    every = reference.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    stats = every.join(found, "column", "left").select("column", F.coalesce("edges", F.array().cast("array<double>")).alias("edges"), "mean_r", F.coalesce("n_r", F.lit(0)).alias("n_r"))
     small = F.broadcast(stats)  # a row per column
 
     def shares(df: DataFrame, side: str) -> DataFrame:
@@ -92,19 +111,27 @@ def _categorical_drift(reference: DataFrame, current: DataFrame, names: list[str
     return out.select("column", F.lit("categorical").alias("kind"), "score", F.lit(0.0).alias("out_of_range_share"))
 
 
+def _repeats(df: DataFrame) -> DataFrame:
+    """One row: row_count, and duplicate_rows, all but the first of each. Rows are told apart by 128 bits of hash, which say
+    which fields are null, so that only these are shuffled, summed before."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    nulls = [c.isNull() for c in names]
+    halves = [F.xxhash64(F.lit(k), *names, *nulls).alias(f"__h{k}") for k in (1, 2)]
+    groups = df.select(*halves).groupBy("__h1", "__h2").agg(F.count("*").alias("__n"))
+    return groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
 def quality_profile(df: DataFrame) -> DataFrame:
     """One row: rows, columns, duplicate rows (all but the first of each), and a JSON of missing rates, highest first."""
     names = df.columns
-    groups = df.groupBy(*names).agg(F.count("*").alias("__n")).agg(F.sum("__n").alias("row_count"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
-    rates = F.sort_array(F.array(*[F.struct((-F.avg(F.col(c).isNull().cast("double"))).alias("r"), F.lit(c).alias("c")) for c in names]))
+    rates = F.sort_array(F.array(*[F.struct((-F.avg(F.col(f"`{c}`").isNull().cast("double"))).alias("r"), F.lit(c).alias("c")) for c in names]))
     missing = df.agg(F.transform(rates, lambda x: F.struct(x["c"].alias("column"), (-x["r"]).alias("rate"))).alias("missing_rate"))
-    return groups.crossJoin(missing).select(F.coalesce("row_count", F.lit(0)).alias("row_count"), F.lit(len(names)).alias("column_count"), "duplicate_rows", "missing_rate")
+    return _repeats(df).crossJoin(missing).select("row_count", F.lit(len(names)).alias("column_count"), "duplicate_rows", "missing_rate")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """How many rows repeat an earlier one."""
-    per = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
-    return per.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return _repeats(df).select("duplicate_rows")
 
 
 def manifest(df: DataFrame, version: str, source: str, feature_version: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -197,12 +198,24 @@ def errors(df: DataFrame, key: str, threshold: float = 0.5, n: int = 25, score:
     return wrong.select(*own, kind.alias("error_type"), p.alias("probability"), F.col(label).alias("fraud_label"), "transaction_amount", *[mask(c).alias(c) for c in masked if c in df.columns])
 
 
-def poisson_weight(key: Column, replicate: Column, seed: int = 42) -> Column:
-    """How often a row is in a bootstrap replicate: a Poisson(1) count, fixed by key, replicate and seed."""
-    u = (F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    total, term, out = 0.0, 1.0, F.lit(0)
-    import math
+#: Numbers below this prime stand for keys and replicates.
+PRIME = 2_147_483_647
+
+
+def small_hash(text: Column) -> Column:
+    """A number below PRIME from the first 13 digits of a text's MD5, which other engines have too."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % PRIME
+
+
+def replicates(resamples: int, seed: int = 42) -> Column:
+    """An array of (b, factor): the replicates from 1 and the numbers that stand for them."""
+    return F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda b: F.struct(b.alias("b"), (small_hash(F.concat_ws("|", b.cast("string"), F.lit(str(seed)))) + 1).alias("factor")))
 
+
+def poisson_weight(key: Column, factor: Column) -> Column:
+    """How often a row is in a bootstrap replicate: a Poisson(1) count, fixed by the key's small_hash and the replicate's factor."""
+    u = ((key * factor % PRIME).cast("double") + 0.5) / float(PRIME)
+    total, term, out = 0.0, 1.0, F.lit(0)
     for k in range(12):
         total += term * math.exp(-1)
         out = out + F.when(u > total, 1).otherwise(0)
@@ -210,28 +223,50 @@ def poisson_weight(key: Column, replicate: Column, seed: int = 42) -> Column:
     return out
 
 
+def _replicated(df: DataFrame, key: str, resamples: int, seed: int, *columns: Column) -> DataFrame:
+    """columns with `b` and the weight `w` of each row in each replicate; rows of weight 0 go. Rows multiply within a task, and
+    what follows sums them there: nothing but a row per replicate and task is shuffled."""
+    hashed = df.select(*columns, small_hash(F.col(key).cast("string")).alias("__key"))
+    spread = hashed.select("*", F.explode(replicates(resamples, seed)).alias("__r")).withColumns({"b": F.col("__r.b"), "w": poisson_weight(F.col("__key"), F.col("__r.factor"))})
+    return spread.where("w > 0").drop("__key", "__r")
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of a mean. Each task weighs its rows for all replicates and sends one sum for each."""
     estimate = df.agg(F.avg(value).alias("estimate"))
     if resamples < 1:
         return estimate.select("estimate", F.col("estimate").alias("low"), F.col("estimate").alias("high"))
-    reps = df.select(F.col(value).alias("v"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    w = poisson_weight(F.col("k"), F.col("b"), seed)
-    stats = reps.groupBy("b").agg(ratio(F.sum(w * F.col("v")), F.sum(w)).alias("stat"))
+    reps = _replicated(df, key, resamples, seed, F.col(value).alias("v"))
+    stats = reps.groupBy("b").agg(ratio(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("stat"))
     return _interval(stats, level).crossJoin(estimate).select("estimate", "low", "high")
 
 
 def bootstrap_metric(df: DataFrame, key: str, metric: str = "recall", threshold: float = 0.5, resamples: int = 200, level: float = 0.95, seed: int = 42, score: str = "score", label: str = "label") -> DataFrame:
-    """Percentile interval of precision, recall or alert_rate over replicates of whole rows."""
+    """Percentile interval of a rate of the confusion matrix over replicates of whole rows: any of RATES."""
+    if metric not in RATES:
+        raise ValueError(f"metric must be one of {sorted(RATES)}")
     hit, fraud = F.col(score) >= threshold, F.col(label) == 1
-    cell = F.concat(hit.cast("int").cast("string"), fraud.cast("int").cast("string"))
-    reps = df.select(cell.alias("cell"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    w = poisson_weight(F.col("k"), F.col("b"), seed)
-    sums = reps.groupBy("b").agg(*[F.coalesce(F.sum(F.when(F.col("cell") == c, w)), F.lit(0)).alias(n) for c, n in (("11", "tp"), ("10", "fp"), ("01", "fn"), ("00", "tn"))])
-    forms = {"recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "alert_rate": ratio(F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))}
-    if metric not in forms:
-        raise ValueError(f"metric must be one of {sorted(forms)}")
-    return _interval(sums.select(forms[metric].alias("stat")), level).select(F.lit(metric).alias("metric"), "low", "high")
+    reps = _replicated(df, key, resamples, seed, hit.alias("hit"), fraud.alias("fraud"))
+    cell = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
+    h, f = F.col("hit"), F.col("fraud")
+    sums = reps.groupBy("b").agg(cell(h & f).alias("tp"), cell(h & ~f).alias("fp"), cell(~h & f).alias("fn"), cell(~h & ~f).alias("tn"))
+    stat = RATES[metric](*(F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn")))
+    return _interval(sums.select(stat.alias("stat")), level).select(F.lit(metric).alias("metric"), "low", "high")
+
+
+#: Rates of a confusion matrix; over nothing they are 0.
+RATES = {
+    "recall": lambda tp, fp, fn, tn: ratio(tp, tp + fn),
+    "precision": lambda tp, fp, fn, tn: ratio(tp, tp + fp),
+    "alert_rate": lambda tp, fp, fn, tn: ratio(tp + fp, tp + fp + fn + tn),
+    "f1": lambda tp, fp, fn, tn: ratio(2 * tp, 2 * tp + fn + fp),
+    "f2": lambda tp, fp, fn, tn: ratio(5 * tp, 5 * tp + 4 * fn + fp),
+    "specificity": lambda tp, fp, fn, tn: ratio(tn, tn + fp),
+    "false_positive_rate": lambda tp, fp, fn, tn: ratio(fp, tn + fp),
+    "false_negative_rate": lambda tp, fp, fn, tn: ratio(fn, fn + tp),
+    "accuracy": lambda tp, fp, fn, tn: ratio(tp + tn, tp + fp + fn + tn),
+    "mcc": lambda tp, fp, fn, tn: ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
+}
 
 
 def _interval(stats: DataFrame, level: float) -> DataFrame:
@@ -262,10 +297,12 @@ def latency_summary(samples: DataFrame, value: str, wall_seconds: float | None =
         raise ValueError("no samples")
     ranks = {"p95": round((n - 1) * 0.95), "p99": round((n - 1) * 0.99)}
     run = with_running_totals(samples.select(F.col(value).alias("v")).groupBy("v").agg(F.count("*").alias("n")), F.col("v"), {"upto": "n"})
+    ranks |= {"__low": (n - 1) // 2, "__high": n // 2}
     at = {k: F.min(F.when(F.col("upto") > r, F.col("v"))).alias(k) for k, r in ranks.items()}
-    quick = samples.agg(F.count(value).alias("samples"), F.min(value).alias("minimum"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.sum(value).alias("__sum"))
+    quick = samples.agg(F.count(value).alias("samples"), F.min(value).alias("minimum"), F.avg(value).alias("mean"), F.sum(value).alias("__sum"))
     wall = F.lit(wall_seconds) if wall_seconds else F.col("__sum")
-    return quick.crossJoin(run.agg(*at.values())).withColumn("throughput", F.try_divide(F.col("samples").cast("double"), wall)).drop("__sum")
+    out = quick.crossJoin(run.agg(*at.values())).withColumns({"median": (F.col("__low") + F.col("__high")) / 2, "throughput": F.try_divide(F.col("samples").cast("double"), wall)})
+    return out.select("samples", "minimum", "mean", "median", "p95", "p99", "throughput")
 
 
 def chronological_split(df: DataFrame, time: str, tie: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:

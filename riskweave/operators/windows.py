@@ -5,17 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.scalars import duration_seconds
+
 
 def _metrics(grouped, kind: str, key: str, exact: bool, distinct: dict[str, str]) -> DataFrame:
     count = F.count_distinct if exact else F.approx_count_distinct
     out = grouped.agg(F.count("event_id").alias("transaction_count"), F.sum("transaction_amount").alias("transaction_amount"), *[count(c).alias(n) for n, c in distinct.items()])
-    ones = [F.lit(1).cast("long").alias(n) for n in ("unique_customers", "unique_merchants") if n not in distinct]
+    return _shaped(out, kind, key, [n for n in ("unique_customers", "unique_merchants") if n not in distinct])
+
+
+def _shaped(out: DataFrame, kind: str, key: str, of_one: list[str]) -> DataFrame:
+    ones = [F.lit(1).cast("long").alias(n) for n in of_one]
     cols = ["window_start", "window_end", "window_type", "entity_id", "transaction_count", "transaction_amount", "unique_customers", "unique_merchants", "unique_devices", "unique_countries"]
     return out.select("*", *ones).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), F.lit(kind).alias("window_type"), F.col(key).alias("entity_id"), *cols[4:])
 
 
+def _sliding_by_panes(events: DataFrame, key: str, distinct: dict[str, str], window: str, slide: str) -> DataFrame:
+    """Exact sliding windows of a table: events are summed per pane of one slide, with the sets of what is counted, before each
+    pane goes to the windows it is in; so no event is multiplied."""
+    steps = duration_seconds(window) / duration_seconds(slide)
+    if steps != int(steps):
+        raise ValueError("the window must be a multiple of its slide")
+    pane = F.col("pane")
+    sets = [F.collect_set(c).alias(n) for n, c in distinct.items()]
+    panes = events.groupBy(F.window("event_time", slide).alias("pane"), key).agg(F.count("event_id").alias("transaction_count"), F.sum("transaction_amount").alias("transaction_amount"), *sets)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(int(steps) - 1)), lambda k: pane["start"] - F.make_dt_interval(secs=k.cast("double") * duration_seconds(slide)))
+    spread = panes.withColumn("start", F.explode(starts))
+    span = F.make_dt_interval(secs=F.lit(duration_seconds(window)))
+    unions = [F.size(F.array_distinct(F.flatten(F.collect_list(n)))).cast("long").alias(n) for n in distinct]
+    out = spread.groupBy("start", key).agg(F.sum("transaction_count").alias("transaction_count"), F.sum("transaction_amount").alias("transaction_amount"), *unions)
+    return out.withColumn("window", F.struct("start", (F.col("start") + span).alias("end")))
+
+
 def customer_windows(events: DataFrame, window: str = "1 hour", slide: str = "10 minutes", watermark: str | None = None, exact: bool = False) -> DataFrame:
-    """Sliding windows per customer: counts, amounts, and distinct merchants, devices and countries."""
+    """Sliding windows per customer: counts, amounts, and distinct merchants, devices and countries.
+
+    Exact distinct counts are for tables; streams take approximate ones."""
+    if exact and not events.isStreaming:
+        out = _sliding_by_panes(events, "customer_id", {"unique_merchants": "merchant_id", "unique_devices": "device_id", "unique_countries": "country"}, window, slide)
+        return _shaped(out, "sliding_customer", "customer_id", ["unique_customers"])
     rows = events.withWatermark("event_time", watermark) if watermark else events
     grouped = rows.groupBy(F.window("event_time", window, slide), "customer_id")
     return _metrics(grouped, "sliding_customer", "customer_id", exact, {"unique_merchants": "merchant_id", "unique_devices": "device_id", "unique_countries": "country"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +136,33 @@ def ties(spark, sf_dir):
     return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.count("*").over(w).alias("prior_count"), F.round(F.coalesce(F.sum(F.col("o_totalprice").cast("double")).over(w), F.lit(0.0)), 4).alias("prior_sum"))
 
 
+_TIED_AVERAGE = """
+WITH t AS (SELECT o_orderkey, c_nationkey, CAST(o_totalprice AS DOUBLE) AS x, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS us FROM orders JOIN customer ON c_custkey = o_custkey),
+w AS (SELECT o_orderkey, list(x ORDER BY us, o_orderkey) OVER (PARTITION BY c_nationkey ORDER BY us RANGE BETWEEN {back} PRECEDING AND 1 PRECEDING) AS l FROM t)
+SELECT CAST(o_orderkey AS BIGINT) AS event_id, CAST(coalesce(len(l), 0) AS DOUBLE) AS customer_prior_transaction_count,
+  round(CASE WHEN l IS NULL OR len(l) = 0 THEN 0.0 ELSE list_reduce(l, lambda a, x: 0.2 * x + 0.8 * a) END + 1e-7, 4) + 0.0 AS customer_ewm_amount FROM w"""
+
+
+def _by_nation(spark, sf_dir) -> DataFrame:
+    """Orders as events of nations: many at one instant, more of a nation than a block of the moving average holds."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    fixed = {c: F.lit("x") for c in ("merchant_id", "device_id", "country", "merchant_category", "transaction_type")} | {"latitude": F.lit(0.0), "longitude": F.lit(0.0), "card_present": F.lit(True), "transaction_status": F.lit("approved")}
+    return rows.select(F.col("o_orderkey").cast("long").alias("event_id"), F.col("c_nationkey").alias("customer_id"), F.col("o_totalprice").cast("double").alias("transaction_amount"), F.col("o_orderdate").cast("timestamp").alias("event_time"), *[v.alias(k) for k, v in fixed.items()])
+
+
+@query("e11_tied_moving_average", _TIED_AVERAGE.format(back="UNBOUNDED"))
+def tied_average(spark, sf_dir):
+    df = B.behavioural_features(_by_nation(spark, sf_dir)).select("event_id", "customer_prior_transaction_count", "customer_ewm_amount")
+    return rounded(df, 4, nudge=1e-7)
+
+
+@query("e11_moving_average_of_a_year", _TIED_AVERAGE.format(back=str(365 * 86_400 * 1_000_000)))
+def yearly_average(spark, sf_dir):
+    df = B.behavioural_features(_by_nation(spark, sf_dir), history_seconds=365 * 86_400).select("event_id", "customer_prior_transaction_count", "customer_ewm_amount")
+    return rounded(df, 4, nudge=1e-7)
+
+
 def scored(spark, sf_dir) -> DataFrame:
     df = B.rule_features(txn(spark, sf_dir))
     return df.withColumn("score", F.round("rule_score", 6)).withColumn("label", F.col("fraud_label"))
@@ -399,14 +428,23 @@ def best_capped(spark, sf_dir):
     return _best(E.best_threshold(scored(spark, sf_dir), max_alerts=500, amount="transaction_amount"))
 
 
-@query("d21_bootstrap_mean")
+def _small_hash(text: str) -> str:
+    return f"CAST('0x' || left(md5({text}), 13) AS BIGINT) % {E.PRIME}"
+
+
+_POISSON = " + ".join(f"CASE WHEN u > {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} THEN 1 ELSE 0 END" for k in range(12))
+_BOOT = f"""bt AS (SELECT b, {_small_hash("b || '|42'")} + 1 AS factor FROM range(1, 201) r(b)), bk AS (SELECT *, {_small_hash("event_id")} AS kh FROM scores),
+bu AS (SELECT b, score, label, transaction_amount, (kh * factor % {E.PRIME} + 0.5) / {E.PRIME}.0 AS u FROM bk, bt), bw AS (SELECT b, score, label, transaction_amount, {_POISSON} AS w FROM bu)"""
+
+
+@query("d21_bootstrap_mean", with_scores(" SELECT round((SELECT avg(transaction_amount) FROM txn), 6) AS estimate, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM (SELECT sum(w * transaction_amount) / sum(w) AS s FROM bw GROUP BY b)", _BOOT))
 def boot_mean(spark, sf_dir):
-    return E.bootstrap_mean(txn(spark, sf_dir), "event_id", "transaction_amount")
+    return rounded(E.bootstrap_mean(txn(spark, sf_dir), "event_id", "transaction_amount"))
 
 
-@query("d22_bootstrap_metric")
+@query("d22_bootstrap_metric", with_scores(" SELECT 'recall' AS metric, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM (SELECT sum(w) FILTER (score >= 0.3 AND label = 1) / sum(w) FILTER (label = 1) AS s FROM bw GROUP BY b)", _BOOT))
 def boot_metric(spark, sf_dir):
-    return E.bootstrap_metric(scored(spark, sf_dir), "event_id", threshold=0.3)
+    return rounded(E.bootstrap_metric(scored(spark, sf_dir), "event_id", threshold=0.3))
 
 
 @query("f09_error_analysis", with_scores(" SELECT CASE WHEN score >= 0.5 THEN 'false_positive' ELSE 'false_negative' END AS error_type, score AS probability, label AS fraud_label, transaction_amount, 'id_' || left(sha256('riskweave:' || transaction_id), 12) AS transaction_id, 'id_' || left(sha256('riskweave:' || customer_id), 12) AS customer_id FROM scores WHERE (score >= 0.5) <> (label = 1) ORDER BY abs(score - 0.5) DESC, event_id LIMIT 25"))
@@ -504,11 +542,10 @@ def drift(spark, sf_dir):
     return rounded(out.select("column", "kind", "score", "drifted"))
 
 
-@query("d28_g05_quality_profile", "SELECT count(*) AS row_count, CAST(4 AS INT) AS column_count, count(*) - count(DISTINCT (lang, source, n, t)) AS duplicate_rows FROM (SELECT lang, source, CASE WHEN n_chars > 2000 THEN NULL ELSE n_chars END AS n, left(text, 3) AS t FROM documents)")
+@query("d28_g05_quality_profile", "SELECT count(*) AS row_count, CAST(5 AS INT) AS column_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicate_rows FROM documents")
 def quality(spark, sf_dir):
-    """Over all columns of documents. Texts are compared whole, by their digest. The SQL still compares three letters."""
-    df = table(spark, sf_dir, "documents").withColumn("text", F.sha2("text", 256))
-    return R.quality_profile(df).select("row_count", "column_count", "duplicate_rows")
+    """Over all columns and whole texts of documents."""
+    return R.quality_profile(table(spark, sf_dir, "documents")).select("row_count", "column_count", "duplicate_rows")
 
 
 @query("d28_missing_rates", "SELECT 'n' AS \"column\", round(avg(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END), 6) AS rate FROM documents UNION ALL SELECT 'lang', round(avg(CASE WHEN lang IS NULL THEN 1 ELSE 0 END), 6) FROM documents")
