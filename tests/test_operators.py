@@ -250,3 +250,47 @@ def test_first_wins_loses_no_rows_at_its_limit(spark):
     with pytest.raises(RuntimeError):
         C.first_wins(chain, "o", max_rounds=1)
     assert C.first_wins(chain, "o", max_rounds=8).count() == 8
+
+
+def test_moving_average_sees_all_ties(spark):
+    """300 events at one instant after one of 100.0: each sees that one; the event after them sees all."""
+    rows = [("e000", 0, 100.0)] + [(f"e{k:03d}", 1, 50.0 + k) for k in range(1, 301)] + [("f", 2, 1.0)]
+    df = spark.createDataFrame(rows, "event_id string, day int, transaction_amount double").selectExpr(
+        "event_id", "'c' as customer_id", "'m' as merchant_id", "'d' as device_id", "'US' as country", "'x' as merchant_category", "transaction_amount", "'purchase' as transaction_type",
+        "'approved' as transaction_status", "true as card_present", "0D as latitude", "0D as longitude", "timestamp_seconds(day * 86400) as event_time",
+    )
+    out = {r["event_id"]: r["customer_ewm_amount"] for r in B.behavioural_features(df).collect()}
+    average = 100.0
+    for k in range(1, 301):
+        assert out[f"e{k:03d}"] == pytest.approx(100.0)
+        average = 0.2 * (50.0 + k) + 0.8 * average
+    assert out["e000"] == 0.0 and out["f"] == pytest.approx(average)
+
+
+def test_rows_with_keys_of_their_own_enter_no_round(spark):
+    rows = [(k, f"e{k}", f"t{k}") for k in range(20)] + [(20, "e3", "t99"), (21, None, None), (22, None, "t5")]
+    df = spark.createDataFrame(rows, "o int, event_id string, transaction_id string")
+    out = {r["o"]: r["duplicate"] for r in C.first_wins(df, "o", max_rounds=1).collect()}
+    assert out == {k: k in (20, 22) for k in range(23)}
+
+
+def test_quality_profile_tells_nulls_apart(spark):
+    from riskweave.operators import drift as R
+
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), (None, None)], "x string, y string")
+    assert R.duplicate_rows(df).first()[0] == 1 and R.quality_profile(df).first()["row_count"] == 4
+    assert R.quality_profile(df.limit(0)).select("row_count", "duplicate_rows").first() == (0, 0)
+
+
+def test_exact_windows_count_as_repeated_rows_do(spark, sf):
+    """Panes give what grouping each event once per window gives."""
+    from riskweave.operators import windows as W
+
+    df = txn(spark, sf)
+    got = W.customer_windows(df, "30 minutes", "10 minutes", exact=True)
+    want = df.groupBy(F.window("event_time", "30 minutes", "10 minutes").alias("w"), F.col("customer_id").alias("entity_id")).agg(
+        F.count("*").alias("transaction_count"), F.count_distinct("merchant_id").alias("unique_merchants"), F.count_distinct("device_id").alias("unique_devices")
+    )
+    names = ("entity_id", "transaction_count", "unique_merchants", "unique_devices")
+    want = want.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *names)
+    assert got.select("window_start", "window_end", *names).exceptAll(want).count() == 0 and got.count() == want.count()
