@@ -47,15 +47,16 @@ def fingerprint_of(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long. Null and wordless texts get zero."""
+    """(id, hash, fp) for every row; hash stands for the text, fp is the fingerprint as a signed long. Null and wordless texts
+    get zero."""
 
     def run(batches):
         for pdf in batches:
             fp = [struct.unpack(">q", fingerprint_of(t).to_bytes(8, "big"))[0] for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "fp": np.array(fp, np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "hash": pdf["hash"], "fp": np.array(fp, np.int64)})
 
-    rows = docs.select(filled(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, fp long").withColumn("id", emptied(F.col("id")))
+    rows = docs.select(filled(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "id long, hash long, fp long").withColumn("id", emptied(F.col("id")))
 
 
 def _signed(x: int) -> int:
@@ -111,29 +112,46 @@ def links(nodes: DataFrame, direct: int = DIRECT) -> DataFrame:
     return near.unionByName(_links_by_centre(hot))
 
 
+def _classes(marks: DataFrame, direct: int) -> DataFrame:
+    """(fp, class, component_id): the fingerprints by class; component_id is the smallest id of the class, if any has one."""
+    nodes = materialise(marks.groupBy("fp").agg(F.min("id").alias("rep")))
+    linked = connected_components(links(nodes.select("fp", F.col("fp").alias("rep")), direct))
+    members = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("class"))
+    return members.join(members.groupBy("class").agg(F.min("rep").alias("component_id")), "class").select("fp", "class", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", direct: int = DIRECT) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
     Documents link if their fingerprints differ in at most two bits; component_id is the smallest id reachable.
-    Null, empty and wordless texts have fingerprint zero and link like any other. Rows of one text share all they get;
-    a row without an id takes its class's component_id (null if no member has an id). Other columns are not read.
+    Null, empty and wordless texts have fingerprint zero and link like any other. Rows of one text share all they get.
+    Rows without an id link and bridge others like any row; they take their class's component_id (null if no member has an
+    id). Other columns are not read. No rows give no rows.
     """
     marks = materialise(fingerprints(docs, id_col, text_col))
-    nodes = materialise(marks.groupBy("fp").agg(F.min("id").alias("rep")))
-    linked = connected_components(links(nodes.where("rep is not null"), direct))
-    found = nodes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = _classes(marks, direct).select("fp", "component_id")
     return marks.join(found, "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of their near-duplicate class; a repeated id stays once.
+    """The row of docs with the smallest id of each near-duplicate class.
 
-    Rows without an id cannot be ranked and all stay. Columns and their order are those of docs.
+    Where rows of a class share that id, one stays: of the text with the smallest hash and, if only other columns differ,
+    of the smallest hash of all columns. Texts of different classes stay, whatever their ids. Rows without an id cannot be
+    ranked and all stay. Columns and their order are those of docs.
     """
-    classes = near_duplicates(docs, id_col, text_col)
-    key = unused(docs, "__kept")
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    stay = docs.join(kept, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    marks = materialise(fingerprints(docs, id_col, text_col))
+    named = marks.where("id is not null").groupBy("fp", "id", "hash").agg(F.count("*").alias("n"))
+    first = named.join(_classes(marks, DIRECT), "fp").groupBy("class").agg(F.min(F.struct("id", "hash", "n")).alias("kept")).select("kept.*")
+    first = materialise(first)
+    key, hash_key, times = (unused(docs, f"__{n}") for n in ("kept", "hash", "times"))
+    first = first.select(F.col("id").alias(key), F.col("hash").alias(hash_key), F.col("n").alias(times))
+    stay = docs.join(first, (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(hash_key)))
+    unnamed = docs.where(F.col(id_col).isNull())
+    if first.where(F.col(times) > 1).isEmpty():  # no row occurs twice
+        return stay.select(*docs.columns).unionByName(unnamed)
+    alike = stay.where(F.col(times) > 1).groupBy(key, hash_key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(times))
+    one = stay.where(F.col(times) == 1).select(*docs.columns).unionByName(alike.select(f"{times}.*"))
+    return one.unionByName(unnamed)
