@@ -7,11 +7,14 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The SQL looks only at texts and sentences with one of these, and so misses some of SENTENCES.
-KEYWORDS = "licen[cs]e|copyright|permission|warrant|redistribut|as.is|public.domain|liable|contributor"
+#: Licences that a tag names.
+SPDX = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
 
 #: Licence sentences as (identifier, pattern), the pattern over lower-case words of letters, digits and .+-
-#: A sentence has every identifier whose pattern it holds, in the order of the text; the SQL names it by the first alone.
+#: A sentence has every identifier whose pattern it holds, in the order of the text.
 SENTENCES = [
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit-notice", "the above copyright notice and this permission notice .*shall be included in all copies"),
@@ -59,6 +62,17 @@ SENTENCES = [
     ("boost-1", "boost software license (version )?1.0"),
     ("public-domain", "(placed|released|dedicated) (in|into|to) the public domain"),
     ("all-rights", "all rights reserved"),
+    ("mit-title", "(^| )mit licen[cs]e"),
+    ("apache-2-title", "(^| )apache licen[cs]e,? ?(version|v)? ?2"),
+    ("bsd-3-title", "(new|modified|revised) bsd licen[cs]e|3-clause bsd|bsd 3-clause|bsd-3-clause"),
+    ("bsd-2-title", "simplified bsd licen[cs]e|2-clause bsd|bsd 2-clause|bsd-2-clause"),
+    ("isc-title", "(^| )isc licen[cs]e"),
+    ("zlib-as-is", "this software is provided as-is without any express or implied warranty"),
+    ("zlib-origin", "the origin of this software must not be misrepresented"),
+    ("zlib-marked", "altered source versions must be plainly marked as such"),
+    ("zlib-notice", "this notice may not be removed or altered from any source distribution"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    *((f"spdx-{name.lower()}", f"spdx-license-identifier {name.lower()}( |$)") for name in SPDX),
 ]
 
 #: Rules as (licence, pattern over identifiers joined by spaces), tried in this order. What a rule matches is
@@ -96,6 +110,14 @@ RULES = [
     ("EPL-2.0", " epl-2 "),
     ("BSL-1.0", " boost-1 "),
     ("Public-Domain", " public-domain "),
+    ("Zlib", " zlib-as-is( zlib-origin)?( zlib-marked)?( zlib-notice)? "),
+    ("WTFPL", " wtfpl "),
+    ("MIT", " mit-title "),
+    ("Apache-2.0", " apache-2-title "),
+    ("BSD-3-Clause", " bsd-3-title "),
+    ("BSD-2-Clause", " bsd-2-title "),
+    ("ISC", " isc-title "),
+    *((name, f" spdx-{name.lower()} ") for name in SPDX),
 ]
 
 
@@ -113,15 +135,26 @@ def _rule(pattern: str) -> str:
     return _escaped(re.sub(r"[a-z0-9][a-z0-9.-]*", r"<\g<0>>", pattern).replace(" ", ""))
 
 
-#: An identifier whose words are part of another's; others are hidden by the same version with "or later".
-_HIDDEN_BY = {"public-domain": "unlicense-free"}
+#: Identifiers whose words are part of others'; others are hidden by the same version with "or later".
+_HIDDEN_BY = {
+    "public-domain": ["unlicense-free"], "mit-title": ["mit-ref"], "apache-2-title": ["apache-2-ref"], "bsd-3-title": ["bsd-3-ref", "spdx-bsd-3-clause"], "bsd-2-title": ["bsd-2-ref", "spdx-bsd-2-clause"],
+}
 #: What stands between a GNU licence's name and its version: no other licence's name.
-_GAP = "(?:(?!gnu |apache |mozilla |eclipse |boost |creative |mit |bsd ).)*"
+_NAMES = "gnu |apache |mozilla |eclipse |boost |creative |mit |bsd "
+_GAP = f"(?:(?!{_NAMES}).)*"
+
+
+def _hidden_by(name: str) -> list[str]:
+    return _HIDDEN_BY.get(name, [f"{name}-later"])
+
+
+def _is_gnu(name: str) -> bool:
+    return re.match("[al]?gpl-[0-9]", name) is not None
 
 
 def _sentence(name: str, pattern: str) -> str:
     """A pattern of SENTENCES as it is searched where a sentence may have several identifiers."""
-    return _escaped(pattern).replace(".*", _GAP) if re.match("[al]?gpl-[0-9]", name) else _escaped(pattern)
+    return _escaped(pattern).replace(".*", _GAP) if _is_gnu(name) else _escaped(pattern)
 
 
 def _ways(pattern: str) -> list[str]:
@@ -154,11 +187,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     likely = F.filter(sentences, lambda s: s.rlike(gate()))
 
     def identifiers(s):
-        places = [F.struct(F.regexp_instr(s, F.lit(_sentence(name, p))).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(_HIDDEN_BY.get(name, f"{name}-later")).alias("by")) for k, (name, p) in enumerate(SENTENCES)]
+        places = [F.struct(F.regexp_instr(s, F.lit(_sentence(name, p))).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name"), F.array(*map(F.lit, _hidden_by(name))).alias("by")) for k, (name, p) in enumerate(SENTENCES)]
         return F.array_sort(F.filter(F.array(*places), lambda x: x["at"] > 0))
 
     def without_hidden(found):
-        return F.transform(F.filter(found, lambda x: ~F.array_contains(F.transform(found, lambda y: y["name"]), x["by"])), lambda x: x["name"])
+        return F.transform(F.filter(found, lambda x: ~F.arrays_overlap(F.transform(found, lambda y: y["name"]), x["by"])), lambda x: x["name"])
 
     ids = F.flatten(F.transform(F.transform(likely, identifiers), without_hidden))
     there = F.coalesce(F.lower(text).rlike(gate()), F.lit(False))
@@ -184,8 +217,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle_sql() -> str:
-    """The same in SQL over `documents`."""
-    name = "CASE " + " ".join(f"WHEN regexp_matches(s, '{_escaped(p)}') THEN '{n}'" for n, p in SENTENCES) + " END"
+    """The same in SQL over `documents`, from the same fixed values: without the gate, and with sentences cut at licence names
+    where the query looks ahead for them."""
+    found = []
+    for k, (name, pattern) in enumerate(SENTENCES):
+        p = _escaped(pattern)
+        if _is_gnu(name):
+            first = f"list_filter(range(len(parts)), lambda i: regexp_matches(parts[i + 1], '^(?:{p})'))"
+            at = f"CASE WHEN len({first}) > 0 THEN CAST(coalesce(list_sum(list_transform(parts[1:({first})[1]], lambda x: length(x))), 0) AS BIGINT) END"
+        else:
+            at = f"CASE WHEN regexp_matches(s, '{p}') THEN length(regexp_extract(s, '^(.*?)(?:{p})', 1)) END"
+        found.append(f"{{'at': {at}, 'k': {k}, 'name': '{name}', 'hidden_by': {_hidden_by(name)!r}}}")
     steps, at = [], "t0"
     for k, (licence, pattern) in enumerate(RULES, 1):
         p = _rule(pattern)
@@ -193,24 +235,25 @@ def oracle_sql() -> str:
             f"t{k} AS (SELECT doc_id, ids, CASE WHEN regexp_matches(rest, '{p}') THEN list_append(found, '{licence}') ELSE found END AS found, regexp_replace(rest, '{p}', '#', 'g') AS rest FROM {at})"
         )
         at = f"t{k}"
-    names = "[" + ", ".join(f"'{licence}'" for licence, _ in RULES) + "]"
     return f"""
-WITH s AS (
-  SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{KEYWORDS}') THEN
-    list_filter(string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9.!?+-]+', ' ', 'g'), '[.!?]+( |$)', chr(10), 'g'), chr(10)),
-      lambda s: regexp_matches(s, '{KEYWORDS}') OR regexp_matches(s, 'cc(0| by)|boost')) END AS sentences
-  FROM documents
+WITH d AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(text), '[^a-z0-9.!?+-]+', ' ', 'g'), '[.!?]+( |$)', chr(10), 'g'), chr(10)) AS sentences FROM documents
+), u AS (
+  SELECT doc_id, unnest(sentences) AS s, unnest(range(len(sentences))) AS n FROM d
+), p AS (
+  SELECT doc_id, n, s, string_split(regexp_replace(s, '({_NAMES})', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM u
+), f AS (
+  SELECT doc_id, n, list_sort(list_filter([{", ".join(found)}], lambda x: x.at IS NOT NULL)) AS found FROM p
+), h AS (
+  SELECT doc_id, n, list_transform(list_filter(found, lambda x: NOT list_has_any(x.hidden_by, list_transform(found, lambda y: y.name))), lambda x: x.name) AS ids FROM f WHERE len(found) > 0
+), g AS (
+  SELECT doc_id, flatten(list(ids ORDER BY n)) AS ids FROM h GROUP BY doc_id
 ), i AS (
-  SELECT doc_id, coalesce(list_filter(list_transform(sentences, lambda s: {name}), lambda x: x IS NOT NULL), []) AS ids FROM s
+  SELECT documents.doc_id, coalesce(g.ids, []) AS ids FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id
 ), t0 AS (
   SELECT doc_id, ids, CAST([] AS VARCHAR[]) AS found, '<' || coalesce(array_to_string(ids, '><'), '') || '>' AS rest FROM i
-), {", ".join(steps)}, f AS (
-  SELECT doc_id, ids, rest, unnest({names}) AS licence, unnest(range({len(RULES)})) AS k, found FROM {at} WHERE len(found) > 0
-), l AS (
-  SELECT doc_id, string_agg(licence, ',' ORDER BY k) AS licences FROM (SELECT doc_id, licence, min(k) AS k FROM f WHERE list_contains(found, licence) GROUP BY doc_id, licence) GROUP BY doc_id
-)
-SELECT x.doc_id, coalesce(l.licences, '') AS licences, coalesce(array_to_string(x.ids, ' '), '') AS sentence_ids, CAST(len(x.ids) AS BIGINT) AS n_sentences,
+), {", ".join(steps)}
+SELECT x.doc_id, coalesce(array_to_string(list_filter(x.found, lambda name, i: list_position(x.found, name) = i), ','), '') AS licences, coalesce(array_to_string(x.ids, ' '), '') AS sentence_ids, CAST(len(x.ids) AS BIGINT) AS n_sentences,
   CAST(CASE WHEN len(x.ids) > 0 THEN len(regexp_extract_all(x.rest, '<')) ELSE 0 END AS BIGINT) AS n_unmatched
-FROM {at} x LEFT JOIN l ON l.doc_id = x.doc_id
+FROM {at} x
 """
-
