@@ -40,6 +40,12 @@ _BOILERPLATE = frozenset(
     " ad ads advert adverts advertisement advertising sponsor sponsored promo promotion popup modal newsletter subscribe signup login share sharing social related recommended"
     " comment comments respond disqus pagination pager toolbar search skip widget".split()
 )
+#: Of these, words that a page's own frame has too, and words that mean nothing inside main or article.
+_FRAME = frozenset("header masthead banner footer".split())
+_OUTSIDE = frozenset("search skip toolbar widget".split())
+#: Words that say where or how; a name of others as well ("search-results-table", "related-work") marks nothing.
+_PLACES = frozenset("site page main global top bottom left right primary secondary sticky fixed mobile desktop wrapper wrap container box area section block bar inner outer row column col".split())
+_PARTS = _PLACES | frozenset("post entry article content list item items link links icon icons button buttons form text title message messages policy user reader".split())
 #: Of these, words for what follows an article and may hold articles of its own.
 _AFTER = frozenset("comment comments respond disqus related recommended".split())
 _ANCHORS = frozenset(("main", "article"))
@@ -63,14 +69,19 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
     return False
 
 
-def _marks(tag: str, attributes: dict[str, str]) -> set[str]:
-    """Why an element is boilerplate unless it holds the article: words of its class, id and role, or form."""
+def _marks(tag: str, attributes: dict[str, str], inside: bool) -> set[str]:
+    """Why an element is boilerplate unless it holds the article: words of a whole class, id or role, or form."""
     if tag in ("html", "body", "main", "article"):
         return set()
     if tag == "form":
         return {"form"}
-    named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    return set() if named.isspace() else _BOILERPLATE.intersection(_WORD.findall(_CAMEL.sub(" ", named).lower()))
+    found: set[str] = set()
+    for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split():
+        words = set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+        marks = words & _BOILERPLATE
+        if marks and words - marks <= (_PLACES if marks <= _FRAME else _PARTS):
+            found |= marks - _OUTSIDE if inside else marks
+    return found
 
 
 class Page:
@@ -174,7 +185,7 @@ class Page:
             if not never:
                 attributes = _attributes(m["rest"]) if m["rest"] else {}
                 never = _unwanted(tag, attributes)
-                if not never and (marks := _marks(tag, attributes)):
+                if not never and (marks := _marks(tag, attributes, bool(around))):
                     marked.append([mark, 0, False, not marks.isdisjoint(_AFTER), around])
                     mark = len(marked) - 1
                     unwanted = unwanted or mark not in wanted
@@ -290,7 +301,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     forms, scripts, styles and comments, joined by a blank line. A page that lacks the path, has text of main or article
     outside it, or has no host, uses its own best container. Class words and forms do not make boilerplate of what holds
     main, article or most of the page's text outside links; beside an article with text of its own, they do so of comments,
-    related matter, and elements with most of the text. Null and empty pages give empty text; malformed markup is read as far as it goes.
+    related matter, and elements with most of the text. Null and empty pages give empty
+    text; malformed markup is read as far as it goes. A host's votes tie by more text, then by the smaller path. Repeated rows
+    vote and come out as often as they stand there; a long or deeply nested page takes memory in proportion to itself.
     """
     paths = materialise(host_paths(pages, url_col, html_col))
     rows = pages.select(filled(F.col(id_col)).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
