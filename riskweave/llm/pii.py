@@ -9,7 +9,9 @@ from riskweave.llm.common import unused
 
 #: Rounds of the keyed permutation.
 ROUNDS = 10
+#: For demonstrations: pseudonyms under a published key can be undone by anyone. KEY_SETTING names the session's own.
 KEY = "riskweave-demonstration-key"
+KEY_SETTING = "spark.riskweave.pseudonym.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
@@ -142,10 +144,10 @@ def _pseudonym(h: str, key: str) -> str:
 
 
 def _email(h: str, key: str) -> str:
-    return f"concat('user-', left(sha2(concat({_text(key + '|email|')}, lower({h})), 256), 12), '@example.invalid')"
+    return f"concat('user-', left(sha2(concat({_text(key + '|email|')}, lower({h})), 256), 20), '@example.invalid')"
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
     """docs with pseudonyms for personal data in text_col, and how many in count_col.
 
     Replaced are card numbers that pass Luhn's check, telephone numbers, IPv4 addresses, US social security numbers, IBANs
@@ -153,8 +155,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_
     Feistel permutation among those of its format: length, separators, country code and check digits stay right, and
     distinct values stay distinct. Equal values get equal pseudonyms in all documents, in whatever grouping cards come.
     E-mail addresses have no finite format; they get a keyed hash at a reserved domain. What isn't valid stays as it is.
+    Telephone numbers are told by their format alone: what looks like one is personal even where no numbering plan has it.
+    Longer runs of digits than a format has stay. A number that fits several formats is the first of IBAN, date, IPv4,
+    telephone, social security, card. The key is the argument, else the session's KEY_SETTING, else the published KEY.
     Null and empty texts stay; rows, order and all other columns are untouched, whatever their names. There is no shuffle.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     text = F.col(f"`{text_col}`")
     step = docs
     mail, number = unused(docs, "__mail"), unused(docs, "__number")
@@ -171,12 +177,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_
     return step.withColumn(count_col, (F.col(f"{mail}_n") + F.col(f"{number}_n")).cast("int")).drop(f"{mail}_n", f"{number}_n")
 
 
-def pseudonym_texts(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonym_texts(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, n_pseudonyms), one row per document."""
     return pseudonymise(docs.select("doc_id", "text"), key)
 
 
-def without_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
+def without_personal_data(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with pseudonyms in their texts; n_chars, where there is one, follows a changed text."""
     count = unused(docs, "__pseudonyms")
     out = pseudonymise(docs, key, count_col=count)
