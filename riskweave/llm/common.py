@@ -20,11 +20,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one in local sessions. On a cluster that
+    names none it is an error, as executors would each write to a disk of their own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if found is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="riskweave-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
@@ -34,11 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame once as Parquet in the shared folder and read it back.
 
-    It cuts lineage, outlives lost executors, and gives later joins real sizes.
+    It cuts lineage, outlives lost executors, and gives later joins real sizes. The table goes when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riskweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
