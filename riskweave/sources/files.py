@@ -12,11 +12,14 @@ from pyspark.sql.types import StructType
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the folder of spark.checkpoint.dir; only where that is unset, in one of its own."""
+    """df cut from its lineage in the folder of spark.checkpoint.dir; in local sessions without one, in a fresh folder. On a
+    cluster that names none it is an error, as executors would each write to a disk of their own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if place is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             place = tempfile.mkdtemp(prefix="riskweave-")
             atexit.register(shutil.rmtree, place, ignore_errors=True)
         sc.setCheckpointDir(place)
@@ -24,7 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSON lines by a fixed schema, with `raw_line`, `parse_ok` and a stable `line_id`; bad lines stay, with null fields."""
+    """JSON lines by a fixed schema, with `raw_line`, `parse_ok` and a `line_id` that is unique within a read and rises along each
+    file, but moves where files are split otherwise; bad lines stay, with null fields."""
     lines = spark.read.text(path).select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_id"))
     full = StructType(schema.fields).add("_corrupt", "string")
     parsed = lines.where(F.trim("raw_line") != "").withColumn("r", F.from_json("raw_line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
