@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import checkpoint
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links, taken in order, join two parts that were apart."""
+    parent: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    keep = np.zeros(len(a), bool)
+    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        u, v = top(u), top(v)
+        if u != v:
+            parent[u], keep[k] = v, True
+    return keep
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]

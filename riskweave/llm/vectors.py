@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import materialise, shuffle_partitions
-from riskweave.llm.components import connected_components
+from riskweave.llm.components import connected_components, spanning
 
 COSINE = 0.93
 #: Rows that principal axes are fitted on, at most, those of the smallest hashes. Any orthonormal axes give right results;
@@ -157,23 +157,6 @@ def _compare(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, axes_x:
             yield from _compare(x, y, u, v, axes_x, axes_y, width, least)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the links, taken in order, join two parts that were apart."""
-    parent: dict[int, int] = {}
-
-    def top(k: int) -> int:
-        while parent.setdefault(k, k) != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    keep = np.zeros(len(a), bool)
-    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        u, v = top(u), top(v)
-        if u != v:
-            parent[u], keep[k] = v, True
-    return keep
-
-
 def _matches(blocks: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray], width: float, least: float) -> DataFrame:
     """(kind, node, other, n): kind 0 counts the rows linked to each vector of a block pair; kind 1 is a link of its forest."""
     left = blocks.select("label", "size", F.col("block").alias("a"), F.col("reps").alias("ra"), F.col("copies").alias("ca"), F.col("vectors").alias("va"))
@@ -198,7 +181,7 @@ def _matches(blocks: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray], w
                 for rep, n in sides:
                     some = np.flatnonzero(n)
                     kinds.append(np.zeros(len(some), np.int32)), nodes.append(rep[some]), others.append(rep[some]), counts.append(n[some].astype(np.int64))
-                tree = _forest(ra[p], rb[q])
+                tree = spanning(ra[p], rb[q])
                 kinds.append(np.ones(tree.sum(), np.int32)), nodes.append(ra[p][tree]), others.append(rb[q][tree]), counts.append(np.zeros(tree.sum(), np.int64))
             names = ("kind", "node", "other", "n")
             yield pd.DataFrame({k: np.concatenate(v) if v else np.array([], np.int64) for k, v in zip(names, (kinds, nodes, others, counts), strict=True)})
