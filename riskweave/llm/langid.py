@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import cache
-from math import log
+from math import exp, inf, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -21,12 +21,15 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents per language that models are fitted on, about; those of the smallest hashes.
 FIT_DOCS = 2000
 ROUNDS = 3
-#: Characters of the longest piece used, and of the longest stretch of letters that is segmented as one.
-LONGEST = 10
-STRETCH = 28
 UNKNOWN = 1e-8
-#: Words whose likelihoods a worker keeps.
+#: Words whose likelihoods a worker keeps, and documents whose words are looked up at once.
 CACHE = 400_000
+BATCH = 500
+#: Letters of a word whose sum needs no scaling, and of which words are summed many at a time: the commonest in the pieces.
+SHORT = 28
+LETTERS = 64
+#: Places between two scalings of a longer word's sums; a piece is no longer.
+_SCALED = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -36,23 +39,22 @@ def pieces(path: str) -> tuple[str, ...]:
     """The vocabulary's lower-cased pieces of letters, with or without a mark for the start of a word."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return tuple(sorted(p for p in found if len(p) <= LONGEST and re.fullmatch(rf"{_START}?[^\W\d_]+|{_START}", p)))
+    found = {p for p in found if re.fullmatch(rf"{_START}?[^\W\d_]+|{_START}", p)}
+    if max(map(len, found)) > _SCALED:
+        raise ValueError(f"the vocabulary has pieces of over {_SCALED} letters")
+    return tuple(sorted(found))
 
 
-def stretches(word: str) -> list[str]:
-    """A word's runs of letters in lower case, marked where they start; long runs come in several stretches."""
-    out = []
-    for run in _LETTERS.findall(word.lower()):
-        run = _START + run
-        out.extend(run[k : k + STRETCH] for k in range(0, len(run), STRETCH))
-    return out
+def runs_of(word: str) -> list[str]:
+    """A word's runs of letters in lower case, marked where they start."""
+    return [_START + run for run in _LETTERS.findall(word.lower())]
 
 
 def spans(run: str, known) -> list[tuple[int, int, str]]:
-    """(start, end, piece) of every piece in a stretch, by end; a character that is no piece stands for itself."""
+    """(start, end, piece) of every piece in a run, by end; a character that is no piece stands for itself."""
     out = []
     for j in range(1, len(run) + 1):
-        for i in range(max(0, j - LONGEST), j):
+        for i in range(max(0, j - _SCALED), j):
             if (piece := run[i:j]) in known or i == j - 1:
                 out.append((i, j, piece))
     return out
@@ -68,65 +70,114 @@ def with_suffixes(table: dict[str, tuple]) -> dict[str, tuple | None]:
 
 
 def log_likelihoods(run: str, table: dict[str, tuple | None], languages: int) -> list[float]:
-    """Log of the sum, over all segmentations of a stretch, of the product of piece probabilities, for each language.
+    """Log of the sum, over all segmentations of a run, of the product of piece probabilities, for each language.
 
-    table comes from with_suffixes.
+    table comes from with_suffixes. Every _SCALED places the sums that later ones build on are divided by the last, so
+    that runs of any length neither vanish nor overflow.
     """
-    unknown, get, n = (UNKNOWN,) * languages, table.get, len(run)
-    if languages == 4:  # the loop over languages, written out
-        forward = [(1.0, 1.0, 1.0, 1.0)]
-        for j in range(1, n + 1):
-            i = j - 1
+    unknown, get = (UNKNOWN,) * languages, table.get
+    forward, logs, dropped = [(1.0,) * languages], [0.0] * languages, 0
+    for j in range(1, len(run) + 1):
+        total = [0.0] * languages
+        for i in range(j - 1, max(-1, j - 1 - _SCALED), -1):
             p = get(run[i:j], False)
             more = p is not False
-            f, p = forward[i], p or unknown
-            a, b, c, d = f[0] * p[0], f[1] * p[1], f[2] * p[2], f[3] * p[3]
-            while more and i:
-                i -= 1
-                p = get(run[i:j], False)
-                if p:
-                    f = forward[i]
-                    a += f[0] * p[0]
-                    b += f[1] * p[1]
-                    c += f[2] * p[2]
-                    d += f[3] * p[3]
-                elif p is False:
-                    break
-            forward.append((a, b, c, d))
-    else:
-        forward = [(1.0,) * languages]
-        for j in range(1, n + 1):
-            total = [0.0] * languages
-            for i in range(j - 1, -1, -1):
-                p = get(run[i:j], False)
-                more = p is not False
-                if i == j - 1:
-                    p = p or unknown
-                if p:
-                    total = [t + f * q for t, f, q in zip(total, forward[i], p, strict=True)]
-                if not more:
-                    break
-            forward.append(tuple(total))
-    return [log(x) if x > 1e-300 else -690.0 for x in forward[-1]]
+            if i == j - 1:
+                p = p or unknown
+            if p:
+                total = [t + f * q for t, f, q in zip(total, forward[i - dropped], p, strict=True)]
+            if not more:
+                break
+        forward.append(tuple(total))
+        if j % _SCALED == 0:
+            logs = [x + log(t) for x, t in zip(logs, total, strict=True)]
+            dropped = max(0, j - _SCALED)
+            forward = [tuple(f / t for f, t in zip(row, total, strict=True)) for row in forward[-_SCALED - 1 :]]
+    return [x + log(t) for x, t in zip(logs, forward[-1], strict=True)]
+
+
+class _Tree:
+    """The pieces as a tree of letters, by which the sums of many runs advance together."""
+
+    def __init__(self, table: dict[str, tuple], languages: int):
+        common = Counter(c for p in table for c in p).most_common(LETTERS)
+        self.letters = {c: k for k, (c, _) in enumerate(common)}
+        self.codes = {ord(c): chr(k) for c, k in self.letters.items()}
+        self.known = frozenset(self.letters)
+        follows, self.odds = [[0] * len(common)], [(0.0,) * languages]
+        for piece, p in table.items():
+            if not self.known.issuperset(piece):
+                continue
+            node = 0
+            for c in piece:
+                c = self.letters[c]
+                if not follows[node][c]:
+                    follows[node][c] = len(follows)
+                    follows.append([0] * len(common)), self.odds.append((0.0,) * languages)
+                node = follows[node][c]
+            self.odds[node] = p
+        self.follows, self.odds = np.array(follows, np.int32), np.array(self.odds)
+        single = self.follows[0]
+        self.alone = np.where((self.odds[single] == 0) | (single == 0)[:, None], UNKNOWN, 0.0)  # letters that are no piece
+
+    def covers(self, run: str) -> bool:
+        return len(run) <= SHORT and self.known.issuperset(run)
+
+    def sums(self, runs: list[str]) -> np.ndarray:
+        """log_likelihoods of covered runs of one length."""
+        n, size = len(runs), len(runs[0])
+        codes = np.frombuffer("".join(runs).translate(self.codes).encode("ascii"), np.uint8).reshape(n, size)
+        sums = np.zeros((size + 1, n, self.odds.shape[1]))
+        sums[0] = 1.0
+        for i in range(size):
+            here = sums[i]
+            sums[i + 1] += here * self.alone[codes[:, i]]
+            at, node = np.arange(n), np.zeros(n, np.int32)
+            for j in range(i, size):
+                node = self.follows[node, codes[at, j]]
+                alive = node > 0
+                if not alive.all():
+                    at, node = at[alive], node[alive]
+                    if not len(at):
+                        break
+                sums[j + 1, at] += here[at] * self.odds[node]
+        return np.log(sums[size])
 
 
 def expected_counts(run: str, weight: float, table: dict[str, float], into: dict[str, float]) -> None:
-    """Add how often each piece stands in a stretch, over all segmentations by their probability, times weight."""
+    """Add how often each piece stands in a run, over all segmentations by their probability, times weight."""
     found = spans(run, table)
+    if len(run) > SHORT:
+        return _expected_by_logs(found, len(run), weight, table, into)
     forward, backward = [0.0] * (len(run) + 1), [0.0] * (len(run) + 1)
     forward[0] = backward[-1] = 1.0
     for i, j, piece in found:
         forward[j] += forward[i] * table.get(piece, UNKNOWN)
     for i, j, piece in reversed(found):
         backward[i] += backward[j] * table.get(piece, UNKNOWN)
-    if forward[-1] <= 0.0:
-        return
     scale = weight / forward[-1]
     for i, j, piece in found:
         if piece in table:
             into[piece] += forward[i] * table[piece] * backward[j] * scale
 
 
+def _expected_by_logs(found: list[tuple[int, int, str]], n: int, weight: float, table: dict[str, float], into: dict[str, float]) -> None:
+    """The same for a run whose sums would vanish."""
+
+    def plus(a: float, b: float) -> float:
+        return max(a, b) + log1p(exp(-abs(a - b))) if min(a, b) > -inf else max(a, b)
+
+    forward, backward = [0.0] + [-inf] * n, [-inf] * n + [0.0]
+    odds = [log(table.get(piece, UNKNOWN)) for _, _, piece in found]
+    for (i, j, _), p in zip(found, odds, strict=True):
+        forward[j] = plus(forward[j], forward[i] + p)
+    for (i, j, _), p in zip(reversed(found), reversed(odds), strict=True):
+        backward[i] = plus(backward[i], backward[j] + p)
+    for (i, j, piece), p in zip(found, odds, strict=True):
+        if piece in table:
+            into[piece] += weight * exp(forward[i] + p + backward[j] - forward[n])
+
+
 def _smoothed(counts: dict[str, dict[str, float]], vocabulary: tuple[str, ...]) -> dict[str, dict[str, float]]:
     """Probabilities with a hundredth of a count for every piece of the vocabulary."""
     out = {}
@@ -158,7 +209,7 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int = ROUN
                     counts[lang, word] += 1
             short: dict[tuple[str, str], int] = defaultdict(int)
             for (lang, word), n in counts.items():
-                for run in stretches(word):
+                for run in runs_of(word):
                     short[lang, run] += n
             yield pd.DataFrame([(lang, run, n) for (lang, run), n in short.items()], columns=["lang", "run", "n"])
 
@@ -192,68 +243,59 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int = ROUN
 
 
 class _Scorer:
-    """Log-likelihoods of documents, with those of frequent words kept."""
+    """Log-likelihoods of documents, with those of words kept until there are CACHE of them."""
 
     def __init__(self, models: dict[str, dict[str, float]]):
         self.languages = sorted(models)
         self.n = len(self.languages)
         own = [models[lang] for lang in self.languages]
-        self.table = with_suffixes({p: tuple(m[p] for m in own) for p in own[0]}) if own else {}
-        self.rows = np.zeros((1 << 12, self.n + 1))
-        self.used = 0
-        self.words: dict[str, int] = {}  # row of a word as it stands
-        self.runs: dict[str, int] = {}  # row of a run of letters, which words with other punctuation share
-
-    def _kept(self, values: list[float]) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = values
-        self.used += 1
-        return self.used - 1
-
-    def _word(self, word: str) -> int | list[float]:
-        """The row of a word, or its values if there is no more room."""
-        row = self.words.get(word)  # it may stand earlier in the same text
-        if row is not None:
-            return row
-        letters = [word] if word.isalpha() else _LETTERS.findall(word)
-        if len(letters) == 1 and (row := self.runs.get(letters[0])) is not None:
-            if len(self.words) < CACHE:
-                self.words[word] = row
-            return row
-        values = [0.0] * (self.n + 1)
-        for run in letters:
-            for part in stretches(run):
-                for k, x in enumerate(log_likelihoods(part, self.table, self.n)):
-                    values[k] += x
-                values[-1] += 1
-        if len(self.words) >= CACHE:
-            return values
-        row = self.words[word] = self._kept(values)
-        if len(letters) == 1:
-            self.runs[letters[0]] = row
-        return row
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = (text or "").lower().split()
-        found = list(map(self.words.get, words))
-        rest = []
-        try:
-            at = found.index(None)
-            while True:
-                row = self._word(words[at])
-                if isinstance(row, int):
-                    found[at] = row
-                else:
-                    rest.append(row)
-                at = found.index(None, at + 1)
-        except ValueError:
-            pass
-        if rest:
-            found = [r for r in found if r is not None]
-        total = self.rows[found].sum(0) if found else np.zeros(self.n + 1)
-        if rest:
-            total += np.array(rest).sum(0)
+        table = {p: tuple(m[p] for m in own) for p in own[0]} if own else {}
+        self.table, self.tree = with_suffixes(table), _Tree(table, self.n) if own else None
+        self.words: dict[str, int] = {}
+        self.rows = np.zeros((0, self.n + 1))  # the last column counts runs of letters
+
+    def _runs(self, runs: list[str]) -> np.ndarray:
+        out, by_size = np.zeros((len(runs), self.n)), defaultdict(list)
+        for k, run in enumerate(runs):
+            if self.tree.covers(run):
+                by_size[len(run)].append(k)
+            else:
+                out[k] = log_likelihoods(run, self.table, self.n)
+        for at in by_size.values():
+            for k in range(0, len(at), 4096):
+                out[at[k : k + 4096]] = self.tree.sums([runs[i] for i in at[k : k + 4096]])
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        known: dict[str, int] = {}
+        owner, run = [], []
+        for k, word in enumerate(words):
+            for r in runs_of(word):
+                owner.append(k), run.append(known.setdefault(r, len(known)))
+        rows = np.zeros((len(words), self.n + 1))
+        if known and self.n:
+            values = self._runs(list(known))[run]
+            for k in range(self.n):
+                rows[:, k] = np.bincount(owner, values[:, k], len(words))
+        rows[:, -1] = np.bincount(np.array(owner, np.int64), minlength=len(words))
+        self.words.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.rows = np.concatenate([self.rows, rows])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        split = [(t or "").lower().split() for t in texts]
+        distinct = set().union(*split)
+        new = [w for w in distinct if w not in self.words]
+        if len(self.words) + len(new) > CACHE:
+            self.words, self.rows, new = {}, self.rows[:0], list(distinct)
+        if new:
+            self._learn(new)
+        out = [self._shared(self.rows[list(map(self.words.__getitem__, words))].sum(0)) if words else ("und", 0.0) for words in split]
+        for word in new:
+            if len(word) > 256:
+                del self.words[word]
+        return out
+
+    def _shared(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1] or not self.n:
             return "und", 0.0
         shares = np.exp(total[:-1] - total[:-1].max())
@@ -267,7 +309,8 @@ _scorers: dict[str, _Scorer] = {}
 def language(docs: DataFrame, models: dict[str, dict[str, float]], text_col: str = "text") -> Column:
     """A column (lang_pred, score) for docs, from the whole text and nothing else.
 
-    score is the best language's share of the likelihoods. Null texts, texts without a letter, and all texts where
+    A text's likelihood is the product of those of its runs of letters, each summed over all segmentations into the
+    vocabulary's pieces and single letters. score is the best language's share of the likelihoods. Null texts, texts without a letter, and all texts where
     nothing was learned are `und` with score 0. Ties go to the language first in the alphabet.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)  # pieces times languages, whatever the input
@@ -278,7 +321,8 @@ def language(docs: DataFrame, models: dict[str, dict[str, float]], text_col: str
         if name not in _scorers:  # one per worker and model, so that its words outlive a task
             _scorers.clear()
             _scorers[name] = _Scorer(shared.value)
-        return pd.DataFrame(list(map(_scorers[name], texts)), columns=["lang_pred", "score"])
+        found = [x for k in range(0, len(texts), BATCH) for x in _scorers[name](texts.iloc[k : k + BATCH].tolist())]
+        return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return run(F.col(text_col))
 
