@@ -89,6 +89,7 @@ def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
 
 def redact_text(c: Column | str) -> Column:
     """Bearer tokens, credentials in URLs and key=value secrets, replaced by [REDACTED]."""
+    # fixed values: the three patterns decide what logs and displays show
     out = F.regexp_replace(col(c), r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]")
     out = F.regexp_replace(out, r"(://)([^:/\s]+):([^@\s]+)@", "$1[REDACTED]:[REDACTED]@")
     return F.regexp_replace(out, r"(?i)(\b(?:password|token|secret|api[_-]?key)\s*[=:]\s*)([^\s,;]+)", "$1[REDACTED]")
@@ -99,8 +100,9 @@ def bounded_error(c: Column | str, kind: Column | str, limit: int = 2000) -> Col
     return F.substring(F.coalesce(F.nullif(F.trim(col(c)), F.lit("")), col(kind)), 1, limit)
 
 
-def latency_seconds(c: Column | str) -> Column:
-    return F.current_timestamp().cast("double") - col(c).cast("timestamp").cast("double")
+def latency_seconds(c: Column | str, now: Column | None = None) -> Column:
+    """Seconds from a time to now, or to another time."""
+    return (now if now is not None else F.current_timestamp()).cast("timestamp").cast("double") - col(c).cast("timestamp").cast("double")
 
 
 DASH = "—"
@@ -118,6 +120,7 @@ def format_timestamp(c: Column | str) -> Column:
     return F.coalesce(F.date_format(col(c), "yyyy-MM-dd HH:mm:ss 'UTC'"), F.lit(DASH))
 
 
+#: States of a service and how they are shown.
 _HEALTH = {"healthy": "Healthy", "ok": "Healthy", "degraded": "Degraded", "unavailable": "Unavailable", "not_ready": "Not ready"}
 
 

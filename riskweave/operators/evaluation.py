@@ -93,6 +93,19 @@ def with_running_totals(df: DataFrame, order: Column, running: dict[str, str], t
     return out.drop("__part", "__p", *[f"__{k}" for k in running])
 
 
+def with_running_maximum(df: DataFrame, order: Column, value: str, name: str) -> DataFrame:
+    """df with the largest value so far in a global order, the row's own included; by ranges, as with_running_totals."""
+    from riskweave.sources.files import checkpointed
+
+    dealt = checkpointed(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    tops = dealt.groupBy("__part").agg(F.max(value).alias("__top"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = tops.select(F.col("__part").alias("__p"), F.max("__top").over(before).alias("__before"))
+    out = dealt.join(F.broadcast(shift), F.col("__part") == F.col("__p"))  # a row per partition
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn(name, F.greatest(F.max(value).over(inside), F.col("__before"))).drop("__part", "__p", "__before")
+
+
 def average_precision(df: DataFrame, by: list[str] | None = None, score: str = "score", label: str = "label") -> DataFrame:
     """Step-wise area under precision and recall over the distinct scores; 0 without positives."""
     c = _curve(df, by or [], score, label)
@@ -241,17 +254,18 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 200, le
     return _interval(stats, level).crossJoin(estimate).select("estimate", "low", "high")
 
 
-def bootstrap_metric(df: DataFrame, key: str, metric: str = "recall", threshold: float = 0.5, resamples: int = 200, level: float = 0.95, seed: int = 42, score: str = "score", label: str = "label") -> DataFrame:
-    """Percentile interval of a rate of the confusion matrix over replicates of whole rows: any of RATES."""
+def bootstrap_metric(df: DataFrame, key: str, metric: str = "recall", threshold: float = 0.5, resamples: int = 200, level: float = 0.95, seed: int = 42, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """Percentile interval of a rate of the confusion matrix over replicates of whole rows, per group if asked: any of RATES."""
     if metric not in RATES:
         raise ValueError(f"metric must be one of {sorted(RATES)}")
     hit, fraud = F.col(score) >= threshold, F.col(label) == 1
-    reps = _replicated(df, key, resamples, seed, hit.alias("hit"), fraud.alias("fraud"))
+    by = by or []
+    reps = _replicated(df, key, resamples, seed, hit.alias("hit"), fraud.alias("fraud"), *map(F.col, by))
     cell = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
     h, f = F.col("hit"), F.col("fraud")
-    sums = reps.groupBy("b").agg(cell(h & f).alias("tp"), cell(h & ~f).alias("fp"), cell(~h & f).alias("fn"), cell(~h & ~f).alias("tn"))
+    sums = reps.groupBy(*by, "b").agg(cell(h & f).alias("tp"), cell(h & ~f).alias("fp"), cell(~h & f).alias("fn"), cell(~h & ~f).alias("tn"))
     stat = RATES[metric](*(F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn")))
-    return _interval(sums.select(stat.alias("stat")), level).select(F.lit(metric).alias("metric"), "low", "high")
+    return _interval(sums.select(*by, stat.alias("stat")), level, by).select(*by, F.lit(metric).alias("metric"), "low", "high")
 
 
 #: Rates of a confusion matrix; over nothing they are 0.
@@ -269,9 +283,9 @@ RATES = {
 }
 
 
-def _interval(stats: DataFrame, level: float) -> DataFrame:
+def _interval(stats: DataFrame, level: float, by: list[str] | None = None) -> DataFrame:
     alpha = (1 - level) / 2
-    return stats.agg(F.percentile("stat", alpha).alias("low"), F.percentile("stat", 1 - alpha).alias("high"))
+    return stats.groupBy(*(by or [])).agg(F.percentile("stat", alpha).alias("low"), F.percentile("stat", 1 - alpha).alias("high"))
 
 
 def positive_rate(df: DataFrame, label: str = "label") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: What a contribution says, as (features, least value, greatest value, code, message).
 REASONS = [
     (("amount_z_score",), 3.0, None, "unusually_high_transaction_amount", "Unusually high transaction amount"),
     (("transaction_amount",), 2000.0, None, "unusually_high_transaction_amount", "Unusually high transaction amount"),
-    (("amount_log1p",), 7.601402334583733, None, "unusually_high_transaction_amount", "Unusually high transaction amount"),
+    (("amount_log1p",), math.log1p(2000), None, "unusually_high_transaction_amount", "Unusually high transaction amount"),
     (("device_novelty",), 1.0, None, "first_transaction_from_device", "First transaction from this device"),
     (("impossible_travel",), None, None, "geographically_impossible_travel", "Geographically impossible travel"),
     (("geographic_velocity_kmh",), 900.0, None, "geographically_impossible_travel", "Geographically impossible travel"),
@@ -74,3 +77,17 @@ def agreement(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 def summary_sentence(probability: Column, messages: Column) -> Column:
     return F.format_string("Risk probability %.3f. Key indicators: %s.", probability, F.array_join(messages, "; "))
+
+
+def background_means(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean of each numeric column, which stands for "not known" in explanations by removal."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    return df.agg(*[F.avg(c).alias(c) for c in columns if c in numeric])
+
+
+def against_background(rows: DataFrame, background: DataFrame, column: str) -> DataFrame:
+    """rows with one column set to its background mean; a column without one keeps its values."""
+    if column not in background.columns:
+        return rows
+    mean = background.select(F.col(column).alias("__mean"))
+    return rows.crossJoin(F.broadcast(mean)).withColumn(column, F.col("__mean")).drop("__mean")  # one row

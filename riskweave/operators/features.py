@@ -20,6 +20,7 @@ REQUIRED = (
     "card_present", "latitude", "longitude", "event_time",
 )
 
+#: Names of the features.
 FEATURES = (
     "event_hour", "event_day_of_week", "is_weekend", "is_night", "amount_log1p", "is_refund", "is_cash_withdrawal", "is_card_present",
     "customer_prior_transaction_count", "customer_prior_amount_sum", "customer_prior_amount_mean", "customer_prior_amount_max", "customer_prior_amount_std",
@@ -147,7 +148,7 @@ def behavioural_features(events: DataFrame, history_seconds: int | None = None)
 
 def rule_score() -> Column:
     """Transparent rules over the features, summed and cut at 1."""
-    rules = [
+    rules = [  # fixed values: what each rule adds
         (F.col("amount_z_score") >= 3, 0.35),
         (F.col("customer_seconds_since_previous").between(0, 60), 0.25),
         (F.col("device_novelty") == 1, 0.20),

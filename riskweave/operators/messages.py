@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.scalars import uuid5
 from riskweave.operators.decisions import Policy
 
+#: Versions that messages carry.
 SCHEMA_VERSION = "phase6-v1"
 VALIDATION_VERSION = "phase2-validation-v1"
 #: Topics and what keys their messages.
@@ -134,7 +135,7 @@ def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("validation_error is null"), rows.where("validation_error is not null")
 
 
-def dead_letters(malformed: DataFrame, failed_at: Column, attempts: int = 1) -> DataFrame:
+def dead_letters(malformed: DataFrame, failed_at: Column, attempts: Column | int = 1) -> DataFrame:
     """(key, value) of dead letters; ids follow from the source position, so a replay sends the same ones."""
     spot = F.concat_ws(":", F.lit("riskweave:dead-letter"), "source_topic", F.col("source_partition").cast("string"), F.col("source_offset").cast("string"))
     key = F.coalesce(F.nullif(F.col("source_key"), F.lit("")), uuid5(spot))
@@ -142,7 +143,7 @@ def dead_letters(malformed: DataFrame, failed_at: Column, attempts: int = 1) ->
         uuid5(spot).alias("message_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), failed_at.alias("produced_at"), F.lit(None).cast("string").alias("correlation_id"),
         F.col("source_topic").alias("original_topic"), F.col("source_partition").alias("original_partition"), F.col("source_offset").alias("original_offset"), F.col("source_key").alias("original_key"),
         F.substring(F.coalesce("raw", F.lit("")), 1, PAYLOAD_LIMIT).alias("raw_payload"), F.lit("ValidationError").alias("error_type"), F.substring("validation_error", 1, ERROR_LIMIT).alias("error_message"),
-        F.lit(attempts).alias("attempts"), failed_at.alias("failed_at"),
+        (attempts if isinstance(attempts, Column) else F.lit(attempts)).cast("int").alias("attempts"), failed_at.alias("failed_at"),
     )
     return malformed.select(key.alias("key"), F.to_json(message, _JSON).alias("value"))
 
@@ -192,30 +193,44 @@ def audit_messages(accepted: DataFrame) -> DataFrame:
     return both.select(F.col("customer_id").alias("key"), F.to_json("m", _JSON).alias("value"))
 
 
-def validated_audits(valid: DataFrame) -> DataFrame:
-    """(key, value) of the audits of a relay that found rows valid."""
+def _stated(df: DataFrame, name: str) -> Column:
+    """A field of the envelope where the rows have it."""
+    return (F.col(name) if name in df.columns else F.lit(None).cast("string")).alias(name)
+
+
+def _audit_of(df: DataFrame, source: str, kind: str, event_type: str, status: Column, topic: str, details: Column) -> DataFrame:
+    """(key, value) of an audit per row, with all fields of its contract; its id follows from the source column."""
     m = F.struct(
-        derived_id(F.col("message_id"), "audit-validated").alias("message_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("produced_at"), F.col("correlation_id"), F.lit("validated").alias("event_type"),
-        F.lit("accepted").alias("status"), F.lit("transactions").alias("source_topic"), F.col("event_id"), F.col("transaction_id"), F.create_map(F.lit("validation_version"), F.lit(VALIDATION_VERSION)).alias("details"),
+        derived_id(F.col(source), kind).alias("message_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), _stated(df, "produced_at"), _stated(df, "correlation_id"), F.lit(event_type).alias("event_type"),
+        status.alias("status"), F.lit(topic).alias("source_topic"), F.col("event_id"), F.col("transaction_id"), details.alias("details"),
     )
-    return valid.select(F.col("event_id").alias("key"), F.to_json(m, _JSON).alias("value"))
+    return df.select(F.col("event_id").alias("key"), F.to_json(m, _JSON).alias("value"))
+
+
+def validated_audits(valid: DataFrame) -> DataFrame:
+    """(key, value) of the audits of a relay that found rows valid."""
+    return _audit_of(valid, "message_id", "audit-validated", "validated", F.lit("accepted"), "transactions", F.create_map(F.lit("validation_version"), F.lit(VALIDATION_VERSION)))
 
 
 def ignored_audits(rejected: DataFrame) -> DataFrame:
-    m = F.struct(
-        derived_id(F.col("event_id"), "audit-ignored").alias("message_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("ignored").alias("event_type"), F.col("reason").alias("status"),
-        F.lit("validated_transactions").alias("source_topic"), F.col("event_id"), F.col("transaction_id"), F.create_map(F.lit("reason"), F.col("reason")).alias("details"),
-    )
-    return rejected.select(F.col("event_id").alias("key"), F.to_json(m, _JSON).alias("value"))
+    """Audits of events that a stream set aside, with the reason."""
+    return _audit_of(rejected, "event_id", "audit-ignored", "ignored", F.col("reason"), "validated_transactions", F.create_map(F.lit("reason"), F.col("reason")))
 
 
 def feedback_audits(feedback: DataFrame) -> DataFrame:
     """Audits of analysts' feedback; unknown outcomes are left out."""
-    m = F.struct(
-        derived_id(F.col("message_id"), "audit-feedback").alias("message_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("feedback_received").alias("event_type"), F.col("outcome").alias("status"),
-        F.lit("feedback").alias("source_topic"), F.col("event_id"), F.col("transaction_id"), F.create_map(F.lit("analyst_id"), F.col("analyst_id")).alias("details"),
-    )
-    return feedback.where(F.col("outcome").isin(*OUTCOMES)).select(F.col("event_id").alias("key"), F.to_json(m, _JSON).alias("value"))
+    known = feedback.where(F.col("outcome").isin(*OUTCOMES))
+    return _audit_of(known, "message_id", "audit-feedback", "feedback_received", F.col("outcome"), "feedback", F.create_map(F.lit("analyst_id"), F.col("analyst_id")))
+
+
+def failure_outcomes(records: DataFrame, failures: Column, most: int = 3) -> DataFrame:
+    """records with `outcome` and `attempts`. Those with a validation_error are dead letters at the first attempt; others are
+    tried until they pass, `most` times at most. failures: how often handling a record fails, null for never."""
+    if most < 1:
+        raise ValueError("a record is tried once at least")
+    bad, fails = F.col("validation_error").isNotNull(), F.coalesce(failures, F.lit(0))
+    lost = bad | (fails >= most)
+    return records.withColumns({"outcome": F.when(lost, "dead_letter").otherwise("processed"), "attempts": F.when(bad, 1).otherwise(F.least(fails + 1, F.lit(most))).cast("int")})
 
 
 def serving_events(records: DataFrame, fields: list[str]) -> DataFrame:

@@ -16,12 +16,22 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import unit_clip
 from riskweave.operators import evaluation as E
+from riskweave.operators.decisions import combination_scores
 from riskweave.operators.features import FEATURES
 
 #: What models may see: features only, never ids, labels, times or places.
 MODEL_INPUTS = tuple(FEATURES)
 
 
+def model_inputs(df: DataFrame, inputs: list[str], key: str = "event_id") -> DataFrame:
+    """The key and what a model may see; anything else is an error, as are inputs that df lacks."""
+    if refused := sorted(set(inputs) - set(MODEL_INPUTS)):
+        raise ValueError(f"models may not see: {', '.join(refused)}")
+    if missing := sorted(set(inputs) - set(df.columns)):
+        raise ValueError(f"missing inputs: {', '.join(missing)}")
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in inputs])
+
+
 def one_hot(df: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
     """df with a 0/1 column per known category; unseen and null ones are all zeros."""
     cols = {f"{c}_{v.lower()}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c, vs in vocabulary.items() for v in vs}
@@ -277,20 +287,35 @@ def metadata(df: DataFrame, seed: int, version: str) -> DataFrame:
     return manifest(df, version, "run", "features-1").withColumns({"spark_version": F.lit(__version__), "numpy_version": F.lit(np.__version__), "seed": F.lit(seed)})
 
 
-def research_run(df: DataFrame, inputs: list[str], thresholds: list[float] | None = None, names: tuple[str, ...] = ("logistic_regression", "random_forest")) -> dict[str, DataFrame]:
-    """Result tables of models on the test part: metrics, thresholds, reliability, errors, segments; each over all models at once."""
+def research_run(df: DataFrame, inputs: list[str], thresholds: list[float] | None = None, names: tuple[str, ...] = ("logistic_regression", "random_forest"), resamples: int = 200) -> dict[str, DataFrame]:
+    """Result tables of models on the test part: metrics with intervals of precision and recall, thresholds, reliability,
+    errors, segments, and ablation over combinations of the models and the rules; each over all models at once."""
     grid = thresholds or [0.3, 0.4, 0.5, 0.6, 0.7]
-    models, metrics, _ = train_baselines(df, inputs, names, threshold=grid[len(grid) // 2])
+    middle = grid[len(grid) // 2]
+    models, metrics, skipped = train_baselines(df, inputs, names, threshold=middle)
     test = E.chronological_split(df, "us", "event_id").where("split = 'test'")
     scores = None
     for name, m in models.items():
         one = scored_by(m, test).withColumn("model", F.lit(name))
         scores = one if scores is None else scores.unionByName(one)
     scores = scores.persist()
+    bounds = [E.bootstrap_metric(scores, "event_id", m, middle, resamples, by=["model"]) for m in ("precision", "recall")]
+    first = next(iter(models))
+    sources = scores.where(F.col("model") == first).withColumn("supervised", F.col("score"))
+    available = ("supervised", "rules") if "rule_score" in df.columns else ("supervised",)
+    if "rules" in available:
+        sources = sources.withColumn("rules", F.col("rule_score"))
+    combined, unmade = combination_scores(sources, "event_id", available)
+    truth = sources.select(F.col("event_id").alias("__id"), "label", "transaction_amount")
+    combined = combined.join(truth, F.col("event_id") == F.col("__id")).drop("__id")
+    why = [(k, v) for k, v in (skipped | unmade).items()]
     return {
         "metrics": metrics,
+        "intervals": bounds[0].unionByName(bounds[1]),
         "thresholds": E.threshold_metrics(scores, grid, ["model"], amount="transaction_amount"),
         "reliability": E.reliability(scores, by=["model"]),
         "errors": E.errors(scores, "event_id"),
-        "segments": E.threshold_metrics(scores, grid[len(grid) // 2], ["model", "country"], amount="transaction_amount"),
+        "segments": E.threshold_metrics(scores, middle, ["model", "country"], amount="transaction_amount"),
+        "ablation": E.threshold_metrics(combined, middle, ["combination"], amount="transaction_amount").join(E.average_precision(combined, ["combination"]), "combination"),
+        "skipped": df.sparkSession.createDataFrame(why, "name string, reason string"),
     }

@@ -83,7 +83,3 @@ def k13_permutation_importance(spark, sf_dir):
     model, parts = _fitted(spark, sf_dir)
     return ml.permutation_importance(model, parts.where("split = 'validation'"), "event_id", INPUTS)
 
-
-@query
-def k17_run_metadata(spark, sf_dir):
-    return ml.metadata(rows(spark, sf_dir), 42, "v1")

@@ -467,7 +467,7 @@ def scaled(spark, sf_dir):
 
 @query("d33_background_means", with_txn(" SELECT round(avg(transaction_amount), 6) AS transaction_amount, round(avg(latitude), 6) AS latitude, round(avg(k), 6) AS k FROM txn"))
 def background(spark, sf_dir):
-    return rounded(txn(spark, sf_dir).agg(*[F.avg(c).alias(c) for c in ("transaction_amount", "latitude", "k")]))
+    return rounded(X.background_means(txn(spark, sf_dir), ["transaction_amount", "latitude", "k", "country"]))
 
 
 @query("d34_latency_summary", with_txn(" SELECT count(*) AS samples, round(min(v), 6) AS minimum, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(max(v) FILTER (r = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT)), 6) AS p95, round(max(v) FILTER (r = CAST(round_even((n - 1) * 0.99, 0) AS BIGINT)), 6) AS p99, round(count(*) / sum(v), 6) AS throughput FROM l", "l AS (SELECT transaction_amount / 1000 AS v, row_number() OVER (ORDER BY transaction_amount) - 1 AS r, count(*) OVER () AS n FROM txn)"))
@@ -554,11 +554,6 @@ def missing(spark, sf_dir):
     return rounded(R.quality_profile(df).select(F.explode("missing_rate").alias("m")).select("m.column", "m.rate"))
 
 
-@query("d30_dataset_manifest")
-def manifest(spark, sf_dir):
-    return R.manifest(txn(spark, sf_dir), "v1", "events", "features-1")
-
-
 @query("d37_promotion_gate", with_scores(""" SELECT metric, round(observed, 6) AS observed, required, kind, coalesce(CASE kind WHEN 'min' THEN observed >= required ELSE observed <= required END, false) AS passed FROM (VALUES ('recall', 'min', CAST(0.1 AS DOUBLE)), ('precision', 'min', 0.9), ('expected_cost', 'max', 1e9), ('ece', 'max', 0.1)) c(metric, kind, required) LEFT JOIN (
   SELECT 'recall' AS metric, tp / (tp + fn) AS observed FROM m WHERE threshold = 0.35 UNION ALL SELECT 'precision', tp / (tp + fp) FROM m WHERE threshold = 0.35 UNION ALL SELECT 'expected_cost', fp * 3.0 + missed_amount + (tp + fp) * 0.75 FROM m WHERE threshold = 0.35) o USING (metric)""", _M.format(extra="", by="")))
 def promotion(spark, sf_dir):
@@ -656,7 +651,7 @@ def totals(spark, sf_dir):
 
 @query("b13_transaction_filter", with_scores(" SELECT event_id FROM actions WHERE event_id LIKE '%00%' AND risk_tier = 'medium' AND country = 'US' AND transaction_amount BETWEEN 100 AND 5000", _DECIDED))
 def filtered(spark, sf_dir):
-    return V.filter_transactions(decided(spark, sf_dir).select("event_id", "risk_tier", "country", "transaction_amount"), "EVENT-00", "Medium", "All", "US", 100, 5000).select("event_id")
+    return V.filter_transactions(decided(spark, sf_dir).select("event_id", "risk_tier", "country", "transaction_amount"), "EVENT-00", risk_tier="Medium", alert_status="All", country="US", minimum=100, maximum=5000).select("event_id")
 
 
 @query("b14_history_search", with_txn(" SELECT event_id FROM txn WHERE merchant_id = 'merchant-003' AND (transaction_id LIKE '%0_1%' OR event_id LIKE '%0_1%' OR customer_id LIKE '%0_1%' OR merchant_id LIKE '%0_1%')"))
@@ -832,11 +827,6 @@ def keys(spark, sf_dir):
     return df.select("event_id", "topic", key.alias("key"))
 
 
-@query("a24_partition_index")
-def partition_index(spark, sf_dir):
-    return txn(spark, sf_dir).select("event_id", M.partition_for(F.col("customer_id"), 6).alias("partition"))
-
-
 @query("a22_prediction_round_trip", with_scores(" SELECT event_id, customer_id, score AS calibrated_probability, 'rules-1' AS model_version, CAST(k AS DOUBLE) AS feature_k FROM scores"))
 def round_trip(spark, sf_dir):
     """Encode, then decode by the topic's schema."""
@@ -999,3 +989,6 @@ def one_hot(spark, sf_dir):
     from riskweave.operators.ml import one_hot as encode
 
     return encode(txn(spark, sf_dir), {"country": ["GB", "US"]}).select("event_id", "country_us", "country_gb")
+
+
+from riskweave.plans import contract_queries  # noqa: E402, F401  registers its queries here

@@ -8,8 +8,11 @@ from datetime import UTC, datetime
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from riskweave.operators.contracts import first_wins
+from riskweave.operators.evaluation import with_running_maximum
 from riskweave.operators.features import FEATURES, FLAT, REQUIRED, SPANS
 
 SECOND = 1_000_000
@@ -146,10 +149,44 @@ def stateful_features(events: DataFrame, lateness_seconds: float = 900, retentio
     return events.groupBy("customer_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if expire_idle else "None")
 
 
+def replayed_globally(events: DataFrame, arrival: list[str], lateness_seconds: float = 900, retention_seconds: float = 30 * 86_400) -> DataFrame:
+    """A bounded table replayed in order of arrival under one watermark for all customers, with 30 days of history.
+
+    The watermark is the latest event time so far less the lateness; events before it are beyond it, unless their id was
+    accepted earlier, which makes them duplicates. A repeated id must carry its first event's time. `arrival` must be a
+    total order. The running maximum is taken over ranges of arrivals and shifted, so no task sees all rows; features see
+    what had arrived of the customer.
+    """
+    order = F.struct(*arrival)
+    marked = with_running_maximum(events, order, "us", "__latest").withColumn("__late", F.col("us") < F.col("__latest") - int(lateness_seconds * SECOND))
+    fine = first_wins(marked.where("not __late").withColumn("__order", order), "__order").drop("__order")
+    good = fine.where("not duplicate").drop("duplicate")
+    keys = [F.col(k) for k in ("event_id", "transaction_id")]
+    taken = [good.where(k.isNotNull()).groupBy(k.alias("__k")).agg(F.min(order).alias("__first")) for k in keys]
+    late = marked.where("__late")
+    for n, (k, t) in enumerate(zip(keys, taken, strict=True)):
+        late = late.join(t.select("__k", F.col("__first").alias(f"__first{n}")), k == F.col("__k"), "left").drop("__k")
+    seen = F.coalesce(F.col("__first0") < order, F.lit(False)) | F.coalesce(F.col("__first1") < order, F.lit(False))
+    late = late.withColumn("reason", F.when(seen, "duplicate_event").otherwise("event_beyond_watermark"))
+    rejected = fine.where("duplicate").withColumn("reason", F.lit("duplicate_event")).select(*events.columns, "reason").unionByName(late.select(*events.columns, "reason"))
+    shown = ["customer_id", "event_id", "transaction_id", "correlation_id", "us", "transaction_amount", "transaction_type"]
+    none = [F.lit(None).cast("double").alias(f) for f in FEATURES]
+    refused = rejected.select(*shown, F.lit(False).alias("accepted"), "reason", *none, *arrival)
+    kinds = dict(events.dtypes)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(arrival, kind="stable")
+        found = pd.DataFrame(_rows(key[0], Customer(1 << 62, int(retention_seconds * SECOND)), pdf, arrival), columns=_columns())
+        return found.assign(**{c: pdf[c].to_numpy() for c in arrival})
+
+    out = good.drop("__latest", "__late").groupBy("customer_id").applyInPandas(run, OUTPUT + "".join(f", {c} {kinds[c]}" for c in arrival))
+    return out.unionByName(refused)
+
+
 def replayed(events: DataFrame, arrival: str, lateness_seconds: float = 900, retention_seconds: float = 86_400) -> DataFrame:
     """The same policy over a table, each customer's events in order of arrival."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         policy = Customer(int(lateness_seconds * SECOND), int(retention_seconds * SECOND))
         return pd.DataFrame(_rows(key[0], policy, pdf, [arrival, "event_id"]), columns=_columns())
 
