@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskweave.operators import messages as M
 from riskweave.operators.decisions import Policy, decide
 from riskweave.operators.features import rule_score
-from riskweave.operators.views import outcome_counters
+from riskweave.operators.views import accepted_rows, outcome_counters
 from riskweave.operators.windows import window_metrics
 from riskweave.sources.files import append_log, write_batch
 from riskweave.sources.logs import write_log_files
@@ -48,7 +49,7 @@ def write_predictions(out: str, policy: Policy = Policy(), features: tuple[str,
         rows = batch.withColumn("produced_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).persist()
         try:
             write_batch(rows, batch_id, f"{out}/predictions")
-            good = rows.where("accepted")
+            good = accepted_rows(rows)
             names = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))
             sent = M.sink_frame(M.prediction_messages(good, names), "predictions").unionByName(M.sink_frame(M.alert_messages(good, policy), "alerts"))
             sent = sent.unionByName(M.sink_frame(M.audit_messages(good), "audit")).unionByName(M.sink_frame(M.ignored_audits(rows.where("not accepted")), "audit"))
@@ -60,6 +61,24 @@ def write_predictions(out: str, policy: Policy = Policy(), features: tuple[str,
     return write
 
 
+def retried(write: Callable[[DataFrame, int], None], dead: Callable[[DataFrame, int, int, Exception], None], most: int = 3, pause: float = 0.5) -> Callable[[DataFrame, int], None]:
+    """A batch writer that is tried again after a pause that doubles, and gives the batch to dead(batch, id, attempts, why) when
+    it fails for the last time. If that fails too the error is raised, so a batch is done only when it is written somewhere."""
+    if most < 1:
+        raise ValueError("a batch is tried once at least")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        for attempt in range(1, most + 1):
+            try:
+                return write(batch, batch_id)
+            except Exception as why:  # noqa: BLE001  whatever a sink raises
+                if attempt == most:
+                    return dead(batch, batch_id, attempt, why)
+                time.sleep(pause * 2 ** (attempt - 1))
+
+    return run
+
+
 def write_branch(out: str, topic: str, shape: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     return lambda batch, batch_id: write_log_files(M.sink_frame(shape(batch), topic), batch_id, out)
 

@@ -82,6 +82,7 @@ class Customer:
     def __init__(self, lateness_us: int, retention_us: int, held: list[dict] | None = None, latest: int | None = None):
         self.lateness, self.retention = lateness_us, retention_us
         self.held, self.latest = held or [], latest
+        self.before = {(p["us"], p["event_id"]) for p in self.held}
         self.events = {p["event_id"] for p in self.held}
         self.transactions = {p["transaction_id"] for p in self.held}
 
@@ -99,6 +100,12 @@ class Customer:
         return True, None, out
 
 
+    def changes(self) -> tuple[list[dict], set[tuple[int, str]]]:
+        """Events that came to be held, and keys of those that no longer are."""
+        now = {(p["us"], p["event_id"]) for p in self.held}
+        return [p for p in self.held if (p["us"], p["event_id"]) not in self.before], self.before - now
+
+
 def _rows(customer: str, policy: Customer, pdf: pd.DataFrame, order: list[str]) -> list[dict]:
     out = []
     for event in pdf.sort_values(order, kind="stable").to_dict("records"):
@@ -113,23 +120,27 @@ def _columns() -> list[str]:
 
 
 class FeatureProcessor(StatefulProcessor):
-    """Customer over Spark's state: a list of held events and the latest time; if `expire`, dropped after the retention
-    without an event."""
+    """Customer over Spark's state: held events in a map by time and id, of which a batch writes only what it adds and drops, and
+    the latest time; if `expire`, dropped after the retention without an event."""
 
     def __init__(self, lateness_us: int, retention_us: int, expire: bool):
         self.lateness, self.retention, self.expire = lateness_us, retention_us, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = {"ttlDurationMs": max(1, self.retention // 1000)} if self.expire else {}
-        self.held = handle.getListState("held", _HELD, **ttl)
+        self.held = handle.getMapState("held", "us bigint, event_id string", _HELD, **ttl)
         self.latest = handle.getValueState("latest", "us bigint", **ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(_NAMES, r, strict=True)) for r in self.held.get()]
+        held = [dict(zip(_NAMES, r, strict=True)) for _, r in self.held.iterator()]
         policy = Customer(self.lateness, self.retention, held, self.latest.get()[0] if self.latest.exists() else None)
         batch = pd.concat(list(rows), ignore_index=True)
         out = _rows(key[0], policy, batch, ["us", "event_id"])
-        self.held.put([tuple(p[n] for n in _NAMES) for p in policy.held])
+        added, dropped = policy.changes()
+        for p in added:
+            self.held.updateValue((p["us"], p["event_id"]), tuple(p[n] for n in _NAMES))
+        for k in dropped:
+            self.held.removeKey(k)
         if policy.latest is not None:
             self.latest.update((int(policy.latest),))
         yield pd.DataFrame(out, columns=_columns())
