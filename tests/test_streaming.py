@@ -87,3 +87,80 @@ def test_jobs_end_to_end_and_replay(spark, sf, tmp_path):
     totals = jobs.running_metrics(spark.read.json(f"{tmp_path}/a/counters")).first()
     assert totals["processed"] == accepted.count()
     assert spark.read.parquet(f"{tmp_path}/a/windows").count() >= 0
+
+
+def test_windows_drop_late_rows_and_come_out_when_they_are_over(spark, tmp_path):
+    """Three files, one a batch: the second moves the watermark over the first's windows; the third is late for them."""
+    from riskweave.operators.windows import merchant_windows
+
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for rows in ([event(1, 0), event(2, 5, customer_id="d")], [event(3, 240)], [event(4, 10), event(5, 241)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SCHEMA).parquet(folder).withColumn("event_time", F.timestamp_micros("us"))
+        q = merchant_windows(stream, watermark="15 minutes").writeStream.option("checkpointLocation", f"{out}/cp").outputMode("append").trigger(availableNow=True).format("parquet").start(f"{out}/rows")
+        q.awaitTermination(240)
+        q.stop()
+    got = spark.read.parquet(f"{out}/rows").selectExpr("unix_micros(window_start) as start", "transaction_count", "unique_customers").collect()
+    start = event(0, 0)[-1]
+    assert [(r["start"], r["transaction_count"], r["unique_customers"]) for r in got] == [(start, 2, 2)]  # the hour of the third is still open
+
+
+def test_idle_customers_expire(spark, tmp_path):
+    """After the retention without an event the state is gone: the same event is new again."""
+    import time
+
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.createDataFrame([event(1, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).parquet(folder)
+    q = stateful_features(stream, retention_seconds=4, expire_idle=True).writeStream.option("checkpointLocation", f"{out}/cp").outputMode("append").trigger(processingTime="1 second").format("parquet").start(f"{out}/rows")
+
+    def taken(n):
+        end = time.time() + 120
+        while time.time() < end:
+            try:
+                if spark.read.schema("accepted boolean").parquet(f"{out}/rows").count() >= n:
+                    return
+            except Exception:  # noqa: BLE001  no file yet
+                pass
+            time.sleep(0.5)
+
+    try:
+        taken(1)
+        spark.createDataFrame([event(1, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        taken(2)
+        time.sleep(8)
+        spark.createDataFrame([event(1, 0)], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        taken(3)
+    finally:
+        q.stop()
+    reasons = [r["reason"] for r in spark.read.parquet(f"{out}/rows").collect()]
+    assert len(reasons) == 3 and reasons.count(None) >= 2
+
+
+def test_state_writes_only_what_changes():
+    from riskweave.streaming.state import _NAMES, Customer
+
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    rows = [dict(zip(names, event(k, m), strict=True)) for k, m in ((1, 0), (2, 5), (3, 70))]
+    policy = Customer(900_000_000, 3_600_000_000, [{n: rows[0][n] for n in _NAMES}], rows[0]["us"])
+    assert all(policy.take(r)[0] for r in rows[1:])
+    added, dropped = policy.changes()
+    assert [p["event_id"] for p in added] == ["e3"] or [p["event_id"] for p in added] == ["e2", "e3"]
+    assert dropped == {(rows[0]["us"], "e1")}
+
+
+def test_batches_are_tried_again_and_then_set_aside():
+    calls, lost = [], []
+
+    def write(batch, batch_id):
+        calls.append(batch_id)
+        if batch_id == 7 or len(calls) < 2:
+            raise OSError("down")
+
+    run = jobs.retried(write, lambda b, i, attempts, why: lost.append((i, attempts, str(why))), most=3, pause=0.0)
+    run(None, 1)
+    assert calls == [1, 1] and not lost
+    run(None, 7)
+    assert calls == [1, 1, 7, 7, 7] and lost == [(7, 3, "down")]
+    with pytest.raises(ValueError):
+        jobs.retried(write, None, most=0)
