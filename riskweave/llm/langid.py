@@ -25,7 +25,7 @@ UNKNOWN = 1e-8
 #: Words whose likelihoods a worker keeps, and documents whose words are looked up at once.
 CACHE = 400_000
 BATCH = 500
-#: Letters of a word whose sum needs no scaling, and of which words are summed many at a time: the commonest in the pieces.
+#: Letters of a word whose sum needs no scaling, and of which words are summed many at a time: those of the likeliest pieces.
 SHORT = 28
 LETTERS = 64
 #: Places between two scalings of a longer word's sums; a piece is no longer.
@@ -100,8 +100,12 @@ class _Tree:
     """The pieces as a tree of letters, by which the sums of many runs advance together."""
 
     def __init__(self, table: dict[str, tuple], languages: int):
-        common = Counter(c for p in table for c in p).most_common(LETTERS)
-        self.letters = {c: k for k, (c, _) in enumerate(common)}
+        weight: Counter[str] = Counter()
+        for piece, p in table.items():
+            for c in piece:
+                weight[c] += sum(p)
+        common = [c for c, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
+        self.letters = {c: k for k, c in enumerate(common)}
         self.codes = {ord(c): chr(k) for c, k in self.letters.items()}
         self.known = frozenset(self.letters)
         follows, self.odds = [[0] * len(common)], [(0.0,) * languages]
@@ -270,7 +274,7 @@ class _Scorer:
         known: dict[str, int] = {}
         owner, run = [], []
         for k, word in enumerate(words):
-            for r in runs_of(word):
+            for r in (_START + word,) if word.isalpha() else runs_of(word):  # words come in lower case
                 owner.append(k), run.append(known.setdefault(r, len(known)))
         rows = np.zeros((len(words), self.n + 1))
         if known and self.n:
