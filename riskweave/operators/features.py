@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import calendar, haversine_km, micros, ratio, unit_clip
 
 SECOND = 1_000_000
+#: Features of the event alone.
+_OF_EVENT = frozenset(("event_hour", "event_day_of_week", "is_weekend", "is_night", "amount_log1p", "is_refund", "is_cash_withdrawal", "is_card_present"))
 SPANS = {"10m": 600 * SECOND, "1h": 3600 * SECOND, "24h": 86_400 * SECOND}
 #: Weight of an event in the moving average, and events per block of its running sums: powers stay within doubles, and an
 #: event two blocks back weighs less than a double's last bit.
@@ -34,6 +36,25 @@ FEATURES = (
 )
 
 
+#: Version of the features' definitions, which scored rows and messages carry.
+FEATURE_VERSION = "features-1"
+
+
+def feature_registry(spark: SparkSession, version: str = FEATURE_VERSION) -> DataFrame:
+    """A row per feature: name, version, where it comes from, whether it looks only at earlier events, and whether the stream
+    computes it too. Both hold for all of them; tests compare stream and batch feature by feature."""
+    rows = [(name, version, "event" if name in _OF_EVENT else "event_and_customer_history", True, True) for name in FEATURES]
+    return spark.createDataFrame(rows, "name string, version string, source string, point_in_time_safe boolean, online_supported boolean")
+
+
+def require_version(rows: DataFrame, version: str = FEATURE_VERSION, column: str = "feature_version") -> DataFrame:
+    """rows, if all carry this version of the features; an error names those that don't."""
+    others = [r[0] for r in rows.select(column).where(~F.col(column).eqNullSafe(version)).distinct().limit(5).collect()]
+    if others:
+        raise ValueError(f"features of other versions: {', '.join(map(str, others))}")
+    return rows
+
+
 def require_columns(df: DataFrame, names) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:

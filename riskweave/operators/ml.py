@@ -56,17 +56,17 @@ def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.crossJoin(F.broadcast(rate)).withColumn("weight", F.coalesce(weight, F.lit(1.0))).drop("__r")
 
 
-def pipeline(name: str, inputs: list[str], seed: int = 42, label: str = "label") -> Pipeline:
-    """logistic_regression (standardised), random_forest or boosted_trees, on weighted rows."""
+def pipeline(name: str, inputs: list[str], seed: int = 42, label: str = "label", trees: int = 150) -> Pipeline:
+    """logistic_regression (standardised), random_forest or boosted_trees, on weighted rows. trees: of a forest, or rounds."""
     assemble = VectorAssembler(inputCols=inputs, outputCol="raw_inputs", handleInvalid="keep")
     common = {"labelCol": label, "weightCol": "weight", "featuresCol": "raw_inputs"}
     if name == "logistic_regression":
         scale = StandardScaler(inputCol="raw_inputs", outputCol="inputs", withMean=True, withStd=True)
         return Pipeline(stages=[assemble, scale, LogisticRegression(**common | {"featuresCol": "inputs"}, maxIter=100)])
     if name == "random_forest":
-        return Pipeline(stages=[assemble, RandomForestClassifier(**common, numTrees=150, seed=seed)])
+        return Pipeline(stages=[assemble, RandomForestClassifier(**common, numTrees=trees, seed=seed)])
     if name == "boosted_trees":
-        return Pipeline(stages=[assemble, GBTClassifier(**common, maxIter=150, maxDepth=4, stepSize=0.05, subsamplingRate=0.85, seed=seed)])
+        return Pipeline(stages=[assemble, GBTClassifier(**common, maxIter=trees, maxDepth=4, stepSize=0.05, subsamplingRate=0.85, seed=seed)])
     raise ValueError(f"unknown model: {name}")
 
 
@@ -84,7 +84,7 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def train_baselines(df: DataFrame, inputs: list[str], names: tuple[str, ...] = ("logistic_regression", "random_forest"), time: str = "us", tie: str = "event_id", threshold: float = 0.5) -> tuple[dict[str, PipelineModel], DataFrame, dict[str, str]]:
+def train_baselines(df: DataFrame, inputs: list[str], names: tuple[str, ...] = ("logistic_regression", "random_forest"), time: str = "us", tie: str = "event_id", threshold: float = 0.5, trees: int = 150) -> tuple[dict[str, PipelineModel], DataFrame, dict[str, str]]:
     """Models fitted on the earliest part, metrics on the later ones by model and split, and why models were skipped."""
     parts = E.chronological_split(df, time, tie).persist()
     train = with_class_weights(parts.where("split = 'train'"))
@@ -92,7 +92,7 @@ def train_baselines(df: DataFrame, inputs: list[str], names: tuple[str, ...] = (
     models, skipped, tables = {}, {}, []
     for name in names:
         try:
-            stages = pipeline(name, inputs)
+            stages = pipeline(name, inputs, trees=trees)
         except ValueError as why:
             skipped[name] = str(why)
             continue
@@ -287,12 +287,12 @@ def metadata(df: DataFrame, seed: int, version: str) -> DataFrame:
     return manifest(df, version, "run", "features-1").withColumns({"spark_version": F.lit(__version__), "numpy_version": F.lit(np.__version__), "seed": F.lit(seed)})
 
 
-def research_run(df: DataFrame, inputs: list[str], thresholds: list[float] | None = None, names: tuple[str, ...] = ("logistic_regression", "random_forest"), resamples: int = 200) -> dict[str, DataFrame]:
+def research_run(df: DataFrame, inputs: list[str], thresholds: list[float] | None = None, names: tuple[str, ...] = ("logistic_regression", "random_forest"), resamples: int = 200, trees: int = 150) -> dict[str, DataFrame]:
     """Result tables of models on the test part: metrics with intervals of precision and recall, thresholds, reliability,
     errors, segments, and ablation over combinations of the models and the rules; each over all models at once."""
     grid = thresholds or [0.3, 0.4, 0.5, 0.6, 0.7]
     middle = grid[len(grid) // 2]
-    models, metrics, skipped = train_baselines(df, inputs, names, threshold=middle)
+    models, metrics, skipped = train_baselines(df, inputs, names, threshold=middle, trees=trees)
     test = E.chronological_split(df, "us", "event_id").where("split = 'test'")
     scores = None
     for name, m in models.items():
