@@ -203,7 +203,8 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int = ROUN
     if not sizes:
         return {}
     shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_docs / n))])
-    sample = labelled.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(shares, F.col("lang")) * 1_000_003).select("lang", "text")
+    # as fine as doubles are, so that the share of a huge table is not rounded to nothing
+    sample = labelled.where(F.pmod("h", F.lit(1 << 53)) < F.element_at(shares, F.col("lang")) * float(1 << 53)).select("lang", "text")
 
     def words(batches):
         for pdf in batches:
