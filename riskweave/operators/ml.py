@@ -162,9 +162,13 @@ def isolation_trees(train: DataFrame, inputs: list[str], key: str, trees: int =
     """Trees over bounded samples, each grown in a task of its own; what returns is trees times at most 2 * SAMPLE nodes."""
     n = train.count()
     share = min(1.0, 2.0 * SAMPLE / max(1, n))
-    t = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    u = F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    rows = train.select(key, *inputs, t).where(u < share).withColumn("__u", u)
+
+    def draw(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+
+    # a row is multiplied only by the trees that drew it
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
+    rows = train.select(key, *inputs, F.explode(drawn).alias("tree")).withColumn("__u", draw(F.col("tree")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
