@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 
@@ -30,7 +31,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines by a fixed schema, with `raw_line`, `parse_ok` and a `line_id` that is unique within a read and rises along each
     file, but moves where files are split otherwise; bad lines stay, with null fields."""
     lines = spark.read.text(path).select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_id"))
-    full = StructType(schema.fields).add("_corrupt", "string")
+    full = StructType([*schema.fields]).add("_corrupt", "string")  # a list of its own: add() would change the caller's schema
     parsed = lines.where(F.trim("raw_line") != "").withColumn("r", F.from_json("raw_line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     return parsed.select("line_id", "file", "raw_line", (F.col("r").isNotNull() & F.col("r._corrupt").isNull()).alias("parse_ok"), *[F.col(f"r.{n}").alias(n) for n in schema.names])
 
@@ -47,6 +48,16 @@ def read_records(spark: SparkSession, path: str, schema: StructType | None = Non
     raise ValueError(f"unsupported format: .{kind}")
 
 
+def ingested(spark: SparkSession, path: str, schema: StructType, require_labels: bool = False, allowed_categories: tuple[str, ...] = ()) -> DataFrame:
+    """Records of JSON lines with `record_index` and `issue`, null for valid ones: unreadable lines, broken fields, missing labels
+    and unknown categories where asked for, and repeated ids, as contracts.classified tells them."""
+    from riskweave.operators.contracts import classified, normalised
+
+    rows = read_jsonl(spark, path, schema).withColumnRenamed("line_id", "record_index").drop("file")
+    # parsed once: the rules ask for every field several times
+    return classified(checkpointed(normalised(rows)), "record_index", require_labels, allowed_categories, F.col("parse_ok"))
+
+
 def quarantine_rows(rejected: DataFrame, index: str = "record_index", code: str = "issue", message: Column | None = None, raw: Column | None = None) -> DataFrame:
     """One JSON object per rejected record, as `value`: record_index, code, message, raw_record."""
     message = message if message is not None else F.concat(F.lit("rejected: "), F.col(code))
@@ -81,10 +92,17 @@ def nested(records: DataFrame, event_fields: list[str]) -> DataFrame:
     return records.select(F.struct(*event_fields).alias("event"), F.struct("fraud_label", "fraud_type").alias("ground_truth"))
 
 
-def write_results(tables: dict[str, DataFrame], folder: str) -> None:
-    """A CSV folder per result table, with headers."""
+def write_results(tables: dict[str, DataFrame], folder: str, config: dict | None = None, metadata: DataFrame | None = None) -> None:
+    """A CSV folder per result table, with headers; beside them, where given, the run's configuration as one row of JSON texts by
+    name and its metadata."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+    if config is not None:
+        spark = next(iter(tables.values())).sparkSession
+        rows = [(k, json.dumps(v, sort_keys=True)) for k, v in sorted(config.items())]
+        write_report(spark.createDataFrame(rows, "name string, value string"), f"{folder}/config")
+    if metadata is not None:
+        write_report(metadata, f"{folder}/metadata")
 
 
 def append_log(df: DataFrame, path: str) -> None:
