@@ -294,3 +294,62 @@ def test_exact_windows_count_as_repeated_rows_do(spark, sf):
     names = ("entity_id", "transaction_count", "unique_merchants", "unique_devices")
     want = want.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *names)
     assert got.select("window_start", "window_end", *names).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_stores_keep_history_and_give_the_latest(spark, sf, tmp_path):
+    from riskweave.operators import drift as R
+    from riskweave.sources import stores
+
+    df = txn(spark, sf)
+    kept = stores.manifests(spark, f"{tmp_path}/manifests")
+    assert kept.all().count() == 0 and kept.latest().count() == 0
+    for t, rows in ((1, df), (2, df.where("k > 0")), (3, df)):
+        kept.record(R.manifest(rows, f"v{t}", "events", "features-1"), "events", t)
+    kept.record(R.manifest(df, "v1", "events", "features-1"), "other", 1)
+    one = {r["name"]: r for r in kept.latest().collect()}
+    assert one["events"]["version"] == "v3" and one["other"]["row_count"] == df.count() and [r["version"] for r in kept.history("events").collect()] == ["v1", "v2", "v3"]
+    assert one["events"]["checksum"] == kept.history("events").first()["checksum"]
+    reports = stores.drift_reports(spark, f"{tmp_path}/drift")
+    reports.record(R.drift_report(df.where("k < 50"), df.where("k >= 50"), ["k", "country"]), "halves")
+    assert {r["column"]: r["drifted"] for r in reports.latest("column").collect()}["k"]
+    metrics = stores.run_metrics(spark, f"{tmp_path}/metrics")
+    for t, v in ((1, 0.5), (2, 0.75)):
+        metrics.record(spark.createDataFrame([("recall", v)], "metric string, value double"), "run-1", t)
+    assert metrics.latest("metric").first()["value"] == 0.75
+
+
+def test_ingestion_options(spark, tmp_path):
+    import json
+
+    from pyspark.sql.types import StructType
+
+    good = dict(event_id="e1", transaction_id="t1", customer_id="ccc", account_id="aaa", card_id="ddd", merchant_id="mmm", merchant_category="food", transaction_amount=1.0, currency="usd", transaction_type="purchase", channel="pos", country="us", city="Town",
+                latitude=1.0, longitude=1.0, device_id="ddd", ip_address="192.0.2.1", card_present=True, authentication_method="pin", transaction_status="approved", event_version=1, event_time="2024-01-01T00:00:00Z", ingestion_time="2024-01-01T00:00:01Z", fraud_label=True)
+    rows = [good, good, {**good, "event_id": "e2", "transaction_id": "t2", "fraud_label": None}, {**good, "event_id": "e3", "transaction_id": "t3", "merchant_category": "toys"}, {**good, "event_id": "e4", "transaction_id": "t4", "transaction_amount": -1.0}]
+    path = f"{tmp_path}/in.jsonl"
+    with open(path, "w") as f:
+        f.write("\n".join([*map(json.dumps, rows), "{not json"]))
+    kinds = {"transaction_amount": "double", "latitude": "double", "longitude": "double", "card_present": "boolean", "event_version": "bigint", "fraud_label": "boolean", "event_time": "timestamp", "ingestion_time": "timestamp"}
+    schema = StructType.fromDDL(", ".join(f"{k} {kinds.get(k, 'string')}" for k in good))
+    out = [r["issue"] for r in files.ingested(spark, path, schema).orderBy("record_index").collect()]
+    assert out == [None, "duplicate_event", None, None, "schema_error", "invalid_record"]
+    out = [r["issue"] for r in files.ingested(spark, path, schema, require_labels=True, allowed_categories=("food",)).orderBy("record_index").collect()]
+    assert out == [None, "duplicate_event", "missing_label", "invalid_category", "schema_error", "invalid_record"]
+
+
+def test_results_come_with_config_and_metadata(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    files.write_results({"one": df}, str(tmp_path), {"seed": 42, "names": ["a"]}, df.select("k"))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/one").count() == 1
+    assert {r["name"]: r["value"] for r in spark.read.json(f"{tmp_path}/config").collect()} == {"seed": "42", "names": '["a"]'} and spark.read.json(f"{tmp_path}/metadata").first()["k"] == 1
+
+
+def test_scored_rows_have_sixteen_columns(spark):
+    rows = spark.createDataFrame([("e1", 0.9, 1.0, 0.4), ("e2", 0.0, None, None)], "event_id string, rule_score double, device_novelty double, p double")
+    out = D.scored_rows(rows, ["device_novelty"], F.lit("2024-01-01").cast("timestamp"), calibrated_probability=F.col("p"))
+    assert len(out.columns) == 16 + 3 and out.columns[3:6] == ["prediction_message_id", "prediction_produced_at", "model_probability"]
+    r = {x["event_id"]: x for x in out.collect()}
+    assert r["e1"]["final_risk_score"] == pytest.approx((0.7 * 0.4 + 0.2 * 0.9) / 0.9) and r["e1"]["features_json"] == '{"device_novelty":1.0}' and r["e2"]["features_json"] == "{}"
+    assert r["e2"]["final_risk_score"] == 0.0 and r["e2"]["action"] == "allow"
+    with pytest.raises(TypeError):
+        D.scored_rows(rows, [], F.lit(None), probability=F.col("p"))
