@@ -133,7 +133,7 @@ def failed_letters(spark, sf_dir):
 @query("j11_validated_audits", with_txn(" SELECT event_id, 'validated' AS event_type, 'accepted' AS status, '2024-02-01T00:00:00Z' AS produced_at FROM txn WHERE n % 97 <> 0 AND n % 89 <> 0 AND n % 83 <> 0"))
 def validated_audits(spark, sf_dir):
     good, _ = M.split_valid(M.parsed(log_records(spark, sf_dir)))
-    read = M.validated_audits(good).select(M.decode_message(F.col("value"), "audit").alias("m"))
+    read = M.validated_audits(good).select(F.from_json("value", M.schema_of("audit")).alias("m"))
     return read.select("m.event_id", "m.event_type", "m.status", "m.produced_at")
 
 
