@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskweave.llm.alignment import alignment
 from riskweave.llm.common import table
 from riskweave.llm.editwalk import edited_fingerprints
 from riskweave.llm.langid import identify
@@ -56,6 +57,10 @@ def op10_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_language_id": op2_language_id,
@@ -67,6 +72,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
