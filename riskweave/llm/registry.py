@@ -6,6 +6,8 @@ from riskweave.llm.alignment import alignment
 from riskweave.llm.common import table
 from riskweave.llm.editwalk import edited_fingerprints
 from riskweave.llm.langid import identify
+from riskweave.llm.leaks import contamination
+from riskweave.llm.leaks import oracle_sql as contamination_sql
 from riskweave.llm.licences import oracle_sql as licence_sql
 from riskweave.llm.licences import scan
 from riskweave.llm.packing import pack
@@ -57,6 +59,10 @@ def op10_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_benchmark_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_tokenizer_alignment(spark, sf_dir):
     return alignment(table(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
@@ -113,4 +120,5 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(CASE WHEN d.doc_id
   sha256(CASE WHEN d.doc_id IS NULL THEN array_to_string(words, ' ') ELSE coalesce(t.text, '') END) AS kept_sha256
 FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
 """,
+    "op12_benchmark_decontamination": contamination_sql(),
 }
