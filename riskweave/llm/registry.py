@@ -15,6 +15,8 @@ from riskweave.llm.pages import main_text
 from riskweave.llm.pii import pseudonym_texts
 from riskweave.llm.repeats import repeat_digest
 from riskweave.llm.simhash import near_duplicates
+from riskweave.llm.trie import oracle_sql as trie_sql
+from riskweave.llm.trie import prefix_trie
 from riskweave.llm.vectors import near_vectors
 from riskweave.llm.viterbi import encoding_digest
 
@@ -59,6 +61,10 @@ def op10_substring_dedup(spark, sf_dir):
     return repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
@@ -120,5 +127,6 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(CASE WHEN d.doc_id
   sha256(CASE WHEN d.doc_id IS NULL THEN array_to_string(words, ' ') ELSE coalesce(t.text, '') END) AS kept_sha256
 FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
 """,
+    "op11_conversation_trie": trie_sql(),
     "op12_benchmark_decontamination": contamination_sql(),
 }
