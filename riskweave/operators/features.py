@@ -1,4 +1,4 @@
-"""Behavioural features as of each event: 56 columns from range windows, no row-wise code."""
+"""Behavioural features as of each event: 56 columns."""
 
 from __future__ import annotations
 
@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import calendar, haversine_km, micros, ratio, unit_clip
+from riskweave.operators.slices import ATTRIBUTES, SLICE_EVENTS, SPANS, UNIQUE, with_past
 
 SECOND = 1_000_000
 #: Features of the event alone.
 _OF_EVENT = frozenset(("event_hour", "event_day_of_week", "is_weekend", "is_night", "amount_log1p", "is_refund", "is_cash_withdrawal", "is_card_present"))
-SPANS = {"10m": 600 * SECOND, "1h": 3600 * SECOND, "24h": 86_400 * SECOND}
-#: Weight of an event in the moving average, and events per block of its running sums: powers stay within doubles, and an
-#: event two blocks back weighs less than a double's last bit.
-EWM_ALPHA = 0.2
-EWM_BLOCK = 512
 #: Deviations below this are rounding, not spread.
 FLAT = 1e-9
 REQUIRED = (
@@ -61,110 +57,60 @@ def require_columns(df: DataFrame, names) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def _with_moving_average(events: DataFrame) -> DataFrame:
-    """events with `ewm`, the exponential moving average of the customer's amounts up to and with the event, seeded with the
-    first, and `over_average`, how far the event lies over the average before it (0 for the first).
-
-    The average after n events is a sum of amounts by falling powers of 1 - EWM_ALPHA. It is kept as running sums within
-    blocks of events, scaled to the block's start, plus the sum of the block before: no event carries an array of others.
-    """
-    x, keep = F.col("transaction_amount").cast("double"), F.lit(1 - EWM_ALPHA)
-    customer, block = Window.partitionBy("customer_id"), (F.floor(F.col("nth") / EWM_BLOCK)).alias("block")
-    rows = events.withColumn("nth", F.row_number().over(customer.orderBy("us", "event_id")) - 1)
-    rows = rows.select("*", block, (F.col("nth") % EWM_BLOCK).alias("at"))
-    part = F.when(F.col("nth") == 0, x).otherwise(EWM_ALPHA * x) / F.pow(keep, F.col("at"))
-    rows = rows.withColumn("part", part)
-    here = F.sum("part").over(Window.partitionBy("customer_id", "block").orderBy("nth"))
-    last = F.coalesce(F.sum("part").over(customer.orderBy("block").rangeBetween(-1, -1)), F.lit(0.0))
-    rows = rows.withColumn("ewm", F.pow(keep, F.col("at")) * (here + last * F.pow(keep, F.lit(EWM_BLOCK))))
-    over = F.when(F.col("nth") == 0, 0.0).otherwise((x - F.col("ewm")) / keep)
-    return rows.withColumn("over_average", over).drop("nth", "block", "at", "part")
-
-
-def behavioural_features(events: DataFrame, history_seconds: int | None = None) -> DataFrame:
+def behavioural_features(events: DataFrame, history_seconds: int | None = None, slice_events: int = SLICE_EVENTS) -> DataFrame:
     """events with the 56 features; each looks only at strictly earlier events of the customer.
 
     Look-backs are closed at their far end and open at the event; events at the same instant don't see each other. Rows of
     `history_seconds` before the event count (all by default). Where there is no earlier event, features are 0 and gaps -1.
-    All windows are keyed by the customer, alone or with an attribute, so one shuffle serves them.
+    One shuffle by customer and slice of time serves all features; customers of over `slice_events` events have several slices.
     """
     require_columns(events, REQUIRED)
-    amount = F.col("transaction_amount")
-    far = Window.unboundedPreceding if history_seconds is None else -history_seconds * SECOND
-    base = _with_moving_average(events.withColumn("us", micros("event_time")).repartition("customer_id"))
-    by_customer = Window.partitionBy("customer_id").orderBy("us")
-    prior = by_customer.rangeBetween(far, -1)
-    last = {s: by_customer.rangeBetween(-us, -1) for s, us in SPANS.items()}
-
-    def zero(c: Column) -> Column:
-        return F.coalesce(c.cast("double"), F.lit(0.0))
-
-    def share(flag: Column) -> Column:
-        return zero(F.avg(flag.cast("double")).over(prior))
-
-    def with_attribute(name: str, back=far):
-        return Window.partitionBy("customer_id", name).orderBy("us").rangeBetween(back, -1)
-
-    rolled: dict[str, Column] = {
-        "customer_prior_transaction_count": zero(F.count("*").over(prior)),
-        "customer_prior_amount_sum": zero(F.sum(amount).over(prior)),
-        "customer_prior_amount_mean": zero(F.avg(amount).over(prior)),
-        "customer_prior_amount_max": zero(F.max(amount).over(prior)),
-        "customer_prior_amount_std": zero(F.stddev_pop(amount).over(prior)),
-        "failed_transaction_rate_prior": share(F.col("transaction_status") != "approved"),
-        "decline_rate_prior": share(F.col("transaction_status") == "declined"),
-        "card_present_ratio_prior": share(F.col("card_present")),
-        "previous": F.max(F.struct("us", "event_id", "latitude", "longitude", "ewm")).over(prior),
-        "first": F.min(F.struct("us", "event_id", "over_average")).over(prior),
-        "rolling_transaction_min_1h": zero(F.min(amount).over(last["1h"])),
+    past = with_past(events, micros("event_time"), history_seconds, slice_events)
+    amount = F.col("row.transaction_amount")
+    us = micros("row.event_time")
+    row = {n: F.col(f"row.{n}") for n in ("latitude", "longitude", "transaction_type", "card_present")}
+    mean, std = F.col("prior_mean"), F.col("prior_std")
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    found: dict[str, Column] = {
+        **calendar("row.event_time"),
+        "amount_log1p": F.log1p(amount),
+        "is_refund": (row["transaction_type"] == "refund").cast("double"),
+        "is_cash_withdrawal": (row["transaction_type"] == "cash_withdrawal").cast("double"),
+        "is_card_present": row["card_present"].cast("double"),
+        "customer_prior_transaction_count": F.col("prior_count"),
+        "customer_prior_amount_sum": F.col("prior_sum"),
+        "customer_prior_amount_mean": mean,
+        "customer_prior_amount_max": F.col("prior_high"),
+        "customer_prior_amount_std": std,
+        "amount_z_score": F.when(std > FLAT, (amount - mean) / std).otherwise(0.0),
+        "customer_seconds_since_previous": F.coalesce((us - F.col("previous_us")) / SECOND, F.lit(-1.0)),
+        "failed_transaction_rate_prior": F.col("failed_rate"),
+        "decline_rate_prior": F.col("declined_rate"),
+        "card_present_ratio_prior": F.col("present_rate"),
+        "customer_ewm_amount": F.col("prior_average"),
+        "geographic_distance_km": zero(haversine_km(F.col("previous_latitude"), F.col("previous_longitude"), row["latitude"], row["longitude"])),
+        "merchant_popularity": F.col("merchant_day"),
+        "merchant_transaction_velocity_1h": F.when(F.col("merchant_hits") > 0, F.col("merchant_hits") / F.greatest((us - F.col("merchant_last")) / SECOND / 3600, F.lit(1 / 60))).otherwise(0.0),
+        "customer_transaction_velocity_10m": F.col("count_10m") * 6,
+        "customer_transaction_velocity_1h": F.col("count_1h"),
+        "rolling_transaction_count_1h": F.col("count_1h"),
+        "rolling_transaction_amount_1h": F.col("sum_1h"),
+        "rolling_transaction_mean_1h": F.col("mean_1h"),
+        "rolling_transaction_stddev_1h": F.col("std_1h"),
+        "rolling_transaction_max_1h": F.col("high_1h"),
+        "rolling_transaction_min_1h": F.col("low_1h"),
     }
-    for s, w in last.items():
-        rolled[f"recent_transaction_count_{s}"] = zero(F.count("*").over(w))
-        rolled[f"recent_amount_sum_{s}"] = zero(F.sum(amount).over(w))
-        rolled[f"recent_amount_mean_{s}"] = zero(F.avg(amount).over(w))
-        rolled[f"recent_amount_max_{s}"] = zero(F.max(amount).over(w))
-        rolled[f"recent_amount_std_{s}"] = zero(F.stddev_pop(amount).over(w))
-    for plural, name in (("merchants", "merchant_id"), ("devices", "device_id"), ("countries", "country")):
-        rolled[f"unique_{plural}_24h"] = zero(F.size(F.collect_set(name).over(last["24h"])))
-    for feature, name in (("merchant_novelty", "merchant_id"), ("device_novelty", "device_id"), ("country_novelty", "country"), ("merchant_category_novelty", "merchant_category")):
-        rolled[feature] = (F.count("*").over(with_attribute(name)) == 0).cast("double")
-    hour = with_attribute("merchant_id", -SPANS["1h"])
-    rolled["merchant_hits"] = F.count("*").over(hour)
-    rolled["merchant_last"] = F.max("us").over(hour)
-    rolled["merchant_popularity"] = zero(F.count("*").over(with_attribute("merchant_id", -SPANS["24h"])))
-    df = base.withColumns(rolled)
-
-    gap = (F.col("us") - F.col("previous.us")) / SECOND
-    mean, std = F.col("customer_prior_amount_mean"), F.col("customer_prior_amount_std")
-    # the average starts at the first event in sight: what came before it is taken off
-    before = F.pow(F.lit(1 - EWM_ALPHA), F.col("customer_prior_transaction_count")) * F.col("first.over_average")
-    df = df.withColumns(
-        {
-            **calendar("event_time"),
-            "amount_log1p": F.log1p(amount),
-            "is_refund": (F.col("transaction_type") == "refund").cast("double"),
-            "is_cash_withdrawal": (F.col("transaction_type") == "cash_withdrawal").cast("double"),
-            "is_card_present": F.col("card_present").cast("double"),
-            "amount_z_score": F.when(std > FLAT, (amount - mean) / std).otherwise(0.0),
-            "customer_seconds_since_previous": F.coalesce(gap, F.lit(-1.0)),
-            "customer_ewm_amount": zero(F.col("previous.ewm") + before),
-            "geographic_distance_km": zero(haversine_km(F.col("previous.latitude"), F.col("previous.longitude"), F.col("latitude"), F.col("longitude"))),
-            "customer_transaction_velocity_10m": F.col("recent_transaction_count_10m") * 6,
-            "customer_transaction_velocity_1h": F.col("recent_transaction_count_1h"),
-            "merchant_transaction_velocity_1h": F.when(
-                F.col("merchant_hits") > 0, F.col("merchant_hits") / F.greatest((F.col("us") - F.col("merchant_last")) / SECOND / 3600, F.lit(1 / 60))
-            ).otherwise(0.0),
-            "rolling_transaction_count_1h": F.col("recent_transaction_count_1h"),
-            "rolling_transaction_amount_1h": F.col("recent_amount_sum_1h"),
-            "rolling_transaction_mean_1h": F.col("recent_amount_mean_1h"),
-            "rolling_transaction_stddev_1h": F.col("recent_amount_std_1h"),
-            "rolling_transaction_max_1h": F.col("recent_amount_max_1h"),
-        }
-    )
-    speed = F.when(F.col("customer_seconds_since_previous") > 0, F.col("geographic_distance_km") / (F.col("customer_seconds_since_previous") / 3600)).otherwise(0.0)
-    df = df.withColumns({"geographic_velocity_kmh": speed, "time_since_previous_transaction": F.col("customer_seconds_since_previous"), "customer_spending_deviation": F.col("amount_z_score")})
+    for s in SPANS:
+        found[f"recent_transaction_count_{s}"] = F.col(f"count_{s}")
+        for name, fold in (("sum", "sum"), ("mean", "mean"), ("max", "high"), ("std", "std")):
+            found[f"recent_amount_{name}_{s}"] = F.col(f"{fold}_{s}")
+    found |= {f"unique_{u}_24h": F.col(f"unique_{u}") for u in UNIQUE}
+    found |= {f"{name.removesuffix('_id')}_novelty": F.col(f"new_{name}") for name in ATTRIBUTES}
+    df = past.select("row", *[v.alias(k) for k, v in found.items()])
+    since, km = F.col("customer_seconds_since_previous"), F.col("geographic_distance_km")
+    df = df.withColumns({"geographic_velocity_kmh": F.when(since > 0, km / (since / 3600)).otherwise(0.0), "time_since_previous_transaction": since, "customer_spending_deviation": F.col("amount_z_score")})
     df = df.withColumn("impossible_travel", (F.col("geographic_velocity_kmh") > 900).cast("double"))
-    return df.select(*events.columns, *FEATURES)
+    return df.select("row.*", *FEATURES)
 
 
 def rule_score() -> Column:

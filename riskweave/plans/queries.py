@@ -115,6 +115,20 @@ def behavioural(spark, sf_dir):
     return rounded(B.behavioural_features(txn(spark, sf_dir)).select("event_id", *B.FEATURES), nudge=1e-9)
 
 
+_ONE_CUSTOMER = with_scores(" SELECT event_id, " + ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-7, 4) + 0.0 AS {c}" for c in B.FEATURES) + " FROM feats").replace(
+    "concat('customer-', lpad(CAST(user_id AS STRING), 6, '0')) AS customer_id", "CASE WHEN user_id % 3 = 0 THEN 'few' ELSE 'many' END AS customer_id"
+)
+
+
+@query("e12_e20_dense_customers", _ONE_CUSTOMER)
+def dense_customers(spark, sf_dir):
+    """All events as those of two customers, in slices of a few hundred events: no task has more of a customer than a slice and
+    the day before it."""
+    customer = F.expr("CASE WHEN CAST(substr(customer_id, 10) AS BIGINT) % 3 = 0 THEN 'few' ELSE 'many' END")
+    df = B.behavioural_features(txn(spark, sf_dir).withColumn("customer_id", customer), slice_events=300)
+    return rounded(df.select("event_id", *B.FEATURES), 4, nudge=1e-7)
+
+
 @query("e04_t03_features_24h_history", with_txn(f" SELECT event_id, round(coalesce(sum(transaction_amount) OVER {_last(B.SPANS['24h'])}, 0), 6) AS customer_prior_amount_sum, CAST(count(*) OVER {_last(B.SPANS['24h'])} AS DOUBLE) AS customer_prior_transaction_count FROM txn"))
 def short_history(spark, sf_dir):
     """The stream's retention on bounded data."""
