@@ -45,9 +45,14 @@ def pieces(path: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def _letters_only(part: str) -> list[str]:
+    """The runs of letters in what may hold signs that stand for numbers, such as ² and ½."""
+    return "".join(c if c.isalpha() else " " for c in part).split()
+
+
 def runs_of(word: str) -> list[str]:
     """A word's runs of letters in lower case, marked where they start."""
-    return [_START + run for run in _LETTERS.findall(word.lower())]
+    return [_START + run for part in _LETTERS.findall(word.lower()) for run in (part,) * part.isalpha() or _letters_only(part)]
 
 
 def spans(run: str, known) -> list[tuple[int, int, str]]:

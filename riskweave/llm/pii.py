@@ -95,25 +95,43 @@ def _ip(h: str, key: str) -> str:
     return _let(moved, "m", "concat_ws('.', m.l div 256, m.l % 256, m.r div 256, m.r % 256)")
 
 
-#: Dates are those of 400 years, 146,097 days, which 189 times 773 makes.
-_FIRST_DAY = "date '1700-01-01'"
+_DAYS_OF = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+#: Dates are those of 400 years; which day of the year and which year are permuted together. 29 February has its leap years.
+_FIRST_YEAR, _YEARS, _LEAP_YEARS = 1700, 400, 97
 
 
-def _date_formats(h: str) -> list[tuple[str, str]]:
-    """(condition, format) in the order tried; day before month where both are possible."""
-    return [
-        (f"{h} like '%-%'", "yyyy-MM-dd"),
-        (f"{h} rlike '^[0-9]{{2}}/[0-9]{{2}}/'", "dd/MM/yyyy"), (f"{h} rlike '^[0-9]{{2}}/[0-9]{{2}}/'", "MM/dd/yyyy"), (f"{h} like '%/%'", "d/M/yyyy"), (f"{h} like '%/%'", "M/d/yyyy"),
-        (f"{h} rlike '^[0-9]{{2}}[.][0-9]{{2}}[.]'", "dd.MM.yyyy"), (f"{h} like '%.%.%'", "d.M.yyyy"),
-    ]
+def _days(months: int, first: int, last: int) -> list[int]:
+    """Month and day, as in 1231, of the days from first to last of so many months, 29 February apart."""
+    return [100 * m + d for m in range(1, months + 1) for d in range(first, min(last, _DAYS_OF[m - 1]) + 1)]
+
+
+def _moved_date(days: list[int], code: str, year: str, kind: str, shown, key: str) -> str:
+    """shown(code, year) of the date that takes this one's place among those days of all years; null if it isn't one of them."""
+    among = f"array({', '.join(map(str, days))})"
+    plain = _let(_feistel(f"{year} - {_FIRST_YEAR}", f"array_position({among}, {code}) - 1", str(_YEARS), str(len(days)), kind, key), "m", shown(f"element_at({among}, cast(m.r as int) + 1)", f"({_FIRST_YEAR} + m.l)"))
+    nth = f"(({year} - 1704) div 4 - if({year} > 1800, 1, 0) - if({year} > 1900, 1, 0))"
+    back = "(1704 + 4 * (m.l + if(m.l >= 24, 1, 0) + if(m.l >= 48, 1, 0)))"
+    leap = _let(_feistel(nth, "0", str(_LEAP_YEARS), "1", f"{kind}-leap", key), "m", shown("229", back))
+    is_leap = f"({year} % 4 = 0 and ({year} % 100 <> 0 or {year} % 400 = 0))"
+    return f"case when array_position({among}, {code}) > 0 then {plain} when {code} = 229 and {is_leap} and array_contains({among}, 228) then {leap} end"
 
 
 def _date(h: str, key: str) -> str:
-    """The date moved within the 400 years, in the first format that reads it; null if none does."""
-    moved = _let("datediff(t, " + _FIRST_DAY + ")", "x", _feistel("x div 773", "x % 773", "189", "773", "date", key))
-    day = _let(moved, "m", f"date_add({_FIRST_DAY}, cast(m.l * 773 + m.r as int))")
-    tries = [f"when {test} and try_to_timestamp({h}, '{form}') is not null then " + _let(f"cast(try_to_timestamp({h}, '{form}') as date)", "t", f"date_format({day}, '{form}')") for test, form in _date_formats(h)]
-    return "case " + " ".join(tries) + " end"
+    """The date moved within the 400 years among those written alike; null if it is none. Parts keep their numbers of digits;
+    day before month where both are possible, so month before day only with days above 12."""
+    iso = _moved_date(_days(12, 1, 31), "(v[1] * 100 + v[2])", "v[0]", "date", lambda code, year: f"concat(cast({year} as string), '-', lpad(cast({code} div 100 as string), 2, '0'), '-', lpad(cast({code} % 100 as string), 2, '0'))", key)
+    cases = [f"when {h} like '%-%' then {iso}"]
+    for a in (1, 2):
+        for b in (1, 2):
+            part = lambda x, n: f"lpad(cast({x} as string), {n}, '0')"
+            mark = f"substr({h}, {a + 1}, 1)"
+            days = _moved_date(_days(12 if b == 2 else 9, 1, 31 if a == 2 else 9), "(v[1] * 100 + v[0])", "v[2]", f"date-{a}{b}", lambda c, y, a=a, b=b: f"concat({part(f'{c} % 100', a)}, {mark}, {part(f'{c} div 100', b)}, {mark}, cast({y} as string))", key)
+            if b == 2:
+                late = [x for x in _days(12 if a == 2 else 9, 13, 31)]
+                months = _moved_date(late, "(v[0] * 100 + v[1])", "v[2]", f"date-m{a}", lambda c, y, a=a, b=b: f"concat({part(f'{c} div 100', a)}, {mark}, {part(f'{c} % 100', b)}, {mark}, cast({y} as string))", key)
+                days = f"coalesce({days}, if({h} like '%/%', {months}, null))"
+            cases.append(f"when {h} rlike '^[0-9]{{{a}}}[/.][0-9]{{{b}}}[/.]' then {days}")
+    return _let(f"transform(split({h}, '[-/.]'), x -> cast(x as int))", "v", f"case {' '.join(cases)} end")
 
 
 _VALUES = "aggregate(split({0}, ''), 0, (s, c) -> if(c = '', s, if(c rlike '^[0-9]$', (s * 10 + cast(c as int)) % 97, (s * 100 + ascii(c) - 55) % 97)))"
@@ -153,7 +171,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text"
     Replaced are card numbers that pass Luhn's check, telephone numbers, IPv4 addresses, US social security numbers, IBANs
     with right check digits, dates that exist (1700 to 2099), and e-mail addresses. A number or date is moved by a keyed
     Feistel permutation among those of its format: length, separators, country code and check digits stay right, and
-    distinct values stay distinct. Equal values get equal pseudonyms in all documents, in whatever grouping cards come.
+    distinct values stay distinct; dates are permuted among those written alike. Equal values get equal pseudonyms in all documents, in whatever grouping cards come.
     E-mail addresses have no finite format; they get a keyed hash at a reserved domain. What isn't valid stays as it is.
     Telephone numbers are told by their format alone: what looks like one is personal even where no numbering plan has it.
     Longer runs of digits than a format has stay. A number that fits several formats is the first of IBAN, date, IPv4,
@@ -163,18 +181,23 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text"
     key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     text = F.col(f"`{text_col}`")
     step = docs
-    mail, number = unused(docs, "__mail"), unused(docs, "__number")
-    rules = ((mail, EMAIL, lambda h: _email(h, key), F.contains(text, F.lit("@"))), (number, NUMBER, lambda h: _pseudonym(h, key), text.rlike(r"\d\d|\d\.\d")))
-    for name, pattern, rule, there in rules:
-        quoted, new, changes = _text(pattern), f"{name}_new", f"{name}_n"
+    names: list[str] = []
+    for name in ("mail", "mail_new", "mail_n", "number", "number_new", "number_n"):
+        name = f"__{name}"
+        while name in (*docs.columns, text_col, count_col, *names):
+            name += "_"
+        names.append(name)
+    rules = ((names[:3], EMAIL, lambda h: _email(h, key), F.contains(text, F.lit("@"))), (names[3:], NUMBER, lambda h: _pseudonym(h, key), text.rlike(r"\d\d|\d\.\d")))
+    for (name, new, changes), pattern, rule, there in rules:
+        quoted = _text(pattern)
         found = F.when(there, F.expr(f"regexp_extract_all(`{text_col}`, {quoted}, 0)"))
         step = step.withColumn(name, F.when(F.size(found) > 0, found))
-        step = step.withColumn(new, F.expr(f"transform({name}, h -> {rule('h')})"))
-        joined = F.expr(f"array_join(zip_with(split(`{text_col}`, {quoted}, -1), {new}, (p, h) -> concat(p, coalesce(h, ''))), '')")
+        step = step.withColumn(new, F.expr(f"transform(`{name}`, h -> {rule('h')})"))
+        joined = F.expr(f"array_join(zip_with(split(`{text_col}`, {quoted}, -1), `{new}`, (p, h) -> concat(p, coalesce(h, ''))), '')")
         step = step.withColumn(text_col, F.when(F.col(name).isNotNull(), joined).otherwise(text))
-        changed = F.expr(f"coalesce(size(filter(zip_with({name}, {new}, (a, b) -> a <> b), x -> x)), 0)")
+        changed = F.expr(f"coalesce(size(filter(zip_with(`{name}`, `{new}`, (a, b) -> a <> b), x -> x)), 0)")
         step = step.withColumn(changes, changed).drop(name, new)
-    return step.withColumn(count_col, (F.col(f"{mail}_n") + F.col(f"{number}_n")).cast("int")).drop(f"{mail}_n", f"{number}_n")
+    return step.withColumn(count_col, (F.col(names[2]) + F.col(names[5])).cast("int")).drop(names[2], names[5])
 
 
 def pseudonym_texts(docs: DataFrame, key: str | None = None) -> DataFrame:
