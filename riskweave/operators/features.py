@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +59,15 @@ def require_columns(df: DataFrame, names) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def behavioural_features(events: DataFrame, history_seconds: int | None = None, slice_events: int = SLICE_EVENTS) -> DataFrame:
-    """events with the 56 features; each looks only at strictly earlier events of the customer.
-
-    Look-backs are closed at their far end and open at the event; events at the same instant don't see each other. Rows of
-    `history_seconds` before the event count (all by default). Where there is no earlier event, features are 0 and gaps -1.
-    One shuffle by customer and slice of time serves all features; customers of over `slice_events` events have several slices.
-    """
-    require_columns(events, REQUIRED)
-    past = with_past(events, micros("event_time"), history_seconds, slice_events)
-    amount = F.col("row.transaction_amount")
-    us = micros("row.event_time")
-    row = {n: F.col(f"row.{n}") for n in ("latitude", "longitude", "transaction_type", "card_present")}
+def named_features(past: DataFrame, event: Callable[[str], Column], us: Column) -> DataFrame:
+    """past, which has what slices find of the past, with the 56 features; event(name) is a column of the event, us its time in
+    microseconds."""
+    amount = event("transaction_amount")
+    row = {n: event(n) for n in ("latitude", "longitude", "transaction_type", "card_present")}
     mean, std = F.col("prior_mean"), F.col("prior_std")
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     found: dict[str, Column] = {
-        **calendar("row.event_time"),
+        **calendar(F.timestamp_micros(us)),
         "amount_log1p": F.log1p(amount),
         "is_refund": (row["transaction_type"] == "refund").cast("double"),
         "is_cash_withdrawal": (row["transaction_type"] == "cash_withdrawal").cast("double"),
@@ -106,11 +101,23 @@ def behavioural_features(events: DataFrame, history_seconds: int | None = None,
             found[f"recent_amount_{name}_{s}"] = F.col(f"{fold}_{s}")
     found |= {f"unique_{u}_24h": F.col(f"unique_{u}") for u in UNIQUE}
     found |= {f"{name.removesuffix('_id')}_novelty": F.col(f"new_{name}") for name in ATTRIBUTES}
-    df = past.select("row", *[v.alias(k) for k, v in found.items()])
+    df = past.withColumns(found)
     since, km = F.col("customer_seconds_since_previous"), F.col("geographic_distance_km")
     df = df.withColumns({"geographic_velocity_kmh": F.when(since > 0, km / (since / 3600)).otherwise(0.0), "time_since_previous_transaction": since, "customer_spending_deviation": F.col("amount_z_score")})
     df = df.withColumn("impossible_travel", (F.col("geographic_velocity_kmh") > 900).cast("double"))
-    return df.select("row.*", *FEATURES)
+    return df
+
+
+def behavioural_features(events: DataFrame, history_seconds: int | None = None, slice_events: int = SLICE_EVENTS) -> DataFrame:
+    """events with the 56 features; each looks only at strictly earlier events of the customer.
+
+    Look-backs are closed at their far end and open at the event; events at the same instant don't see each other. Rows of
+    `history_seconds` before the event count (all by default). Where there is no earlier event, features are 0 and gaps -1.
+    One shuffle by customer and slice of time serves all features; customers of over `slice_events` events have several slices.
+    """
+    require_columns(events, REQUIRED)
+    past = with_past(events, micros("event_time"), history_seconds, slice_events)
+    return named_features(past, lambda name: F.col(f"row.{name}"), micros("row.event_time")).select("row.*", *FEATURES)
 
 
 def rule_score() -> Column:

@@ -132,7 +132,8 @@ def _numbers(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded(table: pa.Table, look_back: int | None) -> pa.Table:
-    """Own rows of whole slices with ROLLED; rows are sorted by slice and kind, events among them by time and id."""
+    """Own rows of whole slices with ROLLED; rows are sorted by slice and kind, events among them by time and id. A column
+    `since` gives each row's look-back as a time of its own, beyond which none of its windows reaches."""
     key, kind = table["key"].to_numpy(), table["kind"].to_numpy()
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     n_groups = group[-1] + 1
@@ -166,8 +167,14 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     mine = np.flatnonzero(own)
     gm, hi = g[mine], np.searchsorted(place, place[mine])
     from_ = {s: np.searchsorted(place, gm * width + r[mine]) for s, r in since.items()}
-    back = np.searchsorted(instants, us - look_back)[mine] if look_back is not None else None
-    lo = first_own[gm] if look_back is None else np.searchsorted(place, gm * width + back)
+    clipped = "since" in table.column_names
+    back = np.searchsorted(instants, events["since"].to_numpy() if clipped else us - look_back)[mine] if clipped or look_back is not None else None
+    lo = first_own[gm] if back is None else np.searchsorted(place, gm * width + back)
+    if clipped:
+        since = {s: np.maximum(r[mine], back) for s, r in since.items()}
+        from_ = {s: np.maximum(r, lo) for s, r in from_.items()}
+    else:
+        since = {s: r[mine] for s, r in since.items()}
 
     leaves = nothing(n)
     leaves[COUNT], leaves[N], leaves[MEAN], leaves[SUM] = 1, there, amount, amount
@@ -178,7 +185,7 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     # the average is seeded by the first event in sight, which weighs as much as all before it would
     seeded = (hi > lo) & ~has_state[gm]
     prior[AVERAGE] += np.where(seeded, KEEP ** np.maximum(prior[COUNT], 0) * amount[np.minimum(lo, n - 1)], 0.0)
-    if look_back is None:
+    if back is None:
         prior = joined(before[:, gm], prior)
     some = prior[COUNT] > 0
     out: dict[str, np.ndarray] = {
@@ -188,13 +195,13 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
         value, valid = _numbers(events, flag)
         sums, counts = (np.concatenate([[0], np.cumsum(x)]) for x in (value.astype(np.int64), valid))
         yes, of = sums[hi] - sums[lo], counts[hi] - counts[lo]
-        if look_back is None:
+        if back is None:
             yes, of = yes + flags_before[2 * k, gm], of + flags_before[2 * k + 1, gm]
         out[f"{flag}_rate"] = np.divide(yes, of, out=np.zeros(len(mine)), where=of > 0)
 
-    inside = hi > (first_any[gm] if look_back is None else lo)
+    inside = hi > (first_any[gm] if back is None else lo)
     at = np.maximum(hi - 1, 0)
-    found = inside | (has_state[gm] if look_back is None else False)
+    found = inside | (has_state[gm] if back is None else False)
     where = [us, *(events[c].to_numpy(zero_copy_only=False) for c in ("latitude", "longitude"))]
     for k, name in enumerate(("previous_us", "previous_latitude", "previous_longitude")):
         values = np.where(inside, where[k][at], last[k, gm].astype(where[k].dtype))
@@ -224,7 +231,7 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
             seen |= np.isin(code[mine], remembered)
         out[f"new_{name}"] = (~seen).astype(float)
         if name == "merchant_id":
-            hour, day = (np.searchsorted(sorted_places, at_own + since[s][mine]) for s in ("1h", "24h"))
+            hour, day = (np.searchsorted(sorted_places, at_own + since[s]) for s in ("1h", "24h"))
             out["merchant_hits"], out["merchant_day"] = (end - hour).astype(float), (end - day).astype(float)
             out["merchant_last"] = np.ma.masked_array(us[order[np.maximum(end - 1, 0)]], end <= hour)
         if k < len(UNIQUE):
@@ -302,9 +309,10 @@ def _memories(cut: DataFrame) -> DataFrame:
     return out
 
 
-def sliced(events: DataFrame, slice_events: int, look_back: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with c, slice and own, those of sliced customers twice where the next slice looks back on them; and which days go to
-    which slice: (c, day, slice, next), or None if no customer has over slice_events rows.
+def sliced(events: DataFrame, slice_events: int, look_back: int, ahead: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with c, slice and own, those of sliced customers twice where the next slice looks back on them, or the one before
+    looks so far ahead; and which days go to which slice: (c, day, slice, next, last), or None if no customer has over
+    slice_events rows.
 
     A day is as long as the look-back. A slice is as many days as hold slice_events rows, the last of them maybe beyond.
     """
@@ -318,12 +326,14 @@ def sliced(events: DataFrame, slice_events: int, look_back: int) -> tuple[DataFr
     days = some.groupBy("c", day.alias("day")).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(one) - F.col("n"))
     days = days.select("c", "day", F.floor(F.col("before") / slice_events).cast("long").alias("slice"))
     lent = (F.lead("day").over(one) == F.col("day") + 1) & (F.lead("slice").over(one) > F.col("slice"))
-    days = checkpointed(days.select("c", "day", "slice", F.when(lent, F.lead("slice").over(one)).alias("next")))
+    led = (F.lag("day").over(one) == F.col("day") - 1) & (F.lag("slice").over(one) < F.col("slice"))
+    days = checkpointed(days.select("c", "day", "slice", F.when(lent, F.lead("slice").over(one)).alias("next"), F.when(led, F.lag("slice").over(one)).alias("last")))
     few = (F.broadcast(days) if days.count() <= BROADCAST else days).alias("d")
     rows = events.withColumn("day", day).alias("e").join(few, F.col("e.c").eqNullSafe(F.col("d.c")) & (F.col("e.day") == F.col("d.day")), "left")
     k = F.coalesce("d.slice", F.lit(0).cast("long"))
-    own, lent = F.struct(k.alias("slice"), F.lit(True).alias("own")), F.struct(F.col("d.next").alias("slice"), F.lit(False).alias("own"))
-    rows = rows.select(*[f"e.{c}" for c in events.columns], F.explode(F.when(F.col("d.next").isNotNull(), F.array(own, lent)).otherwise(F.array(own))).alias("at"))
+    soon = F.when(F.col("us") < F.col("d.day") * look_back + ahead, F.col("d.last"))
+    places = F.array(*[F.struct(c.alias("slice"), F.lit(is_own).alias("own")) for c, is_own in ((k, True), (F.col("d.next"), False), (soon, False))])
+    rows = rows.select(*[f"e.{c}" for c in events.columns], F.explode(F.filter(places, lambda x: x["slice"].isNotNull())).alias("at"))
     return rows.select("*", "at.slice", "at.own").drop("at"), days
 
 

@@ -1,175 +1,229 @@
-"""Behavioural features on a stream: one typed state per customer, with duplicates and late events told apart."""
+"""Behavioural features on a stream: a customer's events in panes of time, with duplicates and late events told apart.
+
+A batch of a customer is judged row by row against the ids that are held, which takes a look-up each, and what it knows of the past
+is folded for all its rows at once, by the same blocks of rows that serve tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskweave.operators.contracts import first_wins
 from riskweave.operators.evaluation import with_running_maximum
-from riskweave.operators.features import FEATURES, FLAT, REQUIRED, SPANS
+from riskweave.operators.features import FEATURES, REQUIRED, named_features
+from riskweave.operators.slices import ATTRIBUTES, ROLLED, SLICE_EVENTS, folded, sliced
 
 SECOND = 1_000_000
 INPUT = (*REQUIRED, "transaction_id", "correlation_id")
-_HELD = (
-    "event_id string, transaction_id string, us bigint, transaction_amount double, merchant_id string, device_id string, country string, merchant_category string, transaction_status string, card_present boolean, latitude double, longitude double"
-)
-_NAMES = tuple(x.split()[0] for x in _HELD.split(", "))
-OUTPUT = "customer_id string, event_id string, transaction_id string, correlation_id string, us bigint, transaction_amount double, transaction_type string, accepted boolean, reason string, " + ", ".join(f"{f} double" for f in FEATURES)
-
-
-def features_of(event: dict, past: list[dict]) -> dict[str, float]:
-    """The 56 features of one event given the held events of its customer; the same definitions as the batch windows."""
-    us, amount = event["us"], event["transaction_amount"]
-    prior = sorted((p for p in past if p["us"] < us), key=lambda p: (p["us"], p["event_id"]))
-    x = np.array([p["transaction_amount"] for p in prior])
-    t = np.array([p["us"] for p in prior], np.int64)
-    when = datetime.fromtimestamp(us / SECOND, UTC)
-    out = dict.fromkeys(FEATURES, 0.0)
-    out.update(
-        event_hour=float(when.hour), event_day_of_week=float(when.weekday()), is_weekend=float(when.weekday() >= 5), is_night=float(when.hour <= 5), amount_log1p=float(np.log1p(amount)),
-        is_refund=float(event["transaction_type"] == "refund"), is_cash_withdrawal=float(event["transaction_type"] == "cash_withdrawal"), is_card_present=float(bool(event["card_present"])),
-        customer_prior_transaction_count=float(len(prior)), customer_seconds_since_previous=-1.0,
-    )
-    for feature, name in (("merchant_novelty", "merchant_id"), ("device_novelty", "device_id"), ("country_novelty", "country"), ("merchant_category_novelty", "merchant_category")):
-        out[feature] = float(all(p[name] != event[name] for p in prior))
-    if prior:
-        mean, std, last = x.mean(), x.std(), prior[-1]
-        gap = (us - last["us"]) / SECOND
-        average = x[0]
-        for v in x[1:]:
-            average = 0.2 * v + 0.8 * average
-        a1, a2 = np.radians(last["latitude"]), np.radians(event["latitude"])
-        h = np.sin((a2 - a1) / 2) ** 2 + np.cos(a1) * np.cos(a2) * np.sin(np.radians(event["longitude"] - last["longitude"]) / 2) ** 2
-        km = 2 * 6371.0 * np.arcsin(np.sqrt(min(1.0, h)))
-        out.update(
-            customer_prior_amount_sum=x.sum(), customer_prior_amount_mean=mean, customer_prior_amount_max=x.max(), customer_prior_amount_std=std, amount_z_score=(amount - mean) / std if std > FLAT else 0.0,
-            customer_seconds_since_previous=gap, customer_ewm_amount=average, geographic_distance_km=km, geographic_velocity_kmh=km / (gap / 3600) if gap > 0 else 0.0,
-            failed_transaction_rate_prior=np.mean([p["transaction_status"] != "approved" for p in prior]), decline_rate_prior=np.mean([p["transaction_status"] == "declined" for p in prior]),
-            card_present_ratio_prior=np.mean([bool(p["card_present"]) for p in prior]),
-        )
-    for name, span in SPANS.items():
-        part = x[t >= us - span] if len(x) else x
-        if len(part):
-            out.update({f"recent_transaction_count_{name}": len(part), f"recent_amount_sum_{name}": part.sum(), f"recent_amount_mean_{name}": part.mean(), f"recent_amount_max_{name}": part.max(), f"recent_amount_std_{name}": part.std()})
-    hour, day = ([p for p in prior if p["us"] >= us - SPANS[s]] for s in ("1h", "24h"))
-    same = [p["us"] for p in hour if p["merchant_id"] == event["merchant_id"]]
-    out.update(
-        impossible_travel=float(out["geographic_velocity_kmh"] > 900), customer_transaction_velocity_10m=out["recent_transaction_count_10m"] * 6, customer_transaction_velocity_1h=out["recent_transaction_count_1h"],
-        merchant_transaction_velocity_1h=len(same) / max((us - max(same)) / SECOND / 3600, 1 / 60) if same else 0.0, merchant_popularity=sum(p["merchant_id"] == event["merchant_id"] for p in day),
-        unique_merchants_24h=len({p["merchant_id"] for p in day}), unique_devices_24h=len({p["device_id"] for p in day}), unique_countries_24h=len({p["country"] for p in day}),
-        time_since_previous_transaction=out["customer_seconds_since_previous"], customer_spending_deviation=out["amount_z_score"], rolling_transaction_min_1h=min((p["transaction_amount"] for p in hour), default=0.0),
-    )
-    for a, b in (("count", "transaction_count"), ("amount", "amount_sum"), ("mean", "amount_mean"), ("stddev", "amount_std"), ("max", "amount_max")):
-        out[f"rolling_transaction_{a}_1h"] = out[f"recent_{b}_1h"]
-    return {k: float(v) for k, v in out.items()}
-
-
-class Customer:
-    """The policy for one customer's events in arrival order, over whatever holds its history.
-
-    An event whose id or transaction is held is a duplicate; one earlier than the latest accepted event less the lateness
-    is beyond the watermark. Both come out rejected, without features, and neither moves the watermark. Accepted events are
-    held until they are older than the retention.
+#: Panes of a retention. A batch writes those that it adds to; those that are over are dropped whole.
+PANES = 24
+#: What is held of an event.
+_HELD = {
+    "event_id": pa.string(), "transaction_id": pa.string(), "us": pa.int64(), "transaction_amount": pa.float64(), **dict.fromkeys(ATTRIBUTES, pa.string()), "transaction_status": pa.string(), "card_present": pa.bool_(),
+    "latitude": pa.float64(), "longitude": pa.float64(),
+}
+_SHOWN = {"event_id": "string", "transaction_id": "string", "correlation_id": "string", "us": "bigint", "transaction_amount": "double", "transaction_type": "string", "card_present": "boolean", "latitude": "double", "longitude": "double"}
+_WHOLE = ("previous_us", "merchant_last")
+_PAST = "customer_id string, " + ", ".join(f"{c} {t}" for c, t in _SHOWN.items()) + ", accepted boolean, reason string, " + ", ".join(f"{c} {'bigint' if c in _WHOLE else 'double'}" for c in ROLLED)
+COLUMNS = ("customer_id", "event_id", "transaction_id", "correlation_id", "us", "transaction_amount", "transaction_type", "accepted", "reason", *FEATURES)
+
+
+def _held(pdf: pd.DataFrame) -> pa.Table:
+    return pa.table({c: pa.array(pdf[c], t, from_pandas=True) for c, t in _HELD.items()})
+
+
+def _folded(rows: pa.Table, own: np.ndarray, since: np.ndarray) -> pa.Table:
+    """ROLLED of own rows, and `row`, where each stands; all rows count that are earlier in time, back to `since`."""
+    order = pc.sort_indices(rows, [("us", "ascending"), ("event_id", "ascending")]).to_numpy()
+    at, status = rows.take(pa.array(order)), rows["transaction_status"].take(pa.array(order))
+    n, zero = rows.num_rows, np.zeros(rows.num_rows, np.int64)
+    columns = {
+        "key": zero, "kind": zero + 2, "row": order.astype(np.int64), "own": own[order], "since": since[order], "us": at["us"], "amount": at["transaction_amount"], "latitude": at["latitude"], "longitude": at["longitude"],
+        **{c: at[c] for c in ATTRIBUTES}, "failed": pc.cast(pc.not_equal(status, "approved"), pa.int32()), "declined": pc.cast(pc.equal(status, "declined"), pa.int32()), "present": pc.cast(at["card_present"], pa.int32()),
+    }
+    return folded(pa.table(columns), None) if n else pa.table({"row": order})
+
+
+def as_of_arrival(rows: pa.Table, own: np.ndarray, since: np.ndarray) -> pd.DataFrame:
+    """ROLLED of own rows, by place. Rows come in order of arrival; each sees those that are earlier in time and came before it.
+
+    A row that something earlier in time still follows would see too much; such rows are folded run by run, a run being rows
+    in order of time, over what had come until then. The others are folded together.
+    """
+    us = rows["us"].to_numpy()
+    overtaken = np.zeros(len(us), bool)
+    if len(us):
+        overtaken[:-1] = np.minimum.accumulate(us[::-1])[::-1][1:] < us[:-1]
+    parts = [_folded(rows, own & ~overtaken, since)]
+    runs = np.cumsum(np.concatenate([[0], us[1:] < us[:-1]])) if len(us) else us
+    for run in np.unique(runs[own & overtaken]).tolist():
+        end = int(np.searchsorted(runs, run, "right"))
+        mine = (own & overtaken & (runs == run))[:end]
+        first = since[:end][mine].min()
+        kept = np.flatnonzero((us[:end] >= first) | mine)
+        part = _folded(rows.take(pa.array(kept)), mine[kept], since[:end][kept])
+        parts.append(part.set_column(0, "row", pa.array(kept[part["row"].to_numpy()])))
+    parts = [p for p in parts if p.num_rows]
+    if not parts:
+        return pd.DataFrame({c: np.zeros(0) for c in ROLLED})
+    return pa.concat_tables(parts).to_pandas(integer_object_nulls=True).set_index("row").sort_index()
+
+
+class Arrivals:
+    """The policy for one customer's events in order of arrival.
+
+    An event whose id or transaction is held is a duplicate; one earlier than the latest accepted event less the lateness, or
+    than a watermark for all customers, is beyond. Both are rejected, and neither moves the latest time. Accepted events are held
+    until they are older than the retention, reckoned from the latest. Ids that are null match nothing.
     """
 
-    def __init__(self, lateness_us: int, retention_us: int, held: list[dict] | None = None, latest: int | None = None):
-        self.lateness, self.retention = lateness_us, retention_us
-        self.held, self.latest = held or [], latest
-        self.before = {(p["us"], p["event_id"]) for p in self.held}
-        self.events = {p["event_id"] for p in self.held}
-        self.transactions = {p["transaction_id"] for p in self.held}
-
-    def take(self, event: dict) -> tuple[bool, str | None, dict[str, float] | None]:
-        if event["event_id"] in self.events or event["transaction_id"] in self.transactions:
-            return False, "duplicate_event", None
-        if self.latest is not None and event["us"] < self.latest - self.lateness:
-            return False, "event_beyond_watermark", None
-        out = features_of(event, [p for p in self.held if p["us"] >= event["us"] - self.retention])
-        self.held.append({n: event[n] for n in _NAMES})
-        self.latest = event["us"] if self.latest is None else max(self.latest, event["us"])
-        self.held = [p for p in self.held if p["us"] >= self.latest - self.retention]
-        self.events = {p["event_id"] for p in self.held}
-        self.transactions = {p["transaction_id"] for p in self.held}
-        return True, None, out
-
-
-    def changes(self) -> tuple[list[dict], set[tuple[int, str]]]:
-        """Events that came to be held, and keys of those that no longer are."""
-        now = {(p["us"], p["event_id"]) for p in self.held}
-        return [p for p in self.held if (p["us"], p["event_id"]) not in self.before], self.before - now
-
-
-def _rows(customer: str, policy: Customer, pdf: pd.DataFrame, order: list[str]) -> list[dict]:
-    out = []
-    for event in pdf.sort_values(order, kind="stable").to_dict("records"):
-        ok, reason, found = policy.take(event)
-        shown = {n: event.get(n) for n in ("event_id", "transaction_id", "correlation_id", "us", "transaction_amount", "transaction_type")}
-        out.append({"customer_id": customer, **shown, "accepted": ok, "reason": reason, **(found or dict.fromkeys(FEATURES))})
-    return out
-
-
-def _columns() -> list[str]:
-    return ["customer_id", "event_id", "transaction_id", "correlation_id", "us", "transaction_amount", "transaction_type", "accepted", "reason", *FEATURES]
+    def __init__(self, lateness_us: int, retention_us: int, latest: int | None = None, watermark: int | None = None):
+        self.lateness, self.retention, self.latest, self.watermark = lateness_us, retention_us, latest, watermark
+        self.times: dict[tuple[int, str], int] = {}
+
+    def hold(self, events, transactions, us) -> None:
+        for kind, ids in enumerate((events, transactions)):
+            self.times.update(((kind, k), t) for k, t in zip(ids, us, strict=True) if k is not None)
+
+    def _is_held(self, kind: int, k: str | None) -> bool:
+        t = self.times.get((kind, k)) if k is not None else None
+        return t is not None and (self.latest is None or t >= self.latest - self.retention)
+
+    def take(self, event: str | None, transaction: str | None, us: int) -> tuple[str | None, int]:
+        """Why it is rejected, if it is, and how far back its features look."""
+        since = max(us, us if self.latest is None else self.latest) - self.retention
+        if self._is_held(0, event) or self._is_held(1, transaction):
+            return "duplicate_event", since
+        if (self.latest is not None and us < self.latest - self.lateness) or (self.watermark is not None and us < self.watermark):
+            return "event_beyond_watermark", since
+        self.hold([event], [transaction], [us])
+        self.latest = us if self.latest is None else max(self.latest, us)
+        return None, since
+
+
+def judged(customer: str | None, policy: Arrivals, held: pa.Table, batch: pd.DataFrame) -> tuple[pd.DataFrame, pa.Table]:
+    """(rows of _PAST for a batch in order of arrival, accepted events), given what is held of the customer."""
+    plain = lambda c: [None if pd.isna(x) else x for x in batch[c]]
+    found = [policy.take(*x) for x in zip(plain("event_id"), plain("transaction_id"), batch["us"].tolist(), strict=True)]
+    good = np.array([reason is None for reason, _ in found], bool)
+    accepted = _held(batch[good])
+    rows = pa.concat_tables([held, accepted])
+    own = np.arange(rows.num_rows) >= held.num_rows
+    since = np.concatenate([np.zeros(held.num_rows, np.int64), np.array([s for _, s in found], np.int64)[good]])
+    past = as_of_arrival(rows, own, since)
+    out = batch.reset_index(drop=True)[[c for c in _SHOWN if c in batch]].reindex(columns=list(_SHOWN))
+    out.insert(0, "customer_id", customer)
+    out["accepted"], out["reason"] = good, [reason for reason, _ in found]
+    return out.join(past.set_index(np.flatnonzero(good)), how="left").reindex(columns=[x.split(" ")[0] for x in _PAST.split(", ")]).astype(dict.fromkeys(_WHOLE, "Int64")), accepted
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
 
 
 class FeatureProcessor(StatefulProcessor):
-    """Customer over Spark's state: held events in a map by time and id, of which a batch writes only what it adds and drops, and
-    the latest time; if `expire`, dropped after the retention without an event."""
+    """Arrivals over Spark's state: events in a map by pane of time, of which a batch writes the panes that it adds to and drops those
+    that are over, and the latest time. If `expire`, a timer drops a customer once the watermark is the retention past its
+    latest event, and events before the watermark are beyond it."""
 
     def __init__(self, lateness_us: int, retention_us: int, expire: bool):
         self.lateness, self.retention, self.expire = lateness_us, retention_us, expire
+        self.pane = max(1, retention_us // PANES)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = {"ttlDurationMs": max(1, self.retention // 1000)} if self.expire else {}
-        self.held = handle.getMapState("held", "us bigint, event_id string", _HELD, **ttl)
-        self.latest = handle.getValueState("latest", "us bigint", **ttl)
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "pane bigint", "events binary")
+        self.latest = handle.getValueState("latest", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(_NAMES, r, strict=True)) for _, r in self.held.iterator()]
-        policy = Customer(self.lateness, self.retention, held, self.latest.get()[0] if self.latest.exists() else None)
-        batch = pd.concat(list(rows), ignore_index=True)
-        out = _rows(key[0], policy, batch, ["us", "event_id"])
-        added, dropped = policy.changes()
-        for p in added:
-            self.held.updateValue((p["us"], p["event_id"]), tuple(p[n] for n in _NAMES))
-        for k in dropped:
-            self.held.removeKey(k)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+        latest = self.latest.get()[0] if self.latest.exists() else None
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000 if self.expire else None
+        panes = {k[0]: _unpacked(bytes(v[0])) for k, v in self.panes.iterator()}
+        held = pa.concat_tables([pa.table({c: pa.array([], t) for c, t in _HELD.items()}), *panes.values()])
+        if latest is not None:
+            held = held.filter(pc.greater_equal(held["us"], latest - self.retention))
+        policy = Arrivals(self.lateness, self.retention, latest, watermark)
+        policy.hold(held["event_id"].to_pylist(), held["transaction_id"].to_pylist(), held["us"].to_pylist())
+        out, accepted = judged(key[0], policy, held, batch)
         if policy.latest is not None:
+            self._write(policy.latest, panes, accepted)
             self.latest.update((int(policy.latest),))
-        yield pd.DataFrame(out, columns=_columns())
+            if self.expire:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer((policy.latest + self.retention) // 1000 + 1)
+        yield out
+
+    def _write(self, latest: int, panes: dict[int, pa.Table], accepted: pa.Table) -> None:
+        first = (latest - self.retention) // self.pane
+        new = accepted["us"].to_numpy() // self.pane
+        for pane in np.unique(new[new >= first]).tolist():
+            own = accepted.filter(pa.array(new == pane))
+            self.panes.updateValue((pane,), (_packed(pa.concat_tables([panes[pane], own]) if pane in panes else own),))
+        for pane in panes:
+            if pane < first:
+                self.panes.removeKey((pane,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.panes.clear()
+        self.latest.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _features(past: DataFrame, *more: str) -> DataFrame:
+    """Past columns as features: those of accepted rows; none of the others, as they would say nothing true."""
+    df = named_features(past, F.col, F.col("us"))
+    kept = [F.when(F.col("accepted"), F.col(f)).alias(f) for f in FEATURES]
+    return df.select(*COLUMNS[: -len(FEATURES)], *kept, *more)
+
+
 def stateful_features(events: DataFrame, lateness_seconds: float = 900, retention_seconds: float = 86_400, expire_idle: bool = False) -> DataFrame:
     """A stream of events with features, accepted flags and reasons. Each micro-batch goes by time, then id.
 
-    No watermark is declared: Spark would drop late rows before they could be told apart. expire_idle drops customers
-    without events for the retention by processing time; a query that stops when all is read must leave it off, as Spark
-    then never finds it done.
+    Each customer has its own lateness. expire_idle drops customers whose latest event is the retention behind the watermark, by
+    event time: as long as the stream stands still, nothing is forgotten. The watermark of all events less the lateness then
+    holds for every customer, so that what was forgotten can't be taken for new. Rows do not carry the watermark's mark, or
+    Spark would drop late ones before they could be told apart.
     """
     processor = FeatureProcessor(int(lateness_seconds * SECOND), int(retention_seconds * SECOND), expire_idle)
-    return events.groupBy("customer_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if expire_idle else "None")
+    if expire_idle:
+        timed = events.withColumn("__clock", F.timestamp_micros("us")).withWatermark("__clock", f"{int(lateness_seconds * 1000)} milliseconds")
+        events = timed.drop("__clock")
+    past = events.groupBy("customer_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_PAST, outputMode="Append", timeMode="EventTime" if expire_idle else "None")
+    return _features(past)
 
 
-def replayed_globally(events: DataFrame, arrival: list[str], lateness_seconds: float = 900, retention_seconds: float = 30 * 86_400) -> DataFrame:
+def replayed_globally(events: DataFrame, arrival: list[str], lateness_seconds: float = 900, retention_seconds: float = 30 * 86_400, slice_events: int = SLICE_EVENTS) -> DataFrame:
     """A bounded table replayed in order of arrival under one watermark for all customers, with 30 days of history.
 
     The watermark is the latest event time so far less the lateness; events before it are beyond it, unless their id was
     accepted earlier, which makes them duplicates. A repeated id must carry its first event's time. `arrival` must be a
     total order. The running maximum is taken over ranges of arrivals and shifted, so no task sees all rows; features see
-    what had arrived of the customer.
+    what had arrived of the customer. Customers of over slice_events events are replayed in slices of time, each with the
+    retention before it, and the lateness after it, which may have arrived earlier.
     """
     order = F.struct(*arrival)
-    marked = with_running_maximum(events, order, "us", "__latest").withColumn("__late", F.col("us") < F.col("__latest") - int(lateness_seconds * SECOND))
+    lateness, retention = int(lateness_seconds * SECOND), int(retention_seconds * SECOND)
+    marked = with_running_maximum(events, order, "us", "__latest").withColumn("__late", F.col("us") < F.col("__latest") - lateness)
     fine = first_wins(marked.where("not __late").withColumn("__order", order), "__order").drop("__order")
     good = fine.where("not duplicate").drop("duplicate")
     keys = [F.col(k) for k in ("event_id", "transaction_id")]
@@ -180,25 +234,30 @@ def replayed_globally(events: DataFrame, arrival: list[str], lateness_seconds: f
     seen = F.coalesce(F.col("__first0") < order, F.lit(False)) | F.coalesce(F.col("__first1") < order, F.lit(False))
     late = late.withColumn("reason", F.when(seen, "duplicate_event").otherwise("event_beyond_watermark"))
     rejected = fine.where("duplicate").withColumn("reason", F.lit("duplicate_event")).select(*events.columns, "reason").unionByName(late.select(*events.columns, "reason"))
-    shown = ["customer_id", "event_id", "transaction_id", "correlation_id", "us", "transaction_amount", "transaction_type"]
     none = [F.lit(None).cast("double").alias(f) for f in FEATURES]
-    refused = rejected.select(*shown, F.lit(False).alias("accepted"), "reason", *none, *arrival)
+    refused = rejected.select(*COLUMNS[: -len(FEATURES) - 2], F.lit(False).alias("accepted"), "reason", *none, *arrival)
     kinds = dict(events.dtypes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(arrival, kind="stable")
-        found = pd.DataFrame(_rows(key[0], Customer(1 << 62, int(retention_seconds * SECOND)), pdf, arrival), columns=_columns())
-        return found.assign(**{c: pdf[c].to_numpy() for c in arrival})
+        pdf = pdf.sort_values(arrival, kind="stable", ignore_index=True)
+        us, own = pdf["us"].to_numpy(np.int64), pdf["own"].to_numpy(bool)
+        since = np.maximum.accumulate(us) - retention
+        past = as_of_arrival(_held(pdf), own, since)
+        out = pdf.loc[own, [*_SHOWN, *arrival]].join(past, how="left").assign(customer_id=key[0], accepted=True, reason=None)
+        return out.reindex(columns=[*(x.split(" ")[0] for x in _PAST.split(", ")), *arrival]).astype(dict.fromkeys(_WHOLE, "Int64"))
 
-    out = good.drop("__latest", "__late").groupBy("customer_id").applyInPandas(run, OUTPUT + "".join(f", {c} {kinds[c]}" for c in arrival))
-    return out.unionByName(refused)
+    rows = good.drop("__latest", "__late").withColumnRenamed("customer_id", "c")
+    rows, _ = sliced(rows, slice_events, retention, lateness)
+    past = rows.groupBy("c", "slice").applyInPandas(run, _PAST + "".join(f", {c} {kinds[c]}" for c in arrival))
+    return _features(past, *arrival).unionByName(refused)
 
 
 def replayed(events: DataFrame, arrival: str, lateness_seconds: float = 900, retention_seconds: float = 86_400) -> DataFrame:
-    """The same policy over a table, each customer's events in order of arrival."""
+    """The same policy over a table, each customer's events in order of arrival; which of them are accepted follows from all
+    before them, so a customer is judged in one task."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        policy = Customer(int(lateness_seconds * SECOND), int(retention_seconds * SECOND))
-        return pd.DataFrame(_rows(key[0], policy, pdf, [arrival, "event_id"]), columns=_columns())
+        policy = Arrivals(int(lateness_seconds * SECOND), int(retention_seconds * SECOND))
+        return judged(key[0], policy, _held(pdf.iloc[:0]), pdf.sort_values([arrival, "event_id"], kind="stable"))[0]
 
-    return events.groupBy("customer_id").applyInPandas(run, OUTPUT)
+    return _features(events.groupBy("customer_id").applyInPandas(run, _PAST))
