@@ -11,6 +11,7 @@ from math import exp, inf, log, log1p
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ FIT_DOCS = 2000
 ROUNDS = 3
 UNKNOWN = 1e-8
 #: Words whose likelihoods a worker keeps, and documents whose words are looked up at once.
-CACHE = 400_000
+CACHE = 200_000
 BATCH = 500
 #: Letters of a word whose sum needs no scaling, and of which words are summed many at a time: those of the likeliest pieces.
 SHORT = 28
@@ -323,18 +324,28 @@ def language(docs: DataFrame, models: dict[str, dict[str, float]], text_col: str
     vocabulary's pieces and single letters. score is the best language's share of the likelihoods. Null texts, texts without a letter, and all texts where
     nothing was learned are `und` with score 0. Ties go to the language first in the alphabet.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # pieces times languages, whatever the input
-    name = uuid.uuid4().hex
+    score = _judge(docs, models)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
+        found = [x for k in range(0, len(texts), BATCH) for x in score(texts.iloc[k : k + BATCH].tolist())]
+        return pd.DataFrame(found, columns=["lang_pred", "score"])
+
+    return run(F.col(text_col))
+
+
+def _judge(docs: DataFrame, models: dict[str, dict[str, float]]):
+    """For tasks: a function from texts to (language, score)."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # pieces times languages, whatever the input
+    name = uuid.uuid4().hex
+
+    def score(texts: list[str | None]) -> list[tuple[str, float]]:
         if name not in _scorers:  # one per worker and model, so that its words outlive a task
             _scorers.clear()
             _scorers[name] = _Scorer(shared.value)
-        found = [x for k in range(0, len(texts), BATCH) for x in _scorers[name](texts.iloc[k : k + BATCH].tolist())]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+        return _scorers[name](texts)
 
-    return run(F.col(text_col))
+    return score
 
 
 def held_out(id_column: Column) -> Column:
@@ -349,8 +360,17 @@ def learned(docs: DataFrame, vocabulary: str | None = None) -> dict[str, dict[st
 
 def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per input row: models learned from rows that aren't held out."""
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(docs, learned(docs, vocabulary)).alias("found"))
-    return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
+    score = _judge(docs, learned(docs, vocabulary))
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, BATCH):  # texts are taken out of a batch a few at a time
+                part = whole.slice(k, BATCH)
+                found = score(part["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
