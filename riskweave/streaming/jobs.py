@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,7 @@ from riskweave.operators.decisions import Policy, decide
 from riskweave.operators.features import rule_score
 from riskweave.operators.views import accepted_rows, outcome_counters
 from riskweave.operators.windows import window_metrics
-from riskweave.sources.files import append_log, write_batch
+from riskweave.sources.commits import CommitLog, Part
 from riskweave.sources.logs import write_log_files
 from riskweave.streaming.state import stateful_features
 
@@ -43,24 +43,35 @@ def scored(features: DataFrame, policy: Policy = Policy(), model_version: str =
 
 
 def write_predictions(out: str, policy: Policy = Policy(), features: tuple[str, ...] = ("amount_z_score", "device_novelty")) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch, persisted once: rows by batch id, messages of accepted rows, audits of ignored ones, one row of counters."""
+    """Per micro-batch, persisted once: rows, messages of accepted rows and audits of ignored ones, and one row of counters, all
+    under one commit, so that a batch that is tried or replayed again counts once in each. Read them with committed()."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        log = CommitLog(batch.sparkSession, out)
+        if log.is_done(batch_id):
+            return
         rows = batch.withColumn("produced_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).persist()
         try:
-            write_batch(rows, batch_id, f"{out}/predictions")
             good = accepted_rows(rows)
             names = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))
             sent = M.sink_frame(M.prediction_messages(good, names), "predictions").unionByName(M.sink_frame(M.alert_messages(good, policy), "alerts"))
             sent = sent.unionByName(M.sink_frame(M.audit_messages(good), "audit")).unionByName(M.sink_frame(M.ignored_audits(rows.where("not accepted")), "audit"))
-            write_log_files(sent, batch_id, f"{out}/messages")
-            append_log(outcome_counters(rows).withColumn("batch_id", F.lit(batch_id)), f"{out}/counters")
+            log.write(batch_id, {"predictions": Part(rows), "messages": Part(sent, by=("topic",)), "counters": Part(outcome_counters(rows), "json")})
         finally:
             rows.unpersist()
 
     return write
 
 
+#: Columns of the counters that batches leave.
+COUNTERS = "total bigint, processed bigint, dropped bigint, duplicates bigint, late bigint, mean_latency_seconds double"
+
+
+def committed(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """What write_predictions left in `predictions`, `messages` or `counters`, of committed batches only."""
+    return CommitLog(spark, out).read(table, *(("json", COUNTERS) if table == "counters" else ()))
+
+
 def retried(write: Callable[[DataFrame, int], None], dead: Callable[[DataFrame, int, int, Exception], None], most: int = 3, pause: float = 0.5) -> Callable[[DataFrame, int], None]:
     """A batch writer that is tried again after a pause that doubles, and gives the batch to dead(batch, id, attempts, why) when
     it fails for the last time. If that fails too the error is raised, so a batch is done only when it is written somewhere."""
@@ -118,7 +129,8 @@ def wait_all(queries: dict[str, StreamingQuery], seconds: int | None = None) ->
 
 
 def running_metrics(counters: DataFrame) -> DataFrame:
-    """Totals over the counters that batches left."""
+    """Totals over the counters that batches left, as committed() reads them."""
     from riskweave.operators.views import running_totals
 
-    return running_totals(counters.select("batch_id", "processed", "dropped", "duplicates", "late", F.lit(0).alias("duration_ms")))
+    batch_id = F.col("_batch_id" if "_batch_id" in counters.columns else "batch_id").alias("batch_id")
+    return running_totals(counters.select(batch_id, "processed", "dropped", "duplicates", "late", F.lit(0).alias("duration_ms")))

@@ -84,7 +84,8 @@ def test_jobs_end_to_end_and_replay(spark, sf, tmp_path):
     assert read["predictions"].where("not accepted and calibrated_probability is not null").count() == 0
     m = read["messages"].where("topic = 'alerts'").select(M.decode_message(F.col("value"), "alerts").alias("m")).first()["m"]
     assert m["correlation_id"] is None or m["decision"]["action"] in ("review", "block")
-    totals = jobs.running_metrics(spark.read.json(f"{tmp_path}/a/counters")).first()
+    totals = jobs.running_metrics(jobs.committed(spark, f"{tmp_path}/a", "counters")).first()
+    assert jobs.committed(spark, f"{tmp_path}/a", "predictions").count() == read["predictions"].count()
     assert totals["processed"] == accepted.count()
     assert spark.read.parquet(f"{tmp_path}/a/windows").count() >= 0
 
@@ -258,3 +259,45 @@ def test_batches_are_tried_again_and_then_set_aside():
     assert calls == [1, 1, 7, 7, 7] and lost == [(7, 3, "down")]
     with pytest.raises(ValueError):
         jobs.retried(write, None, most=0)
+
+
+def test_a_batch_that_is_tried_again_counts_once(spark, sf, tmp_path, monkeypatch):
+    """The last write fails, then the claim; then another attempt wins in the meantime; then Spark replays the batch."""
+    from riskweave.sources.commits import CommitLog, Part
+
+    out = str(tmp_path)
+    events = txn(spark, sf).limit(50).selectExpr("*", "'r' as correlation_id", "unix_micros(cast(event_time as timestamp)) as us")
+    batch = jobs.scored(replayed(events, "us")).persist()
+    write, claim, broken = jobs.write_predictions(out), CommitLog._claim, []
+
+    def failing(self, batch_id, attempt):
+        if len(broken) < 2:
+            broken.append(attempt)
+            raise OSError("down")
+        return claim(self, batch_id, attempt)
+
+    monkeypatch.setattr(CommitLog, "_claim", failing)
+    jobs.retried(write, lambda *_: pytest.fail("given up"), most=3, pause=0.0)(batch, 0)
+    write(batch, 0)
+    write(batch, 1)
+    assert len(broken) == 2
+    accepted = batch.where("accepted").count()
+    for name, n in (("predictions", 2 * batch.count()), ("counters", 2)):
+        assert jobs.committed(spark, out, name).count() == n
+    assert jobs.committed(spark, out, "messages").where("topic = 'predictions'").count() == 2 * accepted
+    totals = jobs.running_metrics(jobs.committed(spark, out, "counters")).first()
+    assert totals["batches"] == 2 and totals["processed"] == 2 * accepted
+    log = CommitLog(spark, out)
+    lost = spark.range(3).selectExpr("id", "'x' as topic")
+    lost.selectExpr("*", "1 as _batch_id", "'killed' as _attempt").write.mode("append").partitionBy("_batch_id", "_attempt").parquet(f"{out}/extra")
+    lost.selectExpr("*", "9 as _batch_id", "'at work' as _attempt").write.mode("append").partitionBy("_batch_id", "_attempt").parquet(f"{out}/extra")
+    assert log.read("extra").count() == 0 and log.vacuum(["extra", "predictions"]) == 1 and spark.read.parquet(f"{out}/extra").count() == 3
+    calls, done = [], CommitLog.is_done
+
+    def late(self, batch_id):  # the first look is too early
+        calls.append(batch_id)
+        return len(calls) > 1 and done(self, batch_id)
+
+    monkeypatch.setattr(CommitLog, "is_done", late)
+    assert not log.write(1, {"more": Part(lost)})  # claimed by another while it wrote
+    assert log.read("more", schema="id bigint, topic string").count() == 0
