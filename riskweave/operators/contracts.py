@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Allowed codes of the transaction contract.
 CURRENCIES = ("AUD", "BRL", "CAD", "EUR", "GBP", "INR", "JPY", "SGD", "USD")
@@ -86,13 +88,66 @@ def without_simulation(df: DataFrame) -> DataFrame:
     return df.drop(*SIMULATION_FIELDS)
 
 
-def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "transaction_id"), max_rounds: int = 1000) -> DataFrame:
+#: Rounds before the rows that are left are told apart by component, and rows of a component that one task decides.
+QUICK_ROUNDS, COMPONENT_ROWS = 3, 200_000
+
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rejected, undecided) after one more round over rows (o, a, b)."""
+    from riskweave.sources.files import checkpointed
+
+    firsts = [left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias(f"first_{k}")) for k in ("a", "b")]
+    seen = left.join(firsts[0], "a", "left").join(firsts[1], "b", "left")
+    fits = [F.coalesce(F.col(f"first_{k}") == F.col("o"), F.lit(True)) for k in ("a", "b")]
+    marked = checkpointed(seen.select("o", "a", "b", (fits[0] & fits[1]).alias("ok")))
+    taken = marked.where("ok")
+    rest = marked.where("not ok")
+    for k in ("a", "b"):
+        held = taken.where(F.col(k).isNotNull()).select(F.col(k).alias("key")).distinct().withColumn(f"hit_{k}", F.lit(True))
+        rest = rest.join(held, F.col(k) == F.col("key"), "left").drop("key")
+    rest = checkpointed(rest.select("o", "a", "b", (F.coalesce("hit_a", F.lit(False)) | F.coalesce("hit_b", F.lit(False))).alias("gone")))
+    return rest.where("gone").select("o"), rest.where("not gone").select("o", "a", "b")
+
+
+def _in_order(batches):
+    """(o, duplicate) of rows in order within components, from a set of the keys taken so far in each."""
+    at, taken = None, set()
+    for batch in batches:
+        flags = []
+        for component, a, b in zip(*(batch[c].to_pylist() for c in ("component", "a", "b")), strict=True):
+            if component != at:
+                at, taken = component, set()
+            own = [(k, v) for k, v in (("a", a), ("b", b)) if v is not None]
+            flags.append(not taken.isdisjoint(own))
+            if not flags[-1]:
+                taken.update(own)
+        yield pa.RecordBatch.from_arrays([batch["o"], pa.array(flags, pa.bool_())], ["o", "duplicate"])
+
+
+def _by_component(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rejected, undecided): rows (o, a, b) of components of up to `most` rows are decided, each component by one task; those of
+    larger ones are left. Components are of hashed keys, which may join two but never parts one."""
+    from riskweave.operators.graph import components
+    from riskweave.sources.files import checkpointed
+
+    node = {k: F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), F.col(k))) for k in ("a", "b")}
+    rows = left.withColumns({"u": F.coalesce(node["a"], node["b"]), "v": F.coalesce(node["b"], node["a"])})
+    found = checkpointed(rows.join(components(rows.select("u", "v")), F.col("u") == F.col("node")).select("o", "a", "b", "component"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    sized = found.join(sizes, "component")
+    small = sized.where(F.col("n") <= most).select("component", "o", "a", "b").repartition("component").sortWithinPartitions("component", "o")
+    schema = T.StructType([left.schema["o"], T.StructField("duplicate", T.BooleanType())])
+    return checkpointed(small.mapInArrow(_in_order, schema).where("duplicate").select("o")), sized.where(F.col("n") > most).select("o", "a", "b")
+
+
+def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "transaction_id"), max_rounds: int = 1000, component_rows: int = COMPONENT_ROWS) -> DataFrame:
     """df with `duplicate`: an earlier accepted row has one of the two keys.
 
-    Greedy in `order` (unique): a rejected row blocks nobody. Rows whose keys occur once are accepted at sight; only the
-    others enter the rounds. Each round accepts the rows that come first on both keys among the undecided, then rejects
-    those that share a key with an accepted one, until none is left; chains set how many rounds. An error is raised if
-    max_rounds leave rows undecided. Null keys match nothing. Lineage is cut by a reliable checkpoint each round.
+    Greedy in `order` (unique): a rejected row blocks nobody. Rows whose keys occur once are accepted at sight. Of the others, a
+    round accepts the rows that come first on both keys among the undecided, then rejects those that share a key with an
+    accepted one. What a few rounds leave hangs together in chains: their components, found in rounds that grow with the
+    logarithm of a chain, are decided in order, one by a task. Only components of over component_rows go on in rounds, which
+    grow with their chains; an error is raised if max_rounds leave rows undecided. Null keys match nothing.
     """
     from riskweave.sources.files import checkpointed
 
@@ -102,26 +157,18 @@ def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "
         shared = left.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
         left = left.join(shared.select("key", F.lit(True).alias(f"shares_{k}")), F.col(k) == F.col("key"), "left").drop("key")
     left = checkpointed(left.where("shares_a or shares_b").select("o", "a", "b"))
-    verdicts = left.select("o", F.lit(False).alias("duplicate")).limit(0)
-    for _ in range(max_rounds):
+    rejected = left.select("o").limit(0)
+    for done in range(max_rounds + 1):
         if left.isEmpty():
             break
-        firsts = [left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias(f"first_{k}")) for k in ("a", "b")]
-        seen = left.join(firsts[0], "a", "left").join(firsts[1], "b", "left")
-        fits = [F.coalesce(F.col(f"first_{k}") == F.col("o"), F.lit(True)) for k in ("a", "b")]
-        marked = checkpointed(seen.select("o", "a", "b", (fits[0] & fits[1]).alias("ok")))
-        taken = marked.where("ok")
-        rest = marked.where("not ok")
-        for k in ("a", "b"):
-            held = taken.where(F.col(k).isNotNull()).select(F.col(k).alias("key")).distinct().withColumn(f"hit_{k}", F.lit(True))
-            rest = rest.join(held, F.col(k) == F.col("key"), "left").drop("key")
-        rest = checkpointed(rest.select("o", "a", "b", (F.coalesce("hit_a", F.lit(False)) | F.coalesce("hit_b", F.lit(False))).alias("gone")))
-        verdicts = verdicts.unionByName(rest.where("gone").select("o", F.lit(True).alias("duplicate")))
-        left = rest.where("not gone").select("o", "a", "b")
-    else:
-        if not left.isEmpty():
+        if done == max_rounds:
             raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
-    out = df.join(verdicts.withColumnRenamed("o", "__o"), F.col(order) == F.col("__o"), "left")
+        if done == QUICK_ROUNDS and component_rows:
+            gone, left = _by_component(left, component_rows)
+        else:
+            gone, left = _round(left)
+        rejected = rejected.unionByName(gone)
+    out = df.join(rejected.select(F.col("o").alias("__o"), F.lit(True).alias("duplicate")), F.col(order) == F.col("__o"), "left")
     return out.withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("__o")
 
 

@@ -759,6 +759,26 @@ def issue_codes(spark, sf_dir):
     return out.select("record_index", F.coalesce("issue", F.lit("valid")).alias("issue"))
 
 
+_CHAINS = """
+WITH RECURSIVE r AS (
+  SELECT event_id AS n, event_id // 5000 AS chain, 'e' || (event_id // 5000) || '-' || (event_id % 5000) // 2 AS e, 't' || (event_id // 5000) || '-' || (event_id % 5000 + 1) // 2 AS t FROM events
+), walk AS (
+  SELECT n, chain, e, t, false AS duplicate FROM r WHERE n = (SELECT min(n) FROM r r2 WHERE r2.chain = r.chain)
+  UNION ALL
+  SELECT r.n, r.chain, r.e, r.t, (r.e = w.e OR r.t = w.t) AND NOT w.duplicate FROM walk w JOIN r ON r.n = w.n + 1 AND r.chain = w.chain
+)
+SELECT CAST(n AS BIGINT) AS n, duplicate FROM walk"""
+
+
+@query("g03_long_chains", _CHAINS)
+def long_chains(spark, sf_dir):
+    """Events in chains of 5,000, each sharing one key with the one before and the other with the one after."""
+    n = F.col("event_id").cast("long")
+    part = lambda mark, k: F.concat(F.lit(mark), F.floor(n / 5000), F.lit("-"), F.floor((n % 5000 + k) / 2))
+    rows = table(spark, sf_dir, "events").select(n.alias("n"), part("e", 0).alias("event_id"), part("t", 1).alias("transaction_id"))
+    return C.first_wins(rows, "n").select("n", "duplicate")
+
+
 @query("d04_d35_quality_report", with_txn(" SELECT count(*) AS input_count, count(*) FILTER (issue IS NULL) AS valid_count, count(issue) AS quarantined_count, count(*) FILTER (issue = 'duplicate_event') AS duplicate_count, 'duplicate_event=' || count(*) FILTER (issue = 'duplicate_event') || ',invalid_category=' || count(*) FILTER (issue = 'invalid_category') || ',schema_error=' || count(*) FILTER (issue = 'schema_error') AS issue_counts FROM verdict", _DIRTY))
 def report(spark, sf_dir):
     out = C.quality_report(C.classified(dirty(spark, sf_dir), allowed_categories=("view", "click", "error", "purchase")))

@@ -250,6 +250,33 @@ def test_first_wins_loses_no_rows_at_its_limit(spark):
     with pytest.raises(RuntimeError):
         C.first_wins(chain, "o", max_rounds=1)
     assert C.first_wins(chain, "o", max_rounds=8).count() == 8
+    with pytest.raises(RuntimeError):  # components that are too large for a task go on in rounds
+        C.first_wins(chain.unionByName(chain.selectExpr("o + 8 as o", "concat('x', event_id) as event_id", "concat('x', transaction_id) as transaction_id")), "o", max_rounds=4, component_rows=1)
+
+
+def test_first_wins_decides_long_chains_by_component(spark):
+    """Chains, a hub, and null keys that lead from one part to another, with fewer rounds than a chain has rows."""
+    rows = [(i, f"e{i // 2}", f"t{(i + 1) // 2}") for i in range(400)] + [(400 + i, None, f"h{i % 3}") for i in range(20)] + [(430 + i, "hub", f"u{i // 2}") for i in range(30)]
+    rows += [(500 + i, f"v{i // 2}", f"w{(i + 1) // 2}") for i in range(60)] + [(600, "v3", "e-alone"), (601, None, None), (602, None, None)]
+    seen, want = set(), {}
+    for o, a, b in rows:
+        own = {("a", a), ("b", b)} - {("a", None), ("b", None)}
+        want[o] = not seen.isdisjoint(own)
+        if not want[o]:
+            seen |= own
+    df = spark.createDataFrame(rows, "o int, event_id string, transaction_id string").repartition(3)
+    for component_rows in (C.COMPONENT_ROWS, 100):
+        kept = df if component_rows > 400 else df.where("o >= 400")
+        out = {r["o"]: r["duplicate"] for r in C.first_wins(kept, "o", max_rounds=8 if component_rows > 400 else 40, component_rows=component_rows).collect()}
+        assert out == {o: d for o, d in want.items() if o in out} and len(out) == kept.count()
+
+
+def test_components(spark):
+    from riskweave.operators.graph import components
+
+    edges = [(k, k + 1) for k in range(100, 160)] + [(5, 900 + k) for k in range(30)] + [(7, 7), (3, 5)]
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {**dict.fromkeys(range(100, 161), 100), **dict.fromkeys([5, 3, *range(900, 930)], 3), 7: 7}
 
 
 def test_moving_average_sees_all_ties(spark):
