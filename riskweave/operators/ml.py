@@ -210,6 +210,27 @@ def isolation_scores(rows: DataFrame, trees: list[list[tuple]], inputs: list[str
     return rows.withColumn(out, score(*[F.col(c).cast("double") for c in inputs]))
 
 
+def contamination_cut(train_scores: DataFrame, fraud_share: float, score: str = "anomaly") -> float:
+    """The anomaly score that a share of the training rows exceed: that of the labelled frauds, from 0.001 to 0.5."""
+    share = min(max(float(fraud_share), 0.001), 0.5)
+    kept = train_scores.where(F.col(score).isNotNull())
+    n = kept.count()
+    if not n:
+        raise ValueError("no scores to take a cut from")
+    place = (1 - share) * (n - 1)
+    ranked = E.ranked_by(kept.select(F.col(score).alias("value")), [F.col("value")], "rank")
+    found = {r["rank"] - 1: r["value"] for r in ranked.where(F.col("rank").isin(int(place) + 1, int(place) + 2)).collect()}
+    low = found[int(place)]
+    high = found.get(int(place) + 1, low)
+    return low + (high - low) * (place - int(place))
+
+
+def with_anomaly_flags(scored: DataFrame, train_scores: DataFrame, label: str = "label", score: str = "anomaly", out: str = "is_anomaly") -> DataFrame:
+    """scored with whether the score is over the cut of the training rows, whose labels say how many are expected to be."""
+    share = train_scores.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    return scored.withColumn(out, F.col(score) > contamination_cut(train_scores, share, score))
+
+
 # --- explanations ----------------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Queries whose models SQL can't express; tests hold their invariants."""
+"""Queries of models: fits from sums have SQL, the others are held to their invariants by tests."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from riskweave.functions.scalars import micros
 from riskweave.operators import evaluation as E
 from riskweave.operators import features as B
 from riskweave.operators import ml
+from riskweave.operators.fits import IsotonicBlocks, NewtonPlatt, logistic, newton_logistic
 from riskweave.plans.fixtures import txn
-from riskweave.plans.queries import rounded
+from riskweave.plans.queries import rounded, with_scores
 
 INPUTS = ["amount_z_score", "customer_seconds_since_previous", "device_novelty", "country_novelty", "is_cash_withdrawal", "transaction_amount", "rule_score"]
 QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
 
 
 def query(fn):
@@ -83,3 +85,81 @@ def k13_permutation_importance(spark, sf_dir):
     model, parts = _fitted(spark, sf_dir)
     return ml.permutation_importance(model, parts.where("split = 'validation'"), "event_id", INPUTS)
 
+
+
+@query
+def k05_anomaly_flags(spark, sf_dir):
+    """Scores over the cut that the training rows' share of frauds sets."""
+    df = rows(spark, sf_dir)
+    train = df.where(_EARLY)
+    trees = ml.isolation_trees(train, INPUTS, "event_id")
+    scored = ml.isolation_scores(df, trees, INPUTS)
+    return ml.with_anomaly_flags(scored, scored.where(_EARLY)).select("event_id", "label", "anomaly", "is_anomaly")
+
+
+# --- fits from sums: SQL takes the same steps ------------------------------------------------------------------------
+
+_EARLY = "event_time < timestamp '2024-01-16'"
+_SCORED = with_scores("", *["dat AS (SELECT event_id, event_time, CAST(label AS DOUBLE) AS y, CAST(score AS DOUBLE) AS s, CAST(least(greatest(amount_z_score, -3), 3) AS DOUBLE) AS z, CAST(device_novelty AS DOUBLE) AS v FROM scores)"])
+STEPS = 8
+
+
+def _inputs(spark, sf_dir):
+    df = rows(spark, sf_dir).withColumn("score", F.round("rule_score", 6))
+    return df.withColumns({"z": F.least(F.greatest("amount_z_score", F.lit(-3.0)), F.lit(3.0)), "v": F.col("device_novelty")})
+
+
+def _newton_sql(names: list[str]) -> str:
+    """A recursive table `fit` (step, b0, b1, ...) of Newton steps, each solved by Cramer's rule."""
+    d = len(names) + 1
+    x = ["1.0", *names]
+    p = "(1 / (1 + exp(-(" + " + ".join(f"b{k} * {c}" for k, c in enumerate(x)) + "))))"
+    sums = [f"sum({a} * {b} * {p} * (1 - {p})) AS h{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x) if i <= j] + [f"sum({a} * (y - {p})) AS g{i}" for i, a in enumerate(x)]
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(d)] for i in range(d)]
+
+    def determinant(m):
+        return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})" if len(m) == 2 else "(" + " + ".join(f"{'-' if k % 2 else ''}{m[0][k]} * {determinant([r[:k] + r[k + 1 :] for r in m[1:]])}" for k in range(len(m))) + ")"
+
+    solved = [f"b{k} + {determinant([[f'g{i}' if j == k else h[i][j] for j in range(d)] for i in range(d)])} / {determinant(h)} AS b{k}" for k in range(d)]
+    b = ", ".join(f"b{k}" for k in range(d))
+    early = "SELECT * FROM dat WHERE event_time < TIMESTAMP '2024-01-16'"
+    return f"fit AS (SELECT 0 AS step, {', '.join(f'CAST(0 AS DOUBLE) AS b{k}' for k in range(d))} UNION ALL SELECT step + 1, {', '.join(solved)} FROM (SELECT step, {b}, {', '.join(sums)} FROM fit, ({early}) e WHERE step < {STEPS} GROUP BY step, {b}) q)"
+
+
+def _fit_sql(names: list[str], out: str) -> str:
+    beta = "b0 + " + " + ".join(f"b{k + 1} * {c}" for k, c in enumerate(names))
+    body = f" SELECT event_id, round(1 / (1 + exp(-({beta}))), 6) AS {out} FROM dat, (SELECT * FROM fit WHERE step = {STEPS}) f WHERE event_time >= TIMESTAMP '2024-01-16'"
+    return "WITH RECURSIVE " + _SCORED.strip().removeprefix("WITH ") + ", " + _newton_sql(names) + body
+
+
+ORACLES["k02_newton_logistic"] = _fit_sql(["z", "v"], "probability")
+ORACLES["k09_newton_platt"] = _fit_sql(["s"], "calibrated")
+ORACLES["k10_isotonic_blocks"] = (
+    _SCORED
+    + """, pts AS (SELECT s, sum(y) AS t, count(*) AS n FROM dat WHERE event_time < TIMESTAMP '2024-01-16' GROUP BY s),
+means AS (SELECT a.s AS lo, b.s AS hi, (SELECT sum(t) / sum(n) FROM pts c WHERE c.s BETWEEN a.s AND b.s) AS m FROM pts a JOIN pts b ON b.s >= a.s),
+curve AS (SELECT p.s, max(least_m) AS value FROM pts p JOIN (SELECT q.s, m.lo, min(m.m) AS least_m FROM pts q JOIN means m ON m.lo <= q.s AND m.hi >= q.s GROUP BY q.s, m.lo) x ON x.s = p.s GROUP BY p.s)
+SELECT event_id, round(least(1.0, greatest(0.0, CASE WHEN below.s IS NULL THEN above.value WHEN above.s IS NULL THEN below.value WHEN below.s = above.s THEN below.value
+  ELSE below.value + (above.value - below.value) * (d.s - below.s) / (above.s - below.s) END)), 6) AS calibrated
+FROM dat d LEFT JOIN curve below ON below.s = (SELECT max(s) FROM curve c WHERE c.s <= d.s) LEFT JOIN curve above ON above.s = (SELECT min(s) FROM curve c WHERE c.s >= d.s)
+WHERE event_time >= TIMESTAMP '2024-01-16'"""
+)
+
+
+@query
+def k02_newton_logistic(spark, sf_dir):
+    df = _inputs(spark, sf_dir)
+    beta = newton_logistic(df.where(_EARLY), ["z", "v"], steps=STEPS)
+    return rounded(df.where(f"not {_EARLY}").select("event_id", logistic(beta, ["z", "v"]).alias("probability")))
+
+
+@query
+def k09_newton_platt(spark, sf_dir):
+    df = _inputs(spark, sf_dir)
+    return rounded(NewtonPlatt(df.where(_EARLY), steps=STEPS).apply(df.where(f"not {_EARLY}")).select("event_id", "calibrated"))
+
+
+@query
+def k10_isotonic_blocks(spark, sf_dir):
+    df = _inputs(spark, sf_dir)
+    return rounded(IsotonicBlocks(df.where(_EARLY)).apply(df.where(f"not {_EARLY}")).select("event_id", "calibrated"))

@@ -43,6 +43,14 @@ def test_query_gives_the_rows_of_its_sql(spark, sf, duck, name):
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(ml_queries.ORACLES))
+def test_fits_take_the_steps_of_their_sql(spark, sf, duck, name):
+    got, want = ml_queries.QUERIES[name](spark, sf), duck.execute(ml_queries.ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_queries_without_sql_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
@@ -50,10 +58,12 @@ def test_queries_without_sql_run(spark, sf, name):
 
 def test_models(spark, sf):
     """Invariants of what SQL can't express."""
-    q = {n: f(spark, sf).toPandas() for n, f in ml_queries.QUERIES.items() if n not in ("k13_permutation_importance", "k01_k02_k03_baselines", "k14_counterfactuals")}
+    q = {n: f(spark, sf).toPandas() for n, f in ml_queries.QUERIES.items() if n not in ml_queries.ORACLES and n not in ("k13_permutation_importance", "k01_k02_k03_baselines", "k14_counterfactuals")}
     assert q["k08_distributed_scores"]["score"].between(0, 1).all()
     iso = q["k05_isolation_scores"]
     assert iso["anomaly"].between(0, 1).all() and iso["scaled"].min() == 0 and iso["scaled"].max() == 1
+    flags = q["k05_anomaly_flags"]
+    assert flags[flags["is_anomaly"]]["anomaly"].min() > flags[~flags["is_anomaly"]]["anomaly"].max() and 0 < flags["is_anomaly"].mean() < 0.6
     curve = q["k10_isotonic_calibration"].sort_values("score")
     assert curve["calibrated"].is_monotonic_increasing and curve["calibrated"].between(0, 1).all()
     platt = q["k09_platt_calibration"].sort_values("score")["calibrated"]
