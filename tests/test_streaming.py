@@ -106,6 +106,37 @@ def test_windows_drop_late_rows_and_come_out_when_they_are_over(spark, tmp_path)
     assert [(r["start"], r["transaction_count"], r["unique_customers"]) for r in got] == [(start, 2, 2)]  # the hour of the third is still open
 
 
+def test_sketched_windows_of_streams_and_tables(spark, tmp_path):
+    """Panes with sketches give the exact windows, but for distinct counts within 3 standard errors; a stream gives the table's
+    rows for every window that is over."""
+    import random
+
+    from riskweave.operators import windows as W
+
+    rng = random.Random(2)
+    rows = [event(k, rng.randrange(600), customer_id=rng.choice("ab"), merchant_id=f"m{rng.randrange(900)}", device_id=rng.choice("xyz"), country=rng.choice(["US", None])) for k in range(6000)]
+    rows.sort(key=lambda r: r[-1])
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("event_time", F.timestamp_micros("us"))
+    keys = ["window_start", "entity_id"]
+    exact = {tuple(r[k] for k in keys): r for r in W.customer_windows(df, exact=True).collect()}
+    table = {tuple(r[k] for k in keys): r for r in W.customer_windows(df).collect()}
+    assert exact.keys() == table.keys()
+    for k, r in table.items():
+        e = exact[k]
+        assert (r["transaction_count"], r["unique_devices"], r["unique_countries"], r["window_end"]) == (e["transaction_count"], e["unique_devices"], e["unique_countries"], e["window_end"])
+        assert r["transaction_amount"] == pytest.approx(e["transaction_amount"]) and abs(r["unique_merchants"] - e["unique_merchants"]) <= max(1, 3 * 1.04 / 2 ** (W.SKETCH / 2) * e["unique_merchants"])
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for part in (rows[:2500], rows[2500:], [event(9999, 3000)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SCHEMA).parquet(folder).withColumn("event_time", F.timestamp_micros("us"))
+        q = W.customer_windows(stream, watermark="15 minutes").writeStream.option("checkpointLocation", f"{out}/cp").outputMode("append").trigger(availableNow=True).format("parquet").start(f"{out}/rows")
+        q.awaitTermination(240)
+        q.stop()
+    names = [*keys, "transaction_count", "unique_merchants", "unique_devices", "unique_countries"]
+    streamed = {tuple(r[k] for k in keys): r for r in spark.read.parquet(f"{out}/rows").select(*names).collect()}
+    assert {k: tuple(r[n] for n in names) for k, r in streamed.items()} == {k: tuple(r[n] for n in names) for k, r in table.items()}
+
+
 def test_idle_customers_expire_by_event_time(spark, tmp_path):
     """A stream that stands still forgets nothing; once the watermark is the retention past a customer's latest event its state
     is gone, and what was forgotten is beyond the watermark, not new."""
