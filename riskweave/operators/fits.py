@@ -19,37 +19,44 @@ def _both_classes(rows: DataFrame, label: str) -> None:
         raise ValueError("a fit needs both classes")
 
 
-def newton_logistic(rows: DataFrame, inputs: list[str], label: str = "label", weight: str | None = None, steps: int = 12, ridge: float = 0.0) -> list[float]:
-    """Intercept and coefficients of a logistic regression after so many Newton steps from zero.
+def newton_steps(rows: DataFrame, inputs: list[str], ridges: list[float], label: str = "label", weight: str | None = None, steps: int = 12, start: np.ndarray | None = None) -> np.ndarray:
+    """Intercept and coefficients of logistic regressions, a row per ridge, after so many Newton steps from `start`, or zero.
 
-    A step is one pass: each task sums the gradient and the curvature of its rows, d and d x d numbers, and only their totals
-    reach the driver. `ridge` is added to the curvature of all but the intercept, as a penalty of half its square sum. Rows
-    with a null label or input are left out; a weight that is null is 0. Separable classes need a ridge.
+    A step is one pass for all of them: each task sums the gradients and the curvatures of its rows, d and d x d numbers for each
+    ridge, and only their totals reach the driver. A ridge is added to the curvature of all but the intercept, as a penalty of
+    half its square sum. Rows with a null label or input are left out; a weight that is null is 0.
     """
-    _both_classes(rows, label)
-    d = len(inputs) + 1
+    d, m = len(inputs) + 1, len(ridges)
     own = rows.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(inputs)], F.col(label).cast("double").alias("y"), (F.coalesce(F.col(weight), F.lit(0.0)) if weight else F.lit(1.0)).cast("double").alias("w")).dropna()
-    beta = np.zeros(d)
+    betas = np.zeros((m, d)) if start is None else np.array(start, float)
     for _ in range(steps):
 
-        def sums(batches, beta=beta):
-            total = np.zeros((d, d + 1))
+        def sums(batches, betas=betas):
+            total = np.zeros((m, d, d + 1))
             for batch in batches:
                 x = np.column_stack([np.ones(batch.num_rows), *(batch[f"x{k}"].to_numpy() for k in range(d - 1))])
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
                 y, w = batch["y"].to_numpy(), batch["w"].to_numpy()
-                total[:, :d] += x.T @ (x * (w * p * (1 - p))[:, None])
-                total[:, d] += x.T @ (w * (y - p))
+                for k, beta in enumerate(betas):
+                    p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+                    total[k, :, :d] += x.T @ (x * (w * p * (1 - p))[:, None])
+                    total[k, :, d] += x.T @ (w * (y - p))
             yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["place", "value"])
 
         found = own.mapInArrow(sums, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        total = np.zeros(d * (d + 1))
+        total = np.zeros(m * d * (d + 1))
         for place, value in found:
             total[place] = value
-        total = total.reshape(d, d + 1)
-        penalty = np.full(d, ridge) * (np.arange(d) > 0)
-        beta = beta + np.linalg.solve(total[:, :d] + np.diag(penalty), total[:, d] - penalty * beta)
-    return [float(b) for b in beta]
+        total = total.reshape(m, d, d + 1)
+        penalty = np.array(ridges, float)[:, None] * (np.arange(d) > 0)
+        curvature = total[:, :, :d] + penalty[:, :, None] * np.eye(d)
+        betas = betas + np.linalg.solve(curvature, (total[:, :, d] - penalty * betas)[:, :, None])[:, :, 0]
+    return betas
+
+
+def newton_logistic(rows: DataFrame, inputs: list[str], label: str = "label", weight: str | None = None, steps: int = 12, ridge: float = 0.0) -> list[float]:
+    """Intercept and coefficients of one logistic regression, by newton_steps. Separable classes need a ridge."""
+    _both_classes(rows, label)
+    return [float(b) for b in newton_steps(rows, inputs, [ridge], label, weight, steps)[0]]
 
 
 def logistic(beta: list[float], inputs: list[str]):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import unit_clip
 from riskweave.operators import evaluation as E
+from riskweave.operators import fits
 from riskweave.operators.decisions import combination_scores
 from riskweave.operators.features import FEATURES
 
@@ -292,6 +295,66 @@ def tune(df: DataFrame, inputs: list[str], grid: list[dict], seed: int = 42, lab
     return max(trials, key=lambda t: t[1])[0], trials
 
 
+#: What a search draws, by model: name, lowest, highest, and how.
+SPACES = {
+    "logistic_regression": (("C", 1e-3, 10.0, "log"),),
+    "random_forest": (("numTrees", 25, 100, "int"), ("maxDepth", 2, 10, "int"), ("minInstancesPerNode", 1, 5, "int")),
+}
+#: Share of a trial's whole effort, Newton steps or trees, by rung; after each but the last, half of the trials go on.
+RUNGS = (0.25, 0.5, 1.0)
+
+
+def draw_trials(model: str, trials: int, seed: int = 42) -> list[dict]:
+    """Parameters drawn within the model's space; the same for the same seed, and the first ones for fewer trials."""
+    if model not in SPACES:
+        raise ValueError(f"no search over {model}")
+    if trials < 1:
+        raise ValueError("a search needs a trial at least")
+    rng = np.random.default_rng(seed)
+    value = {"log": lambda a, b: float(np.exp(rng.uniform(np.log(a), np.log(b)))), "int": lambda a, b: int(rng.integers(a, b + 1))}
+    return [{name: value[how](low, high) for name, low, high, how in SPACES[model]} for _ in range(trials)]
+
+
+def search(df: DataFrame, inputs: list[str], model: str = "logistic_regression", trials: int = 10, seed: int = 42, steps: int = 12, label: str = "label", key: str = "event_id") -> tuple[dict, DataFrame]:
+    """The drawn parameters with the best average precision on a stratified quarter, and a row per trial and rung: trial, params,
+    rung, effort, average_precision, kept.
+
+    Successive halving: all trials get a quarter of their effort, the better half a half, the best quarter all of it. Logistic
+    regressions of a rung take their Newton steps together, each step in one pass over the rows, and go on where they were;
+    the scores of a rung are judged together. Ties go to the trial drawn first.
+    """
+    drawn = draw_trials(model, trials, seed)
+    u = F.pmod(F.xxhash64(key, label, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    rows = df.withColumn("__u", u).persist()
+    train, held = with_class_weights(rows.where("__u >= 0.25"), label), rows.where("__u < 0.25").drop("__u")
+    alive, betas, done, log = list(range(trials)), None, 0, []
+    for rung, share in enumerate(RUNGS):
+        if model == "logistic_regression":
+            goal = max(1, round(steps * share))
+            betas = fits.newton_steps(train, inputs, [1 / drawn[t]["C"] for t in alive], label, "weight", goal - done, betas)
+            efforts, done = dict.fromkeys(alive, goal), goal
+            found = F.array(*[F.struct(F.lit(t).alias("trial"), fits.logistic(b.tolist(), inputs).alias("score")) for t, b in zip(alive, betas, strict=True)])
+            scores = held.select(label, F.explode(found).alias("f")).select(label, "f.trial", "f.score")
+        else:
+            efforts = {t: max(1, round(drawn[t]["numTrees"] * share)) for t in alive}
+            tables = []
+            for t in alive:
+                stages = pipeline(model, inputs, seed, label, efforts[t])
+                stages.getStages()[-1].setParams(**{k: v for k, v in drawn[t].items() if k != "numTrees"})
+                tables.append(scored_by(stages.fit(train), held).select(label, F.lit(t).alias("trial"), "score"))
+            scores = reduce(DataFrame.unionByName, tables)
+        value = {r["trial"]: float(r["average_precision"]) for r in E.average_precision(scores, ["trial"], label=label).collect()}
+        best = sorted(alive, key=lambda t: (-value[t], t))
+        kept = sorted(best[: 1 if rung + 1 == len(RUNGS) else -(-len(best) // 2)])
+        log += [(t, json.dumps(drawn[t], sort_keys=True), rung, efforts[t], value[t], t in kept) for t in alive]
+        if betas is not None:
+            betas = betas[[alive.index(t) for t in kept]]
+        alive = kept
+    rows.unpersist()
+    table = df.sparkSession.createDataFrame(log, "trial int, params string, rung int, effort int, average_precision double, kept boolean")
+    return drawn[alive[0]], table
+
+
 def input_names(model: PipelineModel) -> list[str]:
     return list(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())
 

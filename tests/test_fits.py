@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from riskweave.operators import evaluation as E
 from riskweave.operators import fits, ml
 
 
@@ -81,3 +82,29 @@ def test_contamination_cut(spark, share):
     assert cut == pytest.approx(np.quantile(scores, 1 - min(max(share, 0.001), 0.5)))
     flagged = ml.with_anomaly_flags(df, df.withColumn("label", (F.col("k") < 333 * share).cast("double"))).where("is_anomaly").count()
     assert abs(flagged - 333 * min(max(share, 0.001), 0.5)) <= 1
+
+
+@pytest.mark.parametrize("model", ["logistic_regression", "random_forest"])
+def test_search_halves_its_trials(spark, labelled, model, monkeypatch):
+    """Rungs of 5, 3 and 2 trials; the values of the last are those of single fits with the same parameters."""
+    df = labelled.dropna().withColumn("event_id", F.monotonically_increasing_id())
+    if model == "random_forest":
+        monkeypatch.setitem(ml.SPACES, model, (("numTrees", 4, 6, "int"), ("maxDepth", 2, 3, "int"), ("minInstancesPerNode", 1, 5, "int")))
+    best, table = ml.search(df.drop("weight"), ["a", "b"], model, trials=5)
+    rows = table.orderBy("rung", "trial").collect()
+    assert [sum(r["rung"] == k for r in rows) for k in range(3)] == [5, 3, 2] and [sum(r["kept"] for r in rows if r["rung"] == k) for k in range(3)] == [3, 2, 1]
+    assert ml.draw_trials(model, 5) == [*ml.draw_trials(model, 3), *ml.draw_trials(model, 5)[3:]]
+    last = [r for r in rows if r["rung"] == 2]
+    winner = next(r for r in last if r["kept"])
+    assert best == ml.draw_trials(model, 5)[winner["trial"]] and winner["average_precision"] == max(r["average_precision"] for r in last)
+    if model == "logistic_regression":
+        u = F.pmod(F.xxhash64("event_id", "label", F.lit(42)), F.lit(1 << 53)) / float(1 << 53)
+        rows = df.drop("weight").withColumn("u", u)
+        train = ml.with_class_weights(rows.where("u >= 0.25"))
+        beta = fits.newton_logistic(train, ["a", "b"], weight="weight", ridge=1 / best["C"])
+        value = E.average_precision(rows.where("u < 0.25").withColumn("score", fits.logistic(beta, ["a", "b"]))).first()[0]
+        assert winner["average_precision"] == pytest.approx(value)
+    with pytest.raises(ValueError):
+        ml.search(df, ["a"], "svm")
+    with pytest.raises(ValueError):
+        ml.draw_trials(model, 0)
