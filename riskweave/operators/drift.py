@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -56,8 +58,44 @@ def _long(df: DataFrame, names: list[str], kind: str) -> DataFrame:
     return df.select(*[F.col(c).cast(kind).alias(c) for c in names]).unpivot([], names, "column", "value")
 
 
+#: Accuracy of the sketches that say where deciles lie, and how far around them is looked, in shares of the ranks.
+ACCURACY, AROUND = 10_000, 2e-4
+
+
 def _deciles(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, edges, mean, n): the unique deciles of each numeric column, interpolated between ranks. Values are counted per
+    """(column, edges, mean, n): the unique deciles of each numeric column, interpolated between ranks.
+
+    Sketches give a bracket around each decile; values within a bracket are counted exactly, and so is what lies below it. That
+    takes three scans and no order of a whole column. Should a bracket miss its ranks, all columns are ranked instead.
+    """
+    values = _long(df, names, "double").where("value is not null")
+    places = [i / (EDGES - 1) for i in range(EDGES)]
+    shares = [min(1.0, max(0.0, p)) for at in places for p in (at - AROUND, at + AROUND)]
+    stats = values.groupBy("column").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile_approx("value", shares, ACCURACY).alias("q")).collect()
+    kind = "column string, edges array<double>, mean double, n bigint"
+    if not stats:
+        return df.sparkSession.createDataFrame([], kind)
+    small = F.broadcast(df.sparkSession.createDataFrame([(r["column"], r["q"][::2], r["q"][1::2]) for r in stats], "column string, low array<double>, high array<double>"))  # a row per column
+    near = values.join(small, "column")
+    below = {r["column"]: r["below"] for r in near.groupBy("column").agg(F.array(*[F.count(F.when(F.col("value") < F.col("low")[i], 1)) for i in range(EDGES)]).alias("below")).collect()}
+    inside = near.select("column", "value", F.explode(F.filter(F.sequence(F.lit(0), F.lit(EDGES - 1)), lambda i: F.col("value").between(F.get("low", i), F.get("high", i)))).alias("i"))
+    counted = inside.groupBy("column", "i", "value").agg(F.count("*").alias("times"))
+    counted = counted.withColumn("upto", F.sum("times").over(Window.partitionBy("column", "i").orderBy("value")))
+    sought = {(r["column"], i): (r["n"] - 1) * at for r in stats for i, at in enumerate(places)}
+    ranks = df.sparkSession.createDataFrame([(c, i, math.floor(x) - below[c][i], math.ceil(x) - below[c][i]) for (c, i), x in sought.items()], "column string, i int, lower bigint, upper bigint")
+    found = counted.join(F.broadcast(ranks), ["column", "i"]).groupBy("column", "i").agg(*[F.min(F.when(F.col("upto") > F.col(k), F.col("value"))).alias(k) for k in ("lower", "upper")], F.first("lower").alias("at"))
+    ends = {(r["column"], r["i"]): (r["lower"], r["upper"], r["at"]) for r in found.collect()}
+    if any(k not in ends or None in ends[k] or ends[k][2] < 0 for k in sought):
+        return _ranked_deciles(df, names)
+    rows = []
+    for r in stats:
+        edges = [low + (high - low) * (sought[r["column"], i] % 1) for i in range(EDGES) for low, high, _ in (ends[r["column"], i],)]
+        rows.append((r["column"], list(dict.fromkeys(edges)), r["mean"], r["n"]))
+    return df.sparkSession.createDataFrame(rows, kind)
+
+
+def _ranked_deciles(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, edges, mean, n): the same by counting all values. They are counted per
     column and ranked by running counts over ranges, so no task holds a column's distinct values."""
     points = _long(df, names, "double").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("times"))
     run = with_running_totals(points, F.struct("column", "value"), {"upto": "times"})

@@ -380,3 +380,26 @@ def test_scored_rows_have_sixteen_columns(spark):
     assert r["e2"]["final_risk_score"] == 0.0 and r["e2"]["action"] == "allow"
     with pytest.raises(TypeError):
         D.scored_rows(rows, [], F.lit(None), probability=F.col("p"))
+
+
+def test_deciles_by_brackets_are_exact(spark, monkeypatch):
+    """Ties, gaps, a constant, few values and nulls; and all columns are ranked where a bracket misses."""
+    import random
+
+    import numpy as np
+
+    from riskweave.operators import drift as D
+
+    rng = random.Random(6)
+    rows = [(rng.gauss(0, 1), float(rng.randrange(4)), 7.0, rng.choice([None, -1e9, 1e9, rng.random()]), None if k else 2.5) for k in range(3000)]
+    names = list("abcde")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    for missed in (False, True):
+        if missed:
+            monkeypatch.setattr(D, "AROUND", -0.2)
+        out = {r["column"]: r for r in D._deciles(df, names).collect()}
+        for k, c in enumerate(names):
+            values = [r[k] for r in rows if r[k] is not None]
+            assert out[c]["n"] == len(values) and out[c]["mean"] == pytest.approx(np.mean(values))
+            assert list(out[c]["edges"]) == pytest.approx(np.unique(np.quantile(values, [i / 10 for i in range(11)])).tolist())
+    assert D._deciles(df.limit(0), names).count() == 0
