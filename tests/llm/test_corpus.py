@@ -100,9 +100,9 @@ def test_feistel_matches_a_plain_version(spark):
 
 def plain_pseudonym(kind, value):
     """Each format's keyed permutation step by step, in plain Python."""
-    from datetime import date, timedelta
+    from datetime import date, datetime, timedelta
 
-    def feistel(lo, r, a, b):
+    def feistel(lo, r, a, b, kind=kind):
         for i in range(pii.ROUNDS):
             move = int(hashlib.sha256(f"{pii.KEY}|{kind}|{a}|{i}|{lo if i % 2 else r}".encode()).hexdigest()[:15], 16)
             lo, r = (lo, (r + move) % b) if i % 2 else ((lo + move) % a, r)
@@ -134,11 +134,13 @@ def plain_pseudonym(kind, value):
         new = f"{w[:2]}{check:02d}{body}"
         return " ".join(new[k : k + 4] for k in range(0, len(new), 4)) if " " in value else new
     form = next(f for f in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y") if f[2] in value)
-    from datetime import datetime
-
-    x = (datetime.strptime(value, form).date() - date(1700, 1, 1)).days
-    lo, r = feistel(x // 773, x % 773, 189, 773)
-    return (date(1700, 1, 1) + timedelta(lo * 773 + r)).strftime(form)
+    own, x = "date" if "-" in value else "date-22", datetime.strptime(value, form).date()
+    if (x.month, x.day) == (2, 29):
+        leap = [y for y in range(1700, 2100) if (y % 4 == 0 and y % 100) or y % 400 == 0]
+        return x.replace(year=leap[feistel(leap.index(x.year), 0, len(leap), 1, f"{own}-leap")[0]]).strftime(form)
+    days = [(d.month, d.day) for d in (date(2023, 1, 1) + timedelta(k) for k in range(365))]
+    lo, r = feistel(x.year - 1700, days.index((x.month, x.day)), 400, 365, own)
+    return date(1700 + lo, *days[r]).strftime(form)
 
 
 def test_every_format_against_a_plain_version(spark):
