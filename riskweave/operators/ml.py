@@ -73,8 +73,10 @@ def pipeline(name: str, inputs: list[str], seed: int = 42, label: str = "label",
     raise ValueError(f"unknown model: {name}")
 
 
-def scored_by(model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
-    """rows with the model's probability of the positive class."""
+def scored_by(model: PipelineModel | Column, rows: DataFrame, out: str = "score") -> DataFrame:
+    """rows with the model's probability of the positive class; a model may be a column over the inputs."""
+    if isinstance(model, Column):
+        return rows.withColumn(out, model)
     kept = rows.columns
     return model.transform(rows).withColumn(out, vector_to_array("probability")[1]).select(*kept, out)
 
@@ -237,7 +239,7 @@ def with_anomaly_flags(scored: DataFrame, train_scores: DataFrame, label: str =
 # --- explanations ----------------------------------------------------------------------------------------------------
 
 
-def removal_contributions(model: PipelineModel, rows: DataFrame, background: DataFrame, key: str, inputs: list[str]) -> DataFrame:
+def removal_contributions(model: PipelineModel | Column, rows: DataFrame, background: DataFrame, key: str, inputs: list[str]) -> DataFrame:
     """(key, feature, value, contribution, resulting_score, score): what each feature adds, by setting it to its mean.
 
     Rows times features are scored in one pass and stay in place: no shuffle but the join back on the key.
@@ -256,24 +258,26 @@ def counterfactuals(contributions: DataFrame, threshold: float = 0.5) -> DataFra
     return contributions.where((F.col("score") >= threshold) & (F.col("resulting_score") < threshold))
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, inputs: list[str], repeats: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
+def permutation_importance(model: PipelineModel | Column, rows: DataFrame, key: str, inputs: list[str], repeats: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
     """(feature, importance, deviation): how much average precision falls when a feature is shuffled, over repeats.
 
-    Over all rows. Each feature and repeat has as many rows, so two global orders by feature, repeat and a seeded hash of
-    the key give it the same places; a row gets the value that has its place in the other order.
+    Over all rows. One seeded order of the keys per repeat serves all features: a row gets the value of the row that has
+    its place there. The table is ordered once, its inputs once per repeat; features are spread only after the join.
     """
-    tries = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c in inputs for r in range(repeats)]))
     whole = rows.select(F.col(key).alias("__key"), label, *inputs)
-    spread = whole.withColumn("__try", tries).select("*", "__try.feature", "__try.repeat").drop("__try")
-    value: Column = F.coalesce(*[F.when(F.col("feature") == c, F.col(c).cast("double")) for c in inputs])
-
-    def order(side: str) -> list[Column]:
-        return [F.col("feature"), F.col("repeat"), F.xxhash64("__key", "feature", "repeat", F.lit(side), F.lit(seed)), F.col("__key")]
 
-    there = E.ranked_by(spread, order("to"), "__place")
-    other = E.ranked_by(spread.select("__key", "feature", "repeat", value.alias("__moved")), order("from"), "__place").select("__place", "__moved")
-    moved = there.join(other, "__place").withColumns({c: F.when(F.col("feature") == c, F.col("__moved")).otherwise(F.col(c)) for c in inputs})
-    everything = moved.drop("__place", "__moved", "__key").unionByName(whole.drop("__key").withColumns({"feature": F.lit(""), "repeat": F.lit(0)}))
+    def drawn(*parts: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts, F.col("__key").cast("string")))
+
+    again = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    there = E.ranked_by(whole, [drawn(F.lit("to")), F.col("__key")], "__place")
+    dealt = whole.select("__key", *[F.col(c).cast("double").alias(f"__moved_{c}") for c in inputs]).withColumn("repeat", again)
+    n = whole.count()
+    other = E.ranked_by(dealt, [F.col("repeat"), drawn(F.col("repeat").cast("string")), F.col("__key")], "__place").drop("__key")
+    placed = other.withColumn("__place", F.col("__place") - F.col("repeat") * F.lit(n))
+    met = there.join(placed, "__place").withColumn("feature", F.explode(F.array(*map(F.lit, inputs))))
+    moved = met.withColumns({c: F.when(F.col("feature") == c, F.col(f"__moved_{c}")).otherwise(F.col(c)) for c in inputs})
+    everything = moved.select(label, *inputs, "feature", "repeat").unionByName(whole.drop("__key").withColumns({"feature": F.lit(""), "repeat": F.lit(0)}))
     area = E.average_precision(scored_by(model, everything), ["feature", "repeat"], label=label)
     base = area.where("feature = ''").select(F.col("average_precision").alias("base"))
     drop = area.where("feature <> ''").crossJoin(base).withColumn("drop", F.col("base") - F.col("average_precision"))

@@ -146,6 +146,68 @@ WHERE event_time >= TIMESTAMP '2024-01-16'"""
 )
 
 
+#: What the explained model sees; the amount in thousands keeps its step sizes alike.
+SEEN = ["z", "v", "a"]
+_PARTS = "early AS (SELECT * FROM dat WHERE event_time < TIMESTAMP '2024-01-16'), late AS (SELECT * FROM dat WHERE event_time >= TIMESTAMP '2024-01-16')"
+_CHANCE = "1 / (1 + exp(-(b0 + b1 * {z} + b2 * {v} + b3 * {a})))"
+
+
+def _explained_sql(more: str, body: str) -> str:
+    seen = _SCORED.replace("AS v FROM scores", "AS v, CAST(transaction_amount AS DOUBLE) / 1000 AS a FROM scores")
+    beta = f"beta AS (SELECT * FROM fit WHERE step = {STEPS})"
+    return f"WITH RECURSIVE {seen.strip().removeprefix('WITH ')}, {_newton_sql(SEEN)}, {_PARTS}, {beta}, {more} {body}"
+
+
+def _removed_sql() -> str:
+    chances = [(c, _CHANCE.format(**{x: f"m.m{x}" if x == c else f"d.{x}" for x in SEEN})) for c in SEEN]
+    whole = _CHANCE.format(**{x: f"d.{x}" for x in SEEN})
+    one = " UNION ALL ".join(f"SELECT event_id, '{c}' AS feature, d.{c} AS value, {chance} AS resulting_score, {whole} AS score FROM late d, beta, means m" for c, chance in chances)
+    return f"means AS (SELECT {', '.join(f'avg({c}) AS m{c}' for c in SEEN)} FROM early), removed AS ({one})"
+
+
+ORACLES["k12_newton_contributions"] = _explained_sql(_removed_sql(), "SELECT event_id, feature, round(value, 6) AS value, round(score - resulting_score, 6) + 0.0 AS contribution, round(resulting_score, 6) AS resulting_score, round(score, 6) AS score FROM removed")
+#: The cut is the share of frauds of the early rows, which a model without weights is around.
+ORACLES["k14_newton_counterfactuals"] = _explained_sql(_removed_sql(), "SELECT event_id, feature, round(score, 6) AS score, round(resulting_score, 6) AS resulting_score FROM removed, (SELECT avg(y) AS cut FROM early) WHERE score >= cut AND resulting_score < cut")
+ORACLES["k13_newton_importance"] = _explained_sql(
+    f"""placed AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'to', event_id)), event_id) AS place FROM late),
+dealt AS (SELECT r AS repeat, l.*, row_number() OVER (PARTITION BY r ORDER BY md5(concat_ws('|', '42', CAST(r AS VARCHAR), event_id)), event_id) AS place FROM late l, range(5) g(r)),
+shuffled AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, repeat, d.y, {_CHANCE.format(**{x: f'o.{x}' if x == c else f'd.{x}' for x in SEEN})} AS p FROM placed d JOIN dealt o USING (place), beta" for c in SEEN)}
+  UNION ALL SELECT '' AS feature, 0 AS repeat, d.y, {_CHANCE.format(**{x: f"d.{x}" for x in SEEN})} AS p FROM late d, beta),
+points AS (SELECT feature, repeat, round(p, 9) AS s, sum(y) AS pos, count(*) AS n FROM shuffled GROUP BY ALL),
+curve AS (SELECT feature, repeat, pos, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER (PARTITION BY feature, repeat) AS ap FROM points WINDOW w AS (PARTITION BY feature, repeat ORDER BY s DESC)),
+areas AS (SELECT feature, repeat, sum(pos / ap * cp / cn) AS area FROM curve GROUP BY feature, repeat)""",
+    "SELECT a.feature, round(avg(b.area - a.area), 6) + 0.0 AS importance, round(stddev_pop(b.area - a.area), 6) + 0.0 AS deviation FROM areas a, (SELECT area FROM areas WHERE feature = '') b WHERE a.feature <> '' GROUP BY a.feature",
+)
+
+
+def _explained(spark, sf_dir):
+    """(model as a column, early rows, late rows)."""
+    df = _inputs(spark, sf_dir).withColumn("a", F.col("transaction_amount").cast("double") / 1000)
+    early = df.where(_EARLY)
+    return logistic(newton_logistic(early, SEEN, steps=STEPS), SEEN), early, df.where(f"not {_EARLY}")
+
+
+@query
+def k12_newton_contributions(spark, sf_dir):
+    model, early, late = _explained(spark, sf_dir)
+    return rounded(ml.removal_contributions(model, late, early, "event_id", SEEN))
+
+
+@query
+def k14_newton_counterfactuals(spark, sf_dir):
+    model, early, late = _explained(spark, sf_dir)
+    cut = early.agg(F.avg("label")).first()[0]
+    found = ml.counterfactuals(ml.removal_contributions(model, late, early, "event_id", SEEN), cut)
+    return rounded(found.select("event_id", "feature", "score", "resulting_score"))
+
+
+@query
+def k13_newton_importance(spark, sf_dir):
+    """Chances go by nine places, so that equal ones stay equal in both engines."""
+    model, _, late = _explained(spark, sf_dir)
+    return rounded(ml.permutation_importance(F.round(model, 9), late, "event_id", SEEN))
+
+
 @query
 def k02_newton_logistic(spark, sf_dir):
     df = _inputs(spark, sf_dir)
