@@ -25,8 +25,12 @@ CAPACITY = 2048
 CACHE = 400_000
 #: Steps that one search for a filling may take before its best filling so far stands.
 SEARCH = 20_000
+#: Steps that all searches for fillings of one plan may take; later bins are filled by best fit.
+SEARCHES = 1_000_000
 #: Steps that the search over bins may take in all before the best plan so far stands.
 BRANCHES = 200_000
+#: Numbers of the basis that the linear program over fillings may rewrite before its mixture so far stands.
+PIVOTS = 1_000_000_000
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for lower-case Latin-1 texts, whose six other numbers Python counts as letters.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
@@ -122,22 +126,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def _best_filling(room: int, lengths: list[int], counts: list[int], enough: int = 0) -> list[tuple[int, int]]:
+def _best_filling(room: int, lengths: list[int], counts: list[int], enough: int, budget: list[int]) -> list[tuple[int, int]]:
     """The filling of `room` that wastes least: [(length, times)], from lengths in falling order.
 
     Branch and bound. The best-fit filling, taking the largest that fits at each step, is the first branch and so the
     incumbent. A filling that wastes least is undominated: swapping an item for a larger unused one that fits would waste
     less. A branch ends when all that is left could not bring its waste below the incumbent's, and the search when no more
-    than `enough` is wasted or SEARCH steps are used; the best filling so far then stands.
+    than `enough` is wasted or SEARCH steps or the
+    budget are used; the best filling so far, at least the best fit, then stands.
     """
     left = [0] * (len(lengths) + 1)
     for k in range(len(lengths) - 1, -1, -1):
         left[k] = left[k + 1] + lengths[k] * counts[k]
     best, waste, steps = [], room, 0
     stack: list[tuple[int, int, tuple]] = [(0, room, ())]
-    while stack and waste > enough and steps < SEARCH:
+    while stack and waste > enough and steps < SEARCH and (steps <= len(lengths) or budget[0] > 0):
         k, space, taken = stack.pop()
         steps += 1
+        budget[0] -= 1
         if space < waste:
             best, waste = list(taken), space
         while k < len(lengths) and lengths[k] > space:
@@ -150,8 +156,9 @@ def _best_filling(room: int, lengths: list[int], counts: list[int], enough: int
     return best
 
 
-def _complete(counts: np.ndarray, capacity: int, search: bool, enough: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(bins, [(length, times), ...])]: bins filled alike, around the largest length left each time."""
+def _complete(counts: np.ndarray, capacity: int, budget: list[int] | None = None, enough: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
+    """[(bins, [(length, times), ...])]: bins filled alike, around the largest length left each time, by best fit or, with a
+    budget of steps, by search."""
     counts, out = counts.copy(), []
     while (there := np.flatnonzero(counts)).size:
         big = int(there[-1])
@@ -159,8 +166,8 @@ def _complete(counts: np.ndarray, capacity: int, search: bool, enough: int = 0)
         room = capacity - big
         fits = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
         filling: list[tuple[int, int]] = []
-        if search:
-            filling = _best_filling(room, fits, [int(counts[x]) for x in fits], enough)
+        if budget:
+            filling = _best_filling(room, fits, [int(counts[x]) for x in fits], enough, budget)
         else:
             for x in fits:
                 if x <= room and (times := min(int(counts[x]), room // x)):
@@ -254,24 +261,169 @@ def _branch(counts: np.ndarray, capacity: int, incumbent: list, bound: int) -> l
     return best
 
 
+def _bound(counts: np.ndarray, capacity: int) -> int:
+    """No plan has fewer bins: for each k up to half the capacity, pieces over capacity - k stand alone, those over half have
+    bins of their own, and what is left of k or more has to fit beside them."""
+    number = np.cumsum(np.pad(counts, (0, max(0, capacity + 1 - len(counts)))))
+    total = np.cumsum(np.diff(number, prepend=0) * np.arange(len(number)))
+    best, half = 0, capacity // 2
+    for k in range(half + 1):
+        alone = int(number[capacity] - number[capacity - k])
+        wide = int(number[capacity - k] - number[half])
+        room = wide * capacity - int(total[capacity - k] - total[half])
+        rest = int(total[half] - (total[k - 1] if k else 0))
+        best = max(best, alone + wide + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def _richest(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> list[tuple[float, dict[int, int]]]:
+    """(worth, {index: times}) of the best filling around each length, by dynamic programming, if it is worth over one bin."""
+    value, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(int(lengths[0]), capacity + 1):
+        fits = int(np.searchsorted(lengths, room, side="right"))
+        found = worth[:fits] + value[room - lengths[:fits]]
+        k = int(found.argmax())
+        value[room], took[room] = (found[k], k) if found[k] > value[room - 1] else (value[room - 1], -1)
+    around = worth + value[capacity - lengths]
+    out = []
+    for k in np.argsort(-around, kind="stable"):
+        if around[k] <= 1 + 1e-9:
+            break
+        uses, room = {int(k): 1}, capacity - int(lengths[k])
+        while room > 0:
+            t = int(took[room])
+            if t < 0:
+                room -= 1
+                continue
+            uses[t] = uses.get(t, 0) + 1
+            room -= int(lengths[t])
+        out.append((float(around[k]), uses))
+    return out
+
+
+def _mixture(counts: np.ndarray, capacity: int, fewest: int) -> tuple[list[tuple[float, dict[int, int]]], int]:
+    """([(bins, {length: times}), ...], bound): the fillings that a linear program mixes, fractions of bins allowed.
+
+    Column generation: best fit in falling order, with fractions, gives the first basis, as each of its fillings uses up one
+    length; the program's prices of pieces lead to the fillings worth more than a bin, which enter by simplex steps. Prices
+    divided by the best filling's worth bound every plan from below. It ends when no filling is worth more, when the mixture
+    meets the bound or the bound `fewest`, or after PIVOTS numbers.
+    """
+    lengths = np.flatnonzero(counts)
+    number, m = counts[lengths].astype(float), len(lengths)
+    need = number + 1e-4 * np.random.default_rng(0).random(m)  # no ties among the simplex steps
+    basis: list[dict[int, int]] = []
+    left = need.copy()
+    for _ in range(m):
+        uses, room = {}, capacity
+        for k in np.flatnonzero(left)[::-1]:
+            if times := room // int(lengths[k]):
+                uses[int(k)] = times
+                room -= times * int(lengths[k])
+        out = min(uses, key=lambda k: left[k] / uses[k])
+        step = left[out] / uses[out]
+        for k, times in uses.items():
+            left[k] = max(left[k] - step * times, 1e-12)
+        left[out] = 0.0
+        basis.append(uses)
+
+    def renewed() -> np.ndarray:
+        whole = np.zeros((m, m))
+        for at, uses in enumerate(basis):
+            for k, times in uses.items():
+                whole[k, at] = times
+        return np.linalg.inv(whole)
+
+    inverse = renewed()
+    bins, steps, spent, bound = np.maximum(inverse @ need, 0.0), 0, 0, 0
+    while spent < PIVOTS and bound < fewest:
+        prices = inverse.sum(axis=0)
+        found = _richest(lengths, np.maximum(prices, 0.0), capacity)
+        spent += capacity * m
+        most = found[0][0] if found else 1.0
+        bound = max(bound, int(np.ceil(float(np.maximum(prices, 0.0) @ number) / most - 1e-6)))
+        if not found or bins.sum() <= bound:
+            break
+        for _, uses in found:
+            if sum(prices[k] * times for k, times in uses.items()) <= 1 + 1e-9:
+                continue
+            change = sum(inverse[:, k] * times for k, times in uses.items())
+            up = np.flatnonzero(change > 1e-9)
+            if not up.size:
+                continue
+            out = int(up[np.argmin(bins[up] / change[up])])
+            row, step = inverse[out] / change[out], bins[out] / change[out]
+            bins = np.maximum(bins - step * change, 0.0)
+            bins[out] = step
+            change[out] -= 1.0
+            down, across = np.flatnonzero(np.abs(change) > 1e-13), np.flatnonzero(np.abs(row) > 1e-13)
+            inverse[np.ix_(down, across)] -= np.outer(change[down], row[across])
+            prices -= change.sum() * row
+            basis[out] = uses
+            steps, spent = steps + 1, spent + m + down.size * across.size
+            if steps % 500 == 0:
+                inverse = renewed()
+                prices, bins = inverse.sum(axis=0), np.maximum(inverse @ need, 0.0)
+                spent += m * m
+            if spent >= PIVOTS:
+                break
+    bins = renewed() @ number
+    return [(float(n), {int(lengths[k]): times for k, times in uses.items()}) for n, uses in zip(bins, basis, strict=True)], bound
+
+
+def _rounded(counts: np.ndarray, capacity: int, mixture: list[tuple[float, dict[int, int]]], bound: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """A plan from a mixture: whole bins of it, then a bin more where a large fraction was left and the pieces are there, and
+    bin completion for the pieces that remain, around the largest each time."""
+    left, plan = counts.copy(), []
+
+    def take(uses: dict[int, int], bins: int) -> None:
+        bins = min(bins, *(int(left[x]) // times for x, times in uses.items()))
+        if bins > 0:
+            for x, times in uses.items():
+                left[x] -= bins * times
+            plan.append((bins, sorted(uses.items(), reverse=True)))
+
+    for n, uses in mixture:
+        take(uses, int(n + 1e-7))
+    for n, uses in sorted(mixture, key=lambda item: (item[0] + 1e-7) % 1.0, reverse=True):
+        if (n + 1e-7) % 1.0 > 0.5:
+            take(uses, 1)
+    return plan + _completed(left, capacity, bound - sum(n for n, _ in plan))
+
+
+def _size(plan: list[tuple[int, list[tuple[int, int]]]]) -> int:
+    return sum(n for n, _ in plan)
+
+
+def _completed(counts: np.ndarray, capacity: int, bound: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The best of best fit and of bin completion with waste bounds that double, until a plan meets the bound."""
+    incumbent, enough, budget = _complete(counts, capacity), 0, [SEARCHES]
+    while _size(incumbent) > bound and enough <= capacity // 16 and budget[0] > 0:
+        incumbent = min(incumbent, _complete(counts, capacity, budget, enough), key=_size)
+        enough = max(1, 2 * enough)
+    return incumbent
+
+
 def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Fillings [(bins, [(length, times), ...])] for counts[length] pieces; the fewest bins found.
 
-    Best fit in falling order gives the incumbent; it stands if it meets the bound of total length over capacity or of
-    pieces over half the capacity. Else bin completion searches a filling around each largest piece, first without waste,
-    then with bounds on it that double: a filling with a little waste leaves more small pieces for later. The first plan
-    that meets the bound is kept; if none does, the best of all is the incumbent of a branch and bound over bins. Equal fillings are repeated in one step, so the work depends on the number of lengths, at most the
-    capacity, and not on the number of pieces.
+    Best fit in falling order gives the incumbent; it stands if it meets the bound of _bound. Else a linear program over
+    fillings gives a better bound and a mixture, whose whole bins stand while bin completion fills the rest. If a gap is
+    left, bin completion searches a filling around each largest piece of all, first without waste, then with bounds on it
+    that double: a filling with a little waste leaves more small pieces for later. If no plan meets the bound, the best of
+    all is the incumbent of a branch and bound over bins. Equal fillings are repeated in one step, so the work depends on
+    the number of lengths, at most the capacity, and not on the number of pieces.
     """
-    total = int((counts * np.arange(len(counts))).sum())
-    bound = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
-    incumbent = _complete(counts, capacity, search=False)
-    enough = 0
-    while sum(n for n, _ in incumbent) > bound and enough <= capacity // 16:
-        searched = _complete(counts, capacity, search=True, enough=enough)
-        incumbent = min(incumbent, searched, key=lambda plan: sum(n for n, _ in plan))
-        enough = max(1, 2 * enough)
-    if sum(n for n, _ in incumbent) > bound:
+    bound = _bound(counts, capacity)
+    incumbent = _complete(counts, capacity)
+    if _size(incumbent) > bound:
+        mixture, least = _mixture(counts, capacity, _size(incumbent))
+        bound = max(bound, least)
+        if _size(incumbent) > bound:
+            incumbent = min(incumbent, _rounded(counts, capacity, mixture, bound), key=_size)
+    if _size(incumbent) > bound:
+        incumbent = min(incumbent, _completed(counts, capacity, bound), key=_size)
+    if _size(incumbent) > bound:
         incumbent = _branch(counts, capacity, incumbent, bound)
     return incumbent
 

@@ -664,7 +664,7 @@ def test_bin_completion_beats_or_meets_best_fit():
                 for x, n in filling:
                     used[x] += bins * n
             assert (used == counts).all()
-            assert sum(b for b, _ in plan) <= sum(b for b, _ in packing._complete(counts, capacity, search=False))
+            assert sum(b for b, _ in plan) <= sum(b for b, _ in packing._complete(counts, capacity))
 
 
 def test_bin_completion_finds_an_optimum_that_best_fit_misses():
@@ -702,6 +702,32 @@ def test_bins_are_branched_over():
         assert sum(n for n, _ in plan) == (9 if len(lengths) == 27 else fewest(lengths, capacity))
 
 
+def test_mixtures_of_fillings_pack_what_best_fit_does_not():
+    def planned(counts, capacity=2048):
+        plan = packing.plan_bins(counts, capacity)
+        used = np.zeros_like(counts)
+        for bins, filling in plan:
+            assert bins > 0 and sum(x * n for x, n in filling) <= capacity
+            for x, n in filling:
+                used[x] += bins * n
+        assert (used == counts).all()
+        return packing._size(plan)
+
+    counts = np.zeros(2049, np.int64)
+    counts[600:1024] = 47  # a plan by hand has 8,727, best fit 8,985
+    assert planned(counts) <= 8670
+    rng = np.random.default_rng(1)
+    for low, high, n in [(500, 1500, 5000), (1, 2049, 20_000)]:
+        counts = np.bincount(rng.integers(low, high, n), minlength=2049)
+        found = packing._size(packing._complete(counts, 2048))
+        assert packing._bound(counts, 2048) <= packing._mixture(counts, 2048, found + 1)[1] + 20
+        assert planned(counts) <= found
+    for _ in range(20):  # both bounds are below the fewest bins
+        counts = np.bincount(rng.integers(20, 60, 7), minlength=101)
+        size = planned(counts, 100)
+        assert packing._bound(counts, 100) <= size and packing._mixture(counts, 100, size + 1)[1] <= size
+
+
 def test_packing_on_awkward_tables(spark, odd, empty):
     out = packing.pack(odd, capacity=16).toPandas()
     check_packing(out, 16)
