@@ -112,18 +112,23 @@ def partition_index(spark, sf_dir):
     return txn(spark, sf_dir).select("event_id", M.partition_for(F.col("customer_id"), 6).alias("partition"))
 
 
+def _handled(spark, sf_dir) -> DataFrame:
+    """Parsed records with how often handling each fails. Neither side may be broadcast: sizes are guessed from columns, and
+    texts of a log are many times as long as the guess."""
+    k = txn(spark, sf_dir).select(F.col("n").alias("id"), (F.col("k") % 5).alias("fails"))
+    return M.parsed(log_records(spark, sf_dir)).join(k.hint("merge"), F.col("source_offset") == F.col("id"))
+
+
 @query("a26_failed_records", with_txn(" SELECT n AS source_offset, CASE WHEN bad OR k % 5 >= 3 THEN 'dead_letter' ELSE 'processed' END AS outcome, CASE WHEN bad THEN 1 ELSE CAST(least(k % 5 + 1, 3) AS INT) END AS attempts FROM (SELECT *, n % 97 = 0 OR n % 89 = 0 OR n % 83 = 0 AS bad FROM txn)"))
 def failed(spark, sf_dir):
     """Handling a record fails as often as the last digit of its k, by five, says."""
-    k = txn(spark, sf_dir).select(F.col("n").alias("id"), (F.col("k") % 5).alias("fails"))
-    rows = M.parsed(log_records(spark, sf_dir)).join(k, F.col("source_offset") == F.col("id"))
+    rows = _handled(spark, sf_dir)
     return M.failure_outcomes(rows, F.col("fails")).select("source_offset", "outcome", "attempts")
 
 
 @query("a26_dead_letters_with_attempts", with_txn(" SELECT n AS original_offset, CASE WHEN bad THEN 1 ELSE 3 END AS attempts FROM (SELECT *, n % 97 = 0 OR n % 89 = 0 OR n % 83 = 0 AS bad FROM txn) WHERE bad OR k % 5 >= 3"))
 def failed_letters(spark, sf_dir):
-    k = txn(spark, sf_dir).select(F.col("n").alias("id"), (F.col("k") % 5).alias("fails"))
-    rows = M.parsed(log_records(spark, sf_dir)).join(k, F.col("source_offset") == F.col("id"))
+    rows = _handled(spark, sf_dir)
     lost = M.failure_outcomes(rows, F.col("fails")).where("outcome = 'dead_letter'")
     lost = lost.withColumn("validation_error", F.coalesce("validation_error", F.lit("handler failed")))
     read = M.dead_letters(lost, F.lit("2024-02-01T00:00:00Z"), F.col("attempts")).select(M.decode_message(F.col("value"), "dead_letter").alias("m"))
