@@ -28,9 +28,12 @@ KEEP = 1 - EWM_ALPHA
 ATTRIBUTES = ("merchant_id", "device_id", "country", "merchant_category")
 UNIQUE = ("merchants", "devices", "countries")
 FLAGS = ("failed", "declined", "present")
-#: Events of a customer beyond which it is sliced; a slice has about so many, and a day's at least.
-SLICE_EVENTS = 500_000
-#: Days of sliced customers that may be broadcast, some 50 bytes each.
+#: Events of a customer beyond which it is sliced; a slice has about so many, and a cell's at least.
+SLICE_EVENTS = 100_000
+#: Cells of a look-back, between which slices are cut. Twice as many halve what a slice has beyond its look-back, and send each
+#: event of the densest customers to twice as many slices.
+CELLS = 8
+#: Cells of sliced customers that may be broadcast, some 200 bytes each.
 BROADCAST = 200_000
 #: Stands for a missing time, before all others.
 NO_TIME = -(1 << 62)
@@ -137,9 +140,13 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     key, kind = table["key"].to_numpy(), table["kind"].to_numpy()
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     n_groups = group[-1] + 1
-    states, memory, events = (table.filter(pa.array(kind == k)) if (kind == k).any() else None for k in (0, 1, 2))
+    extra = {f"state_{x}" for x in (*_STATE, *_FLAG_STATE, *_LAST)}
+    parts = {0: extra, 1: {"attribute", "value"}, 2: set(table.column_names) - extra - {"attribute", "value", "key", "kind"}}
+    states, memory, events = (table.select([c for c in table.column_names if c in of]).filter(pa.array(kind == k)) if (kind == k).any() else None for k, of in parts.items())
     if events is None:
         return table.slice(0, 0).select(["row"])
+    clipped = "since" in table.column_names
+    del table
     g = group[kind == 2]
     own = events["own"].to_numpy(zero_copy_only=False).astype(bool)
     us = events["us"].to_numpy()
@@ -167,7 +174,6 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     mine = np.flatnonzero(own)
     gm, hi = g[mine], np.searchsorted(place, place[mine])
     from_ = {s: np.searchsorted(place, gm * width + r[mine]) for s, r in since.items()}
-    clipped = "since" in table.column_names
     back = np.searchsorted(instants, events["since"].to_numpy() if clipped else us - look_back)[mine] if clipped or look_back is not None else None
     lo = first_own[gm] if back is None else np.searchsorted(place, gm * width + back)
     if clipped:
@@ -242,6 +248,13 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     return pa.table([rows, *columns], ["row", *ROLLED])
 
 
+def _let_go(held: list[pa.RecordBatch]) -> pa.Table:
+    """The batches as a table; the list holds them no longer."""
+    table = pa.Table.from_batches(held)
+    held.clear()
+    return table
+
+
 def _whole_slices(batches: Iterator[pa.RecordBatch], look_back: int | None) -> Iterator[pa.RecordBatch]:
     """folded() over as many whole slices at a time as come to ROWS."""
     held: list[pa.RecordBatch] = []
@@ -254,12 +267,12 @@ def _whole_slices(batches: Iterator[pa.RecordBatch], look_back: int | None) -> I
             cut = np.flatnonzero(key[1:] != key[:-1])
             if len(cut):
                 held.append(batch.slice(0, cut[0]))
-                yield from folded(pa.Table.from_batches(held), look_back).combine_chunks().to_batches()
-                held, size, batch = [], 0, batch.slice(cut[0])
+                yield from folded(_let_go(held), look_back).combine_chunks().to_batches()
+                size, batch = 0, batch.slice(cut[0])
         held.append(batch)
         size += batch.num_rows
     if held:
-        yield from folded(pa.Table.from_batches(held), look_back).combine_chunks().to_batches()
+        yield from folded(_let_go(held), look_back).combine_chunks().to_batches()
 
 
 def _running(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -310,31 +323,31 @@ def _memories(cut: DataFrame) -> DataFrame:
 
 
 def sliced(events: DataFrame, slice_events: int, look_back: int, ahead: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with c, slice and own, those of sliced customers twice where the next slice looks back on them, or the one before
-    looks so far ahead; and which days go to which slice: (c, day, slice, next, last), or None if no customer has over
-    slice_events rows.
+    """Rows with c, slice and own, those of sliced customers once more for each slice that looks back on them, or so far ahead;
+    and which cells go to which slice: (c, cell, slice, later, sooner), or None if no customer has over slice_events rows.
 
-    A day is as long as the look-back. A slice is as many days as hold slice_events rows, the last of them maybe beyond.
+    A look-back has CELLS cells. A slice is as many cells as hold slice_events rows, the last of them maybe beyond.
     """
     hot = checkpointed(events.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > slice_events).select(F.col("c").alias("hot")))
     n = hot.count()
     if not n:
         return events.withColumns({"slice": F.lit(0).cast("long"), "own": F.lit(True)}), None
-    day = F.floor(F.col("us") / look_back).cast("long")
+    width = -(-look_back // CELLS)
+    cell = F.floor(F.col("us") / width).cast("long")
     some = events.join(F.broadcast(hot) if n <= BROADCAST else hot, F.col("c").eqNullSafe(F.col("hot")), "left_semi")
-    one = Window.partitionBy("c").orderBy("day")
-    days = some.groupBy("c", day.alias("day")).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(one) - F.col("n"))
-    days = days.select("c", "day", F.floor(F.col("before") / slice_events).cast("long").alias("slice"))
-    lent = (F.lead("day").over(one) == F.col("day") + 1) & (F.lead("slice").over(one) > F.col("slice"))
-    led = (F.lag("day").over(one) == F.col("day") - 1) & (F.lag("slice").over(one) < F.col("slice"))
-    days = checkpointed(days.select("c", "day", "slice", F.when(lent, F.lead("slice").over(one)).alias("next"), F.when(led, F.lag("slice").over(one)).alias("last")))
-    few = (F.broadcast(days) if days.count() <= BROADCAST else days).alias("d")
-    rows = events.withColumn("day", day).alias("e").join(few, F.col("e.c").eqNullSafe(F.col("d.c")) & (F.col("e.day") == F.col("d.day")), "left")
-    k = F.coalesce("d.slice", F.lit(0).cast("long"))
-    soon = F.when(F.col("us") < F.col("d.day") * look_back + ahead, F.col("d.last"))
-    places = F.array(*[F.struct(c.alias("slice"), F.lit(is_own).alias("own")) for c, is_own in ((k, True), (F.col("d.next"), False), (soon, False))])
-    rows = rows.select(*[f"e.{c}" for c in events.columns], F.explode(F.filter(places, lambda x: x["slice"].isNotNull())).alias("at"))
-    return rows.select("*", "at.slice", "at.own").drop("at"), days
+    one = Window.partitionBy("c").orderBy("cell")
+    cells = some.groupBy("c", cell.alias("cell")).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(one) - F.col("n"))
+    cells = cells.select("c", "cell", F.floor(F.col("before") / slice_events).cast("long").alias("slice"))
+    later = F.filter(F.collect_set("slice").over(one.rangeBetween(1, CELLS)), lambda s: s > F.col("slice"))
+    near = F.collect_list(F.struct("slice", "cell")).over(one.rangeBetween(-(-(-ahead // width)), -1)) if ahead else F.array().cast("array<struct<slice:bigint,cell:bigint>>")
+    cells = checkpointed(cells.select("c", "cell", "slice", later.alias("later"), F.filter(near, lambda x: x["slice"] < F.col("slice")).alias("sooner")))
+    few = (F.broadcast(cells) if cells.count() <= BROADCAST else cells).alias("d")
+    rows = events.withColumn("cell", cell).alias("e").join(few, F.col("e.c").eqNullSafe(F.col("d.c")) & (F.col("e.cell") == F.col("d.cell")), "left")
+    soon = F.array_distinct(F.transform(F.filter("d.sooner", lambda x: F.col("us") < (x["cell"] + 1) * width + ahead), lambda x: x["slice"]))
+    lent = F.transform(F.concat("d.later", soon), lambda s: F.struct(s.alias("slice"), F.lit(False).alias("own")))
+    home = F.array(F.struct(F.coalesce("d.slice", F.lit(0).cast("long")).alias("slice"), F.lit(True).alias("own")))
+    rows = rows.select(*[f"e.{c}" for c in events.columns], F.explode(F.when(F.col("d.slice").isNull(), home).otherwise(F.concat(home, lent))).alias("at"))
+    return rows.select("*", "at.slice", "at.own").drop("at"), cells
 
 
 def with_past(events: DataFrame, us, history_seconds: int | None = None, slice_events: int = SLICE_EVENTS) -> DataFrame:
@@ -343,8 +356,8 @@ def with_past(events: DataFrame, us, history_seconds: int | None = None, slice_e
     The window is all of them, or those of the last `history_seconds`. `us` is the time in microseconds. Null amounts count
     as events without an amount; null attributes are a value of their own, but none of the distinct ones; events without a time
     come before all others. A customer of over
-    slice_events events is cut into slices of whole days (each as long as the look-back); a slice and the day before it are what
-    one task holds of a customer.
+    slice_events events is cut into slices of whole cells (an eighth of the look-back, a day at least); a slice, and of the
+    look-back before it what windows ask for, are what one task holds of a customer.
     """
     span = max(SPANS.values()) if history_seconds is None else max(SPANS["24h"], history_seconds * SECOND)
     flags = {"failed": F.col("transaction_status") != "approved", "declined": F.col("transaction_status") == "declined", "present": F.col("card_present")}
@@ -355,6 +368,8 @@ def with_past(events: DataFrame, us, history_seconds: int | None = None, slice_e
     )
     rows, days = sliced(rows, slice_events, span)
     ready = rows.withColumn("kind", F.lit(2))
+    if days is not None:  # of what a slice looks back on, only what windows read is sent
+        ready = ready.withColumn("row", F.when(F.col("own"), F.col("row")))
     extra = {"attribute": "int", "value": "string"} | {f"state_{x}": "double" for x in (*_STATE, *_FLAG_STATE, *_LAST)}
     if days is not None and history_seconds is None:
         names = days.select(F.col("c").alias("hot")).distinct()

@@ -27,3 +27,16 @@ def test_events_worth_nothing_are_valid_records_of_the_log(spark, events_with_ze
 def test_records_of_a_log_are_not_broadcast(spark, sf, name):
     """Their texts are many times as long as Spark guesses."""
     assert "Broadcast" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_dense_day_is_cut_into_cells(spark):
+    """Slices of a customer with very many events a day hold less of their own than a day, and each has all it looks back on."""
+    from riskweave.operators import slices as S
+
+    day, n = 86_400 * S.SECOND, 1600
+    events = spark.range(n).select(F.lit("a").alias("c"), (F.col("id") * (2 * day // n)).alias("us"), "id")
+    rows, _ = S.sliced(events, 50, day)
+    sizes = rows.groupBy("slice").agg(F.count(F.when(F.col("own"), 1)).alias("own"), F.min(F.when(F.col("own"), F.col("us"))).alias("first"), F.collect_set("us").alias("us")).collect()
+    assert sum(r["own"] for r in sizes) == n and max(r["own"] for r in sizes) <= 50 + n // 2 // S.CELLS
+    every = [r["us"] for r in events.select("us").collect()]
+    assert all({t for t in every if r["first"] - day <= t <= r["first"]} <= set(r["us"]) and len(r["us"]) <= n // 2 + 3 * n // 2 // S.CELLS for r in sizes)
