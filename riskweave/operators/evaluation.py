@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,10 +231,18 @@ def replicates(resamples: int, seed: int = 42) -> Column:
 def poisson_weight(key: Column, factor: Column) -> Column:
     """How often a row is in a bootstrap replicate: a Poisson(1) count, fixed by the key's small_hash and the replicate's factor."""
     u = ((key * factor % PRIME).cast("double") + 0.5) / float(PRIME)
-    total, term, out = 0.0, 1.0, F.lit(0)
+    out = F.lit(0)
+    for total in poisson_steps():
+        out = out + F.when(u > total, 1).otherwise(0)
+    return out
+
+
+def poisson_steps() -> list[float]:
+    """The chances of at most 0, 1, ..., 11 under Poisson(1); a weight is how many of them a uniform number exceeds."""
+    total, term, out = 0.0, 1.0, []
     for k in range(12):
         total += term * math.exp(-1)
-        out = out + F.when(u > total, 1).otherwise(0)
+        out.append(total)
         term /= k + 1
     return out
 
@@ -244,13 +255,34 @@ def _replicated(df: DataFrame, key: str, resamples: int, seed: int, *columns: Co
     return spread.where("w > 0").drop("__key", "__r")
 
 
+def _replicate_sums(df: DataFrame, key: str, resamples: int, seed: int, values: dict[str, Column]) -> DataFrame:
+    """(b, values...): per replicate the sums of columns of numbers, none null, each row as often as its weight says. The weights
+    are those of _replicated, but no row is multiplied: a task adds up its rows for all replicates, batch by batch."""
+    factors = [int(hashlib.md5(f"{b}|{seed}".encode()).hexdigest()[:13], 16) % PRIME + 1 for b in range(1, resamples + 1)]
+    steps = poisson_steps()
+    rows = df.select(small_hash(F.col(key).cast("string")).alias("__key"), *[v.cast("double").alias(k) for k, v in values.items()])
+    names = list(values)
+
+    def sums(batches):
+        total = np.zeros((len(names), len(factors)))
+        for batch in batches:
+            keys, columns = batch["__key"].to_numpy(), np.stack([batch[c].to_numpy() for c in names])
+            for b, factor in enumerate(factors):
+                weights = np.searchsorted(steps, (keys * factor % PRIME + 0.5) / float(PRIME))
+                total[:, b] += columns @ weights.astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, len(factors) + 1), pa.int32()), *map(pa.array, total)], ["b", *names])
+
+    parts = rows.where("__key is not null").mapInArrow(sums, "b int, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of a mean. Each task weighs its rows for all replicates and sends one sum for each."""
     estimate = df.agg(F.avg(value).alias("estimate"))
     if resamples < 1:
         return estimate.select("estimate", F.col("estimate").alias("low"), F.col("estimate").alias("high"))
-    reps = _replicated(df, key, resamples, seed, F.col(value).alias("v"))
-    stats = reps.groupBy("b").agg(ratio(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("stat"))
+    sums = _replicate_sums(df, key, resamples, seed, {"v": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "n": F.lit(1.0)})
+    stats = sums.select(ratio(F.col("v"), F.col("n")).alias("stat"))
     return _interval(stats, level).crossJoin(estimate).select("estimate", "low", "high")
 
 
@@ -260,6 +292,10 @@ def bootstrap_metric(df: DataFrame, key: str, metric: str = "recall", threshold:
         raise ValueError(f"metric must be one of {sorted(RATES)}")
     hit, fraud = F.col(score) >= threshold, F.col(label) == 1
     by = by or []
+    cells = {"tp": hit & fraud, "fp": hit & ~fraud, "fn": ~hit & fraud, "tn": ~hit & ~fraud}
+    if not by:
+        sums = _replicate_sums(df, key, resamples, seed, {k: F.when(c, 1.0).otherwise(0.0) for k, c in cells.items()})
+        return _interval(sums.select(RATES[metric](*(F.col(c) for c in cells)).alias("stat")), level).select(F.lit(metric).alias("metric"), "low", "high")
     reps = _replicated(df, key, resamples, seed, hit.alias("hit"), fraud.alias("fraud"), *map(F.col, by))
     cell = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
     h, f = F.col("hit"), F.col("fraud")

@@ -40,3 +40,8 @@ def test_a_dense_day_is_cut_into_cells(spark):
     assert sum(r["own"] for r in sizes) == n and max(r["own"] for r in sizes) <= 50 + n // 2 // S.CELLS
     every = [r["us"] for r in events.select("us").collect()]
     assert all({t for t in every if r["first"] - day <= t <= r["first"]} <= set(r["us"]) and len(r["us"]) <= n // 2 + 3 * n // 2 // S.CELLS for r in sizes)
+
+
+@pytest.mark.parametrize("name", ["d21_bootstrap_mean", "d22_bootstrap_metric"])
+def test_bootstraps_multiply_no_rows(spark, sf, name):
+    assert "Generate" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
