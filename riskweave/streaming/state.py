@@ -19,7 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from riskweave.operators.contracts import first_wins
 from riskweave.operators.evaluation import with_running_maximum
 from riskweave.operators.features import FEATURES, REQUIRED, named_features
-from riskweave.operators.slices import ATTRIBUTES, ROLLED, SLICE_EVENTS, folded, sliced
+from riskweave.operators.slices import ATTRIBUTES, ROLLED, ROWS, SLICE_EVENTS, folded, sliced
+from riskweave.sources.files import checkpointed
 
 SECOND = 1_000_000
 INPUT = (*REQUIRED, "transaction_id", "correlation_id")
@@ -40,37 +41,64 @@ def _held(pdf: pd.DataFrame) -> pa.Table:
     return pa.table({c: pa.array(pdf[c], t, from_pandas=True) for c, t in _HELD.items()})
 
 
-def _folded(rows: pa.Table, own: np.ndarray, since: np.ndarray) -> pa.Table:
-    """ROLLED of own rows, and `row`, where each stands; all rows count that are earlier in time, back to `since`."""
-    order = pc.sort_indices(rows, [("us", "ascending"), ("event_id", "ascending")]).to_numpy()
+def _folded(rows: pa.Table, own: np.ndarray, since: np.ndarray, key: np.ndarray) -> pa.Table:
+    """ROLLED of own rows, and `row`, where each stands; all rows of its key count that are earlier in time, back to `since`."""
+    if not rows.num_rows:
+        return pa.table({"row": key})
+    order = pc.sort_indices(rows.append_column("key", pa.array(key)), [("key", "ascending"), ("us", "ascending"), ("event_id", "ascending")]).to_numpy()
     at, status = rows.take(pa.array(order)), rows["transaction_status"].take(pa.array(order))
-    n, zero = rows.num_rows, np.zeros(rows.num_rows, np.int64)
     columns = {
-        "key": zero, "kind": zero + 2, "row": order.astype(np.int64), "own": own[order], "since": since[order], "us": at["us"], "amount": at["transaction_amount"], "latitude": at["latitude"], "longitude": at["longitude"],
+        "key": key[order], "kind": np.full(rows.num_rows, 2), "row": order.astype(np.int64), "own": own[order], "since": since[order], "us": at["us"], "amount": at["transaction_amount"], "latitude": at["latitude"], "longitude": at["longitude"],
         **{c: at[c] for c in ATTRIBUTES}, "failed": pc.cast(pc.not_equal(status, "approved"), pa.int32()), "declined": pc.cast(pc.equal(status, "declined"), pa.int32()), "present": pc.cast(at["card_present"], pa.int32()),
     }
-    return folded(pa.table(columns), None) if n else pa.table({"row": order})
+    return folded(pa.table(columns), None)
 
 
-def as_of_arrival(rows: pa.Table, own: np.ndarray, since: np.ndarray) -> pd.DataFrame:
-    """ROLLED of own rows, by place. Rows come in order of arrival; each sees those that are earlier in time and came before it.
+def _keyed(us: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, instants, width): rising keys and times as one number, key * width + rank of the time among the instants."""
+    instants, rank = np.unique(us, return_inverse=True)
+    width = len(instants) + 1
+    return key * width + rank, instants, width
+
+
+def as_of_arrival(rows: pa.Table, own: np.ndarray, since: np.ndarray, key: np.ndarray | None = None) -> pd.DataFrame:
+    """ROLLED of own rows, by place. Rows come in order of arrival; each sees those that are earlier in time and came before it,
+    of its key only, where there are keys, which rise.
 
     A row that something earlier in time still follows would see too much; such rows are folded run by run, a run being rows
-    in order of time, over what had come until then. The others are folded together.
+    in order of time, over what had come until then. The others are folded together, and so are runs, as keys of their own.
     """
     us = rows["us"].to_numpy()
+    key = np.zeros(len(us), np.int64) if key is None else key
+    place, _, _ = _keyed(us, key)
     overtaken = np.zeros(len(us), bool)
     if len(us):
-        overtaken[:-1] = np.minimum.accumulate(us[::-1])[::-1][1:] < us[:-1]
-    parts = [_folded(rows, own & ~overtaken, since)]
-    runs = np.cumsum(np.concatenate([[0], us[1:] < us[:-1]])) if len(us) else us
-    for run in np.unique(runs[own & overtaken]).tolist():
-        end = int(np.searchsorted(runs, run, "right"))
-        mine = (own & overtaken & (runs == run))[:end]
-        first = since[:end][mine].min()
-        kept = np.flatnonzero((us[:end] >= first) | mine)
-        part = _folded(rows.take(pa.array(kept)), mine[kept], since[:end][kept])
+        overtaken[:-1] = np.minimum.accumulate(place[::-1])[::-1][1:] < place[:-1]
+    parts = [_folded(rows, own & ~overtaken, since, key)]
+    runs = np.cumsum(np.concatenate([[0], (place[1:] < place[:-1]) | (key[1:] != key[:-1])])) if len(us) else key
+    late = np.flatnonzero(own & overtaken)
+    cuts = np.flatnonzero(np.diff(runs[late])) + 1
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def fold() -> None:
+        kept, mine = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = _folded(rows.take(pa.array(kept)), mine, since[kept], np.repeat(np.arange(len(held)), [len(k) for k, _ in held]))
         parts.append(part.set_column(0, "row", pa.array(kept[part["row"].to_numpy()])))
+        held.clear()
+
+    size = 0
+    for at in np.split(late, cuts) if len(late) else []:
+        start, end = int(np.searchsorted(key, key[at[0]])), int(np.searchsorted(runs, runs[at[0]], "right"))
+        mine = np.zeros(end - start, bool)
+        mine[at - start] = True
+        seen = mine | (us[start:end] >= since[at].min())
+        held.append((start + np.flatnonzero(seen), mine[seen]))
+        size += len(held[-1][0])
+        if size >= ROWS:
+            fold()
+            size = 0
+    if held:
+        fold()
     parts = [p for p in parts if p.num_rows]
     if not parts:
         return pd.DataFrame({c: np.zeros(0) for c in ROLLED})
@@ -212,6 +240,25 @@ def stateful_features(events: DataFrame, lateness_seconds: float = 900, retentio
     return _features(past)
 
 
+def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together and cut again, so that each has whole keys, about ROWS rows of them if no key has more."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        if size >= ROWS:
+            key = np.concatenate([held[-1]["key"].to_numpy()[-1:], batch["key"].to_numpy()])
+            cut = np.flatnonzero(key[1:] != key[:-1])
+            if len(cut):
+                yield pd.concat([*held, batch.iloc[: cut[0]]], ignore_index=True)
+                held, size, batch = [], 0, batch.iloc[cut[0] :]
+        held.append(batch)
+        size += len(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def replayed_globally(events: DataFrame, arrival: list[str], lateness_seconds: float = 900, retention_seconds: float = 30 * 86_400, slice_events: int = SLICE_EVENTS) -> DataFrame:
     """A bounded table replayed in order of arrival under one watermark for all customers, with 30 days of history.
 
@@ -224,7 +271,7 @@ def replayed_globally(events: DataFrame, arrival: list[str], lateness_seconds: f
     order = F.struct(*arrival)
     lateness, retention = int(lateness_seconds * SECOND), int(retention_seconds * SECOND)
     marked = with_running_maximum(events, order, "us", "__latest").withColumn("__late", F.col("us") < F.col("__latest") - lateness)
-    fine = first_wins(marked.where("not __late").withColumn("__order", order), "__order").drop("__order")
+    fine = checkpointed(first_wins(marked.where("not __late").withColumn("__order", order), "__order").drop("__order"))
     good = fine.where("not duplicate").drop("duplicate")
     keys = [F.col(k) for k in ("event_id", "transaction_id")]
     taken = [good.where(k.isNotNull()).groupBy(k.alias("__k")).agg(F.min(order).alias("__first")) for k in keys]
@@ -238,17 +285,20 @@ def replayed_globally(events: DataFrame, arrival: list[str], lateness_seconds: f
     refused = rejected.select(*COLUMNS[: -len(FEATURES) - 2], F.lit(False).alias("accepted"), "reason", *none, *arrival)
     kinds = dict(events.dtypes)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(arrival, kind="stable", ignore_index=True)
-        us, own = pdf["us"].to_numpy(np.int64), pdf["own"].to_numpy(bool)
-        since = np.maximum.accumulate(us) - retention
-        past = as_of_arrival(_held(pdf), own, since)
-        out = pdf.loc[own, [*_SHOWN, *arrival]].join(past, how="left").assign(customer_id=key[0], accepted=True, reason=None)
-        return out.reindex(columns=[*(x.split(" ")[0] for x in _PAST.split(", ")), *arrival]).astype(dict.fromkeys(_WHOLE, "Int64"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_keys(batches):
+            us, own, key = pdf["us"].to_numpy(np.int64), pdf["own"].to_numpy(bool), pdf["key"].to_numpy()
+            group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            place, instants, width = _keyed(us, group)
+            since = instants[np.maximum.accumulate(place) - group * width] - retention
+            past = as_of_arrival(_held(pdf), own, since, group)
+            out = pdf.loc[own, ["c", *_SHOWN, *arrival]].rename(columns={"c": "customer_id"}).join(past, how="left").assign(accepted=True, reason=None)
+            yield out.reindex(columns=[*(x.split(" ")[0] for x in _PAST.split(", ")), *arrival]).astype(dict.fromkeys(_WHOLE, "Int64"))
 
     rows = good.drop("__latest", "__late").withColumnRenamed("customer_id", "c")
     rows, _ = sliced(rows, slice_events, retention, lateness)
-    past = rows.groupBy("c", "slice").applyInPandas(run, _PAST + "".join(f", {c} {kinds[c]}" for c in arrival))
+    dealt = rows.withColumn("key", F.xxhash64("c", "slice")).repartition("c", "slice").sortWithinPartitions("c", "slice", *arrival)
+    past = dealt.mapInPandas(run, _PAST + "".join(f", {c} {kinds[c]}" for c in arrival))
     return _features(past, *arrival).unionByName(refused)
 
 

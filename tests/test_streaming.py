@@ -332,3 +332,27 @@ def test_a_batch_that_is_tried_again_counts_once(spark, sf, tmp_path, monkeypatc
     monkeypatch.setattr(CommitLog, "is_done", late)
     assert not log.write(1, {"more": Part(lost)})  # claimed by another while it wrote
     assert log.read("more", schema="id bigint, topic string").count() == 0
+
+
+def test_customers_and_overtaken_runs_are_folded_together(monkeypatch):
+    """Forty customers with late rows in two folds, as each would be alone."""
+    import numpy as np
+    import pandas as pd
+
+    from riskweave.operators.slices import ATTRIBUTES
+    from riskweave.streaming import state
+
+    rng = np.random.default_rng(5)
+    n = 400
+    fixed = {"transaction_status": "approved", "card_present": True, "latitude": 1.0, "longitude": 2.0}
+    pdf = pd.DataFrame({"event_id": [f"e{k:03}" for k in range(n)], "us": rng.integers(0, 50, n) * state.SECOND, "transaction_amount": rng.random(n)} | {c: rng.choice(list("abc"), n) for c in ATTRIBUTES}).assign(transaction_id=None, **fixed)
+    key, own, since = np.repeat(np.arange(40), 10), rng.random(n) < 0.8, pdf["us"].to_numpy() - 30 * state.SECOND
+    alone = []
+    for k in range(40):
+        at = np.flatnonzero(key == k)
+        alone.append(state.as_of_arrival(state._held(pdf.iloc[at]), own[at], since[at]).set_index(at[own[at]]))
+    calls = []
+    monkeypatch.setattr(state, "folded", lambda *x, fold=state.folded: calls.append(1) or fold(*x))
+    found = state.as_of_arrival(state._held(pdf), own, since, key)
+    assert len(calls) == 2
+    pd.testing.assert_frame_equal(found.astype(float), pd.concat(alone).astype(float), check_names=False)
