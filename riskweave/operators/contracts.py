@@ -88,8 +88,8 @@ def without_simulation(df: DataFrame) -> DataFrame:
     return df.drop(*SIMULATION_FIELDS)
 
 
-#: Rounds before the rows that are left are told apart by component, and rows of a component that one task decides.
-QUICK_ROUNDS, COMPONENT_ROWS = 3, 200_000
+#: Rounds, as many as plain copies need, before the rows that are left are told apart by component, and rows of a component that one task decides.
+QUICK_ROUNDS, COMPONENT_ROWS = 1, 200_000
 
 
 def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,13 +126,14 @@ def _in_order(batches):
 
 def _by_component(left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(rejected, undecided): rows (o, a, b) of components of up to `most` rows are decided, each component by one task; those of
-    larger ones are left. Components are of hashed keys, which may join two but never parts one."""
+    larger ones are left. Components are of hashed keys, which may join two but never parts one; rows go there in order, as those
+    that hang together are mostly near each other."""
     from riskweave.operators.graph import components
     from riskweave.sources.files import checkpointed
 
     node = {k: F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), F.col(k))) for k in ("a", "b")}
     rows = left.withColumns({"u": F.coalesce(node["a"], node["b"]), "v": F.coalesce(node["b"], node["a"])})
-    found = checkpointed(rows.join(components(rows.select("u", "v")), F.col("u") == F.col("node")).select("o", "a", "b", "component"))
+    found = checkpointed(rows.join(components(rows.repartitionByRange("o").sortWithinPartitions("o").select("u", "v")), F.col("u") == F.col("node")).select("o", "a", "b", "component"))
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
     sized = found.join(sizes, "component")
     small = sized.where(F.col("n") <= most).select("component", "o", "a", "b").repartition("component").sortWithinPartitions("component", "o")
@@ -152,7 +153,7 @@ def first_wins(df: DataFrame, order: str, keys: tuple[str, str] = ("event_id", "
     from riskweave.sources.files import checkpointed
 
     a, b = keys
-    left = df.select(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b"))
+    left = checkpointed(df.select(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b")))  # df is made once for all rounds
     for k in ("a", "b"):
         shared = left.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
         left = left.join(shared.select("key", F.lit(True).alias(f"shares_{k}")), F.col(k) == F.col("key"), "left").drop("key")

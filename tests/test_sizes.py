@@ -45,3 +45,14 @@ def test_a_dense_day_is_cut_into_cells(spark):
 @pytest.mark.parametrize("name", ["d21_bootstrap_mean", "d22_bootstrap_metric"])
 def test_bootstraps_multiply_no_rows(spark, sf, name):
     assert "Generate" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """Each task puts its stretch of a path together before the rounds, which are for what tasks share."""
+    from riskweave.operators import graph
+
+    calls = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df, cut=graph.checkpointed: calls.append(1) or cut(df))
+    edges = spark.range(3000).repartitionByRange(2, "id").selectExpr("id as u", "id + 1 as v")
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(k, 0) for k in range(3001)}
+    assert len(calls) <= 6
