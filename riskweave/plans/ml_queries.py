@@ -11,6 +11,7 @@ from riskweave.operators import ml
 from riskweave.operators.fits import IsotonicBlocks, NewtonPlatt, logistic, newton_logistic
 from riskweave.plans.fixtures import txn
 from riskweave.plans.queries import rounded, with_scores
+from riskweave.sources.files import checkpointed
 
 INPUTS = ["amount_z_score", "customer_seconds_since_previous", "device_novelty", "country_novelty", "is_cash_withdrawal", "transaction_amount", "rule_score"]
 QUERIES: dict = {}
@@ -49,9 +50,9 @@ def k08_distributed_scores(spark, sf_dir):
 
 @query
 def k05_isolation_scores(spark, sf_dir):
-    df = rows(spark, sf_dir)
+    df = checkpointed(rows(spark, sf_dir).select("event_id", "event_time", *INPUTS))
     trees = ml.isolation_trees(df.where(F.col("event_time") < F.lit("2024-01-16").cast("timestamp_ntz")), INPUTS, "event_id")
-    out = ml.isolation_scores(df, trees, INPUTS)
+    out = checkpointed(ml.isolation_scores(df, trees, INPUTS).select("event_id", "anomaly"))
     return E.min_max(out, out, "anomaly", "scaled").select("event_id", "anomaly", "scaled")
 
 
@@ -89,11 +90,11 @@ def k13_permutation_importance(spark, sf_dir):
 
 @query
 def k05_anomaly_flags(spark, sf_dir):
-    """Scores over the cut that the training rows' share of frauds sets."""
-    df = rows(spark, sf_dir)
+    """Scores over the cut that the training rows' share of frauds sets. Inputs and scores are made once."""
+    df = checkpointed(rows(spark, sf_dir).select("event_id", "event_time", "label", *INPUTS))
     train = df.where(_EARLY)
     trees = ml.isolation_trees(train, INPUTS, "event_id")
-    scored = ml.isolation_scores(df, trees, INPUTS)
+    scored = checkpointed(ml.isolation_scores(df, trees, INPUTS).select("event_id", "event_time", "label", "anomaly"))
     return ml.with_anomaly_flags(scored, scored.where(_EARLY)).select("event_id", "label", "anomaly", "is_anomaly")
 
 

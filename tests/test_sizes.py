@@ -56,3 +56,11 @@ def test_long_paths_take_few_rounds(spark, monkeypatch):
     edges = spark.range(3000).repartitionByRange(2, "id").selectExpr("id as u", "id + 1 as v")
     assert {tuple(r) for r in graph.components(edges).collect()} == {(k, 0) for k in range(3001)}
     assert len(calls) <= 6
+
+
+def test_anomaly_flags_make_inputs_and_scores_once(spark, sf):
+    """What flags are read from has no windows over events and no trees left in it."""
+    from riskweave.plans import ml_queries
+
+    plan = ml_queries.QUERIES["k05_anomaly_flags"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan
