@@ -21,6 +21,7 @@ from riskweave.operators import evaluation as E
 from riskweave.operators import fits
 from riskweave.operators.decisions import combination_scores
 from riskweave.operators.features import FEATURES
+from riskweave.sources.files import checkpointed
 
 #: What models may see: features only, never ids, labels, times or places.
 MODEL_INPUTS = tuple(FEATURES)
@@ -106,6 +107,7 @@ def train_baselines(df: DataFrame, inputs: list[str], names: tuple[str, ...] = (
     scores = tables[0]
     for t in tables[1:]:
         scores = scores.unionByName(t)
+    scores = checkpointed(scores.select("model", "split", "label", "transaction_amount", "score"))  # each row is scored once for all metrics
     metrics = E.threshold_metrics(scores, threshold, ["model", "split"], amount="transaction_amount")
     area = E.average_precision(scores, ["model", "split"])
     return models, metrics.join(area, ["model", "split"]), skipped
