@@ -134,15 +134,22 @@ def _numbers(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
+def _stretches(table: pa.Table, where: np.ndarray) -> pa.Table | None:
+    """The rows marked, as stretches of the table: nothing is copied."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], where, [False]]).astype(np.int8))).tolist()
+    return pa.concat_tables([table.slice(a, b - a) for a, b in zip(edges[::2], edges[1::2], strict=True)]) if edges else None
+
+
 def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     """Own rows of whole slices with ROLLED; rows are sorted by slice and kind, events among them by time and id. A column
-    `since` gives each row's look-back as a time of its own, beyond which none of its windows reaches."""
+    `since` gives each row's look-back as a time of its own, beyond which none of its windows reaches. What is not a row's own
+    is null; `row` and `state` may come as lists, as null numbers and structs take as much room as any."""
     key, kind = table["key"].to_numpy(), table["kind"].to_numpy()
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     n_groups = group[-1] + 1
-    extra = {f"state_{x}" for x in (*_STATE, *_FLAG_STATE, *_LAST)}
-    parts = {0: extra, 1: {"attribute", "value"}, 2: set(table.column_names) - extra - {"attribute", "value", "key", "kind"}}
-    states, memory, events = (table.select([c for c in table.column_names if c in of]).filter(pa.array(kind == k)) if (kind == k).any() else None for k, of in parts.items())
+    parts = {0: {"state"}, 1: {"attribute", "value"}, 2: set(table.column_names) - {"state", "attribute", "value", "key", "kind"}}
+    states, memory, events = (_stretches(table.select([c for c in table.column_names if c in of]), kind == k) for k, of in parts.items())
+    listed = pa.types.is_list(table.schema.field("row").type)
     if events is None:
         return table.slice(0, 0).select(["row"])
     clipped = "since" in table.column_names
@@ -158,9 +165,9 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     if states is not None:
         at = group[kind == 0]
         has_state[at] = True
-        for rows, names in ((before, _STATE), (last, _LAST), (flags_before, _FLAG_STATE)):
-            for k, name in enumerate(names):
-                rows[k, at] = states[f"state_{name}"].to_numpy()
+        found = pc.list_flatten(states["state"]).to_numpy().reshape(len(at), -1).T
+        for rows, first in ((before, 0), (flags_before, len(_STATE)), (last, len(_STATE) + len(_FLAG_STATE))):
+            rows[:, at] = found[first : first + len(rows)]
 
     # an instant is its rank among those of the task, so that slice and instant fit in one number
     instants = np.unique(us)
@@ -243,7 +250,7 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
         if k < len(UNIQUE):
             out[f"unique_{UNIQUE[k]}"] = distinct(code, known, from_["24h"], hi).astype(float)
 
-    rows = events["row"].filter(pa.array(own))
+    rows = pc.list_flatten(events["row"]) if listed else events["row"].filter(pa.array(own))
     columns = [pa.array(np.ma.getdata(out[c]), pa.int64() if c in _WHOLE else pa.float64(), mask=np.ma.getmaskarray(out[c])) for c in ROLLED]
     return pa.table([rows, *columns], ["row", *ROLLED])
 
@@ -369,16 +376,17 @@ def with_past(events: DataFrame, us, history_seconds: int | None = None, slice_e
     rows, days = sliced(rows, slice_events, span)
     ready = rows.withColumn("kind", F.lit(2))
     if days is not None:  # of what a slice looks back on, only what windows read is sent
-        ready = ready.withColumn("row", F.when(F.col("own"), F.col("row")))
-    extra = {"attribute": "int", "value": "string"} | {f"state_{x}": "double" for x in (*_STATE, *_FLAG_STATE, *_LAST)}
+        ready = ready.withColumn("row", F.when(F.col("own"), F.array("row")))
+    extra = {"attribute": "int", "value": "string", "state": "array<double>"}
     if days is not None and history_seconds is None:
         names = days.select(F.col("c").alias("hot")).distinct()
         cut = rows.where("own").join(F.broadcast(names) if days.count() <= BROADCAST else names, F.col("c").eqNullSafe(F.col("hot")), "left_semi").drop("row")
-        ready = ready.unionByName(_states(cut).withColumn("kind", F.lit(0)), allowMissingColumns=True)
+        state = F.array(*[f"state_{x}" for x in (*_STATE, *_FLAG_STATE, *_LAST)]).alias("state")
+        ready = ready.unionByName(_states(cut).select("c", "slice", state, F.lit(0).alias("kind")), allowMissingColumns=True)
         ready = ready.unionByName(_memories(cut).withColumn("kind", F.lit(1)), allowMissingColumns=True)
     else:
         ready = ready.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()})
     ready = ready.withColumn("key", F.xxhash64("c", "slice")).repartition("c", "slice").sortWithinPartitions("c", "slice", "kind", "us", "id").drop("c", "slice", "id")
     look_back = None if history_seconds is None else history_seconds * SECOND
-    schema = T.StructType([ready.schema["row"], *[T.StructField(c, T.LongType() if c in _WHOLE else T.DoubleType()) for c in ROLLED]])
+    schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType() if c in _WHOLE else T.DoubleType()) for c in ROLLED]])
     return ready.mapInArrow(lambda batches: _whole_slices(batches, look_back), schema)

@@ -108,3 +108,15 @@ def test_blocks_and_distinct_counts():
     hi = np.maximum(lo, hi)
     known = np.isin(codes, codes[known])  # a code is known or not
     assert (S.distinct(codes, known, lo, hi) == [len(set(codes[i:j][known[i:j]])) for i, j in zip(lo, hi, strict=True)]).all()
+
+
+def test_a_slice_holds_little_of_each_row_it_looks_back_on():
+    """Rows that are not a slice's own come without the event, without room for a state, and are not copied to tell kinds apart."""
+    import pyarrow as pa
+
+    n = 1000
+    kind = np.repeat([0, 2], [1, n])
+    table = pa.table({"x": np.arange(n + 1.0)})
+    part = S._stretches(table, kind == 2)
+    assert part["x"].chunk(0).buffers()[1].address == table["x"].chunk(0).buffers()[1].address and part.num_rows == n
+    assert S._stretches(table, kind == 1) is None and S._stretches(table, kind == 0)["x"].to_pylist() == [0.0]
