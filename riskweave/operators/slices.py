@@ -39,6 +39,8 @@ BROADCAST = 200_000
 NO_TIME = -(1 << 62)
 #: Rows that a task folds together, if no single slice is larger.
 ROWS = 65_536
+#: Rows for which a task works out what they know of the past at a time.
+PART_ROWS = 4_096
 
 #: A state: rows, amounts that aren't null, their mean, squared deviations, highest, lowest, sum, and moving average.
 COUNT, N, MEAN, M2, HIGH, LOW, SUM, AVERAGE = range(8)
@@ -144,6 +146,14 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     """Own rows of whole slices with ROLLED; rows are sorted by slice and kind, events among them by time and id. A column
     `since` gives each row's look-back as a time of its own, beyond which none of its windows reaches. What is not a row's own
     is null; `row` and `state` may come as lists, as null numbers and structs take as much room as any."""
+    empty = table.slice(0, 0).select(["row"])
+    parts = list(folded_parts(table, look_back))
+    return pa.concat_tables(parts) if parts else empty
+
+
+def folded_parts(table: pa.Table, look_back: int | None) -> Iterator[pa.Table]:
+    """folded() for PART_ROWS own rows at a time, so that most of what is worked out, and all that is given out, is held for so
+    many rows only, however large the slices."""
     key, kind = table["key"].to_numpy(), table["kind"].to_numpy()
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     n_groups = group[-1] + 1
@@ -151,7 +161,7 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     states, memory, events = (_stretches(table.select([c for c in table.column_names if c in of]), kind == k) for k, of in parts.items())
     listed = pa.types.is_list(table.schema.field("row").type)
     if events is None:
-        return table.slice(0, 0).select(["row"])
+        return
     clipped = "since" in table.column_names
     del table
     g = group[kind == 2]
@@ -173,86 +183,107 @@ def folded(table: pa.Table, look_back: int | None) -> pa.Table:
     instants = np.unique(us)
     width = len(instants) + 1
     rank = np.searchsorted(instants, us)
-    since = {s: np.searchsorted(instants, us - span) for s, span in SPANS.items()}
     place = g * width + rank
     first_any = np.searchsorted(g, np.arange(n_groups))
     first_own = np.full(n_groups, n)
     np.minimum.at(first_own, g[own], np.flatnonzero(own))
-    mine = np.flatnonzero(own)
-    gm, hi = g[mine], np.searchsorted(place, place[mine])
-    from_ = {s: np.searchsorted(place, gm * width + r[mine]) for s, r in since.items()}
-    back = np.searchsorted(instants, events["since"].to_numpy() if clipped else us - look_back)[mine] if clipped or look_back is not None else None
-    lo = first_own[gm] if back is None else np.searchsorted(place, gm * width + back)
-    if clipped:
-        since = {s: np.maximum(r[mine], back) for s, r in since.items()}
-        from_ = {s: np.maximum(r, lo) for s, r in from_.items()}
-    else:
-        since = {s: r[mine] for s, r in since.items()}
-
-    leaves = nothing(n)
-    leaves[COUNT], leaves[N], leaves[MEAN], leaves[SUM] = 1, there, amount, amount
-    leaves[HIGH], leaves[LOW] = np.where(there, amount, -np.inf), np.where(there, amount, np.inf)
-    leaves[AVERAGE] = EWM_ALPHA * amount
-    blocks = Blocks(leaves, np.bincount(g, minlength=n_groups))
-    prior = blocks.over(gm, lo, hi)
-    # the average is seeded by the first event in sight, which weighs as much as all before it would
-    seeded = (hi > lo) & ~has_state[gm]
-    prior[AVERAGE] += np.where(seeded, KEEP ** np.maximum(prior[COUNT], 0) * amount[np.minimum(lo, n - 1)], 0.0)
-    if back is None:
-        prior = joined(before[:, gm], prior)
-    some = prior[COUNT] > 0
-    out: dict[str, np.ndarray] = {
-        "prior_count": prior[COUNT], "prior_sum": prior[SUM], "prior_mean": prior[MEAN], "prior_high": np.where(prior[N] > 0, prior[HIGH], 0.0), "prior_std": _std(prior), "prior_average": np.where(some, prior[AVERAGE], 0.0),
-    }
-    for k, flag in enumerate(FLAGS):
+    owned = np.flatnonzero(own)
+    sinces = events["since"].to_numpy() if clipped else None
+
+    def reach(mine: np.ndarray, span: int | None = None) -> np.ndarray | None:
+        """Ranks of the instants from which windows of a span, or the whole look-back, of these rows are open; None: no bound."""
+        back = None
+        if clipped or look_back is not None:
+            back = np.searchsorted(instants, sinces[mine] if clipped else us[mine] - look_back)
+        if span is None:
+            return back
+        since = np.searchsorted(instants, us[mine] - span)
+        return np.maximum(since, back) if clipped else since
+
+    def opened(mine: np.ndarray, span: int) -> np.ndarray:
+        return np.searchsorted(place, g[mine] * width + reach(mine, span))
+
+    flags = []
+    for flag in FLAGS:
         value, valid = _numbers(events, flag)
-        sums, counts = (np.concatenate([[0], np.cumsum(x)]) for x in (value.astype(np.int64), valid))
-        yes, of = sums[hi] - sums[lo], counts[hi] - counts[lo]
-        if back is None:
-            yes, of = yes + flags_before[2 * k, gm], of + flags_before[2 * k + 1, gm]
-        out[f"{flag}_rate"] = np.divide(yes, of, out=np.zeros(len(mine)), where=of > 0)
-
-    inside = hi > (first_any[gm] if back is None else lo)
-    at = np.maximum(hi - 1, 0)
-    found = inside | (has_state[gm] if back is None else False)
-    where = [us, *(events[c].to_numpy(zero_copy_only=False) for c in ("latitude", "longitude"))]
-    for k, name in enumerate(("previous_us", "previous_latitude", "previous_longitude")):
-        values = np.where(inside, where[k][at], last[k, gm].astype(where[k].dtype))
-        out[name] = np.ma.masked_array(values, ~found)
-
-    for s in SPANS:
-        part = blocks.over(gm, from_[s], hi)
-        out |= {f"count_{s}": part[COUNT], f"sum_{s}": part[SUM], f"mean_{s}": part[MEAN], f"high_{s}": np.where(part[N] > 0, part[HIGH], 0.0), f"std_{s}": _std(part)}
-        if s == "1h":
-            out["low_1h"] = np.where(part[N] > 0, part[LOW], 0.0)
+        flags.append([np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (value, valid)])
 
+    attributes, unique = [], []
+    day, end_of_past = opened(owned, SPANS["24h"]), np.searchsorted(place, place[owned])
     for k, name in enumerate(ATTRIBUTES):
-        values, known = events[name].combine_chunks(), events[name].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        values = events[name].combine_chunks()
         old = memory.filter(pc.equal(memory["attribute"], k)) if memory is not None else None
         both = pa.concat_arrays([values, old["value"].combine_chunks()]) if old is not None else values
         codes = pc.dictionary_encode(both, null_encoding="encode").indices.to_numpy()
         many = int(codes.max(initial=0)) + 1
         code = g * many + codes[:n]
-        order = np.argsort(code, kind="stable")
-        sorted_places = code[order] * width + rank[order]
-        at_own = code[mine] * width
-        end = np.searchsorted(sorted_places, at_own + rank[mine])
-        start = np.searchsorted(sorted_places, at_own + (back if back is not None else 0))
-        seen = end > start
-        if old is not None:
-            remembered = group[kind == 1][memory["attribute"].to_numpy() == k] * many + codes[n:]
-            seen |= np.isin(code[mine], remembered)
-        out[f"new_{name}"] = (~seen).astype(float)
-        if name == "merchant_id":
-            hour, day = (np.searchsorted(sorted_places, at_own + since[s]) for s in ("1h", "24h"))
-            out["merchant_hits"], out["merchant_day"] = (end - hour).astype(float), (end - day).astype(float)
-            out["merchant_last"] = np.ma.masked_array(us[order[np.maximum(end - 1, 0)]], end <= hour)
         if k < len(UNIQUE):
-            out[f"unique_{UNIQUE[k]}"] = distinct(code, known, from_["24h"], hi).astype(float)
+            unique.append(distinct(code, values.is_valid().to_numpy(zero_copy_only=False), day, end_of_past).astype(np.int32))
+        order = np.argsort(code, kind="stable").astype(np.int32)
+        remembered = group[kind == 1][memory["attribute"].to_numpy() == k] * many + codes[n:] if old is not None else None
+        attributes.append((code, order, code[order] * width + rank[order], remembered))
+    del day, end_of_past, values, old, both, codes, code, order, remembered, group, key, kind
 
-    rows = pc.list_flatten(events["row"]) if listed else events["row"].filter(pa.array(own))
-    columns = [pa.array(np.ma.getdata(out[c]), pa.int64() if c in _WHOLE else pa.float64(), mask=np.ma.getmaskarray(out[c])) for c in ROLLED]
-    return pa.table([rows, *columns], ["row", *ROLLED])
+    leaves = nothing(n)
+    leaves[COUNT], leaves[N], leaves[MEAN], leaves[SUM] = 1, there, amount, amount
+    leaves[HIGH], leaves[LOW] = np.where(there, amount, -np.inf), np.where(there, amount, np.inf)
+    leaves[AVERAGE] = EWM_ALPHA * amount
+    blocks = Blocks(leaves, np.bincount(g, minlength=n_groups))
+    where = [us, *(events[c].to_numpy(zero_copy_only=False) for c in ("latitude", "longitude"))]
+
+    for done in range(0, len(owned), PART_ROWS):
+        mine = owned[done : done + PART_ROWS]
+        gm, hi = g[mine], np.searchsorted(place, place[mine])
+        back, since = reach(mine), {s: reach(mine, span) for s, span in SPANS.items()}
+        lo = first_own[gm] if back is None else np.searchsorted(place, gm * width + back)
+        prior = blocks.over(gm, lo, hi)
+        # the average is seeded by the first event in sight, which weighs as much as all before it would
+        seeded = (hi > lo) & ~has_state[gm]
+        prior[AVERAGE] += np.where(seeded, KEEP ** np.maximum(prior[COUNT], 0) * amount[np.minimum(lo, n - 1)], 0.0)
+        if back is None:
+            prior = joined(before[:, gm], prior)
+        some = prior[COUNT] > 0
+        out: dict[str, np.ndarray] = {
+            "prior_count": prior[COUNT], "prior_sum": prior[SUM], "prior_mean": prior[MEAN], "prior_high": np.where(prior[N] > 0, prior[HIGH], 0.0), "prior_std": _std(prior), "prior_average": np.where(some, prior[AVERAGE], 0.0),
+        }
+        for k, (flag, (sums, counts)) in enumerate(zip(FLAGS, flags, strict=True)):
+            yes, of = sums[hi] - sums[lo], counts[hi] - counts[lo]
+            if back is None:
+                yes, of = yes + flags_before[2 * k, gm], of + flags_before[2 * k + 1, gm]
+            out[f"{flag}_rate"] = np.divide(yes, of, out=np.zeros(len(mine)), where=of > 0)
+
+        inside = hi > (first_any[gm] if back is None else lo)
+        at = np.maximum(hi - 1, 0)
+        known = inside | (has_state[gm] if back is None else False)
+        for k, name in enumerate(("previous_us", "previous_latitude", "previous_longitude")):
+            values = np.where(inside, where[k][at], last[k, gm].astype(where[k].dtype))
+            out[name] = np.ma.masked_array(values, ~known)
+
+        for s in SPANS:
+            part = blocks.over(gm, np.searchsorted(place, gm * width + since[s]), hi)
+            out |= {f"count_{s}": part[COUNT], f"sum_{s}": part[SUM], f"mean_{s}": part[MEAN], f"high_{s}": np.where(part[N] > 0, part[HIGH], 0.0), f"std_{s}": _std(part)}
+            if s == "1h":
+                out["low_1h"] = np.where(part[N] > 0, part[LOW], 0.0)
+
+        for k, (name, (code, order, sorted_places, remembered)) in enumerate(zip(ATTRIBUTES, attributes, strict=True)):
+            at_own = code[mine] * width
+            end = np.searchsorted(sorted_places, at_own + rank[mine])
+            seen = end > np.searchsorted(sorted_places, at_own + (back if back is not None else 0))
+            if remembered is not None:
+                seen |= np.isin(code[mine], remembered)
+            out[f"new_{name}"] = (~seen).astype(float)
+            if name == "merchant_id":
+                hour, day = (np.searchsorted(sorted_places, at_own + since[s]) for s in ("1h", "24h"))
+                out["merchant_hits"], out["merchant_day"] = (end - hour).astype(float), (end - day).astype(float)
+                out["merchant_last"] = np.ma.masked_array(us[order[np.maximum(end - 1, 0)]], end <= hour)
+            if k < len(UNIQUE):
+                out[f"unique_{UNIQUE[k]}"] = unique[k][done : done + PART_ROWS].astype(float)
+
+        stretch = slice(mine[0], mine[-1] + 1)
+        rows = events["row"].slice(stretch.start, stretch.stop - stretch.start)
+        rows = pc.list_flatten(rows) if listed else rows.filter(pa.array(own[stretch]))
+        columns = [pa.array(np.ma.getdata(out[c]), pa.int64() if c in _WHOLE else pa.float64(), mask=np.ma.getmaskarray(out[c])) for c in ROLLED]
+        yield pa.table([rows, *columns], ["row", *ROLLED])
 
 
 def _let_go(held: list[pa.RecordBatch]) -> pa.Table:
@@ -263,23 +294,27 @@ def _let_go(held: list[pa.RecordBatch]) -> pa.Table:
 
 
 def _whole_slices(batches: Iterator[pa.RecordBatch], look_back: int | None) -> Iterator[pa.RecordBatch]:
-    """folded() over as many whole slices at a time as come to ROWS."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """folded() over as many whole slices at a time as come to ROWS, or over a larger one alone."""
+    whole: list[pa.RecordBatch] = []
+    last: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        if size >= ROWS:
-            key = np.concatenate([held[-1]["key"].to_numpy()[-1:], batch["key"].to_numpy()])
-            cut = np.flatnonzero(key[1:] != key[:-1])
-            if len(cut):
-                held.append(batch.slice(0, cut[0]))
-                yield from folded(_let_go(held), look_back).combine_chunks().to_batches()
-                size, batch = 0, batch.slice(cut[0])
-        held.append(batch)
-        size += batch.num_rows
-    if held:
-        yield from folded(_let_go(held), look_back).combine_chunks().to_batches()
+        key = batch["key"].to_numpy()
+        ended = [0] if last and last[-1]["key"][-1].as_py() != key[0] else []
+        ended = [*ended, *(np.flatnonzero(key[1:] != key[:-1])[-1:] + 1)]
+        if ended:
+            whole += [*last, batch.slice(0, ended[-1])]
+            last, batch = [], batch.slice(ended[-1])
+        last.append(batch)
+        if whole and sum(b.num_rows for b in (*whole, *last)) >= ROWS:
+            for part in folded_parts(_let_go(whole), look_back):
+                yield from part.combine_chunks().to_batches()
+    if last:
+        whole += last
+        last.clear()
+        for part in folded_parts(_let_go(whole), look_back):
+            yield from part.combine_chunks().to_batches()
 
 
 def _running(pdf: pd.DataFrame) -> pd.DataFrame:

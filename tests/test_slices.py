@@ -120,3 +120,48 @@ def test_a_slice_holds_little_of_each_row_it_looks_back_on():
     part = S._stretches(table, kind == 2)
     assert part["x"].chunk(0).buffers()[1].address == table["x"].chunk(0).buffers()[1].address and part.num_rows == n
     assert S._stretches(table, kind == 1) is None and S._stretches(table, kind == 0)["x"].to_pylist() == [0.0]
+
+
+def made_slices(sizes, step=1000):
+    """Rows as a task gets them, in batches: slices of these sizes, some with a state and what was seen before."""
+    import pyarrow as pa
+
+    rng, rows = np.random.default_rng(7), []
+    for k, n in enumerate(sizes):
+        if k % 2:
+            rows.append({"key": k, "kind": 0, "state": rng.random(17).round(3).tolist()})
+            rows.append({"key": k, "kind": 1, "attribute": 0, "value": "a"})
+        for us in np.sort(rng.integers(0, 3 * n, n)) * 7_200 * S.SECOND:
+            own = bool(rng.random() < 0.8)
+            rows.append({"key": k, "kind": 2, "own": own, "us": int(us), "amount": float(rng.random()), "latitude": 1.0, "longitude": float(rng.random()), **{a: rng.choice(["a", "b", "c"]) for a in S.ATTRIBUTES}, **dict.fromkeys(S.FLAGS, int(us) // 7_200 // S.SECOND % 2), "row": [len(rows)] if own else None})
+    kinds = {"key": pa.int64(), "kind": pa.int32(), "row": pa.list_(pa.int64()), "own": pa.bool_(), "us": pa.int64(), "amount": pa.float64(), "latitude": pa.float64(), "longitude": pa.float64(), **dict.fromkeys(S.ATTRIBUTES, pa.string()), **dict.fromkeys(S.FLAGS, pa.int32()), "attribute": pa.int32(), "value": pa.string(), "state": pa.list_(pa.float64())}
+    return pa.Table.from_pylist(rows, pa.schema(list(kinds.items()))).to_batches(step)
+
+
+@pytest.mark.parametrize("look_back", [None, 86_400 * S.SECOND])
+def test_a_task_works_out_few_rows_at_a_time(monkeypatch, look_back):
+    """Parts of a slice are those of the slice worked out whole, and a large slice isn't held together with those before it."""
+    import pyarrow as pa
+
+    batches, folds = made_slices([3, 40, 1, 300, 90, 2, 150, 30, 30], 13), []
+    whole = pa.Table.from_batches(list(S._whole_slices(iter(batches), look_back)))
+    monkeypatch.setattr(S, "PART_ROWS", 16, raising=False)
+    monkeypatch.setattr(S, "ROWS", 100)
+    monkeypatch.setattr(S, "_let_go", lambda held, go=S._let_go: folds.append(sum(b.num_rows for b in held)) or go(held))
+    parts = list(S._whole_slices(iter(batches), look_back))
+    assert max(p.num_rows for p in parts) <= 16
+    assert max(folds) <= 302 and sum(folds) == sum(b.num_rows for b in batches) and min(folds[:-1]) > 30
+    assert pa.Table.from_batches(parts).combine_chunks().equals(whole.combine_chunks())
+
+
+def test_folding_takes_little_for_a_row_of_a_large_slice():
+    import tracemalloc
+
+    batches = made_slices([40_000])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in S._whole_slices(iter(batches), None))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 30_000 < rows < 40_000 and peak < 550 * 40_000, peak / 40_000
